@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, mixing, near_dedup, toxicity, warc
+from . import decontaminate, language, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).drop("from_byte", "to_byte")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,9 +38,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("from_word", "to_word")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_mixing, op5_toxicity, op7_decontamination, op8_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_mixing, op4_suffix_dedup, op5_toxicity, op7_decontamination, op8_line_dedup, op9_substring_dedup, op10_warc)}
