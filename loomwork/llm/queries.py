@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, warc
+from . import decontaminate, language, line_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, toxicity, vector_dedup, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,4 +51,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_mixing, op4_suffix_dedup, op5_toxicity, op7_decontamination, op8_line_dedup, op9_substring_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_language, op2_near_dedup, op3_mixing, op4_suffix_dedup, op5_toxicity, op6_vector_dedup, op7_decontamination, op8_line_dedup, op9_substring_dedup, op10_warc)}
