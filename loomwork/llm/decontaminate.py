@@ -9,6 +9,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many windows are broadcast (about 300 bytes each); beyond, the joins shuffle.
 BROADCAST_WINDOWS = 200_000
+TOKEN_WORDS = 3
 
 
 def word_array(text: Column) -> Column:
@@ -25,36 +26,44 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
     return starts.select("item", F.slice("ws", F.col("at"), F.lit(width)).alias("w")).groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
+def shingles_of(ws: Column, size: int) -> Column:
+    """Hashes of all `size` consecutive words, by the place of the first; the last size - 1 places hash fewer words."""
+    return F.transform(ws, lambda x, i: F.xxhash64(x, *(F.get(ws, i + j) for j in range(1, size))))
+
+
 def hits(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """Every row of docs with `found`: the struct (n_words, spans, items) of the windows that occur in its text.
+    """Every row of docs with `found__`: the struct (n_words, kept), kept the places and words of the windows in its text.
 
-    Words are ordered by how many documents hold them. A window occurs only where its rarest word does, so only that
-    word (its necessary prefix) is joined, at its place in the window; the place must leave room for the window
-    (length and position bounds), and the window must then equal the words there. A window whose rarest word no
-    document holds is dropped at once.
+    The tokens of the join are shingles of TOKEN_WORDS words (of all words, where a window has fewer), ordered by how
+    many documents hold them. A window occurs only where its rarest shingle does, so only that one (its necessary
+    prefix) is joined, at its place in the window; the place must leave room for the window (length and position
+    bounds), and the window must then equal the words there. A window whose rarest shingle no document holds is
+    dropped at once.
     """
     from .common import spill
 
     windows = spill(windows_of(items, width), "windows")
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hint = F.broadcast if small else lambda df: df
-    base = docs.select(F.col("doc_id").alias("id__"), F.xxhash64("text").alias("fp__"), "text").where("text is not null")
-    words = base.select("id__", "fp__", word_array(F.col("text")).alias("ws"))
-    vocabulary = windows.select(F.explode("w").alias("word")).distinct()
-    often = spill(words.select(F.explode(F.array_distinct("ws")).alias("word")).join(hint(vocabulary), "word").groupBy("word").agg(F.count("*").alias("df")), "rarity")
-    ranked = windows.select("w", "items", F.posexplode("w").alias("offset", "word")).join(hint(often), "word", "left")
-    rare = ranked.groupBy("w", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "offset")).alias("r")).where("r.df > 0")
-    anchors = spill(rare.select(F.col("r.word").alias("word"), F.col("r.offset").alias("offset"), "w", "items"), "anchors")
-    placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word"))
+    facts = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.least(F.size("w"), F.lit(TOKEN_WORDS)))).alias("sizes")).first()
+    hint = F.broadcast if facts.n <= BROADCAST_WINDOWS else lambda df: df
+    sizes = list(facts.sizes) or [TOKEN_WORDS]
+    words = docs.where("text is not null").select(F.col("doc_id").alias("id__"), F.xxhash64("text").alias("fp__"), word_array(F.col("text")).alias("ws"))
+    # a one-element array binds the words, so that they are split once for each text
+    tokens = F.element_at(F.transform(F.array("ws"), lambda ws: F.array(*(shingles_of(ws, n) for n in sizes))), 1)
+    own = F.transform(F.array(*(F.struct(F.lit(n).alias("size"), shingles_of(F.col("w"), n).alias("t")) for n in sizes)), lambda s: s)
+    mine = F.element_at(F.filter(own, lambda s: s["size"] == F.least(F.size("w"), F.lit(TOKEN_WORDS))), 1)
+    placed_in = windows.select("w", "items", F.posexplode(F.slice(mine["t"], F.lit(1), F.size("w") - mine["size"] + 1)).alias("offset", "token"))
+    often = spill(words.select(F.explode(F.array_distinct(F.flatten(tokens))).alias("token")).join(hint(placed_in.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("df")), "rarity")
+    rare = placed_in.join(hint(often), "token", "left").groupBy("w", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")).where("r.df > 0")
+    anchors = spill(rare.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "w", "items"), "anchors")
+    placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
-    maybe = placed.join(hint(anchors), "word").where((start >= 0) & (start + F.size("w") <= F.col("n"))).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w", "items")).alias("maybe"))
+    maybe = placed.join(hint(anchors), "token").where((start >= 0) & (start + F.size("w") <= F.col("n"))).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w", "items")).alias("maybe"))
     joined = docs.withColumn("fp__", F.xxhash64("text")).join(maybe.hint("shuffle_hash").select(F.col("id__").alias("i__"), F.col("fp__").alias("f__"), "maybe"), F.col("doc_id").eqNullSafe(F.col("i__")) & (F.col("fp__") == F.col("f__")), "left")
 
     def judge(ws: Column) -> Column:
         kept = F.filter("maybe", lambda c: F.slice(ws, c["at"] + 1, F.size(c["w"])) == c["w"])
         return F.struct(F.size(ws).cast("long").alias("n_words"), kept.alias("kept"))
 
-    # a one-element array binds the words, so that they are split once for each text
     return joined.withColumn("found__", F.element_at(F.transform(F.array(word_array(F.col("text"))), judge), 1)).drop("fp__", "i__", "f__", "maybe")
 
 
