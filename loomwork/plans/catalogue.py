@@ -1,11 +1,19 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries of the engine's operators over the driver's tables, each with its DuckDB equivalent."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import graphs, retrieval, tables, texts
+
+MODULES = (texts, tables, retrieval, graphs)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for m in MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
