@@ -65,9 +65,13 @@ def yaml_strings(text: str) -> dict[str, str]:
     return {str(k): yaml_value(v) for k, v in found.items()} if isinstance(found, dict) else {}
 
 
-@F.pandas_udf("map<string,string>")
-def yaml_map(block: pd.Series) -> pd.Series:
-    return block.map(yaml_strings)
+def yaml_map(block: Column) -> Column:
+    """yaml_strings over Arrow batches."""
+
+    def run(blocks: pd.Series) -> pd.Series:
+        return blocks.map(yaml_strings)
+
+    return F.pandas_udf(run, "map<string,string>")(block)
 
 
 def parse(raw: Column) -> Column:

@@ -19,6 +19,10 @@ def _kind(json: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
 
 
+def _all_of(items: Column, schema: str) -> Column:
+    return F.forall(items, lambda v: F.schema_of_variant(v) == schema)
+
+
 def is_valid(json: Column, keys: dict) -> Column:
     """Whether the text is a JSON object with exactly these keys, each of its type and, where declared, its length.
 
@@ -32,7 +36,7 @@ def is_valid(json: Column, keys: dict) -> Column:
             ok &= _kind(json, path) == "STRING"
             continue
         items = F.try_variant_get(F.try_parse_json(json), path, "array<variant>")
-        shape = F.coalesce(F.forall(items, lambda v, k=kind: F.schema_of_variant(v) == ("STRING" if k == "strings" else "OBJECT<" + ", ".join(f"{n}: STRING" for n in ITEMS[k]) + ">")), F.lit(False))
+        shape = F.coalesce(_all_of(items, "STRING" if kind == "strings" else f"OBJECT<{', '.join(f'{n}: STRING' for n in ITEMS[kind])}>"), F.lit(False))
         ok &= shape & (F.size(items) == length if length is not None else F.lit(True))
     return F.coalesce(ok, F.lit(False))
 

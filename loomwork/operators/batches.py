@@ -120,6 +120,9 @@ def closest_candidates(rows: DataFrame, key: str, text: str, pools: list[str]) -
 
     pools are array columns of the row itself, so nothing is joined. Ties: the earlier pool, then the earlier place.
     """
-    entries = F.flatten(F.array(*(F.transform(F.coalesce(p, F.array().cast("array<string>")), lambda x, i, n=n: F.struct(tx.edit_distance(F.col(text), x).alias("distance"), F.lit(n).alias("pool"), i.alias("place"), x.alias("match"))) for n, p in enumerate(pools))))
+    def measured(pool: str, number: int) -> Column:
+        return F.transform(F.coalesce(pool, F.array().cast("array<string>")), lambda x, i: F.struct(tx.edit_distance(F.col(text), x).alias("distance"), F.lit(number).alias("pool"), i.alias("place"), x.alias("match")))
+
+    entries = F.flatten(F.array(*(measured(p, n) for n, p in enumerate(pools))))
     best = F.array_min(entries)
     return rows.select(key, best.alias("b")).select(key, F.col("b.pool").alias("pool"), F.col("b.place").alias("place"), F.col("b.match").alias("match"), F.col("b.distance").alias("distance"))

@@ -112,7 +112,7 @@ def split(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     if take < 1:
         return marked.withColumn("is_validation", F.lit(False)).drop("h__")
     edge = marked.select("h__", key).orderBy("h__", key).limit(take).agg(F.max(F.struct("h__", key)).alias("e")).first().e
-    return marked.withColumn("is_validation", F.struct("h__", key) <= F.struct(F.lit(edge["h__"]), F.lit(edge[key]))).drop("h__")
+    return marked.withColumn("is_validation", (F.col("h__") < edge["h__"]) | ((F.col("h__") == edge["h__"]) & (F.col(key) <= edge[key]))).drop("h__")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

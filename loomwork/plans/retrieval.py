@@ -184,7 +184,7 @@ def rrf_weighted_exclude(load):
     return fusion.weighted_neighbours(d, s, own, 10, (0.7, 0.3)).select("query_id", "doc_id", "rrf_score", "rank")
 
 
-@query(f"{fill(HYBRID, pool=10, w='1.0', v='1.0')} SELECT f.query_id, f.doc_id, rrf_score, d.score AS semantic_score, s.score AS sparse_score, md5(docs.text) AS digest, row_number() OVER (PARTITION BY f.query_id ORDER BY rrf_score DESC, dr NULLS LAST, sr NULLS LAST, f.doc_id) AS rank FROM f LEFT JOIN d USING (query_id, doc_id) LEFT JOIN s USING (query_id, doc_id) JOIN docs ON docs.doc_id = f.doc_id QUALIFY rank <= 10")
+@query(f"{fill(HYBRID, pool=10, w='1.0', v='1.0')}, x AS (SELECT f.query_id, f.doc_id, rrf_score, d.score AS semantic_score, s.score AS sparse_score, md5(docs.text) AS digest, row_number() OVER (PARTITION BY f.query_id ORDER BY rrf_score DESC, dr NULLS LAST, sr NULLS LAST, f.doc_id) AS rank_ FROM f LEFT JOIN d USING (query_id, doc_id) LEFT JOIN s USING (query_id, doc_id) JOIN docs ON docs.doc_id = f.doc_id QUALIFY rank_ <= 10) SELECT * EXCLUDE (rank_), rank_ AS rank FROM x")
 def hybrid_topk(load):
     """Both sides cut at 10, then fused, with scores and texts."""
     d, s = both_sides(load, 10)

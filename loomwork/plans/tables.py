@@ -194,7 +194,7 @@ def chunk_ids(load):
     return ordinals.chunked(load("orders").select("o_orderkey"), ["o_orderkey"], 500)
 
 
-@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // ceil(count(*) OVER () / 7.0))::BIGINT AS shard FROM orders")
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // ceil(count(*) OVER () / 7.0)::BIGINT)::BIGINT AS shard FROM orders")
 def equal_shards(load):
     """B6."""
     return ordinals.sharded(load("orders").select("o_orderkey"), ["o_orderkey"], 7)

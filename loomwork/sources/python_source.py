@@ -95,7 +95,7 @@ def source_facts(files: DataFrame) -> DataFrame:
 
 def python_files(spark: SparkSession, root: str) -> DataFrame:
     """(module_name, source, is_package) of all *.py below root."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(root, wholetext=True)
     base = root.rstrip("/").removeprefix("file:").rsplit("/", 1)[0]
     path = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "^(?:[a-z]+:/*)?(/.*)$", 1), f"^{base}/", "")
     name = F.replace(F.regexp_replace(path, r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))

@@ -35,7 +35,7 @@ def lines(spark: SparkSession, paths: str | list[str], glob: str | None = None,
     file = F.col("_metadata.file_path")
     if not whole:
         return reader.text(paths).select(file.alias("file"), F.lit(None).cast("bigint").alias("line"), "value").where(~tx.is_blank(F.col("value")))
-    text = reader.option("wholetext", True).text(paths).select(file.alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
+    text = reader.text(paths, wholetext=True).select(file.alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
     return text.select("file", (F.col("at") + 1).cast("bigint").alias("line"), "value").where(~tx.is_blank(F.col("value")))
 
 
@@ -92,7 +92,7 @@ def default_names(df: DataFrame, name: str, order: list[str | Column]) -> DataFr
     """Blank names become row-0, row-1, ... by the place in the given order."""
     from .ordinals import numbered
 
-    return numbered(df, order, "at__").withColumn(name, F.coalesce(tx.not_blank(F.col(name)), F.concat(F.lit("row-"), F.col("at__").cast("string")))).drop("at__")
+    return numbered(df, order, "default__").withColumn(name, F.coalesce(tx.not_blank(F.col(name)), F.concat(F.lit("row-"), F.col("default__").cast("string")))).drop("default__")
 
 
 def summary_rows(parquet: DataFrame | None, json: DataFrame | None) -> DataFrame:
