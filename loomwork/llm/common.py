@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -21,11 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession):
+    """Within it, the shuffle files behind each write go as soon as the written table is complete."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with cleaned(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,3 +117,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError("components did not converge")
     release(spark)
     return now.select(F.col("v").alias("id"), F.col("u").alias("component")).union(now.select("u", "u").distinct())
+
+
+def smallest(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The n rows that come first by hashed order columns, order[0] a 64-bit hash.
+
+    Rows whose hash can hardly be among the first are filtered out first, by the share that n is of all rows, so the
+    partitions together send little more than n rows, however many they are. If too few are left, all rows compete.
+    """
+    total = df.count()
+    if total > 4 * n:
+        share = (1.5 * n + 100) / total
+        few = df.where(F.pmod(order[0], F.lit(1 << 40)) < int(share * (1 << 40)))
+        if few.count() >= n:
+            return few.orderBy(F.pmod(order[0], F.lit(1 << 40)), *order[1:]).limit(n)
+    return df.orderBy(F.pmod(order[0], F.lit(1 << 40)), *order[1:]).limit(n)
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

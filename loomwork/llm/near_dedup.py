@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import components, in_slices, release, spill
+from .anchors import by_key
+from .common import components, fresh, in_slices, release, shuffle_partitions, spill
 
 REGISTERS, BANDS, ROWS = 160, 32, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -109,7 +110,7 @@ def likely(threshold: float):
                 part = batch.slice(at, 4096)
                 ra, rb = (np.frombuffer(b"".join(x.as_py() for x in part.column(c)), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
                 na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-                gap = joint_likelihood((ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1), na, nb, threshold)
+                gap = joint_likelihood(*counts_of(ra, rb), na, nb, threshold)
                 keep = gap <= SURE
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
 
@@ -145,15 +146,72 @@ def verify(percent: int):
     return run
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 3) -> DataFrame:
+def counts_of(ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (ra > rb).sum(1), (ra < rb).sum(1), (ra == rb).sum(1)
+
+
+def compare_blocks(percent: int):
+    """Visitors against the members of a block: of (place, kind 0 member or 1 visitor, rep, c, n, registers, shingles),
+    the links (a, b) of visitors to members of other components, one for each visitor and component that it reaches.
+
+    Sizes and registers rule most pairs out; the rest is counted exactly, over an index of the members' shingles.
+    """
+
+    def handle(place: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        kind = rows.column("kind").to_numpy()
+        cut = int(np.searchsorted(kind, 1))
+        if not cut or cut == len(kind):
+            return
+        rep, c, n = (rows.column(x).to_numpy() for x in ("rep", "c", "n"))
+        regs, sets = rows.column("registers"), rows.column("shingles")
+        mine = np.frombuffer(b"".join(regs.slice(0, cut).to_pylist()), np.uint16).reshape(cut, REGISTERS)
+        tokens = np.frombuffer(b"".join(sets.slice(0, cut).to_pylist()), np.uint64)
+        owner = np.repeat(np.arange(cut), n[:cut])
+        order = np.argsort(tokens, kind="stable")
+        owner = owner[order]
+        known, first = np.unique(tokens[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        out = []
+        for v in range(cut, len(kind)):
+            fair = (c[:cut] != c[v]) & (100 * np.minimum(n[:cut], n[v]) >= percent * np.maximum(n[:cut], n[v]))
+            maybe = np.flatnonzero(fair)
+            if not len(maybe):
+                continue
+            own = np.frombuffer(regs[v].as_py(), np.uint16)[None, :]
+            gap = joint_likelihood(*counts_of(mine[maybe], own), n[maybe].astype(float), np.full(len(maybe), float(n[v])), percent / 100)
+            maybe = maybe[gap <= SURE]
+            if not len(maybe):
+                continue
+            x = np.frombuffer(sets[v].as_py(), np.uint64)
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            at = at[known[at] == x]
+            both = np.bincount(owner[tk.ranges(first[at], ends[at] - first[at])], minlength=cut)[maybe]
+            hit = maybe[100 * both >= percent * (n[maybe] + n[v] - both)]
+            _, pick = np.unique(c[hit], return_index=True)
+            out += [(int(rep[v]), int(rep[m])) for m in hit[pick]]
+        if out:
+            a, b = np.array(out).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return by_key("place", handle)
+
+
+BLOCK = 512
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Documents are linked when the Jaccard similarity of their sets of k-word shingles is at least percent / 100. Texts
     with equal sets are one class, and only its smallest doc_id goes on. Classes that share a band of registers are
-    candidates: in each bucket first with one member each (hub_rounds times with another hub), then all pairs that are
-    still in different components. Candidates that the joint likelihood doesn't exclude are verified on their full
-    sets. Pairs inside one component can't change the result, so none is tested twice and large groups of copies cost
-    a link or two for each member. With 32 bands of 5 registers a pair at 0.8 is missed with a probability of 3e-6.
+    candidates. Each bucket has a hub, its class with the most neighbours in all buckets (of a family of edited copies
+    that is the original or close to it), and all classes whose buckets have the same hub are a cluster. First every
+    class is compared with its hubs: by the joint likelihood of their registers, then on full sets. Two classes that
+    are in one component by then need no test. The others of a cluster visit all members of other components, in
+    blocks, and only links leave the task. So a large group of copies costs a link or two for each member, and no pair
+    that shares a band and could still join two components goes untested. With 32 bands of 5 registers a pair at 0.8
+    shares none with a probability of 3e-6.
 
     A null or blank text has an empty set and no links. A null doc_id is linked with nothing, its component is null
     and it is kept. Identical rows share a doc_id and so a component; all of them count as kept if one does.
@@ -163,57 +221,50 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, hub_rounds: int = 3)
     of.k = k
     base = spill(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_slices(of), "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
     named = base.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = spill(named.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "n_shingles", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "registers"), "classes")
+    classes = spill(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = spill(named.join(classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers"), "reps")
     rows = reps.select("rep", "registers").mapInArrow(band_rows, "key long, rep long")
-    shared = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = spill(rows.join(shared, "key"), "bands")
+    degree = rows.groupBy("rep").agg(F.sum("size").alias("degree"))
+    hubs = rows.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"))
+    stars = spill(rows.join(hubs, "key").where("rep != hub").select("hub", "rep").distinct(), "stars")
     used = rows.select("rep").distinct()
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(used, "rep", "left_semi")
-    sets = spill(texts.mapInArrow(shingle_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    own = spill(texts.mapInArrow(shingle_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]).join(reps, "rep"), "sets")
     release(spark)
-    regs = reps.join(used, "rep", "left_semi")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        left = regs.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-        right = regs.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-        fair = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        hopeful = pairs.join(left, "a").join(right, "b").where(fair).mapInArrow(likely(percent / 100), "a long, b long")
-        sized = hopeful.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-        return spill(sized.mapInArrow(verify(percent), "a long, b long"), "links")
-
-    links, done, label = None, None, None
-    for turn in range(hub_rounds + 1):
-        live = rows.withColumn("c", F.col("rep")) if label is None else rows.join(label, rows.rep == label.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed = live.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c")).alias("hub")).where("low < high")
-        live = live.join(mixed.select("key", F.col("hub.rep").alias("hub"), F.col("hub.c").alias("hub_c")), "key")
-        if turn < hub_rounds:
-            pairs = live.where("c != hub_c").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        else:
-            other = live.select("key", F.col("rep").alias("other"), F.col("c").alias("other_c"))
-            pairs = live.join(other, "key").where("rep < other and c != other_c").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = spill(pairs, "pairs")
-        found = tested(pairs)
-        if found.isEmpty():
-            if turn < hub_rounds:
-                done = pairs if done is None else done.union(pairs)
-            continue
-        done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-        label = spill(components(links), "labels")
-    out = base.join(classes, ["s1", "s2", "n_shingles"], "left")
-    if label is not None:
-        out = out.join(label, out.rep == label.id, "left")
-        best = F.coalesce("component", "rep", "doc_id")
-    else:
-        best = F.coalesce("rep", "doc_id")
-    best = F.when(F.col("doc_id").isNotNull(), best)
+
+    left = own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
+    right = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
+    fair = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    likely_pairs = stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).join(left, "a").join(right, "b").where(fair).mapInArrow(likely(percent / 100), "a long, b long")
+    sized = likely_pairs.join(own.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(own.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    links = spill(sized.mapInArrow(verify(percent), "a long, b long"), "links")
+    label = spill(components(links), "labels")
+
+    def labelled(df: DataFrame, name: str, to: str) -> DataFrame:
+        return df.join(label.select(F.col("id").alias(name), F.col("component").alias(f"{to}__")), name, "left").withColumn(to, F.coalesce(f"{to}__", name)).drop(f"{to}__")
+
+    members = labelled(stars.union(stars.select("hub", F.col("hub").alias("rep"))).distinct(), "rep", "c")
+    members = labelled(members, "hub", "hc").withColumn("apart", F.col("c") != F.col("hc"))
+    mixed = members.groupBy("hub").agg(F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside")).where("outside > 0")
+    members = spill(members.join(mixed, "hub").select("hub", "rep", "c", "apart", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob")), "clusters")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    dealt = members.select("hub", "rep", "c", F.lit(0).alias("kind"), F.when(F.col("apart"), F.col("ib") + block("ob")).otherwise(block("ib")).alias("block"))
+    visits = members.where("apart").select("hub", "rep", "c", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ib") + F.col("ob") - 1)).alias("block"))
+    placed = dealt.union(visits).select(F.xxhash64("hub", "block").alias("place"), "kind", "rep", "c").join(own, "rep")
+    met = placed.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(compare_blocks(percent), "a long, b long")
+    label = spill(components(links.union(met)), "labels")
+    final = labelled(classes, "rep", "component")
+    lone = final.where("copies = 1 and rep = component").select("rep")  # nothing to tell these documents
+    told = final.join(lone, "rep", "left_anti").select("s1", "s2", "n_shingles", "component")
+    out = base.select("doc_id", "n_shingles", "s1", "s2").join(told, ["s1", "s2", "n_shingles"], "left")
+    best = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", best.alias("component_id"), F.coalesce(F.col("doc_id") == best, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the members of near-duplicate groups, but for the smallest doc_id of each; columns unchanged."""
-    gone = groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone__"), "left_anti")
+    (name,) = fresh(docs, "gone__")
+    gone = groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
