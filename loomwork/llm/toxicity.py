@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from . import trees
-from .common import held_out, in_slices, spill
+from .common import fresh, held_out, in_slices, smallest, spill
 
 # fixed values: pronouns of the second person in the corpus' languages
 SECOND = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros"]
@@ -55,24 +55,40 @@ def grams(low: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def count_grams():
-    """Of (part, text, toxic): how many toxic and other texts of the slice hold each gram."""
+    """Of (part, text, toxic): how many toxic and other texts of the slice hold each gram (context 0), and for toxic
+    texts each word that stands before a gram (context is its hash)."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, off, starts, ends, _ = parts(batch)
+        data, off, starts, ends, bounds = parts(batch)
+        low = tk.LOWER[data]
         doc = np.searchsorted(off, starts, side="right") - 1
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         part = batch.column("part").to_numpy(zero_copy_only=False)
-        keys, docs = (np.concatenate(x) for x in zip(*((k, doc[w]) for w, k in grams(tk.LOWER[data], starts, ends)), strict=True))
-        order = np.lexsort((docs, keys, part[docs]))
-        keys, docs = keys[order], docs[order]
+        word = tk.hash_spans(low, starts, ends)
+        before = np.append(np.uint64(1), word[:-1]) | np.uint64(1)
+        before[bounds[:-1][bounds[:-1] < len(word)]] = 1  # the first word of a text
+        keys, words = (np.concatenate(x) for x in zip(*((k, w) for w, k in grams(low, starts, ends)), strict=True))
+        docs = doc[words]
+
+        def counted(keys, docs, context, bad, good):
+            order = np.lexsort((context, keys, part[docs]))
+            keys, docs, context, bad, good = (x[order] for x in (keys, docs, context, bad, good))
+            if not len(keys):
+                return [np.zeros(0, np.int64)] * 5
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (context[1:] != context[:-1]) | (part[docs[1:]] != part[docs[:-1]])
+            first = np.flatnonzero(new)
+            return part[docs[first]], keys[first].view(np.int64), context[first].view(np.int64), np.add.reduceat(bad, first), np.add.reduceat(good, first)
+
+        order = np.lexsort((docs, keys))
         new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-        keys, docs = keys[new], docs[new]
-        if not len(keys):
-            return None
-        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (part[docs[1:]] != part[docs[:-1]])))
-        bad = np.add.reduceat(toxic[docs].astype(np.int64), first)
-        return pa.RecordBatch.from_arrays([pa.array(part[docs[first]]), tk.long_array(keys[first]), pa.array(bad), pa.array(np.diff(np.append(first, len(keys))) - bad)], ["part", "gram", "bad", "good"])
+        new[1:] = (np.diff(keys[order].view(np.int64)) != 0) | (np.diff(docs[order]) != 0)
+        once = order[new]
+        one = toxic[docs[once]].astype(np.int64)
+        own = np.flatnonzero(toxic[docs])
+        none = np.zeros(len(own), np.int64)
+        cols = [np.concatenate(x) for x in zip(counted(keys[once], docs[once], np.zeros(len(once), np.uint64), one, 1 - one), counted(keys[own], docs[own], before[words[own]], none, none), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["part", "gram", "context", "bad", "good"])
 
     return in_slices(of)
 
@@ -141,7 +157,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)))
-    chosen = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    there = spill(known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    chosen = smallest(there, [F.xxhash64("doc_id"), "doc_id"], most)
     return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
@@ -157,12 +174,19 @@ class Scorer:
         return np.clip(0.98 * np.interp(m, *self.knots) + 0.02 / (1 + np.exp(-m)), 0, 1)
 
 
-def lexicon_of(counts: DataFrame, bad: int, good: int, size: int, least: int) -> Features:
-    """The `size` grams that mark toxic texts most surely: log-odds of three standard errors or more, found in at least
-    `least` toxic texts; their weight is the log-odds less one and a half standard errors."""
+def lexicon_of(counts: DataFrame, totals: tuple[int, int], size: int, least: int) -> Features:
+    """The `size` grams that mark toxic texts most surely: log-odds of three standard errors or more; their weight is
+    the log-odds less one and a half standard errors.
+
+    A gram's support is the number of toxic texts that hold it, or of the different words before it there if they are
+    fewer, since copies of one text say a thing only once. It is `least` or more, and a hundredth of all toxic texts.
+    """
+    good, bad = totals
+    by_context = counts.groupBy("gram", "context").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    by_gram = by_context.groupBy("gram").agg(F.sum("bad").alias("texts"), F.sum("good").alias("good"), F.count_if(F.col("context") != 0).alias("contexts")).withColumn("bad", F.least("texts", "contexts"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = counts.where(F.col("bad") >= least).select("gram", (odds - 1.5 * error).alias("weight")).where((odds > 2) & (odds >= 3 * error)).orderBy(F.desc("weight"), "gram").limit(size).collect()
+    top = by_gram.where(F.col("bad") >= max(least, -(-bad // 100))).select("gram", (odds - 1.5 * error).alias("weight")).where((odds > 2) & (odds >= 3 * error)).orderBy(F.desc("weight"), "gram").limit(size).collect()
     return Features(np.array([r.gram for r in top], np.int64).view(np.uint64), np.array([r.weight for r in top], np.float64))
 
 
@@ -172,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 10
     lexicon of the other half, so that no text is judged by words it taught. The final lexicon is that of both."""
     chosen = sample(docs, labels, most)
     totals = {(r.part, r.toxic): r.n for r in chosen.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-    counts = spill(chosen.select("part", "text", "toxic").mapInArrow(count_grams(), "part long, gram long, bad long, good long").groupBy("part", "gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad > 0"), "grams")
-    size = lambda toxic, *of: sum(totals.get((p, toxic), 0) for p in of)
-    halves = [lexicon_of(counts.where(F.col("part") == p), size(1, p), size(0, p), lexicon, least) for p in (0, 1)]
-    features = lexicon_of(counts.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), size(1, 0, 1), size(0, 0, 1), lexicon, least)
+    grams_ = chosen.select("part", "text", "toxic").mapInArrow(count_grams(), "part long, gram long, context long, bad long, good long")
+    counts = spill(grams_.groupBy("part", "gram", "context").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "grams")
+    size = lambda *of: tuple(sum(totals.get((p, toxic), 0) for p in of) for toxic in (0, 1))
+    halves = [lexicon_of(counts.where(F.col("part") == p), size(p), lexicon, least) for p in (0, 1)]
+    features = lexicon_of(counts, size(0, 1), lexicon, least)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = batch.column("part").to_numpy()
@@ -211,5 +236,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """docs without the rows that score threshold or more."""
-    clash = "toxicity_score__"
-    return score(docs, fit(docs, labels, **options), clash).where(F.col(clash) < threshold).drop(clash)
+    (name,) = fresh(docs, "score")
+    return score(docs, fit(docs, labels, **options), name).where(F.col(name) < threshold).drop(name)
