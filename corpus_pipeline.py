@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from loomwork.llm.common import shared_dir, table
+from loomwork.llm.common import cleaned, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with cleaned(spark):
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

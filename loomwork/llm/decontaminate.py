@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, spill
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Up to so many windows are broadcast (about 300 bytes each); beyond, the joins shuffle.
@@ -31,8 +33,8 @@ def shingles_of(ws: Column, size: int) -> Column:
     return F.transform(ws, lambda x, i: F.xxhash64(x, *(F.get(ws, i + j) for j in range(1, size))))
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """Every row of docs with `found__`: the struct (n_words, kept), kept the places and words of the windows in its text.
+def hits(docs: DataFrame, items: DataFrame, width: int = 10, found: str = "found__") -> DataFrame:
+    """Every row of docs with `found`: the struct (n_words, kept), kept the places and words of the windows in its text.
 
     The tokens of the join are shingles of TOKEN_WORDS words (of all words, where a window has fewer), ordered by how
     many documents hold them. A window occurs only where its rarest shingle does, so only that one (its necessary
@@ -40,8 +42,6 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     bounds), and the window must then equal the words there. A window whose rarest shingle no document holds is
     dropped at once.
     """
-    from .common import spill
-
     windows = spill(windows_of(items, width), "windows")
     facts = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.least(F.size("w"), F.lit(TOKEN_WORDS)))).alias("sizes")).first()
     hint = F.broadcast if facts.n <= BROADCAST_WINDOWS else lambda df: df
@@ -58,13 +58,15 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
     maybe = placed.join(hint(anchors), "token").where((start >= 0) & (start + F.size("w") <= F.col("n"))).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w", "items")).alias("maybe"))
-    joined = docs.withColumn("fp__", F.xxhash64("text")).join(maybe.hint("shuffle_hash").select(F.col("id__").alias("i__"), F.col("fp__").alias("f__"), "maybe"), F.col("doc_id").eqNullSafe(F.col("i__")) & (F.col("fp__") == F.col("f__")), "left")
+    fp, id_, f, some = fresh(docs, "fp__", "i__", "f__", "maybe")
+    right = maybe.hint("shuffle_hash").select(F.col("id__").alias(id_), F.col("fp__").alias(f), F.col("maybe").alias(some))
+    joined = docs.withColumn(fp, F.xxhash64("text")).join(right, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
 
     def judge(ws: Column) -> Column:
-        kept = F.filter("maybe", lambda c: F.slice(ws, c["at"] + 1, F.size(c["w"])) == c["w"])
+        kept = F.filter(some, lambda c: F.slice(ws, c["at"] + 1, F.size(c["w"])) == c["w"])
         return F.struct(F.size(ws).cast("long").alias("n_words"), kept.alias("kept"))
 
-    return joined.withColumn("found__", F.element_at(F.transform(F.array(word_array(F.col("text"))), judge), 1)).drop("fp__", "i__", "f__", "maybe")
+    return joined.withColumn(found, F.element_at(F.transform(F.array(word_array(F.col("text"))), judge), 1)).drop(fp, id_, f, some)
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
@@ -82,4 +84,5 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """docs without the rows in which a window of the benchmark occurs; columns unchanged."""
-    return hits(docs, items, width).where(F.coalesce(F.size("found__.kept"), F.lit(0)) < 1).drop("found__")
+    (found,) = fresh(docs, "found__")
+    return hits(docs, items, width, found).where(F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1).drop(found)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import in_slices, shuffle_partitions, spill
+from .common import fresh, in_slices, shuffle_partitions, spill
 
 LINES = "h1 long, h2 long, back long, fp long, pos int"
 FOUND = "kind int, h1 long, h2 long, doc_id long, fp long, pos int, n_docs long"
@@ -137,13 +137,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 def apply_keep(docs: DataFrame, dropped: DataFrame, out: str, each) -> DataFrame:
     """Join the decisions to the texts and map each row: each(text, dropped positions) -> values after the columns of docs."""
     names = docs.columns
-    left = docs.withColumn("fp__", F.xxhash64("text"))
-    right = dropped.select(F.col("doc_id").alias("id__"), F.col("fp").alias("f__"), F.col("dropped").alias("dropped__"))
-    both = left.join(right.hint("shuffle_hash"), (F.col("doc_id") == F.col("id__")) & (F.col("fp__") == F.col("f__")), "left").drop("fp__", "id__", "f__")
+    fp, id_, f, gone = fresh(docs, "fp__", "id__", "f__", "dropped__")
+    right = dropped.select(F.col("doc_id").alias(id_), F.col("fp").alias(f), F.col("dropped").alias(gone))
+    both = docs.withColumn(fp, F.xxhash64("text")).join(right.hint("shuffle_hash"), (F.col("doc_id") == F.col(id_)) & (F.col(fp) == F.col(f)), "left").drop(fp, id_, f)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [each(t.as_py(), d.as_py()) for t, d in zip(batch.column("text"), batch.column("dropped__"), strict=True)]
+            rows = [each(t.as_py(), d.as_py()) for t, d in zip(batch.column("text"), batch.column(gone), strict=True)]
             yield from each.batch(batch, names, rows)
 
     return both.mapInArrow(run, out)

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, spill
+from .common import fresh, held_out, smallest, spill
 
 BUCKETS = 1 << 12
 
@@ -28,7 +28,8 @@ def classifier(docs: DataFrame, label: str, most: int = 4000) -> tuple[list[str]
     Learnt from the presence of hashed words in at most `most` labelled rows that are not held out, by smallest hash.
     The table has BUCKETS rows, whatever the input, so it may be broadcast.
     """
-    chosen = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull()).where(~held_out()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    chosen = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull()).where(~held_out()).select("doc_id")
+    chosen = smallest(chosen, [F.xxhash64("doc_id"), "doc_id"], most).distinct()
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string").alias("domain"), "text").join(F.broadcast(chosen), "doc_id")
     counts = spill(word_buckets(known, "domain").groupBy("domain", "bucket").count(), "buckets")
     totals = {r.domain: r.n for r in counts.groupBy("domain").agg(F.sum("count").alias("n")).collect()}
@@ -104,11 +105,12 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str =
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, label: str = "lang", column: str = "mix_rate") -> DataFrame:
-    """docs with a column of sampling rates (expected copies of each row). Rows without words have the rate 1: they
+    """docs with a column of sampling rates (expected copies of each row), in place of one of that name. Rows without words have the rate 1: they
     have no tokens. No row is dropped. Null labels teach nothing; null doc_ids are rated like others."""
-    found = rates(docs, targets, label).select(F.col("doc_id").alias("i__"), F.col("fp").alias("f__"), "rate")
-    joined = docs.withColumn("fp__", F.xxhash64("text")).join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("i__")) & (F.col("fp__") == F.col("f__")), "left")
-    return joined.withColumn(column, F.coalesce("rate", F.lit(1.0))).drop("fp__", "i__", "f__", *(["rate"] if "rate" not in docs.columns else []))
+    fp, id_, f, rate = fresh(docs, "fp__", "i__", "f__", "rate__")
+    found = rates(docs, targets, label).select(F.col("doc_id").alias(id_), F.col("fp").alias(f), F.col("rate").alias(rate))
+    joined = docs.withColumn(fp, F.xxhash64("text")).join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
+    return joined.select(*(c for c in docs.columns if c != column), F.coalesce(rate, F.lit(1.0)).alias(column))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .anchors import by_key
-from .common import components, shuffle_partitions, spill
+from .common import components, shuffle_partitions, smallest, spill
 
 MOST_CODES = 1024  # codes of a half; cells are at most its square, and so is what the driver gathers about them
 BLOCK = 1024  # members of a cell that one task compares at a time
@@ -205,7 +205,7 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
 
     Vectors of any scale are compared by cosine in double precision. Equal vectors are one class, whose members are
     linked with each other; the classes are indexed, all of them. Codebooks come from at most `sample` classes. The
-    number of cells to visit is the least that finds target_recall of the true neighbours of `queries` sampled
+    number of cells to visit is twice the least that finds target_recall of the true neighbours of `queries` sampled
     classes, which are compared with all others; a link found from either side counts for both, so the recall of links
     is higher. Vectors that are null, zero or hold null or non-finite components link with nothing, nor do those of
     another dimension than the commonest (the larger, if two are). A repeated vec_id with equal vectors is one vector.
@@ -224,7 +224,7 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
     if not n:
         return none
     codes = codes or int(np.clip(np.sqrt(n / 48), 2, MOST_CODES))
-    chosen = reps.orderBy(F.xxhash64("rep"), "rep").limit(min(sample, n)).collect()
+    chosen = smallest(reps, [F.xxhash64("rep"), "rep"], sample).collect()
     x = np.frombuffer(b"".join(bytes(r.v) for r in chosen), np.float64).reshape(-1, dim)
     grid = Grid(x, codes)
     asked = x[:queries]
@@ -235,7 +235,7 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
         visits = int(np.ceil(1.2**r.step))
         if seen >= target_recall * total:
             break
-    visits = min(visits + 1, grid.width * len(grid.books[0]))
+    visits = min(2 * visits + 1, grid.width * len(grid.books[0]))
 
     def cell_rows(batches):
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir
+from .common import cleaned, shared_dir
 
 CHUNKS = "record_id long, url string, chunk_no int, last boolean, chunk string, digest string, total long, payload string"
 BREAK = "\r\nWARC/1.0\r\n"
@@ -154,6 +154,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     import uuid
 
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, **options)
-    release(spark)
+    with cleaned(spark):
+        write_archives(pages, path, **options)
     return page_records(read_archives(spark, path))
