@@ -208,7 +208,7 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     n = docs.count()
     size = int(np.clip(np.sqrt(n) / 2, 64, 1 << 14))
     buckets = max(1, -(-n // size))
-    parts = max(shuffle_partitions(docs.sparkSession), buckets // 16)
+    parts = max(shuffle_partitions(docs.sparkSession), buckets // 4)
     bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(buckets))
     return docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("blob")), parts
 
