@@ -50,6 +50,10 @@ def join_batches(inputs: DataFrame, outputs: DataFrame, records: DataFrame, orde
     return left.join(out, "custom_id", "left").join(own, "custom_id", "left").select("custom_id", "messages", "usage", "payload", F.coalesce("relative_path", F.lit("")).alias("relative_path"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("metadata", bare).alias("metadata"))
 
 
+# fixed values: the marks around a document in a request
+MARKS = ("----- SKILL.md markdown -----", "----- end -----")
+
+
 def retriever_rows(inputs: DataFrame, outputs: DataFrame, records: DataFrame, order: str, keys: dict, require_metadata: bool = False) -> DataFrame:
     """Inputs with the state of each: `ok`, `missing_output`, `invalid_output` or, if asked for, `missing_metadata`.
 
@@ -65,7 +69,7 @@ def retriever_rows(inputs: DataFrame, outputs: DataFrame, records: DataFrame, or
     lacking = tx.is_blank(F.try_element_at("metadata", F.lit("name"))) | tx.is_blank(F.try_element_at("metadata", F.lit("description")))
     state = F.when(F.col("n_outputs").isNull(), "missing_output").when(F.col("payload").isNull(), "invalid_output")
     state = state.when(lacking, "missing_metadata") if require_metadata else state
-    return joined.withColumn("missing_record", F.col("metadata").isNull()).withColumn("state", state.otherwise("ok")).withColumn("markdown_content", tx.between_marks(payload.first_user_text(F.col("body")), "----- SKILL.md markdown -----", "----- end -----"))
+    return joined.withColumn("missing_record", F.col("metadata").isNull()).withColumn("state", state.otherwise("ok")).withColumn("markdown_content", tx.between_marks(payload.first_user_text(F.col("body")), *MARKS))
 
 
 def state_counts(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Query terms up to this number are broadcast (well under 100 bytes each); beyond, the joins shuffle by term.
+#: Terms of all queries together up to this number are broadcast (well under 100 bytes each); beyond, the joins shuffle.
 BROADCAST_TERMS = 500_000
 
 
@@ -46,7 +46,7 @@ def score(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_ke
     docs = docs.persist()
     asked = queries.select(query_key, F.explode("toks").alias("tok")).groupBy(query_key, "tok").agg(F.count("*").alias("qn")).persist()
     vocabulary = asked.select("tok").distinct()
-    small = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hint = F.broadcast if small else lambda x: x
     weights = idf(docs).join(hint(vocabulary), "tok", "left_semi").select("tok", "idf")
     stats = corpus_stats(docs)
@@ -58,7 +58,7 @@ def score(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_ke
 def rank(scores: DataFrame, limit: int, doc_key: str = "doc_id", query_key: str = "query_id", digits: int = 6) -> DataFrame:
     """The top of each query: score descending (rounded, so that engines agree), then the smaller document; rank from 1."""
     rounded = scores.withColumn("score", F.round("score", digits))
-    at = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key))
+    at = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)).cast("long")
     return rounded.withColumn("rank", at).where(F.col("rank") <= limit)
 
 

@@ -68,8 +68,8 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "
     if held:
         out = block(held) if out is None else out.union(block(held))
     if out is None:
-        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank long")
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long")
     return out.withColumn("score", F.round("score", digits)).withColumn("rank", at).where(F.col("rank") <= limit)
 
 

@@ -17,12 +17,12 @@ def merge(dense: DataFrame, sparse: DataFrame, limit: int | None = None, k: int
     Ties: the better dense rank, then the better sparse rank. A union and one aggregation, so that each list is
     shuffled once.
     """
-    mark = lambda df, side: df.select("query_id", "doc_id", *(F.col("rank").alias(s) if s == side else F.lit(None).cast("int").alias(s) for s in ("dense_rank", "sparse_rank")))
+    mark = lambda df, side: df.select("query_id", "doc_id", *(F.col("rank").cast("long").alias(s) if s == side else F.lit(None).cast("long").alias(s) for s in ("dense_rank", "sparse_rank")))
     both = mark(dense, "dense_rank").unionByName(mark(sparse, "sparse_rank")).groupBy("query_id", "doc_id").agg(F.max("dense_rank").alias("dense_rank"), F.max("sparse_rank").alias("sparse_rank"))
     part = lambda c, w: F.coalesce(F.lit(w) / (k + F.col(c)), F.lit(0.0))
     scored = both.withColumn("rrf_score", F.round(part("dense_rank", weights[0]) + part("sparse_rank", weights[1]), digits))
     order = [F.desc("rrf_score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), "doc_id"]
-    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long"))
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 

@@ -130,11 +130,11 @@ def maxsim(load):
     return a.join(F.broadcast(b)).select("query_label", "doc_label", F.round(vx.max_sim(F.col("ta"), F.col("tb")), 6).alias("score"))
 
 
-@query(f"WITH {PAIRS} SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INTEGER AS position FROM dense")
+@query(f"WITH {PAIRS} SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::BIGINT AS position FROM dense")
 def rank_positions(load):
     """places from 0 of all documents."""
     every = dense.search(vectors(load), asked(load), load("embeddings").count())
-    return fusion.rank_positions(every).select("query_id", "doc_id", "position")
+    return fusion.rank_positions(every).select("query_id", "doc_id", F.col("position").cast("long").alias("position"))
 
 
 RRF = "SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.doc_id, s.doc_id) AS doc_id, round(coalesce({w} / (60 + d.rank), 0) + coalesce({v} / (60 + s.rank), 0), 9) AS rrf_score, d.rank AS dr, s.rank AS sr FROM d FULL JOIN s ON d.query_id = s.query_id AND d.doc_id = s.doc_id"
@@ -281,10 +281,11 @@ def small_groups(load) -> DataFrame:
     return rows.select("label", F.explode("r").alias("r")).select("label", "r.vec_id", "r.embedding")
 
 
-COSINE = f"round({DOT.format(a='a.embedding', b='b.embedding')} / sqrt({DOT.format(a='a.embedding', b='a.embedding')}) / sqrt({DOT.format(a='b.embedding', b='b.embedding')}), 9)"
+RAW = f"{DOT.format(a='a.embedding', b='b.embedding')} / sqrt({DOT.format(a='a.embedding', b='a.embedding')}) / sqrt({DOT.format(a='b.embedding', b='b.embedding')})"
+COSINE = f"round({RAW}, 9)"
 
 
-@query(f"WITH {SMALL} SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({COSINE}, 6) AS similarity FROM g a JOIN g b ON a.label = b.label AND a.vec_id <= b.vec_id")
+@query(f"WITH {SMALL} SELECT a.label, a.vec_id AS a, b.vec_id AS b, round({RAW}, 6) AS similarity FROM g a JOIN g b ON a.label = b.label AND a.vec_id <= b.vec_id")
 def group_similarity(load):
     """K6."""
     return mining.similarity(small_groups(load), "label", "vec_id", "embedding").select("label", "a", "b", F.round("similarity", 6).alias("similarity"))
@@ -311,7 +312,7 @@ def neighbour_batches(load):
     return mining.neighbour_batches(near.withColumnRenamed("query_id", "id"), 4)
 
 
-@query()
+@query(f"WITH {ALL} SELECT (SELECT count(*) FROM tf)::BIGINT AS n_postings, (SELECT count(*) FROM documents)::BIGINT AS n_docs")
 def field_indexes(load):
     """An index of each field, written and read back; sizes of the tables."""
     root = tempfile.mkdtemp(prefix="loomwork-") if not (base := load("labels").sparkSession.conf.get("spark.checkpoint.dir", None)) else f"{base}/indexes"

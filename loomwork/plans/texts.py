@@ -192,7 +192,7 @@ def edit_distance(load):
 def lenient_points(load):
     """Columns as text, null as empty, absent columns added."""
     j = load("documents").join(load("labels"), "doc_id", "left")
-    return j.select("doc_id", *(readers.data_points(j, ["quality", "lang", "absent"], lenient=True).columns[:0]), F.when(tx.is_missing(F.col("quality")), "").otherwise(F.col("quality").cast("string")).alias("quality"), "lang", F.lit("").alias("absent"))
+    return readers.data_points(j, ["doc_id", "quality", "lang", "absent"], lenient=True).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
