@@ -48,7 +48,7 @@ w AS (SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[k : k +
 d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 p AS (SELECT doc_id, k, t.n, array_to_string(ws[k : k + t.n - 1], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d), (SELECT DISTINCT n FROM w) t WHERE k + t.n - 1 <= len(ws)),
 h AS (SELECT p.doc_id, p.k, p.n, w.item FROM p JOIN w ON p.n = w.n AND p.s = w.s),
-c AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM h) GROUP BY doc_id),
+c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
