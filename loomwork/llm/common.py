@@ -42,7 +42,16 @@ def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with cleaned(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spilled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of spill() that nothing reads any more: what was derived from them is itself a written table."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.spilled_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -108,7 +117,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
         small_low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(small_low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u < v").distinct()
-        now = spill(small, "edges")
+        past, now = now, spill(small, "edges")
+        discard(past)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h"), F.count_distinct("v").alias("d")).first()
         if (mark.n, mark.h) == known or mark.n == 0:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .anchors import by_key
-from .common import components, fresh, in_slices, release, shuffle_partitions, spill
+from .common import components, discard, fresh, in_slices, release, shuffle_partitions, spill
 
 REGISTERS, BANDS, ROWS = 160, 32, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -254,7 +254,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     visits = members.where("apart").select("hub", "rep", "c", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ib") + F.col("ob") - 1)).alias("block"))
     placed = dealt.union(visits).select(F.xxhash64("hub", "block").alias("place"), "kind", "rep", "c").join(own, "rep")
     met = placed.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(compare_blocks(percent), "a long, b long")
-    label = spill(components(links.union(met)), "labels")
+    early, label = label, spill(components(links.union(met)), "labels")
+    discard(early, rows, stars, own, links, members, reps)
     final = labelled(classes, "rep", "component")
     lone = final.where("copies = 1 and rep = component").select("rep")  # nothing to tell these documents
     told = final.join(lone, "rep", "left_anti").select("s1", "s2", "n_shingles", "component")

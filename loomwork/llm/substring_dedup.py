@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from . import tokens as tk
 from .anchors import PACKET, REPLY, Bucket, Slice, bucketed, by_key, contained, distinct, key48, offer_keys, pack48, pack64, packets, parted, roll, shared_values, unpack48, unpack64, with_replies
-from .common import release, spill
+from .common import discard, spill
 
 SEED_WORDS = 8
 
@@ -96,12 +96,10 @@ def repeats(docs: DataFrame, words: int = 35) -> DataFrame:
     of equal seeds meet in a second join. Adjacent windows make up the maximal repeats. Windows are compared by 63
     bits over 64-bit word hashes, among windows of one seed.
     """
-    spark = docs.sparkSession
     rows, parts = bucketed(docs)
     keys = with_replies(rows, None).mapInArrow(offer_keys(word_units, SEED_WORDS, words, parts), PACKET)
     seeds = spill(parted(keys).mapInArrow(shared_values(pack48, unpack48), REPLY), "seeds", "none")
-    release(spark)
     offers = with_replies(rows, seeds).mapInArrow(offer_windows(words, parts), PACKET)
     found = spill(parted(offers).mapInArrow(shared_values(pack64, unpack64), REPLY), "windows", "none")
-    release(spark)
+    discard(seeds)
     return with_replies(rows, found).mapInArrow(cut_repeats(words), "doc_id long, n_words long, n_removed long, kept_sha256 string, from_word array<long>, to_word array<long>")
