@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from . import tokens as tk
 from .anchors import PACKET, REPLY, Bucket, Slice, bucketed, by_key, contained, distinct, key48, offer_keys, pack48, parted, roll, shared_values, unpack48, with_replies
-from .common import release, spill
+from .common import discard, spill
 
 SEED_BYTES = 16
 LEAF = np.dtype([("key", "<u8"), ("id", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "<u4")])
@@ -54,6 +54,18 @@ def shared_anchors(b: Bucket) -> np.ndarray:
     return np.unique(np.concatenate([local, *(unpack48(r) for r in b.replies)]))
 
 
+def packed(leaf: np.ndarray, text: np.ndarray) -> bytes:
+    """Leaves and their stretches, compressed, behind their number and size."""
+    raw = leaf.tobytes() + text.tobytes()
+    return np.array([len(leaf), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = np.frombuffer(blob, "<i8", 2)
+    raw = pa.decompress(memoryview(blob)[16:], int(size), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, LEAF, n), np.frombuffer(raw, np.uint8, -1, n * LEAF.itemsize)
+
+
 def offer_snippets(L: int, parts: int):
     """Of each bucket: the distinct stretches around anchors that other documents have too, with the smallest and the
     largest doc_id that holds them."""
@@ -89,7 +101,7 @@ def offer_snippets(L: int, parts: int):
         rows = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             bytes_ = data[tk.ranges(starts[lo:hi] + base[origin[lo:hi]], leaf["size"][lo:hi].astype(np.int64))]
-            rows.append((int(part[lo]), bucket, int(hi - lo).to_bytes(8, "little") + leaf[lo:hi].tobytes() + bytes_.tobytes()))
+            rows.append((int(part[lo]), bucket, packed(leaf[lo:hi], bytes_)))
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "bucket", "blob"])
 
@@ -159,11 +171,10 @@ def judge(L: int):
         leaves, texts, owners = [], [], []
         for b in held:
             for owner, blob in zip(b.column("bucket").to_numpy(), b.column("blob"), strict=True):
-                raw = blob.as_py()
-                n = int.from_bytes(raw[:8], "little")
-                leaves.append(np.frombuffer(raw, LEAF, n, 8))
-                texts.append(np.frombuffer(raw, np.uint8, -1, 8 + n * LEAF.itemsize))
-                owners.append(np.full(n, owner))
+                own, text = unpacked(blob.as_py())
+                leaves.append(own)
+                texts.append(text)
+                owners.append(np.full(len(own), owner))
         leaf, text, owner = np.concatenate(leaves), np.concatenate(texts), np.concatenate(owners)
         place = np.cumsum(leaf["size"].astype(np.int64)) - leaf["size"]
         # equal stretches are one node, whichever buckets they come from
@@ -282,12 +293,10 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     yields the intervals of the common-prefix tree whose left extensions differ: maximal repeats with all their
     occurrences. Each occurrence above the smallest document of a repeat is cut.
     """
-    spark = docs.sparkSession
     rows, parts = bucketed(docs)
     keys = with_replies(rows, None).mapInArrow(offer_keys(byte_units, SEED_BYTES, length, parts), PACKET)
     seeds = spill(parted(keys).mapInArrow(shared_values(pack48, unpack48), REPLY), "seeds", "none")
-    release(spark)
     offers = with_replies(rows, seeds).mapInArrow(offer_snippets(length, parts), PACKET)
     found = spill(parted(offers).mapInArrow(judge(length), REPLY), "runs")
-    release(spark)
+    discard(seeds)
     return with_replies(rows, found).mapInArrow(cut_bytes(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, from_byte array<long>, to_byte array<long>")
