@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 10
     y = np.array([r.toxic for r in got], np.float64)
     if not len(y):
         return Scorer(features, {"base": -4.0, "trees": []}, (np.array([-4.0, 4.0]), np.array([0.02, 0.98])))
-    model = trees.fit(x, y, least=max(2, min(20, len(y) // 50)))
+    model = trees.fit(x, y, least=max(2, min(20, len(y) // 15)))
     return Scorer(features, model, trees.isotonic(trees.margin(model, x), y))
 
 
