@@ -16,6 +16,8 @@ from .common import components, shuffle_partitions, smallest, spill
 
 MOST_CODES = 1024  # codes of a half; cells are at most its square, and so is what the driver gathers about them
 BLOCK = 1024  # members of a cell that one task compares at a time
+QUERIES = 512  # vectors that a task compares with a batch at a time
+EVERY = 8192  # vectors that go to all tasks at a time where all pairs are compared
 VECTOR = "rep long, weight long, v binary"
 
 
@@ -105,23 +107,69 @@ class Grid:
 
 
 def neighbour_ranks(grid: Grid, ids: np.ndarray, queries: np.ndarray, threshold: float):
-    """Of all vectors: how many true neighbours of the sampled queries lie at which rank, in steps of about a fifth."""
+    """Of all vectors: how many true neighbours of each query lie at which rank, in steps of about a fifth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, rep = matrix(batch.column("v"), grid.dim), batch.column("rep").to_numpy()
-            hit = (x @ queries.T >= threshold) & (rep[:, None] != ids[None, :])
-            if not hit.any():
-                continue
             cells = grid.cells(x)
-            ranks = np.concatenate([grid.ranks(queries[q], cells[hit[:, q]]) for q in np.flatnonzero(hit.any(axis=0))])
-            steps = np.ceil(np.log(ranks) / np.log(1.2)).astype(np.int64)
-            step, n = np.unique(steps, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n.astype(np.int64))], ["step", "n"])
+            for at in range(0, len(ids), QUERIES):
+                part = slice(at, at + QUERIES)
+                hit = (x @ queries[part].T >= threshold) & (rep[:, None] != ids[None, part])
+                for q in np.flatnonzero(hit.any(axis=0)):
+                    cell, many = np.unique(cells[hit[:, q]], return_counts=True)
+                    steps = np.ceil(np.log(grid.ranks(queries[at + q], cell)) / np.log(1.2)).astype(np.int64)
+                    step, place = np.unique(steps, return_inverse=True)
+                    n = np.bincount(place, weights=many).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), ids[at + q])), pa.array(step), pa.array(n)], ["query", "step", "n"])
 
     return run
 
 
+def least_step(found: dict[int, dict[int, int]], which: list[int], target: float) -> int:
+    """The least step up to which the queries find the target share of their neighbours, each query weighing the same."""
+    shares: dict[int, float] = {}
+    for q in which:
+        total = sum(found[q].values())
+        for step, n in found[q].items():
+            shares[step] = shares.get(step, 0.0) + n / total / len(which)
+    seen = 0.0
+    for step in sorted(shares):
+        seen += shares[step]
+        if seen >= target - 1e-9:
+            break
+    return step
+
+
+def calibrated(reps: DataFrame, grid: Grid, ids: np.ndarray, x: np.ndarray, n: int, threshold: float, target: float, queries: int, enough: int) -> int | None:
+    """Cells to visit, or None if the drawn classes (ids, x) have too few neighbours to tell.
+
+    Queries are drawn, twice as many each time, until `enough` of them have neighbours and are no neighbours of each
+    other: a large group, however many queries fall into it, tells nothing about the others. The target holds both for
+    these and for all queries with neighbours. If all n classes are drawn, every rank is known and all of them count.
+    """
+    found: dict[int, dict[int, int]] = {}
+    alone: list[int] = []
+    at = 0
+    while at < len(ids):
+        to = max(queries, 2 * at)
+        part = reps.select("rep", "v").mapInArrow(neighbour_ranks(grid, ids[at:to], x[at:to], threshold), "query long, step long, n long")
+        for r in part.groupBy("query", "step").agg(F.sum("n").alias("n")).collect():
+            found.setdefault(r["query"], {})[r.step] = r.n
+        for i in range(at, min(to, len(ids))):
+            if int(ids[i]) in found and not (x[alone] @ x[i] >= threshold).any():
+                alone.append(i)
+        at = to
+        if len(ids) < n and len(alone) >= enough:
+            break
+    else:
+        if len(ids) < n:
+            return None
+        target = 1.0
+    step = max((least_step(found, which, target) for which in (list(found), [int(ids[i]) for i in alone]) if which), default=0)
+    return min(2 * int(np.ceil(1.2**step)) + 1, grid.width * len(grid.books[0]))
+
+
 def dealt(grid: Grid, n: int, blocks: np.ndarray):
     """Of the vectors: a row for the block of its own cell (kind 0), and one for each block of each visited cell (1)."""
 
@@ -149,6 +197,62 @@ def dealt(grid: Grid, n: int, blocks: np.ndarray):
 BLOCK_KEYS = 1 << 40
 
 
+def rows(a: np.ndarray, n: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a.astype(np.int64), n.astype(np.int64), b.astype(np.int64), kind)], ["id", "n", "other", "edge"])
+
+
+def connecting(group: np.ndarray, own: np.ndarray, ids: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of the links (own x ids) without those that repeat a connection within the group labels, which they join."""
+    links = []
+    for q, row in zip(own, link, strict=True):
+        to = np.flatnonzero(row)
+        labels, first = np.unique(group[to], return_index=True)
+        links += [(int(q), int(ids[m])) for m in to[first]]
+        if len(labels) > 1:
+            group[np.isin(group, labels)] = labels[0]
+    return links
+
+
+def against_all(dim: int, threshold: float, own: np.ndarray, x: np.ndarray):
+    """Given vectors against all: the credits and connecting edges of compare(), credited to the given vectors only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, ids, weight = matrix(batch.column("v"), dim), batch.column("rep").to_numpy(), batch.column("weight").to_numpy()
+            group = np.arange(len(ids))
+            for at in range(0, len(own), QUERIES):
+                mine = own[at : at + QUERIES]
+                link = (x[at : at + QUERIES] @ y.T >= threshold) & (mine[:, None] != ids[None, :])
+                some = np.flatnonzero(link.any(axis=1))
+                if not len(some):
+                    continue
+                mine, link = mine[some], link[some]
+                yield rows(mine, link @ weight, np.zeros(len(some), np.int64), np.zeros(len(some), np.int32))
+                a, b = np.array(connecting(group, mine, ids, link)).T
+                yield rows(a, np.zeros(len(a), np.int64), b, np.ones(len(a), np.int32))
+
+    return run
+
+
+LINKS = "id long, n long, other long, edge int"
+
+
+def all_pairs(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """The links of all pairs: EVERY vectors at a time pass through the driver to all tasks, so nothing is shuffled."""
+    out, held = None, []
+
+    def block() -> DataFrame:
+        own, x = np.array([r.rep for r in held], np.int64), np.frombuffer(b"".join(bytes(r.v) for r in held), np.float64).reshape(-1, dim)
+        met = spill(reps.mapInArrow(against_all(dim, threshold, own, x), LINKS), "links")
+        return met if out is None else out.union(met)
+
+    for row in reps.select("rep", "v").toLocalIterator():
+        held.append(row)
+        if len(held) == EVERY:
+            out, held = block(), []
+    return block() if held else out
+
+
 def compare(dim: int, threshold: float):
     """Visitors of a block against its members: credits (id, n) of links, and edges (id, other) that connect them.
 
@@ -182,35 +286,43 @@ def compare(dim: int, threshold: float):
                 mine = cell[some] == c
                 away = ~(known == c).any(axis=1)
                 credit += np.where(away, link[mine].T @ w[some][mine], 0)
-            for q, row in zip(own[some], link, strict=True):
-                to = np.flatnonzero(row)
-                labels, first = np.unique(group[to], return_index=True)
-                links += [(int(q), int(ids[m])) for m in to[first]]
-                if len(labels) > 1:
-                    group[np.isin(group, labels)] = labels[0]
+            links += connecting(group, own[some], ids, link)
         late = np.flatnonzero(credit)
         yield rows(ids[late], credit[late], np.zeros(len(late), np.int64), np.zeros(len(late), np.int32))
         if links:
             a, b = np.array(links).T
             yield rows(a, np.zeros(len(a), np.int64), b, np.ones(len(a), np.int32))
 
-    def rows(a, n, b, kind):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a.astype(np.int64), n.astype(np.int64), b.astype(np.int64), kind)], ["id", "n", "other", "edge"])
-
     return by_key("place", handle)
 
 
-def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.999, codes: int | None = None, sample: int = 8192, queries: int = 512) -> DataFrame:
+def cell_pairs(reps: DataFrame, grid: Grid, visits: int, threshold: float) -> DataFrame:
+    """The links that the visited cells hold."""
+
+    def cell_rows(batches):
+        for batch in batches:
+            cell, many = np.unique(grid.cells(matrix(batch.column("v"), grid.dim)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(many.astype(np.int64))], ["cell", "n"])
+
+    blocks = np.ones(grid.width * len(grid.books[0]), np.int64)
+    for r in reps.select("v").mapInArrow(cell_rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).collect():
+        blocks[r.cell] = -(-r.n // BLOCK)
+    rows = reps.mapInArrow(dealt(grid, visits, blocks), "place long, kind int, rep long, weight long, v binary, cell long, visits binary")
+    return spill(rows.repartition(shuffle_partitions(reps.sparkSession), "place").sortWithinPartitions("place", "kind").mapInArrow(compare(grid.dim, threshold), LINKS), "links")
+
+
+def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.999, codes: int | None = None, sample: int = 8192, queries: int = 512, enough: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with a vec_id; a null vec_id keeps its row with no links.
 
     Vectors of any scale are compared by cosine in double precision. Equal vectors are one class, whose members are
     linked with each other; the classes are indexed, all of them. Codebooks come from at most `sample` classes. The
-    number of cells to visit is twice the least that finds target_recall of the true neighbours of `queries` sampled
-    classes, which are compared with all others; a link found from either side counts for both, so the recall of links
-    is higher. Vectors that are null, zero or hold null or non-finite components link with nothing, nor do those of
+    number of cells to visit is twice the least that finds target_recall of the true neighbours of sampled classes,
+    which are compared with all others, `queries` at first and up to `sample` (see calibrated()); a link found from
+    either side counts for both, so the recall of links is higher. If fewer than `enough` unrelated ones of the sample
+    have neighbours, all pairs are compared instead and no link is missed, at a cost that grows with the square of
+    the classes. Vectors that are null, zero or hold null or non-finite components link with nothing, nor do those of
     another dimension than the commonest (the larger, if two are). A repeated vec_id with equal vectors is one vector.
     """
-    spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     shape = base.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     none = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -227,26 +339,8 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
     chosen = smallest(reps, [F.xxhash64("rep"), "rep"], sample).collect()
     x = np.frombuffer(b"".join(bytes(r.v) for r in chosen), np.float64).reshape(-1, dim)
     grid = Grid(x, codes)
-    asked = x[:queries]
-    found = sorted(reps.select("rep", "v").mapInArrow(neighbour_ranks(grid, np.array([r.rep for r in chosen[:queries]]), asked, threshold), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect())
-    total, seen, visits = sum(r.n for r in found), 0, 1
-    for r in found:
-        seen += r.n
-        visits = int(np.ceil(1.2**r.step))
-        if seen >= target_recall * total:
-            break
-    visits = min(2 * visits + 1, grid.width * len(grid.books[0]))
-
-    def cell_rows(batches):
-        for batch in batches:
-            cell, many = np.unique(grid.cells(matrix(batch.column("v"), dim)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(many.astype(np.int64))], ["cell", "n"])
-
-    blocks = np.ones(grid.width * len(grid.books[0]), np.int64)
-    for r in reps.select("v").mapInArrow(cell_rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).collect():
-        blocks[r.cell] = -(-r.n // BLOCK)
-    rows = reps.mapInArrow(dealt(grid, visits, blocks), "place long, kind int, rep long, weight long, v binary, cell long, visits binary")
-    met = spill(rows.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(compare(dim, threshold), "id long, n long, other long, edge int"), "links")
+    visits = calibrated(reps, grid, np.array([r.rep for r in chosen], np.int64), x, n, threshold, target_recall, queries, enough)
+    met = all_pairs(reps, dim, threshold) if visits is None else cell_pairs(reps, grid, visits, threshold)
     degree = met.where("edge = 0").groupBy("id").agg(F.sum("n").alias("n"))
     label = components(met.where("edge = 1").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = usable.select("vec_id", "h1", "h2").join(sizes, ["h1", "h2"]).join(degree.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")

@@ -115,6 +115,26 @@ def test_vector_dedup(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _, _ in odd)
 
 
+@pytest.mark.parametrize(("dense", "pairs", "enough"), [(0, 20, 256), (1000, 20, 256), (500, 700, 64)])
+def test_vector_dedup_finds_rare_links(spark, dense, pairs, enough):
+    """Few links besides those of one dense group, far apart in the grid; and many, where the visits are calibrated."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=(pairs, 16))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, 16))
+    side -= (side * one).sum(1, keepdims=True) * one
+    two = 0.91 * one + np.sqrt(1 - 0.91**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([one, two, rng.normal(size=16) + rng.normal(scale=0.02, size=(dense, 16)), rng.normal(size=(1500, 16))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    ids = rng.permutation(len(x))
+    top = brute.smallest([int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)])
+    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), codes=24, sample=1024, enough=enough).collect()}
+    wrong = [i for i, n in zip(ids, link.sum(1), strict=True) if got[i].n_links != n or got[i].component_id != top[i]]
+    assert len(wrong) <= (0 if enough == 256 else 0.002 * len(x))
+
+
 def test_vector_dedup_of_empty_tables(spark):
     assert vector_dedup.groups(vectors(spark, [])).collect() == []
     assert vector_dedup.groups(vectors(spark, [(1, None, 0)])).first().n_links == 0
