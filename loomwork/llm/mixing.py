@@ -4,10 +4,10 @@ gradient least squares, in DataFrame functions only."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, smallest, spill
+from .common import fresh, held_out, spill
 
 BUCKETS = 1 << 12
 
@@ -25,12 +25,28 @@ def word_buckets(docs: DataFrame, *keep: str) -> DataFrame:
 def classifier(docs: DataFrame, label: str, most: int = 4000) -> tuple[list[str], DataFrame]:
     """Naive Bayes tables: the labels, and (bucket, l0, l1, ...) with the log-probability of a bucket under each.
 
-    Learnt from the presence of hashed words in at most `most` labelled rows that are not held out, by smallest hash.
-    The table has BUCKETS rows, whatever the input, so it may be broadcast.
+    The labels are those of all rows with a word. Each is learnt from the presence of hashed words in at most `most` of
+    its rows, by smallest hash; rows that are held out teach only a label that has no others. The table has BUCKETS
+    rows, whatever the input, so it may be broadcast.
     """
-    chosen = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull()).where(~held_out()).select("doc_id")
-    chosen = smallest(chosen, [F.xxhash64("doc_id"), "doc_id"], most).distinct()
-    known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).cast("string").alias("domain"), "text").join(F.broadcast(chosen), "doc_id")
+    known = docs.where(F.col(label).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.xxhash64("text").alias("fp"), F.col(label).cast("string").alias("domain"), "text")
+    named = known.select("domain", "doc_id", "fp", F.coalesce(held_out(), F.lit(False)).alias("held"), F.xxhash64("doc_id", "fp").alias("h")).withColumn("part", F.shiftrightunsigned("h", 54))
+    parts: dict[str, dict[bool, list]] = {}
+    for r in named.groupBy("domain", "held", "part").agg(F.count("*").alias("n")).orderBy("domain", "held", "part").collect():
+        parts.setdefault(r.domain, {}).setdefault(r.held, []).append((r.part, r.n))
+    if not parts:
+        return [], docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    among = F.lit(False)  # rows of the first parts of each label's hashes that hold `most`, so few go to the window's tasks
+    for d, of in parts.items():
+        held, total = min(of), 0
+        for part, n in of[held]:
+            total += n
+            if total >= most:
+                break
+        among = among | ((F.col("domain") == d) & (F.col("held") == held) & (F.col("part") <= part))
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy("part", "h", "doc_id", "fp"))
+    chosen = named.where(among).withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("domain").alias("d__"), F.col("doc_id").alias("i__"), F.col("fp").alias("f__")).distinct()
+    known = known.join(F.broadcast(chosen), (F.col("domain") == F.col("d__")) & F.col("doc_id").eqNullSafe(F.col("i__")) & (F.col("fp") == F.col("f__")), "left_semi")
     counts = spill(word_buckets(known, "domain").groupBy("domain", "bucket").count(), "buckets")
     totals = {r.domain: r.n for r in counts.groupBy("domain").agg(F.sum("count").alias("n")).collect()}
     domains = sorted(totals)
@@ -90,9 +106,15 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str =
     """(doc_id, fp, n_tokens, domain, p_domain, rate) of each distinct document that has words.
 
     targets: the share of all tokens that each domain is to have, all alike by default; domains without a target get
-    none. Without any labelled row every rate is 1.
+    none, and a target above 0 for a domain that no labelled row with a word has is an error. Without targets and any
+    labelled row every rate is 1.
     """
     domains, table = posteriors(docs, label, most)
+    if targets is not None:
+        if unknown := sorted(d for d, share in targets.items() if share > 0 and d not in domains):
+            raise ValueError(f"targets without a labelled document: {', '.join(unknown)}")
+        if min(targets.values(), default=0) < 0 or not sum(targets.values()) > 0:
+            raise ValueError("targets must be shares of 0 or more, some above 0")
     table = spill(table, "posteriors")
     k = len(domains)
     if not k:

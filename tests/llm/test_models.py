@@ -94,6 +94,19 @@ def test_mixing_of_odd_tables(spark):
     assert len(mixing.mixed_documents(docs).collect()) == len(rows)
 
 
+def test_mixing_keeps_a_rare_domain(spark):
+    rare = [i for i in range(50_000, 50_100) if not held(i)][:2]
+    rows = [(i, f"aa bb c{i % 7}" if i % 2 else f"zz yy x{i % 5}", "x" if i % 2 else "y") for i in range(20_000)] + [(i, "rr qq pp", "rare") for i in rare]
+    only = next(i for i in range(60_000, 60_100) if held(i))  # the only row of its label is held out
+    docs = spark.createDataFrame([*rows, (only, "ss tt uu", "held")], "doc_id long, text string, lang string").repartition(4)
+    got = mixing.rates(docs, {"x": 0.25, "y": 0.25, "rare": 0.5}).collect()
+    assert {r.domain for r in got if r.doc_id in rare} == {"rare"} and {r.domain for r in got if r.doc_id == only} == {"held"}
+    assert min(r.rate for r in got if r.doc_id in rare) > 100 * max(r.rate for r in got if r.doc_id not in rare)
+    for targets in ({"x": 0.5, "none": 0.5}, {"none": 1.0}, {"x": 0.0}, {}):
+        with pytest.raises(ValueError):
+            mixing.rates(docs, targets)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
