@@ -3,6 +3,8 @@ gradient least squares, in DataFrame functions only."""
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,12 +104,12 @@ def fit_rates(table: DataFrame, k: int, target: np.ndarray, rounds: int = 30, to
     return rate, share
 
 
-def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str = "lang", most: int = 4000) -> DataFrame:
+def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str = "lang", most: int = 4000, tolerance: float = 1e-5) -> DataFrame:
     """(doc_id, fp, n_tokens, domain, p_domain, rate) of each distinct document that has words.
 
     targets: the share of all tokens that each domain is to have, all alike by default; domains without a target get
     none, and a target above 0 for a domain that no labelled row with a word has is an error. Without targets and any
-    labelled row every rate is 1.
+    labelled row every rate is 1. Shares that the rates don't bring to their targets are named in a warning.
     """
     domains, table = posteriors(docs, label, most)
     if targets is not None:
@@ -120,7 +122,10 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str =
     if not k:
         return table.select("doc_id", "fp", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"))
     want = np.array([1.0 if targets is None else targets.get(d, 0.0) for d in domains])
-    rate, _ = fit_rates(table, k, want / want.sum())
+    want = want / want.sum()
+    rate, share = fit_rates(table, k, want, tolerance=tolerance)
+    if missed := [f"{d} {got:.6f} of {w:.6f}" for d, got, w in zip(domains, share, want, strict=True) if abs(got - w) > 2 * tolerance]:
+        warnings.warn(f"token shares that miss their targets: {', '.join(missed)}", stacklevel=2)
     best = F.greatest(*(F.col(f"p{i}") for i in range(k))) if k > 1 else F.col("p0")
     name = F.coalesce(*(F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)))
     return table.select("doc_id", "fp", "n_tokens", name.alias("domain"), best.alias("p_domain"), rate.alias("rate"))

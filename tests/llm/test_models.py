@@ -1,6 +1,7 @@
 """Language, toxicity, mixing, vectors, archives and the pipeline."""
 
 import random
+import warnings
 import zlib
 
 import numpy as np
@@ -107,6 +108,17 @@ def test_mixing_keeps_a_rare_domain(spark):
             mixing.rates(docs, targets)
 
 
+def test_mixing_warns_of_missed_targets(spark):
+    rows = [(i, "aa bb", "xy"[i // 4 % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match=r"x 0\.\d+ of 0\.900000, y"):
+        mixing.rates(docs, {"x": 0.9, "y": 0.1})
+    apart = docs.withColumn("text", docs.lang)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixing.rates(apart, {"x": 0.5, "y": 0.5})
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
