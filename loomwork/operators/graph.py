@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dense import stacked
+
 
 def call_graph(definitions: DataFrame, calls: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges. definitions (full_name, kind, class_name), calls (caller, callee, edge_type, ordinal).
@@ -71,17 +76,20 @@ def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.where(F.col("kind").isin(*kinds))
 
 
-def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str) -> DataFrame:
+def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str, cores: DataFrame | None = None) -> DataFrame:
     """(id, cluster as string) of points (id) given their pairs within the radius, (a, b) with a < b: -1 is noise.
 
     A point with min_points points within reach, itself included, is a core; linked cores are one cluster, named by
     its smallest core; another point joins the smallest cluster among its cores. Labels spread by minima over the
     links of cores, with a shortcut each round, written to the shared folder.
+
+    cores: the cores (id), if they are known; then near may lack links of cores that others connect anyway.
     """
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y")).union(near.select("b", "a"))
-    cores = both.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("x").alias("id"))
-    if min_points <= 1:
-        cores = points.select("id")
+    if cores is None:
+        cores = both.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("x").alias("id"))
+        if min_points <= 1:
+            cores = points.select("id")
     inner = _written(both.join(cores.withColumnRenamed("id", "x"), "x", "left_semi").join(cores.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y"), folder)
     label = _written(cores.select("id", F.col("id").alias("c")), folder)
     while True:
@@ -98,6 +106,82 @@ def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str) ->
     return out.select("id", F.coalesce(F.col("c").cast("string"), F.col("e").cast("string"), F.lit("-1")).alias("cluster"))
 
 
+#: Vectors that go to all tasks at a time, and how many of them a task compares with a batch at once.
+BLOCK, STRIP = 8192, 512
+
+
+def _within(ids: np.ndarray, x: np.ndarray, core: np.ndarray | None, least: float):
+    """Of vectors (id, v, core) against given ones: without cores, (id, n) neighbours of each given vector; with them,
+    pairs (id, n) of a given core and a vector in reach, of which a core is left out if the pairs before connect it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs, y = batch.column("id").to_numpy(), unit(stacked(batch.column("v"), x.shape[1]))
+            group = np.arange(len(docs))
+            for at in range(0, len(ids), STRIP):
+                own = ids[at : at + STRIP]
+                hit = (np.round(x[at : at + STRIP] @ y.T, 6) >= least) & (own[:, None] != docs[None, :])
+                if core is None:
+                    n = hit.sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["id", "n"])
+                    continue
+                inner = batch.column("core").to_numpy(zero_copy_only=False)
+                pairs = []
+                for q in np.flatnonzero(core[at : at + STRIP] & hit.any(axis=1)):
+                    to = np.flatnonzero(hit[q] & inner)
+                    labels, first = np.unique(group[to], return_index=True)
+                    if len(labels) > 1:
+                        group[np.isin(group, labels)] = labels[0]
+                    pairs += [(own[q], docs[m]) for m in (*to[first], *np.flatnonzero(hit[q] & ~inner))]
+                if pairs:
+                    a, b = np.array(pairs, np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["id", "n"])
+
+    return run
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size == 0, 1, size)
+
+
+def _blocks(v: DataFrame, least: float, with_cores: bool, folder: str) -> DataFrame:
+    """(id, n) of _within() for all vectors, BLOCK of them at a time through the driver; nothing is shuffled."""
+    out, held = None, []
+
+    def block() -> DataFrame:
+        ids, x = np.array([r.id for r in held], np.int64), unit(np.array([r.v for r in held], np.float64))
+        core = np.array([r.core for r in held], bool) if with_cores else None
+        met = _written(v.mapInArrow(_within(ids, x, core, least), "id long, n long"), folder)
+        return met if out is None else out.union(met)
+
+    for row in v.toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK:
+            out, held = block(), []
+    if held:
+        return block()
+    return v.sparkSession.createDataFrame([], "id long, n long") if out is None else out
+
+
+def dbscan_vectors(vectors: DataFrame, least: float, min_points: int, folder: str) -> DataFrame:
+    """dbscan() of (id, v): all pairs of vectors with a cosine (to six digits) of `least` or more are within the radius.
+
+    Every vector is compared with every other, twice: for its number of neighbours, and for the links of cores. A task
+    leaves out links that only repeat a connection, so a dense group doesn't give rows by its square. Null vectors are
+    noise. All ids are distinct, all vectors of one dimension.
+    """
+    points = vectors.select(F.col("id").cast("long").alias("id"))
+    v = _written(vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), folder)
+    counts = _blocks(v, least, False, folder).groupBy("id").agg(F.sum("n").alias("n"))
+    cores = _written(v.join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"), folder)
+    marked = _written(v.join(cores.withColumn("core", F.lit(True)), "id", "left").select("id", "v", F.coalesce("core", F.lit(False)).alias("core")), folder)
+    near = _blocks(marked, least, True, folder).select(F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b")).distinct()
+    return dbscan(near, points, min_points, folder, cores)
+
+
 def cluster_counts(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
     """One row: clusters without the noise, and noise points."""
     c = F.col(cluster)

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ..operators import dense, graph
+from ..operators import graph
 from ..sources import python_source
 from .registry import Registry
 
@@ -97,11 +97,9 @@ def source_facts(load):
 
 @query()
 def dbscan(load):
-    """Density clusters of the vectors, by the pairs within a cosine of 0.4 of the queries and all others."""
-    v = load("embeddings")
-    near = dense.search(v.withColumnRenamed("vec_id", "doc_id"), v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 1000, exclude_self=True).where("score >= 0.4")
-    pairs = near.select(F.least("query_id", "doc_id").alias("a"), F.greatest("query_id", "doc_id").alias("b")).distinct()
-    return graph.dbscan(pairs, v.select(F.col("vec_id").alias("id")), 4, shared(load))
+    """Density clusters of the vectors, by all pairs within a cosine of 0.4."""
+    v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return graph.dbscan_vectors(v, 0.4, 4, shared(load))
 
 
 @query()

@@ -204,3 +204,26 @@ def test_latest_by_key_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     ingest.latest_by_key(stream, "k", "o", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("k", "o")) == [("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("dense_rows", [0, 1300])
+def test_dbscan_of_all_vectors(spark, tmp_path, monkeypatch, dense_rows):
+    """Groups without a vector divisible by 100, and one of more than 1,000, against brute force."""
+    monkeypatch.setattr(graph, "BLOCK", 300)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 24))
+    x = np.concatenate([centres[rng.integers(0, 30, 200)] + rng.normal(scale=0.9, size=(200, 24)), centres[0] + rng.normal(scale=0.3, size=(dense_rows, 24)), rng.normal(size=(150, 24))])
+    ids = rng.permutation(3000)[: len(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = np.round(unit @ unit.T, 6) >= 0.6
+    core = hit.sum(1) >= 4
+    label = {int(i): int(i) for i in ids[core]}
+    while True:
+        low = {int(ids[a]): min(label[int(i)] for i in ids[hit[a] & core]) for a in np.flatnonzero(core)}
+        if low == label:
+            break
+        label = low
+    want = {int(ids[a]): str(min([label[int(i)] for i in ids[hit[a] & core]], default=-1)) for a in range(len(ids))}
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, None)], "id long, v array<double>").repartition(3)
+    got = {r.id: r.cluster for r in graph.dbscan_vectors(df, 0.6, 4, str(tmp_path)).collect()}
+    assert got == want | {5000: "-1"} and len(set(want.values())) > 3
