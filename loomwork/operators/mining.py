@@ -94,6 +94,32 @@ def diverse_subset(df: DataFrame, key: str, item: str, vector: str, n: int, weig
     return df.where(F.col(vector).isNotNull()).groupBy(key).applyInPandas(choose, f"{key} {df.schema[key].dataType.simpleString()}, {item} {kind}, pick int")
 
 
+def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n: int, folder: str, weight: float = 0.5) -> DataFrame:
+    """diverse_subset() of groups of any size: no task sees a whole group, and no pairs are made.
+
+    The mean similarity of a row is its product with the mean of the unit vectors. Each pick is one aggregation by key
+    and one join that moves each row's largest similarity to the chosen; a round is written to the shared folder.
+    """
+    from ..functions import vectors as vx
+    from .dense import mean_pool
+    from .graph import _written
+
+    kind = df.schema[key].dataType
+    base = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(item).alias("i"), vx.normalize(F.col(vector)).alias("u"))
+    few = base.groupBy("k").count().where(F.col("count") < n).first()
+    if few:
+        raise ValueError(f"{few['count']} candidates for {n} picks")
+    means = mean_pool(base, "k", "u").select(F.col("k").alias("mk"), "pooled")
+    now = base.join(means, F.col("k").eqNullSafe(F.col("mk"))).select("k", "i", "u", F.round(vx.dot(F.col("u"), F.col("pooled")), 9).alias("relevance"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("int").alias("pick"))
+    for turn in range(1, n + 1):
+        now = _written(now, folder)
+        value = F.col("relevance") if turn == 1 else F.round(weight * F.col("relevance") - (1 - weight) * F.col("near"), 9)
+        best = now.where("pick is null").groupBy("k").agg(F.min_by(F.struct("i", "u"), F.struct((-value).alias("v"), "i")).alias("b")).select(F.col("k").alias("bk"), F.col("b.i").alias("bi"), F.col("b.u").alias("bu"))
+        moved = F.greatest("near", F.round(vx.dot(F.col("u"), F.col("bu")), 9))
+        now = now.join(best, F.col("k").eqNullSafe(F.col("bk"))).select("k", "i", "u", "relevance", moved.alias("near"), F.when(F.col("i") == F.col("bi"), F.lit(turn)).otherwise(F.col("pick")).alias("pick"))
+    return now.where("pick is not null").select(F.col("k").cast(kind).alias(key), F.col("i").alias(item), "pick")
+
+
 def hash_order(key: str, seed: int) -> Column:
     """A reproducible shuffle: md5 of seed and key, the same in every engine."""
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary"))

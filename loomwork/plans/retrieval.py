@@ -276,7 +276,7 @@ SMALL = "g AS (SELECT label, vec_id, embedding FROM embeddings QUALIFY row_numbe
 
 
 def small_groups(load) -> DataFrame:
-    """The first twelve vectors of each label, as a row's few questions."""
+    """The first twelve vectors of each label, as a row's few questions; the SQL has the same limit."""
     rows = load("embeddings").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 12).alias("r"))
     return rows.select("label", F.explode("r").alias("r")).select("label", "r.vec_id", "r.embedding")
 
@@ -301,8 +301,9 @@ def mmr_first_two(load):
 
 @query()
 def mmr_select(load):
-    """K5: five picks."""
-    return mining.diverse_subset(small_groups(load), "label", "vec_id", "embedding", 5)
+    """K5: five picks among all vectors of a label."""
+    folder = load("embeddings").sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-")
+    return mining.diverse_subset_of_large(load("embeddings"), "label", "vec_id", "embedding", 5, folder)
 
 
 @query()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.operators import batches, bm25, dedupe, dense, fusion, graph, metrics, mining, packing
+from loomwork.plans import catalogue
 from loomwork.sources import ordinals, python_source, readers, sinks
 from loomwork.streaming import ingest
 
@@ -227,3 +228,14 @@ def test_dbscan_of_all_vectors(spark, tmp_path, monkeypatch, dense_rows):
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, None)], "id long, v array<double>").repartition(3)
     got = {r.id: r.cluster for r in graph.dbscan_vectors(df, 0.6, 4, str(tmp_path)).collect()}
     assert got == want | {5000: "-1"} and len(set(want.values())) > 3
+
+
+def test_mmr_of_whole_labels(spark):
+    data = "/root/testdata/sf0.01"
+    groups = {}
+    for r in spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect():
+        groups.setdefault(r.label, []).append(r)
+    want = {(k, g[at].vec_id, pick) for k, g in groups.items() for pick, at in enumerate(mining.mmr_order(np.array([r.embedding for r in g], float), 5, 0.5), 1)}
+    assert {tuple(r) for r in catalogue.queries()["mmr_select"](spark, data).collect()} == want
+    with pytest.raises(ValueError):
+        mining.diverse_subset_of_large(spark.createDataFrame([(1, 1, [1.0])], "k int, i int, v array<double>"), "k", "i", "v", 2, "")
