@@ -116,11 +116,11 @@ def unpack(n: int, bitmap: bytes) -> np.ndarray:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Documents that lose lines, as (doc_id, fp, n_dropped, keep_bitmap); fp is xxhash64 of the text.
+    """Documents that lose lines, as (doc_id, fp, dropped): the sorted positions of the lines that go; fp is xxhash64 of the text.
 
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased. A key of at least min_chars
     code points that min_docs documents hold keeps its lines in the largest doc_id only. Rows without a doc_id or a
-    text hold no lines here. Rows that share a doc_id count as one document; identical rows get the same bitmap.
+    text hold no lines here. Rows that share a doc_id count as one document; identical rows get the same positions.
     Range partitioning by (hash, document) splits a very common line over as many partitions as its rows need.
     """
     some = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text")
