@@ -5,6 +5,11 @@ equals. Which it is depends on the window's content alone, so equal windows of d
 Documents are dealt into buckets by doc_id. What a bucket says about a key leaves as one packed row for each part of
 the key space, holding each key once, so a passage that a third of all documents share costs one entry a bucket; a
 part answers with one packed row for each bucket.
+
+The stretch of an anchor is what its windows cover. A stretch has a 64-bit name of its units and the anchor's place.
+Names only sort and address. Stretches that share one are compared unit by unit, in the parts where those of different
+buckets meet and in each bucket when answers are applied (there by a second name between slices of a megabyte), and a
+collision is an error, never a result.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import shuffle_partitions, slices
+from .common import shuffle_partitions, slices, spill
 
 STEP = 1 << 24
 PLACE = np.uint64((1 << 26) - 1)
@@ -26,6 +31,13 @@ ROW = "bucket long, kind int, doc_id long, text string, blob binary"
 PACKET = "part long, bucket long, blob binary"
 REPLY = "bucket long, blob binary"
 P1 = np.uint64(0xC2B2AE3D27D4EB4F)
+KEY = np.uint64(0x6A09E667F3BCC909)
+#: A key counts as crowded in a bucket from so many places on, and is dealt by deeper context if so many buckets say so.
+CROWD, CROWDED = 4, 16
+#: A crowded key is dealt by this many ranges of the window's place around the anchor.
+RANGES = 6
+LEAF = np.dtype([("low", "<i8"), ("high", "<i8"), ("size", "<u4"), ("place", "<u4"), ("many", "<u4")])
+RUN = np.dtype([("id", "<u8"), ("group", "<u8"), ("low", "<i8"), ("first", "<u4"), ("last", "<u4")])
 
 
 def roll(units: np.ndarray, n: int) -> np.ndarray:
@@ -78,7 +90,7 @@ def anchors(units: np.ndarray, off: np.ndarray, k: int, L: int) -> tuple[np.ndar
         new = np.ones(len(at), bool)
         new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
-        parts.append((at[begin] + lo, np.diff(np.append(begin, len(at))), own[begin] + lo, tk.mix(h[own[begin]] ^ np.uint64(0x6A09E667F3BCC909))))
+        parts.append((at[begin] + lo, np.diff(np.append(begin, len(at))), own[begin] + lo, tk.mix(h[own[begin]] ^ KEY)))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
@@ -112,14 +124,6 @@ def unpack48(b: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def pack64(x: np.ndarray) -> bytes:
-    return x.astype("<u8").tobytes()
-
-
-def unpack64(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u8")
-
-
 def by_key(key: str, handle: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow over rows sorted by key: calls handle with the rows of each key."""
 
@@ -148,32 +152,38 @@ def packets(bucket: int, parts: np.ndarray, values: np.ndarray, pack) -> pa.Reco
     parts, values = parts[order], values[order]
     first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
     ends = np.append(first[1:], len(parts)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(parts[first].astype(np.int64)), pa.array(np.full(len(first), bucket, np.int64)), pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())], ["part", "bucket", "blob"])
-
-
-def shared_values(pack, unpack):
-    """Of the packets of a part, whose values carry a flag in the lowest bit: tell each bucket which of its values
-    other buckets have too."""
-
-    def handle(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [unpack(x.as_py()) >> np.uint64(1) for b in held for x in b.column("blob")]
-        owners = np.repeat(np.concatenate([b.column("bucket").to_numpy() for b in held]), [len(x) for x in blobs])
-        values = np.concatenate(blobs)
-        order, first, size = distinct(values)
-        many = np.repeat(size > 1, size)
-        values, owners = values[order][many], owners[order][many]
-        order = np.argsort(owners, kind="stable")
-        values, owners = values[order], owners[order]
-        if len(values):
-            first = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
-            ends = np.append(first[1:], len(owners))
-            yield pa.RecordBatch.from_arrays([pa.array(owners[first]), pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())], ["bucket", "blob"])
-
-    return by_key("part", handle)
+    blobs = pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())
+    cols = [pa.array(parts[first].astype(np.int64)), pa.array(np.full(len(first), bucket, np.int64)), blobs]
+    return pa.RecordBatch.from_arrays(cols, ["part", "bucket", "blob"])
+
+
+def answers(owners: np.ndarray, values: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket: the packed values for it."""
+    order = np.argsort(owners, kind="stable")
+    owners, values = owners[order], values[order]
+    if not len(values):
+        return
+    first = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+    ends = np.append(first[1:], len(owners))
+    blobs = pa.array([pack(values[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(owners[first].astype(np.int64)), blobs], ["bucket", "blob"])
+
+
+def shared_keys(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the keys of a part: tell each bucket which of its keys other buckets have too. The lowest bit says in an
+    offer that the bucket is crowded with the key, and in an answer that many buckets are."""
+    blobs = [unpack48(x.as_py()) for b in held for x in b.column("blob")]
+    owners = np.repeat(np.concatenate([b.column("bucket").to_numpy() for b in held]), [len(x) for x in blobs])
+    values = np.concatenate(blobs)
+    crowd, values = (values & np.uint64(1)).astype(np.int64), values >> np.uint64(1)
+    order, first, size = distinct(values)
+    hot = np.repeat(np.add.reduceat(crowd[order], first) >= CROWDED, size)
+    many = np.repeat(size > 1, size)
+    yield from answers(owners[order][many], (values[order] << np.uint64(1) | hot.astype(np.uint64))[many], pack48)
 
 
 class Bucket:
-    """The texts of a bucket in slices, with units, anchors and owners; and the packed answers to it."""
+    """The texts of a bucket in slices, with their anchors; and the packed answers to it."""
 
     def __init__(self, held: list[pa.RecordBatch], units: Callable, k: int, L: int):
         self.replies, self.slices = [], []
@@ -186,37 +196,81 @@ class Bucket:
 
 
 class Slice:
+    """Texts, and the anchors of their windows: first window, number of windows, place and key of each. Units are made
+    anew when they are asked for, so that a bucket at rest holds texts and anchors only."""
+
     def __init__(self, piece: pa.RecordBatch, units: Callable, k: int, L: int):
-        self.ids, self.texts = piece.column("doc_id"), piece.column("text")
-        self.data, bytes_off = tk.buffer(self.texts)
-        self.units, self.off, self.extra = units(self.data, bytes_off)
-        self.start, self.count, self.place, self.key = anchors(self.units, self.off, k, L)
+        self.ids, self.texts, self.make, self.k, self.L = piece.column("doc_id"), piece.column("text"), units, k, L
+        values, self.off = self.units()
+        self.start, self.count, self.place, self.key = anchors(values, self.off, k, L)
         self.doc = np.searchsorted(self.off, self.start, side="right") - 1
         known = np.asarray(self.ids.is_valid())
         if not known.all():  # rows without a doc_id take no part
             keep = known[self.doc]
-            self.start, self.count, self.place, self.key, self.doc = (x[keep] for x in (self.start, self.count, self.place, self.key, self.doc))
+            for name in ("start", "count", "place", "key", "doc"):
+                setattr(self, name, getattr(self, name)[keep])
         self.id = self.ids.fill_null(0).to_numpy(zero_copy_only=False)
 
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.make(*tk.buffer(self.texts))
+
+    def names(self, chosen: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The names of the stretches of the chosen anchors."""
+        return names(values, self.start[chosen], self.count[chosen], self.place[chosen], self.key[chosen], self.L)
+
+
+def names(units: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, key: np.ndarray, L: int) -> np.ndarray:
+    """A 64-bit name for each stretch of count + L - 1 units from start, of its units and the anchor's place."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = count + L - 1
+    inner = (place - start).astype(np.uint64)
+    # hash of the whole stretch from those of its first and last windows and every L-th between: all units are covered
+    h = roll(units, L)
+    steps = np.maximum(-(-n // L), 1)
+    first = np.cumsum(steps) - steps
+    turn = np.arange(steps.sum()) - np.repeat(first, steps)
+    at = np.repeat(start, steps) + np.minimum(turn * L, np.repeat(n - L, steps))
+    whole = np.add.reduceat(tk.mix(h[at] + (turn + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
+    return tk.mix(whole ^ tk.mix(key + inner * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64)))
+
+
+def unequal(data: np.ndarray, start: np.ndarray, size: np.ndarray, model: np.ndarray) -> bool:
+    """Whether any span data[start[i] : start[i] + size[i]] differs from the span model[i] of the same arrays."""
+    if (size != size[model]).any():
+        return True
+    other = np.flatnonzero(model != np.arange(len(model)))
+    for lo in range(0, len(other), 1 << 14):
+        own = other[lo : lo + (1 << 14)]
+        if not np.array_equal(data[tk.ranges(start[own], size[own])], data[tk.ranges(start[model[own]], size[own])]):
+            return True
+    return False
+
+
+COLLISION = "stretches of different units share a 64-bit name"
+
 
 def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     """docs as (bucket, kind 1, doc_id, text, null) rows, and the number of parts of the key space.
 
-    A bucket has about half the root of the number of documents, so that buckets times parts, the number of packed
-    rows, stays in proportion to the input.
+    The bytes of a bucket grow with the root of all bytes, so that buckets times parts, the number of packed rows,
+    stays in proportion to the input, up to 16 MB, so that a bucket always fits its task (a longer text stands alone).
     """
-    n = docs.count()
-    size = int(np.clip(np.sqrt(n) / 2, 64, 1 << 14))
-    buckets = max(1, -(-n // size))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = int(np.clip(24 * np.sqrt(total), 1 << 17, 1 << 24))
+    buckets = max(1, -(-total // size))
     parts = max(shuffle_partitions(docs.sparkSession), buckets // 4)
-    bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(buckets))
-    return docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("binary").alias("blob")), parts
+    id_ = F.col("doc_id").cast("long")
+    bucket = F.pmod(F.xxhash64(F.coalesce(id_, F.xxhash64("text"))), F.lit(buckets))
+    none = F.lit(None).cast("binary")
+    return docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), id_.alias("doc_id"), "text", none.alias("blob")), parts
 
 
 def with_replies(rows: DataFrame, replies: DataFrame | None) -> DataFrame:
     """The rows of each bucket together, its replies first."""
     if replies is not None:
-        rows = rows.union(replies.select("bucket", F.lit(0), F.lit(None).cast("long"), F.lit(None).cast("string"), "blob"))
+        none = F.lit(None)
+        rows = rows.union(replies.select("bucket", F.lit(0), none.cast("long"), none.cast("string"), "blob"))
     return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
 
 
@@ -228,12 +282,204 @@ def key48(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(17)
 
 
+def repeated(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sorted keys that occur twice or more."""
+    order, first, size = distinct(key)
+    return key[order[first[size > 1]]]
+
+
+def between(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sorted keys that more than one document holds."""
+    if not len(key):
+        return key
+    order, first, _ = distinct(key)
+    doc = doc[order]
+    return key[order][first[np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)]]
+
+
 def offer_keys(units: Callable, k: int, L: int, parts: int):
     """Each distinct anchor key of a bucket, to the part it belongs to."""
 
     def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(np.concatenate([key48(s.key) for s in Bucket(held, units, k, L).slices] or [np.zeros(0, np.uint64)]))
+        every = [key48(s.key) for s in Bucket(held, units, k, L).slices]
+        keys, many = np.unique(np.concatenate(every or [np.zeros(0, np.uint64)]), return_counts=True)
         if len(keys):
-            yield packets(bucket, keys % np.uint64(parts), keys << np.uint64(1), pack48)
+            yield packets(bucket, keys % np.uint64(parts), keys << np.uint64(1) | (many >= CROWD).astype(np.uint64), pack48)
+
+    return by_key("bucket", handle)
+
+
+def packed(leaf: np.ndarray, text: np.ndarray) -> bytes:
+    """Leaves and their stretches, compressed, behind their number and size."""
+    raw = leaf.tobytes() + text.tobytes()
+    return np.array([len(leaf), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = np.frombuffer(blob, "<i8", 2)
+    raw = pa.decompress(memoryview(blob)[16:], int(size), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, LEAF, n), np.frombuffer(raw, np.uint8, -1, n * LEAF.itemsize)
+
+
+def deal(key: np.ndarray, hot: np.ndarray, start, size, place, values: np.ndarray, k: int, L: int, parts: int):
+    """Where each stretch goes, as (which stretch, part).
+
+    A stretch goes to the part of its key. Where a key is crowded with different surroundings it goes instead to a part
+    for each of RANGES ranges of the place of a window around the anchor, by the units that all windows of the range
+    hold; so two stretches that share a window through the anchor still meet, and the others of the key are spread.
+    """
+    cold = np.flatnonzero(~hot)
+    which, to = [cold], [key48(key[cold]) % np.uint64(parts)]
+    hot = np.flatnonzero(hot)
+    step = -(-(L - k + 1) // RANGES)
+    width = L - step + 1
+    h = roll(values, width) if len(hot) else None
+    for j in range(RANGES if len(hot) else 0):
+        at = place[hot] - step * j
+        fits = (at >= start[hot]) & (at + width <= start[hot] + size[hot])
+        which.append(hot[fits])
+        to.append(tk.mix(tk.mix(h[at[fits]] + np.uint64(j)) ^ key[hot[fits]]) % np.uint64(parts))
+    return np.concatenate(which), np.concatenate(to)
+
+
+def offer_stretches(units: Callable, k: int, L: int, parts: int, shared: Callable, content: Callable):
+    """Of each bucket: its distinct stretches around shared keys, with the smallest and the largest doc_id that holds
+    each and the number of places.
+
+    shared(keys, docs) tells which keys the bucket alone shares; content(slice, begin, end) gives the bytes of the
+    units begin .. end, as one array with the size of each span.
+    """
+
+    def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = Bucket(held, units, k, L)
+        told = np.concatenate([np.zeros(0, np.uint64), *(unpack48(r) for r in b.replies)])
+        hot = np.sort(told[(told & np.uint64(1)) == 1] >> np.uint64(1))
+        local = shared(np.concatenate([np.zeros(0, np.uint64), *(key48(s.key) for s in b.slices)]), np.concatenate([np.zeros(0, np.int64), *(s.id[s.doc] for s in b.slices)]))
+        keys = np.unique(np.concatenate([local, told >> np.uint64(1)]))
+        ids, docs, chosen = [], [], []
+        for s in b.slices:
+            mine = np.flatnonzero(contained(key48(s.key), keys))
+            chosen.append(mine)
+            ids.append(s.names(mine, s.units()[0]))
+            docs.append(s.id[s.doc[mine]])
+        where = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+        ids, docs, chosen = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, docs, chosen))
+        if not len(ids):
+            return
+        order, first, many = distinct(ids)
+        low, high = np.minimum.reduceat(docs[order], first), np.maximum.reduceat(docs[order], first)
+        pick = order[first]
+        leaves, texts, to = [], [], []
+        for i, s in enumerate(b.slices):
+            mine = np.flatnonzero(where[pick] == i)
+            if not len(mine):
+                continue
+            at = chosen[pick[mine]]
+            n = s.count[at] + L - 1
+            text, size = content(s, s.start[at], s.start[at] + n)
+            leaf = np.zeros(len(mine), LEAF)
+            leaf["low"], leaf["high"], leaf["many"], leaf["size"], leaf["place"] = low[mine], high[mine], many[mine], size, s.place[at] - s.start[at]
+            which, part = deal(s.key[at], contained(key48(s.key[at]), hot), s.start[at], n, s.place[at], s.units()[0] if len(hot) else None, k, L, parts)
+            leaves.append(leaf[which])
+            texts.append(text[tk.ranges((np.cumsum(size) - size)[which], size[which])])
+            to.append(part)
+        leaf, text, part = np.concatenate(leaves), np.concatenate(texts), np.concatenate(to)
+        place = np.cumsum(leaf["size"].astype(np.int64)) - leaf["size"]
+        order = np.argsort(part, kind="stable")
+        part, leaf, place = part[order], leaf[order], place[order]
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        rows = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            rows.append((int(part[lo]), bucket, packed(leaf[lo:hi], text[tk.ranges(place[lo:hi], leaf["size"][lo:hi].astype(np.int64))])))
+        cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "bucket", "blob"])
 
     return by_key("bucket", handle)
+
+
+class Meeting:
+    """The stretches that meet in a part, from all buckets: leaves, their owners and units; equal ones are one node."""
+
+    def __init__(self, held: list[pa.RecordBatch], units: Callable, k: int, L: int):
+        got = [(owner, *unpacked(blob.as_py())) for b in held for owner, blob in zip(b.column("bucket").to_numpy(), b.column("blob"), strict=True)]
+        self.leaf = np.concatenate([leaf for _, leaf, _ in got])
+        self.text = np.concatenate([text for _, _, text in got])
+        self.owner = np.repeat([owner for owner, _, _ in got], [len(leaf) for _, leaf, _ in got])
+        size = self.leaf["size"].astype(np.int64)
+        self.off = np.concatenate([[0], np.cumsum(size)])
+        self.units, self.bounds = units(self.text, self.off)
+        self.start, self.size = self.bounds[:-1], np.diff(self.bounds)
+        self.place = self.start + self.leaf["place"]
+        self.key = tk.mix(roll(self.units, k)[self.place] ^ KEY)
+        self.name = names(self.units, self.start, self.size - L + 1, self.place, self.key, L)
+        order, self.first, n = distinct(self.name)
+        self.order = order
+        self.model = order[self.first]  # a leaf of each node
+        self.node = np.empty(len(self.leaf), np.int64)
+        self.node[order] = np.repeat(np.arange(len(n)), n)
+        model = self.model[self.node]
+        if unequal(self.text, self.off[:-1], size, model) or (self.leaf["place"] != self.leaf["place"][model]).any():
+            raise RuntimeError(COLLISION)
+
+    def per_node(self, ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
+        return ufunc.reduceat(values[self.order], self.first)
+
+    def kin(self) -> np.ndarray:
+        """The nodes whose key other nodes have too, in the order of keys."""
+        order, first, n = distinct(self.key[self.model])
+        return order[np.repeat(n > 1, n)]
+
+    def answer(self, node: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, all_: bool) -> Iterator[pa.RecordBatch]:
+        """The runs of nodes (first to last window) to the buckets of their members, or only to those that hold a
+        document above the run's smallest."""
+        by = np.argsort(node, kind="stable")
+        runs = np.searchsorted(node[by], np.arange(len(self.model) + 1))
+        per = np.diff(runs)[self.node]
+        member = np.repeat(np.arange(len(self.leaf)), per)
+        run = by[tk.ranges(runs[:-1][self.node], per)]
+        keep = slice(None) if all_ else low[run] < self.leaf["high"][member]
+        member, run = member[keep], run[keep]
+        out = np.zeros(len(member), RUN)
+        out["id"], out["group"], out["low"], out["first"], out["last"] = self.name[member], group[run], low[run], first[run], last[run]
+        yield from answers(self.owner[member], out, lambda x: x.tobytes())
+
+
+def marked(b: Bucket) -> Iterator[tuple[Slice, np.ndarray, np.ndarray]]:
+    """Of each slice: anchors, and for each a run that was told about its stretch."""
+    runs = np.concatenate([np.zeros(0, RUN), *(np.frombuffer(r, RUN) for r in b.replies)])
+    runs = runs[np.argsort(runs["id"], kind="stable")]
+    ids = runs["id"].copy()
+    seen = np.zeros((2, 0), np.uint64)  # names met in slices before, and an independent second name of each
+    for s in b.slices:
+        values, _ = s.units()
+        every = s.names(np.arange(len(s.key)), values)
+        lo, hi = np.searchsorted(ids, every, "left"), np.searchsorted(ids, every, "right")
+        hit = np.flatnonzero(hi > lo)
+        order, first, n = distinct(every[hit])
+        model = np.empty(len(hit), np.int64)
+        model[order] = np.repeat(order[first], n)
+        if unequal(values, s.start[hit], s.count[hit] + s.L - 1, model):
+            raise RuntimeError(COLLISION)
+        if len(b.slices) > 1:
+            at = hit[order[first]]
+            seen = np.concatenate([seen, [every[at], s.names(at, tk.mix(values ^ P1))]], axis=1)
+            seen = np.unique(seen, axis=1) if len(seen[0]) else seen
+            if (seen[0][1:] == seen[0][:-1]).any():
+                raise RuntimeError(COLLISION)
+        yield s, np.repeat(hit, (hi - lo)[hit]), runs[tk.ranges(lo[hit], (hi - lo)[hit])]
+
+
+def covered(s: Slice, anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which units of the slice the runs cover."""
+    edge = np.zeros(s.off[-1] + 1, np.int64)
+    np.add.at(edge, s.start[anchor] + run["first"], 1)
+    np.add.at(edge, s.start[anchor] + run["last"] + s.L, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def shared_stretches(rows: DataFrame, parts: int, units: Callable, k: int, L: int, shared: Callable, content: Callable) -> tuple[DataFrame, DataFrame]:
+    """Packets of the stretches around shared anchors, parted; and the table behind them, to discard when done."""
+    keys = with_replies(rows, None).mapInArrow(offer_keys(units, k, L, parts), PACKET)
+    seeds = spill(parted(keys).mapInArrow(by_key("part", shared_keys), REPLY), "seeds", "none")
+    offers = with_replies(rows, seeds).mapInArrow(offer_stretches(units, k, L, parts, shared, content), PACKET)
+    return parted(offers), seeds

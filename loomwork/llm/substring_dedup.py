@@ -10,64 +10,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens as tk
-from .anchors import PACKET, REPLY, Bucket, Slice, bucketed, by_key, contained, distinct, key48, offer_keys, pack48, pack64, packets, parted, roll, shared_values, unpack48, unpack64, with_replies
+from .anchors import REPLY, Bucket, Meeting, bucketed, by_key, covered, marked, repeated, shared_stretches, with_replies
 from .common import discard, spill
 
 SEED_WORDS = 8
 
 
-def word_units(data: np.ndarray, off: np.ndarray):
-    starts, ends, hashes, bounds = tk.words(data, off, lower=False)
-    return hashes, bounds, (starts, ends)
+def word_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, _, hashes, bounds = tk.words(data, off, lower=False)
+    return hashes, bounds
 
 
-def extensions(s: Slice, seeds: np.ndarray, L: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows through the seeds, from L - SEED_WORDS words before to as many after, and their ids."""
-    at = tk.ranges(s.start[seeds], s.count[seeds])
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
-    return at, tk.mix(roll(s.units, L)[at] + np.repeat(s.key[seeds], s.count[seeds])) >> np.uint64(1)
+def content(s, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words begin .. end of each span, each followed by one blank."""
+    data, off = tk.buffer(s.texts)
+    starts, ends = tk.spans(~tk.SPACE[data], off)
+    word = tk.ranges(begin, end - begin)
+    size = ends[word] - starts[word] + 1
+    last = np.cumsum(size) - 1
+    at = tk.ranges(starts[word], size)
+    out = data[np.minimum(at, len(data) - 1)]
+    out[last] = 32
+    total = np.concatenate([[0], np.cumsum(size)])
+    bounds = np.concatenate([[0], np.cumsum(end - begin)])
+    return out, np.diff(total[bounds])
 
 
-def repeated(keys: list[np.ndarray]) -> np.ndarray:
-    """Sorted values that occur twice or more."""
-    every = np.concatenate(keys or [np.zeros(0, np.uint64)])
-    order, first, size = distinct(every)
-    return every[order[first[size > 1]]]
+def refined(label: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Labels of equal (label, word) pairs; both are below 2^31."""
+    return np.unique(label << 32 | word, return_inverse=True)[1]
 
 
-def known(replies: list[bytes], local: list[np.ndarray], unpack) -> np.ndarray:
-    return np.unique(np.concatenate([repeated(local), *(unpack(b) for b in replies)]))
+def extensions(word: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, many: np.ndarray, L: int) -> np.ndarray:
+    """Which windows of each stretch occur twice: (stretch, window) of the given stretches around seeds, whose words are
+    given by number.
 
-
-def offer_windows(L: int, parts: int):
-    """The windows through every seed that the bucket or another one holds twice, each id once."""
-
-    def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Bucket(held, word_units, SEED_WORDS, L)
-        seeds = known(b.replies, [key48(s.key) for s in b.slices], unpack48)
-        ids = [extensions(s, np.flatnonzero(contained(key48(s.key), seeds)), L)[1] for s in b.slices]
-        ids = np.unique(np.concatenate(ids or [np.zeros(0, np.uint64)]))
-        if len(ids):
-            yield packets(bucket, ids % np.uint64(parts), ids << np.uint64(1), pack64)
-
-    return by_key("bucket", handle)
+    All stretches are extended at once, a word at a time, from the seed to the right and to the left: two have the same
+    label after j steps if they agree in the seed and the j words beyond it. An extent of L words that takes x words on
+    the left and the rest on the right belongs to all stretches with both labels; it is kept if these stand at two or
+    more places.
+    """
+    spare = L - SEED_WORDS
+    before, after = place - start, start + size - place - SEED_WORDS
+    label = np.zeros(len(start), np.int64)
+    for j in range(SEED_WORDS):
+        label = refined(label, word[place + j])
+    right, left = [label], [label]
+    for j in range(spare):
+        beyond = place + SEED_WORDS + j
+        right.append(refined(right[-1], np.where(after > j, word[np.minimum(beyond, len(word) - 1)] + 1, 0)))
+        left.append(refined(left[-1], np.where(before > j, word[np.maximum(place - 1 - j, 0)] + 1, 0)))
+    hits = []
+    for x in range(spare + 1):
+        fits = np.flatnonzero((before >= x) & (after >= spare - x))
+        group = refined(left[x][fits], right[spare - x][fits])
+        places = np.bincount(group, weights=many[fits]) if len(fits) else np.zeros(0)
+        own = fits[places[group] > 1]
+        hits.append(np.stack([own, before[own] - x]))
+    return np.concatenate(hits, axis=1)
+
+
+def numbered_words(text: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A number for each word of the stretches, equal for equal words: exact, by a dictionary of their bytes."""
+    starts, ends = tk.spans(~tk.SPACE[text], off)
+    edges = np.append(starts, ends[-1] + 1) if len(starts) else np.zeros(1, np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(text)])
+    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def extend(L: int):
+    """Of the stretches that a part of the seeds has: the extents of L words or more that occur twice or more, as runs of
+    windows, for the buckets that hold them."""
+
+    def handle(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Meeting(held, word_units, SEED_WORDS, L)
+        many = m.per_node(np.add, m.leaf["many"].astype(np.int64))
+        # a stretch that stands at several places is an extent as a whole; others are extended if their seed is shared
+        whole = np.flatnonzero(many > 1)
+        node, first, last = [whole], [np.zeros(len(whole), np.int64)], [m.size[m.model[whole]] - L]
+        kin = m.kin()
+        if (many[kin] == 1).any():
+            at = m.model[kin]
+            own, window = extensions(numbered_words(m.text, m.off), m.start[at], m.size[at], m.place[at], many[kin], L)
+            keep = many[kin][own] == 1
+            own, window = own[keep], window[keep]
+            order = np.lexsort((window, own))
+            own, window = own[order], window[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1)
+            begin = np.flatnonzero(new)
+            if len(begin):
+                end = np.append(begin[1:], len(own)) - 1
+                node, first, last = [*node, kin[own[begin]]], [*first, window[begin]], [*last, window[end]]
+        node, first, last = (np.concatenate(x) for x in (node, first, last))
+        none = np.zeros(len(node), np.int64)
+        yield from m.answer(node, none, first, last, none.astype(np.uint64), True)
+
+    return by_key("part", handle)
 
 
 def cut_repeats(L: int):
-    """Of each bucket's texts and the ids that others hold too: the words that remain."""
+    """Of each bucket's texts and the extents that were found for its stretches: the words that remain."""
 
     def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Bucket(held, word_units, SEED_WORDS, L)
-        every = [extensions(s, np.arange(len(s.key)), L) for s in b.slices]
-        ids = known(b.replies, [e[1] for e in every], unpack64)
-        for s, (at, mine) in zip(b.slices, every, strict=True):
-            hit = at[contained(mine, ids)]
-            edge = np.zeros(len(s.units) + 1, np.int64)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + L, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            starts, ends = s.extra
+        for s, anchor, run in marked(Bucket(held, word_units, SEED_WORDS, L)):
+            gone = covered(s, anchor, run)
+            data, off = tk.buffer(s.texts)
+            starts, ends = tk.spans(~tk.SPACE[data], off)
             rows = []
             for i in range(len(s.id)):
                 lo, hi = s.off[i], s.off[i + 1]
@@ -75,15 +124,20 @@ def cut_repeats(L: int):
                 if len(keep) == hi - lo:
                     left = b" ".join(s.texts[i].as_py().encode().split()) if hi > lo else b""
                 else:
-                    left = b" ".join(s.data[x:y].tobytes() for x, y in zip(starts[keep], ends[keep], strict=True))
+                    left = b" ".join(data[x:y].tobytes() for x, y in zip(starts[keep], ends[keep], strict=True))
                 edges = np.diff(np.concatenate([[0], gone[lo:hi].astype(np.int8), [0]]))
-                rows.append((hi - lo, hi - lo - len(keep), hashlib.sha256(left).hexdigest(), [int(x) for x in np.flatnonzero(edges == 1)], [int(x) for x in np.flatnonzero(edges == -1)]))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([s.ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "from_word", "to_word"])
+                spans = (np.flatnonzero(edges == e).tolist() for e in (1, -1))
+                rows.append((hi - lo, hi - lo - len(keep), hashlib.sha256(left).hexdigest(), *spans))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([s.ids, *cols], ["doc_id", "n_words", "n_removed", "kept_sha256", "from_word", "to_word"])
 
     return by_key("bucket", handle)
 
 
+CUTS = "doc_id long, n_words long, n_removed long, kept_sha256 string, from_word array<long>, to_word array<long>"
+
+
 def repeats(docs: DataFrame, words: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the maximal repeats (from_word, to_word) of every row.
 
@@ -92,14 +146,13 @@ def repeats(docs: DataFrame, words: int = 35) -> DataFrame:
     nothing. Null texts have no words.
 
     Seeds are anchors of SEED_WORDS words, winnowed so that every window holds one; seeds found once fall away in a
-    join of their keys. Around the others each window is extended to its full length on both sides, and equal windows
-    of equal seeds meet in a second join. Adjacent windows make up the maximal repeats. Windows are compared by 63
-    bits over 64-bit word hashes, among windows of one seed.
+    join of their keys. The words around the others meet by seed, each distinct surrounding once a bucket, crowded seeds
+    dealt by deeper context. There the matches are extended from the seed, a word at a time, to the right and to the
+    left, over the words themselves, and extents of `words` words or more are kept. Extents of successive seeds that
+    touch make up the maximal repeats.
     """
     rows, parts = bucketed(docs)
-    keys = with_replies(rows, None).mapInArrow(offer_keys(word_units, SEED_WORDS, words, parts), PACKET)
-    seeds = spill(parted(keys).mapInArrow(shared_values(pack48, unpack48), REPLY), "seeds", "none")
-    offers = with_replies(rows, seeds).mapInArrow(offer_windows(words, parts), PACKET)
-    found = spill(parted(offers).mapInArrow(shared_values(pack64, unpack64), REPLY), "windows", "none")
+    stretches, seeds = shared_stretches(rows, parts, word_units, SEED_WORDS, words, repeated, content)
+    found = spill(stretches.mapInArrow(extend(words), REPLY), "extents")
     discard(seeds)
-    return with_replies(rows, found).mapInArrow(cut_repeats(words), "doc_id long, n_words long, n_removed long, kept_sha256 string, from_word array<long>, to_word array<long>")
+    return with_replies(rows, found).mapInArrow(cut_repeats(words), CUTS)

@@ -11,101 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens as tk
-from .anchors import PACKET, REPLY, Bucket, Slice, bucketed, by_key, contained, distinct, key48, offer_keys, pack48, parted, roll, shared_values, unpack48, with_replies
+from .anchors import REPLY, Bucket, Meeting, between, bucketed, by_key, covered, distinct, marked, repeated, roll, shared_stretches, with_replies
 from .common import discard, spill
 
 SEED_BYTES = 16
-LEAF = np.dtype([("key", "<u8"), ("id", "<u8"), ("low", "<i8"), ("high", "<i8"), ("size", "<u4")])
-RUN = np.dtype([("id", "<u8"), ("low", "<i8"), ("first", "<u4"), ("last", "<u4")])
 
 
-def byte_units(data: np.ndarray, off: np.ndarray):
-    return tk.CODES[0][data], off, None
+def byte_units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tk.CODES[0][data], off
 
 
-def snippets(s: Slice, chosen: np.ndarray, L: int) -> np.ndarray:
-    """An id for the stretch of bytes that the windows of each chosen anchor cover, of its content and the anchor's place."""
-    if not len(chosen):
-        return np.zeros(0, np.uint64)
-    start, n = s.start[chosen], s.count[chosen] + L - 1
-    place = (s.place[chosen] - start).astype(np.uint64)
-    # hash of the whole stretch from those of its first and last windows and every L-th between: all bytes are covered
-    h = roll(s.units, L)
-    steps = np.maximum(-(-n // L), 1)
-    first = np.cumsum(steps) - steps
-    at = np.repeat(start, steps) + np.minimum((np.arange(steps.sum()) - np.repeat(first, steps)) * L, np.repeat(n - L, steps))
-    turn = (np.arange(steps.sum()) - np.repeat(first, steps) + 1).astype(np.uint64)
-    whole = np.add.reduceat(tk.mix(h[at] + turn * np.uint64(0x9E3779B97F4A7C15)), first)
-    return tk.mix(whole ^ tk.mix(s.key[chosen] + place * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64)))
-
-
-def between(keys: list[np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
-    """Sorted keys that more than one document of the bucket holds."""
-    key, doc = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.concatenate(docs or [np.zeros(0, np.int64)])
-    order, first, _ = distinct(key)
-    if not len(key):
-        return key
-    doc = doc[order]
-    return key[order][first[np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)]]
-
-
-def shared_anchors(b: Bucket) -> np.ndarray:
-    local = between([key48(s.key) for s in b.slices], [s.id[s.doc] for s in b.slices])
-    return np.unique(np.concatenate([local, *(unpack48(r) for r in b.replies)]))
-
-
-def packed(leaf: np.ndarray, text: np.ndarray) -> bytes:
-    """Leaves and their stretches, compressed, behind their number and size."""
-    raw = leaf.tobytes() + text.tobytes()
-    return np.array([len(leaf), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, size = np.frombuffer(blob, "<i8", 2)
-    raw = pa.decompress(memoryview(blob)[16:], int(size), codec="zstd", asbytes=True)
-    return np.frombuffer(raw, LEAF, n), np.frombuffer(raw, np.uint8, -1, n * LEAF.itemsize)
-
-
-def offer_snippets(L: int, parts: int):
-    """Of each bucket: the distinct stretches around anchors that other documents have too, with the smallest and the
-    largest doc_id that holds them."""
-
-    def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Bucket(held, byte_units, SEED_BYTES, L)
-        keys = shared_anchors(b)
-        found = []
-        for s in b.slices:
-            chosen = np.flatnonzero(contained(key48(s.key), keys))
-            found.append((s, chosen, snippets(s, chosen, L), s.id[s.doc[chosen]]))
-        ids, docs = (np.concatenate([f[i] for f in found] or [np.zeros(0)]) for i in (2, 3))
-        if not len(ids):
-            return
-        where = np.concatenate([np.full(len(f[1]), i) for i, f in enumerate(found)])
-        chosen = np.concatenate([f[1] for f in found])
-        order, first, _ = distinct(ids)
-        leaf = np.zeros(len(first), LEAF)
-        low, high = np.minimum.reduceat(docs[order], first), np.maximum.reduceat(docs[order], first)
-        pick = order[first]
-        starts = np.zeros(len(pick), np.int64)
-        for i, (s, _, _, _) in enumerate(found):
-            mine = where[pick] == i
-            at = chosen[pick[mine]]
-            leaf["key"][mine], leaf["size"][mine], starts[mine] = s.key[at], s.count[at] + L - 1, s.start[at]
-        leaf["id"], leaf["low"], leaf["high"] = ids[pick], low, high
-        part = key48(leaf["key"]) % np.uint64(parts)
-        order = np.lexsort((leaf["key"], part))
-        leaf, part, starts, origin = leaf[order], part[order], starts[order], where[pick][order]
-        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-        base = np.cumsum([0, *(len(f[0].data) for f in found)])
-        data = np.concatenate([f[0].data for f in found])
-        rows = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            bytes_ = data[tk.ranges(starts[lo:hi] + base[origin[lo:hi]], leaf["size"][lo:hi].astype(np.int64))]
-            rows.append((int(part[lo]), bucket, packed(leaf[lo:hi], bytes_)))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["part", "bucket", "blob"])
-
-    return by_key("bucket", handle)
+def content(s, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data, _ = tk.buffer(s.texts)
+    return data[tk.ranges(begin, end - begin)], end - begin
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +55,10 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
     return order, lcp
 
 
-def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """Maximal repeats of an enhanced suffix array: (length, length of the enclosing repeat, first, last) of each
-    interval of the common-prefix tree with a prefix of `least` or more whose members differ in what stands on their
-    left. left: a code for that, unique where there is nothing to the left."""
+def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """Maximal repeats of an enhanced suffix array: (length, first, last) of each interval of the common-prefix tree
+    with a prefix of `least` or more whose members differ in what stands on their left. left: a code for that, unique
+    where there is nothing to the left."""
     stack: list[list[int]] = []  # length, first, left code or -1 if diverse
     n = len(lcp)
     depth = lcp.tolist()
@@ -152,8 +70,7 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[i
             length, begin, own = stack.pop()
             own = own if own == seen else -1
             if own == -1:
-                outer = max(now, stack[-1][0] if stack else 0)
-                yield length, outer if outer >= least else least - 1, begin, i - 1
+                yield length, begin, i - 1
             seen = own
         if now >= least:
             if stack and stack[-1][0] == now:
@@ -163,56 +80,30 @@ def intervals(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[i
                 stack.append([now, begin, seen])
 
 
-def judge(L: int):
-    """Of the stretches that a part of the key space has: runs of windows (first to last of a stretch) that start in a
-    document below the stretch's largest, for the buckets they came from."""
+def judge(L: int, all_: bool):
+    """Of the stretches that a part of the key space has: the maximal repeats, as runs of windows, for the buckets that
+    hold them; all occurrences, or only those in documents above a repeat's smallest."""
 
     def handle(part: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves, texts, owners = [], [], []
-        for b in held:
-            for owner, blob in zip(b.column("bucket").to_numpy(), b.column("blob"), strict=True):
-                own, text = unpacked(blob.as_py())
-                leaves.append(own)
-                texts.append(text)
-                owners.append(np.full(len(own), owner))
-        leaf, text, owner = np.concatenate(leaves), np.concatenate(texts), np.concatenate(owners)
-        place = np.cumsum(leaf["size"].astype(np.int64)) - leaf["size"]
-        # equal stretches are one node, whichever buckets they come from
-        order, first, size = distinct(leaf["id"])
-        node = np.empty(len(leaf), np.int64)
-        node[order] = np.repeat(np.arange(len(first)), size)
-        low = np.minimum.reduceat(leaf["low"][order], first)
-        rep = order[first]
-        out = [(np.arange(len(first)), low, np.zeros(len(first), np.int64), leaf["size"][rep].astype(np.int64) - L)]
-        kin, start, n = distinct(leaf["key"][rep])
-        several = np.sort(rep[kin[np.repeat(n > 1, n)]])
-        if len(several):
-            out.append(repeats_of(text, place[several], leaf["size"][several].astype(np.int64), low[node[several]], node[several], L))
-        which, least, begin, end = (np.concatenate(x) for x in zip(*out, strict=True))
-        # each run goes to the members of its node with a document above its smallest
-        by = np.argsort(which, kind="stable")
-        which, least, begin, end = which[by], least[by], begin[by], end[by]
-        runs = np.searchsorted(which, np.arange(len(first) + 1))
-        per = np.diff(runs)[node]
-        member = np.repeat(np.arange(len(leaf)), per)
-        run = tk.ranges(runs[:-1][node], per)
-        keep = least[run] < leaf["high"][member]
-        member, run = member[keep], run[keep]
-        by = np.argsort(owner[member], kind="stable")
-        member, run = member[by], run[by]
-        if not len(member):
-            return
-        answer = np.zeros(len(member), RUN)
-        answer["id"], answer["low"], answer["first"], answer["last"] = leaf["id"][member], least[run], begin[run], end[run]
-        to = owner[member]
-        edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
-        yield pa.RecordBatch.from_arrays([pa.array(to[edges[:-1]].astype(np.int64)), pa.array([answer[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["bucket", "blob"])
+        m = Meeting(held, byte_units, SEED_BYTES, L)
+        low, high = m.per_node(np.minimum, m.leaf["low"]), m.per_node(np.maximum, m.leaf["high"])
+        many = m.per_node(np.add, m.leaf["many"].astype(np.int64))
+        # equal stretches are one leaf of the tree; where several documents or places hold it, it is a repeat as a whole
+        size = m.size[m.model]
+        whole = np.flatnonzero(many > 1) if all_ else np.flatnonzero(high > low)
+        out = [(whole, low[whole], np.zeros(len(whole), np.int64), size[whole] - L, m.name[m.model[whole]])]
+        kin = np.sort(m.kin())
+        if len(kin):
+            out.append(repeats_of(m.text, m.start[m.model[kin]], size[kin], low[kin], kin, L))
+        node, least, first, last, group = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield from m.answer(node, least, first, last, group, all_)
 
     return by_key("part", handle)
 
 
 def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.ndarray, node: np.ndarray, L: int):
-    """Runs of windows of the given stretches as (node, smallest doc_id, first, last), from the interval tree."""
+    """Maximal repeats of the given stretches, from the interval tree, for each stretch that holds one: (node, smallest
+    doc_id, first and last window, a name of the repeat)."""
     # suffixes whose window follows an equal window of all that share it are implied by the longer ones: leave them out
     count = size - L + 1
     at = tk.ranges(place, count)
@@ -227,76 +118,75 @@ def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.nd
     wanted = np.flatnonzero((diverse & (n > 1))[group])
     if not len(wanted):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    starts, leaf, opening = at[wanted], leaf[wanted], opening[wanted]
+        return none, none, none, none, np.zeros(0, np.uint64)
+    starts, leaf, opening, window = at[wanted], leaf[wanted], opening[wanted], window[wanted]
     order, lcp = suffix_array(text, starts, place[leaf] + size[leaf] - starts)
     left = np.where(opening, 256 + np.arange(len(starts)), text[np.maximum(starts - 1, 0)])[order]
-    starts, leaf = starts[order], leaf[order]
-    which, least, begin, end = [], [], [], []
-    for length, outer, lo, hi in intervals(lcp, left, L):
+    starts, leaf, window = starts[order], leaf[order], window[order]
+    which, least, begin, end, name = [], [], [], [], []
+    for length, lo, hi in intervals(lcp, left, L):
         members = leaf[lo : hi + 1]
         offset = starts[lo : hi + 1] - place[members]
         which.append(node[members])
         least.append(np.full(len(members), low[members].min()))
-        begin.append(offset + max(0, outer - L + 1))
+        begin.append(offset)
         end.append(offset + length - L)
+        # all members share the first window and the length, and no other repeat of the part has both
+        name.append(np.full(len(members), tk.mix(window[lo : lo + 1] + np.uint64(length))[0]))
     if not which:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    return np.concatenate(which), np.concatenate(least), np.concatenate(begin), np.concatenate(end)
+        return none, none, none, none, np.zeros(0, np.uint64)
+    return np.concatenate(which), np.concatenate(least), np.concatenate(begin), np.concatenate(end), np.concatenate(name)
 
 
 def cut_bytes(L: int):
-    """Of each bucket's texts and the runs that were found for its stretches: the bytes that remain."""
+    """Of each bucket's texts and the repeats that were found for its stretches: the bytes that remain."""
 
     def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Bucket(held, byte_units, SEED_BYTES, L)
-        runs = np.concatenate([np.zeros(0, RUN), *(np.frombuffer(r, RUN) for r in b.replies)])
-        runs = runs[np.argsort(runs["id"], kind="stable")]
-        ids = runs["id"].copy()
-        for s in b.slices:
-            every = snippets(s, np.arange(len(s.key)), L)
-            lo, hi = np.searchsorted(ids, every, "left"), np.searchsorted(ids, every, "right")
-            anchor = np.repeat(np.arange(len(every)), hi - lo)
-            run = tk.ranges(lo, hi - lo)
-            keep = runs["low"][run] < s.id[s.doc[anchor]]
-            anchor, run = anchor[keep], run[keep]
-            edge = np.zeros(len(s.data) + 1, np.int64)
-            np.add.at(edge, s.start[anchor] + runs["first"][run], 1)
-            np.add.at(edge, s.start[anchor] + runs["last"][run] + L, -1)
-            gone = np.cumsum(edge)[:-1] > 0
+        for s, anchor, run in marked(Bucket(held, byte_units, SEED_BYTES, L)):
+            keep = run["low"] < s.id[s.doc[anchor]]
+            gone = covered(s, anchor[keep], run[keep])
+            data, _ = tk.buffer(s.texts)
             rows = []
             for i in range(len(s.id)):
-                lo_, hi_ = s.off[i], s.off[i + 1]
-                mask = gone[lo_:hi_]
+                lo, hi = s.off[i], s.off[i + 1]
+                mask = gone[lo:hi]
                 edges = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
                 begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-                left = s.data[lo_:hi_][~mask] if len(begin) else s.data[lo_:hi_]
-                rows.append((hi_ - lo_, int(mask.sum()), len(begin), hashlib.sha256(left.tobytes()).hexdigest(), begin.tolist(), end.tolist()))
-            cols = list(zip(*rows, strict=True))
+                left = data[lo:hi][~mask] if len(begin) else data[lo:hi]
+                rows.append((hi - lo, int(mask.sum()), len(begin), hashlib.sha256(left.tobytes()).hexdigest(), begin.tolist(), end.tolist()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([s.ids, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "from_byte", "to_byte"])
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([s.ids, *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "from_byte", "to_byte"])
 
     return by_key("bucket", handle)
 
 
+CUTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, from_byte array<long>, to_byte array<long>"
+
+
+def found_repeats(docs: DataFrame, length: int, all_: bool) -> tuple[DataFrame, DataFrame]:
+    """The bucketed texts, and the maximal repeats of stretches as packed answers to the buckets, as a written table."""
+    rows, parts = bucketed(docs)
+    stretches, seeds = shared_stretches(rows, parts, byte_units, SEED_BYTES, length, between if not all_ else repeated, content)
+    found = spill(stretches.mapInArrow(judge(length, all_), REPLY), "runs")
+    discard(seeds)
+    return rows, found
+
+
 def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (from_byte, to_byte) of every row.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. Null
     texts are empty. Rows that share a doc_id are one document as to that rule. Rows without a doc_id lose nothing and
-    are held against nothing.
-
-    All equal strings of `length` bytes own the same winnowed anchor, so stretches around anchors that several
-    documents have meet by the anchor's key, each distinct stretch once a bucket. There, the suffixes of different
-    stretches of one anchor are sorted with their common prefixes, and a stack scan of this enhanced suffix array
-    yields the intervals of the common-prefix tree whose left extensions differ: maximal repeats with all their
-    occurrences. Each occurrence above the smallest document of a repeat is cut.
+    are held against nothing. Very long texts are cut into overlapping steps of 16 MB for their anchors only.
+
+    All equal strings of `length` bytes own the same winnowed anchor, so the stretches around anchors that several
+    documents have meet by the anchor's key, each distinct stretch once a bucket, crowded keys dealt by deeper context.
+    There, the suffixes of the stretches are sorted with their common prefixes, and a stack scan of this enhanced suffix
+    array yields the intervals of the common-prefix tree whose left extensions differ: maximal repeats with all their
+    occurrences, down to the end of the stretch. Each occurrence above the smallest document of a repeat is cut.
+    Repeats longer than a stretch are the unions of those of its successive anchors.
     """
-    rows, parts = bucketed(docs)
-    keys = with_replies(rows, None).mapInArrow(offer_keys(byte_units, SEED_BYTES, length, parts), PACKET)
-    seeds = spill(parted(keys).mapInArrow(shared_values(pack48, unpack48), REPLY), "seeds", "none")
-    offers = with_replies(rows, seeds).mapInArrow(offer_snippets(length, parts), PACKET)
-    found = spill(parted(offers).mapInArrow(judge(length), REPLY), "runs")
-    discard(seeds)
-    return with_replies(rows, found).mapInArrow(cut_bytes(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, from_byte array<long>, to_byte array<long>")
+    rows, found = found_repeats(docs, length, False)
+    return with_replies(rows, found).mapInArrow(cut_bytes(length), CUTS)
