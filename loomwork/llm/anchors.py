@@ -15,6 +15,7 @@ collision is an error, never a result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -250,8 +251,8 @@ def unequal(data: np.ndarray, start: np.ndarray, size: np.ndarray, model: np.nda
 COLLISION = "stretches of different units share a 64-bit name"
 
 
-def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs as (bucket, kind 1, doc_id, text, null) rows, and the number of parts of the key space.
+def bucketed(docs: DataFrame) -> tuple[DataFrame, Sizes]:
+    """docs as (bucket, kind 1, doc_id, text, null) rows, and the parts and tasks of the exchanges.
 
     The bytes of a bucket grow with the root of all bytes, so that buckets times parts, the number of packed rows,
     stays in proportion to the input, up to 16 MB, so that a bucket always fits its task (a longer text stands alone).
@@ -263,19 +264,30 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     id_ = F.col("doc_id").cast("long")
     bucket = F.pmod(F.xxhash64(F.coalesce(id_, F.xxhash64("text"))), F.lit(buckets))
     none = F.lit(None).cast("binary")
-    return docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), id_.alias("doc_id"), "text", none.alias("blob")), parts
+    rows = docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), id_.alias("doc_id"), "text", none.alias("blob"))
+    return rows, Sizes(parts, max(shuffle_partitions(docs.sparkSession), total // TASK_BYTES))
 
 
-def with_replies(rows: DataFrame, replies: DataFrame | None) -> DataFrame:
+TASK_BYTES = 1 << 23  # bytes of text for each task of an exchange
+
+
+class Sizes(NamedTuple):
+    """Parts of the key space, and tasks over which buckets and parts are dealt."""
+
+    parts: int
+    tasks: int
+
+
+def with_replies(rows: DataFrame, replies: DataFrame | None, sizes: Sizes) -> DataFrame:
     """The rows of each bucket together, its replies first."""
     if replies is not None:
         none = F.lit(None)
         rows = rows.union(replies.select("bucket", F.lit(0), none.cast("long"), none.cast("string"), "blob"))
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+    return rows.repartition(sizes.tasks, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def parted(packed: DataFrame) -> DataFrame:
-    return packed.repartition(shuffle_partitions(packed.sparkSession), "part").sortWithinPartitions("part")
+def parted(packed: DataFrame, sizes: Sizes) -> DataFrame:
+    return packed.repartition(sizes.tasks, "part").sortWithinPartitions("part")
 
 
 def key48(key: np.ndarray) -> np.ndarray:
@@ -477,9 +489,9 @@ def covered(s: Slice, anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def shared_stretches(rows: DataFrame, parts: int, units: Callable, k: int, L: int, shared: Callable, content: Callable) -> tuple[DataFrame, DataFrame]:
+def shared_stretches(rows: DataFrame, sizes: Sizes, units: Callable, k: int, L: int, shared: Callable, content: Callable) -> tuple[DataFrame, DataFrame]:
     """Packets of the stretches around shared anchors, parted; and the table behind them, to discard when done."""
-    keys = with_replies(rows, None).mapInArrow(offer_keys(units, k, L, parts), PACKET)
-    seeds = spill(parted(keys).mapInArrow(by_key("part", shared_keys), REPLY), "seeds", "none")
-    offers = with_replies(rows, seeds).mapInArrow(offer_stretches(units, k, L, parts, shared, content), PACKET)
-    return parted(offers), seeds
+    keys = with_replies(rows, None, sizes).mapInArrow(offer_keys(units, k, L, sizes.parts), PACKET)
+    seeds = spill(parted(keys, sizes).mapInArrow(by_key("part", shared_keys), REPLY), "seeds", "none")
+    offers = with_replies(rows, seeds, sizes).mapInArrow(offer_stretches(units, k, L, sizes.parts, shared, content), PACKET)
+    return parted(offers, sizes), seeds

@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import contextlib
-import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share (see session.shared_folder())."""
+    return shared_folder(spark)
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,12 +50,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of finished jobs whose frames are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,6 +91,36 @@ def in_slices(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str
     return run
 
 
+def members_then_visitors(key: str, handle: Callable):
+    """A function for mapInArrow over rows sorted by (key, kind): the rows of kind 0 of a key are held, those of kind 1
+    pass by, batch after batch. handle(table of kind 0) returns a function of a batch of kind 1 that yields batches, and
+    is called with null at the key's end; keys without both kinds are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, visit = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (key, "kind"))
+            cuts = [0, *((keys[1:] != keys[:-1]) | (kind[1:] != kind[:-1])).nonzero()[0] + 1, len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[lo] != now:
+                    if visit:
+                        yield from visit(None)
+                    now, held, visit = keys[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    held.append(part)
+                elif held or visit:
+                    if not visit:
+                        visit, held = handle(pa.Table.from_batches(held)), []
+                    yield from visit(part)
+        if visit:
+            yield from visit(None)
+
+    return run
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list as (id, component), component the smallest id.
 
@@ -108,7 +128,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     centres are the minima. Every step is a partial aggregation and a join, written to the shared folder.
     Nodes without edges are absent.
     """
-    spark = edges.sparkSession
     now = spill(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct(), "edges")
     known = None
     for _ in range(rounds):
@@ -125,7 +144,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         known = (mark.n, mark.h)
     else:
         raise RuntimeError("components did not converge")
-    release(spark)
     return now.select(F.col("v").alias("id"), F.col("u").alias("component")).union(now.select("u", "u").distinct())
 
 
@@ -144,6 +162,34 @@ def smallest(df: DataFrame, order: list, n: int) -> DataFrame:
     return df.orderBy(F.pmod(order[0], F.lit(1 << 40)), *order[1:]).limit(n)
 
 
+def chosen_texts(docs: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+    """The rows of docs (keys and text) that a bounded table of distinct keys names, one for each of its rows.
+
+    However often docs repeats a key, one text stands for it (the one of the smallest hash), so the bound of the table
+    is a bound of the rows.
+    """
+    names = [f"k{i}__" for i in range(len(keys))]
+    right = chosen.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    met = docs.where("text is not null").select(*keys, "text").join(F.broadcast(right), same)
+    rest = [c for c in chosen.columns if c not in keys]
+    return met.groupBy(*keys, *rest).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def first_of_each(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
+    """The n rows of each group that come first by hashed order columns, order[0] a 64-bit hash.
+
+    As in smallest(), rows whose hash can hardly be among the first of their group are filtered out first, so that a
+    group's window meets little more than n rows, however many the group has and over however many partitions.
+    """
+    place = F.pmod(order[0], F.lit(1 << 40))
+    most = df.groupBy(group).agg(F.count("*").alias("n__")).withColumnRenamed(group, "g__")
+    most = most.select("g__", F.least(F.lit(1.0), (F.lit(1.5 * n + 100)) / F.col("n__")).alias("share__"))
+    few = df.join(most, F.col(group).eqNullSafe(F.col("g__"))).where(place < F.col("share__") * (1 << 40)).drop("g__", "share__")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(place, *order[1:]))
+    return few.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that df doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -151,8 +151,8 @@ def repeats(docs: DataFrame, words: int = 35) -> DataFrame:
     left, over the words themselves, and extents of `words` words or more are kept. Extents of successive seeds that
     touch make up the maximal repeats.
     """
-    rows, parts = bucketed(docs)
-    stretches, seeds = shared_stretches(rows, parts, word_units, SEED_WORDS, words, repeated, content)
+    rows, sizes = bucketed(docs)
+    stretches, seeds = shared_stretches(rows, sizes, word_units, SEED_WORDS, words, repeated, content)
     found = spill(stretches.mapInArrow(extend(words), REPLY), "extents")
     discard(seeds)
-    return with_replies(rows, found).mapInArrow(cut_repeats(words), CUTS)
+    return with_replies(rows, found, sizes).mapInArrow(cut_repeats(words), CUTS)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import tokens as tk
-from .anchors import REPLY, Bucket, Meeting, between, bucketed, by_key, covered, distinct, marked, repeated, roll, shared_stretches, with_replies
+from .anchors import REPLY, Bucket, Meeting, Sizes, between, bucketed, by_key, covered, distinct, marked, repeated, roll, shared_stretches, with_replies
 from .common import discard, spill
 
 SEED_BYTES = 16
@@ -165,13 +165,13 @@ def cut_bytes(L: int):
 CUTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, from_byte array<long>, to_byte array<long>"
 
 
-def found_repeats(docs: DataFrame, length: int, all_: bool) -> tuple[DataFrame, DataFrame]:
+def found_repeats(docs: DataFrame, length: int, all_: bool) -> tuple[DataFrame, Sizes, DataFrame]:
     """The bucketed texts, and the maximal repeats of stretches as packed answers to the buckets, as a written table."""
-    rows, parts = bucketed(docs)
-    stretches, seeds = shared_stretches(rows, parts, byte_units, SEED_BYTES, length, between if not all_ else repeated, content)
+    rows, sizes = bucketed(docs)
+    stretches, seeds = shared_stretches(rows, sizes, byte_units, SEED_BYTES, length, between if not all_ else repeated, content)
     found = spill(stretches.mapInArrow(judge(length, all_), REPLY), "runs")
     discard(seeds)
-    return rows, found
+    return rows, sizes, found
 
 
 def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -188,5 +188,5 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     occurrences, down to the end of the stretch. Each occurrence above the smallest document of a repeat is cut.
     Repeats longer than a stretch are the unions of those of its successive anchors.
     """
-    rows, found = found_repeats(docs, length, False)
-    return with_replies(rows, found).mapInArrow(cut_bytes(length), CUTS)
+    rows, sizes, found = found_repeats(docs, length, False)
+    return with_replies(rows, found, sizes).mapInArrow(cut_bytes(length), CUTS)
