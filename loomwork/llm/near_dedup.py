@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .anchors import by_key
-from .common import components, discard, fresh, in_slices, release, shuffle_partitions, spill
+from .common import components, discard, fresh, in_slices, members_then_visitors, shuffle_partitions, spill
 
 REGISTERS, BANDS, ROWS = 160, 32, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -57,7 +56,7 @@ PRIME = 163  # so that an affine map permutes; points beyond REGISTERS are unuse
 
 
 def sketches():
-    """Of (doc_id, text): n_shingles, a 128-bit signature of the shingle set, and the registers."""
+    """Of (doc_id, fp, text): n_shingles, a 128-bit signature of the shingle set, and the registers."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, off = tk.buffer(batch.column("text"))
@@ -67,7 +66,9 @@ def sketches():
         pad = np.append(values, np.uint64(0))
         total = lambda x: np.where(size > 0, np.add.reduceat(x, np.minimum(at[:-1], len(values))), np.uint64(0))
         registers = sketch(values, at)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), tk.long_array(total(tk.mix(pad))), tk.long_array(total(tk.mix(pad * np.uint64(3) + np.uint64(1)))), pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "registers"])
+        signature = (tk.long_array(total(tk.mix(pad * np.uint64(m) + np.uint64(m // 2)))) for m in (1, 3))
+        cols = [batch.column("doc_id"), batch.column("fp"), pa.array(size.astype(np.int64)), *signature, pa.array([r.tobytes() for r in registers], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_shingles", "s1", "s2", "registers"])
 
     return of
 
@@ -154,50 +155,57 @@ def compare_blocks(percent: int):
     """Visitors against the members of a block: of (place, kind 0 member or 1 visitor, rep, c, n, registers, shingles),
     the links (a, b) of visitors to members of other components, one for each visitor and component that it reaches.
 
-    Sizes and registers rule most pairs out; the rest is counted exactly, over an index of the members' shingles.
+    The block's members are held, visitors pass by. Sizes and registers rule most pairs out; the rest is counted
+    exactly, over an index of the members' shingles.
     """
 
-    def handle(place: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        kind = rows.column("kind").to_numpy()
-        cut = int(np.searchsorted(kind, 1))
-        if not cut or cut == len(kind):
-            return
-        rep, c, n = (rows.column(x).to_numpy() for x in ("rep", "c", "n"))
-        regs, sets = rows.column("registers"), rows.column("shingles")
-        mine = np.frombuffer(b"".join(regs.slice(0, cut).to_pylist()), np.uint16).reshape(cut, REGISTERS)
-        tokens = np.frombuffer(b"".join(sets.slice(0, cut).to_pylist()), np.uint64)
-        owner = np.repeat(np.arange(cut), n[:cut])
+    def handle(block: pa.Table):
+        cut = block.num_rows
+        reps, cs, ns = (block.column(x).to_numpy() for x in ("rep", "c", "n"))
+        mine = np.frombuffer(b"".join(block.column("registers").to_pylist()), np.uint16).reshape(cut, REGISTERS)
+        tokens = np.frombuffer(b"".join(block.column("shingles").to_pylist()), np.uint64)
+        owner = np.repeat(np.arange(cut), ns)
         order = np.argsort(tokens, kind="stable")
         owner = owner[order]
         known, first = np.unique(tokens[order], return_index=True)
         ends = np.append(first[1:], len(order))
-        out = []
-        for v in range(cut, len(kind)):
-            fair = (c[:cut] != c[v]) & (100 * np.minimum(n[:cut], n[v]) >= percent * np.maximum(n[:cut], n[v]))
-            maybe = np.flatnonzero(fair)
-            if not len(maybe):
-                continue
-            own = np.frombuffer(regs[v].as_py(), np.uint16)[None, :]
-            gap = joint_likelihood(*counts_of(mine[maybe], own), n[maybe].astype(float), np.full(len(maybe), float(n[v])), percent / 100)
-            maybe = maybe[gap <= SURE]
-            if not len(maybe):
-                continue
-            x = np.frombuffer(sets[v].as_py(), np.uint64)
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            at = at[known[at] == x]
-            both = np.bincount(owner[tk.ranges(first[at], ends[at] - first[at])], minlength=cut)[maybe]
-            hit = maybe[100 * both >= percent * (n[maybe] + n[v] - both)]
-            _, pick = np.unique(c[hit], return_index=True)
-            out += [(int(rep[v]), int(rep[m])) for m in hit[pick]]
-        if out:
-            a, b = np.array(out).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return by_key("place", handle)
-
-
-BLOCK = 512
+
+        def visit(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+            if batch is None:
+                return
+            rep, c, n = (batch.column(x).to_numpy() for x in ("rep", "c", "n"))
+            out = []
+            for v in range(batch.num_rows):
+                fair = (cs != c[v]) & (100 * np.minimum(ns, n[v]) >= percent * np.maximum(ns, n[v]))
+                maybe = np.flatnonzero(fair)
+                if not len(maybe):
+                    continue
+                own = np.frombuffer(batch.column("registers")[v].as_py(), np.uint16)[None, :]
+                gap = joint_likelihood(*counts_of(mine[maybe], own), ns[maybe].astype(float), np.full(len(maybe), float(n[v])), percent / 100)
+                maybe = maybe[gap <= SURE]
+                if not len(maybe):
+                    continue
+                x = np.frombuffer(batch.column("shingles")[v].as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                at = at[known[at] == x]
+                both = np.bincount(owner[tk.ranges(first[at], ends[at] - first[at])], minlength=cut)[maybe]
+                hit = maybe[100 * both >= percent * (ns[maybe] + n[v] - both)]
+                _, pick = np.unique(cs[hit], return_index=True)
+                out += [(int(rep[v]), int(reps[m])) for m in hit[pick]]
+            if out:
+                a, b = np.array(out).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        return visit
+
+    return members_then_visitors("place", handle)
+
+
+#: Members that a block of a cluster holds. A cluster with m members outside its hub's component sends each of them to
+#: about (all + m / 2) / BLOCK blocks.
+BLOCK = 2048
+#: Hubs that hold more than this share (one of so many) of all members count as crowded; so at most so many do.
+MOST_HOT = 10_000
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -211,28 +219,35 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     are in one component by then need no test. The others of a cluster visit all members of other components, in
     blocks, and only links leave the task. So a large group of copies costs a link or two for each member, and no pair
     that shares a band and could still join two components goes untested. With 32 bands of 5 registers a pair at 0.8
-    shares none with a probability of 3e-6.
+    shares none with a probability of 3e-6. A cluster whose members aren't similar costs the square of its size in
+    comparisons, spread over its blocks; each task holds one block and streams the visitors.
 
     A null or blank text has an empty set and no links. A null doc_id is linked with nothing, its component is null
-    and it is kept. Identical rows share a doc_id and so a component; all of them count as kept if one does.
+    and it is kept. Identical rows share a doc_id and so a component; all of them count as kept if one does. Of rows
+    that share a doc_id but not the text, each is in the class of its own set; where the id stands for several classes,
+    the set of the smallest signature is compared for it. Very long texts are sketched and compared as a whole.
     """
     spark = docs.sparkSession
     of = sketches()
     of.k = k
-    base = spill(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(in_slices(of), "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
-    named = base.where("doc_id is not null and n_shingles > 0")
-    classes = spill(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = spill(named.join(classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "registers"), "reps")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+    base = spill(named.mapInArrow(in_slices(of), "doc_id long, fp long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
+    signature = ["s1", "s2", "n_shingles"]
+    some = base.where("doc_id is not null and n_shingles > 0")
+    classes = spill(some.groupBy(signature).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    first = some.join(classes.select(*signature, F.col("rep").alias("doc_id")), [*signature, "doc_id"])
+    first = first.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct(*signature, "fp", "registers")).alias("m"))
+    reps = spill(first.select("rep", F.col("m.n_shingles").alias("n"), F.col("m.fp").alias("fp"), F.col("m.registers").alias("registers")), "reps")
     rows = reps.select("rep", "registers").mapInArrow(band_rows, "key long, rep long")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = spill(rows.join(shared, "key"), "bands")
     degree = rows.groupBy("rep").agg(F.sum("size").alias("degree"))
     hubs = rows.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"))
     stars = spill(rows.join(hubs, "key").where("rep != hub").select("hub", "rep").distinct(), "stars")
-    used = rows.select("rep").distinct()
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(used, "rep", "left_semi")
-    own = spill(texts.mapInArrow(shingle_sets(k), "rep long, shingles binary").dropDuplicates(["rep"]).join(reps, "rep"), "sets")
-    release(spark)
+    used = reps.join(rows.select("rep").distinct(), "rep", "left_semi")
+    texts = named.where("text is not null").withColumnRenamed("doc_id", "rep").join(used.select("rep", "fp"), ["rep", "fp"], "left_semi")
+    sets = texts.select("rep", "text").mapInArrow(shingle_sets(k), "rep long, shingles binary").dropDuplicates(["rep"])
+    own = spill(sets.join(used.drop("fp"), "rep"), "sets")
 
     left = own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
@@ -245,27 +260,46 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def labelled(df: DataFrame, name: str, to: str) -> DataFrame:
         return df.join(label.select(F.col("id").alias(name), F.col("component").alias(f"{to}__")), name, "left").withColumn(to, F.coalesce(f"{to}__", name)).drop(f"{to}__")
 
-    members = labelled(stars.union(stars.select("hub", F.col("hub").alias("rep"))).distinct(), "rep", "c")
-    members = labelled(members, "hub", "hc").withColumn("apart", F.col("c") != F.col("hc"))
-    mixed = members.groupBy("hub").agg(F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside")).where("outside > 0")
-    members = spill(members.join(mixed, "hub").select("hub", "rep", "c", "apart", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob")), "clusters")
+    members = spill(labelled(stars.union(stars.select("hub", F.col("hub").alias("rep")).distinct()), "rep", "c"), "members")
+    # one hub may have a third of all classes: members of such hubs, MOST_HOT at most, aren't dealt by hub but told its facts
+    crowd = F.greatest(F.lit(2 * BLOCK), F.lit(members.count() // MOST_HOT))
+    hot = spill(members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("hub"), "hot")
+
+    def told_of_hub(some: DataFrame, small) -> DataFrame:
+        centre = labelled(some.select("hub").distinct(), "hub", "hc")
+        some = some.join(small(centre), "hub").withColumn("apart", F.col("c") != F.col("hc"))
+        sums = some.groupBy("hub").agg(F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside")).where("outside > 0")
+        sums = sums.select("hub", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob"))
+        return some.join(small(sums), "hub").select("hub", "rep", "c", "apart", "ib", "ob")
+
+    ordinary = told_of_hub(members.join(F.broadcast(hot), "hub", "left_anti"), lambda df: df)
+    crowded = told_of_hub(members.join(F.broadcast(hot), "hub", "left_semi"), F.broadcast)
+    clusters = spill(ordinary.union(crowded), "clusters")
+    discard(members, hot)
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    dealt = members.select("hub", "rep", "c", F.lit(0).alias("kind"), F.when(F.col("apart"), F.col("ib") + block("ob")).otherwise(block("ib")).alias("block"))
-    visits = members.where("apart").select("hub", "rep", "c", F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ib") + F.col("ob") - 1)).alias("block"))
+    home = F.when(F.col("apart"), F.col("ib") + block("ob")).otherwise(block("ib"))
+    dealt = clusters.select("hub", "rep", "c", F.lit(0).alias("kind"), home.alias("block"))
+    # all blocks of the hub's component, and of the others those from the visitor's own on, so that each pair meets once
+    to = F.filter(F.sequence(F.lit(0).cast("long"), F.col("ib") + F.col("ob") - 1), lambda b: (b < F.col("ib")) | (b >= home))
+    visits = clusters.where("apart").select("hub", "rep", "c", F.lit(1).alias("kind"), F.explode(to).alias("block"))
     placed = dealt.union(visits).select(F.xxhash64("hub", "block").alias("place"), "kind", "rep", "c").join(own, "rep")
     met = placed.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(compare_blocks(percent), "a long, b long")
+    met = spill(met, "met")
     early, label = label, spill(components(links.union(met)), "labels")
-    discard(early, rows, stars, own, links, members, reps)
+    discard(early, rows, stars, own, links, met, clusters, reps)
     final = labelled(classes, "rep", "component")
     lone = final.where("copies = 1 and rep = component").select("rep")  # nothing to tell these documents
-    told = final.join(lone, "rep", "left_anti").select("s1", "s2", "n_shingles", "component")
-    out = base.select("doc_id", "n_shingles", "s1", "s2").join(told, ["s1", "s2", "n_shingles"], "left")
+    told = final.join(lone, "rep", "left_anti").select(*signature, "component")
+    out = base.select("doc_id", *signature).join(told, signature, "left")
     best = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", best.alias("component_id"), F.coalesce(F.col("doc_id") == best, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the members of near-duplicate groups, but for the smallest doc_id of each; columns unchanged."""
+    """docs without the members of near-duplicate groups, but for the smallest doc_id of each; columns unchanged.
+
+    Rows without a doc_id or a word are kept, and so are all rows that repeat a kept doc_id (see groups()).
+    """
     (name,) = fresh(docs, "gone__")
     gone = groups(docs, k, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
