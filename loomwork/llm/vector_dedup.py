@@ -12,30 +12,28 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .anchors import by_key
-from .common import components, shuffle_partitions, smallest, spill
+from .common import components, members_then_visitors, shuffle_partitions, smallest, spill
 
-MOST_CODES = 1024  # codes of a half; cells are at most its square, and so is what the driver gathers about them
-BLOCK = 1024  # members of a cell that one task compares at a time
+MOST_CODES = 4096  # codes of a half; cells are at most its square
+BLOCK_BYTES = 1 << 24  # vectors of a cell that a task holds at a time
+VISITORS = 1024  # vectors that are compared with these at a time
 QUERIES = 512  # vectors that a task compares with a batch at a time
 EVERY = 8192  # vectors that go to all tasks at a time where all pairs are compared
 VECTOR = "rep long, weight long, v binary"
 
 
-def unit_rows(dim: int):
-    """Of (vec_id, embedding): the usable vectors of that dimension, a 128-bit hash of each and its float64 bytes.
+def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (vec_id, embedding): the usable vectors, their dimension, a 128-bit hash of each and its float64 bytes.
 
-    Null, zero and other vectors, and those with null or non-finite components, are left out.
+    Null, empty and zero vectors, and those with null or non-finite components, are left out.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = batch.column("embedding")
-            ids, rows = [], []
-            for i, v in zip(batch.column("vec_id").to_pylist(), col.to_pylist(), strict=True):
-                if i is not None and v is not None and len(v) == dim and None not in v:
-                    ids.append(i)
-                    rows.append(v)
-            x = np.array(rows, np.float64).reshape(-1, dim)
+    for batch in batches:
+        by_dim: dict[int, list] = {}
+        for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+            if i is not None and v and None not in v:
+                by_dim.setdefault(len(v), []).append((i, v))
+        for dim, some in by_dim.items():
+            ids, x = [i for i, _ in some], np.array([v for _, v in some], np.float64)
             with np.errstate(all="ignore"):
                 scale = np.abs(x).max(axis=1, initial=0)
                 fine = np.isfinite(x).all(axis=1) & (scale > 0)
@@ -44,11 +42,11 @@ def unit_rows(dim: int):
                 continue
             flat = np.ascontiguousarray(x).view(np.uint8).reshape(-1)
             at = np.arange(len(x), dtype=np.int64) * 8 * dim
+            hashes = (tk.long_array(tk.hash_spans(flat, at, at + 8 * dim, j)) for j in (0, 1))
             y = x / scale[fine][:, None]
             y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(tk.long_array(tk.hash_spans(flat, at, at + 8 * dim, j)) for j in (0, 1)), pa.array([r.tobytes() for r in y], pa.binary())], ["vec_id", "h1", "h2", "v"])
-
-    return run
+            cols = [pa.array(ids), pa.array(np.full(len(x), dim, np.int32)), *hashes, pa.array([r.tobytes() for r in y], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "h1", "h2", "v"])
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -170,7 +168,21 @@ def calibrated(reps: DataFrame, grid: Grid, ids: np.ndarray, x: np.ndarray, n: i
     return min(2 * int(np.ceil(1.2**step)) + 1, grid.width * len(grid.books[0]))
 
 
-def dealt(grid: Grid, n: int, blocks: np.ndarray):
+class Blocks:
+    """How many blocks each cell has: 1 but for the crowded cells, which are listed."""
+
+    def __init__(self, cells: np.ndarray, blocks: np.ndarray):
+        order = np.argsort(cells)
+        self.cells, self.blocks = cells[order], blocks[order]
+
+    def __getitem__(self, cell: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.ones(cell.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, self.blocks[at], 1)
+
+
+def dealt(grid: Grid, n: int, blocks: Blocks):
     """Of the vectors: a row for the block of its own cell (kind 0), and one for each block of each visited cell (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +206,7 @@ def dealt(grid: Grid, n: int, blocks: np.ndarray):
     return run
 
 
-BLOCK_KEYS = 1 << 40
+BLOCK_KEYS = 1 << 32
 
 
 def rows(a: np.ndarray, n: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
@@ -260,40 +272,38 @@ def compare(dim: int, threshold: float):
     Edges that only repeat a connection within the block are left out.
     """
 
-    def handle(place: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        kind = table.column("kind").to_numpy()
-        cut = int(np.searchsorted(kind, 1))
-        if not cut or cut == len(kind):
-            return
-        pick = lambda name, part: table.column(name).slice(*part).combine_chunks()
-        members = (0, cut)
-        y, ids, weight = matrix(pick("v", members), dim), pick("rep", members).to_numpy(), pick("weight", members).to_numpy()
-        lists = pick("visits", members).to_pylist()
-        known = np.frombuffer(b"".join(lists), np.int32).reshape(cut, -1)
-        group, credit, links = np.arange(cut), np.zeros(cut, np.int64), []
-        for at in range(cut, len(kind), BLOCK):
-            part = (at, min(BLOCK, len(kind) - at))
-            x, own, w, cell = matrix(pick("v", part), dim), pick("rep", part).to_numpy(), pick("weight", part).to_numpy(), pick("cell", part).to_numpy()
-            link = (x @ y.T >= threshold) & (own[:, None] != ids[None, :])
-            some = np.flatnonzero(link.any(axis=1))
-            if not len(some):
-                continue
-            link = link[some]
-            gained = link @ weight
-            yield rows(own[some], gained, np.zeros(len(some), np.int64), np.zeros(len(some), np.int32))
-            for c in np.unique(cell[some]):
-                mine = cell[some] == c
-                away = ~(known == c).any(axis=1)
-                credit += np.where(away, link[mine].T @ w[some][mine], 0)
-            links += connecting(group, own[some], ids, link)
-        late = np.flatnonzero(credit)
-        yield rows(ids[late], credit[late], np.zeros(len(late), np.int64), np.zeros(len(late), np.int32))
-        if links:
-            a, b = np.array(links).T
-            yield rows(a, np.zeros(len(a), np.int64), b, np.ones(len(a), np.int32))
-
-    return by_key("place", handle)
+    def handle(block: pa.Table):
+        pick = lambda name: block.column(name).combine_chunks()
+        cut = block.num_rows
+        y, ids, weight = matrix(pick("v"), dim), pick("rep").to_numpy(), pick("weight").to_numpy()
+        known = np.frombuffer(b"".join(pick("visits").to_pylist()), np.int32).reshape(cut, -1)
+        group, credit = np.arange(cut), np.zeros(cut, np.int64)
+
+        def visit(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+            if batch is None:
+                late = np.flatnonzero(credit)
+                yield rows(ids[late], credit[late], np.zeros(len(late), np.int64), np.zeros(len(late), np.int32))
+                return
+            for at in range(0, batch.num_rows, VISITORS):
+                part = batch.slice(at, VISITORS)
+                x = matrix(part.column("v"), dim)
+                own, w, cell = (part.column(c).to_numpy() for c in ("rep", "weight", "cell"))
+                link = (x @ y.T >= threshold) & (own[:, None] != ids[None, :])
+                some = np.flatnonzero(link.any(axis=1))
+                if not len(some):
+                    continue
+                link = link[some]
+                yield rows(own[some], link @ weight, np.zeros(len(some), np.int64), np.zeros(len(some), np.int32))
+                for c in np.unique(cell[some]):
+                    mine = cell[some] == c
+                    away = ~(known == c).any(axis=1)
+                    credit[:] += np.where(away, link[mine].T @ w[some][mine], 0)
+                a, b = np.array(connecting(group, own[some], ids, link)).T
+                yield rows(a, np.zeros(len(a), np.int64), b, np.ones(len(a), np.int32))
+
+        return visit
+
+    return members_then_visitors("place", handle)
 
 
 def cell_pairs(reps: DataFrame, grid: Grid, visits: int, threshold: float) -> DataFrame:
@@ -304,46 +314,70 @@ def cell_pairs(reps: DataFrame, grid: Grid, visits: int, threshold: float) -> Da
             cell, many = np.unique(grid.cells(matrix(batch.column("v"), grid.dim)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(many.astype(np.int64))], ["cell", "n"])
 
-    blocks = np.ones(grid.width * len(grid.books[0]), np.int64)
-    for r in reps.select("v").mapInArrow(cell_rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).collect():
-        blocks[r.cell] = -(-r.n // BLOCK)
+    size = max(256, BLOCK_BYTES // (8 * grid.dim))
+    sizes = reps.select("v").mapInArrow(cell_rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    crowded = sizes.where(F.col("n") > size).collect()  # a bounded share of the rows: one for each `size` of them at most
+    blocks = Blocks(np.array([r.cell for r in crowded], np.int64), np.array([-(-r.n // size) for r in crowded], np.int64))
     rows = reps.mapInArrow(dealt(grid, visits, blocks), "place long, kind int, rep long, weight long, v binary, cell long, visits binary")
     return spill(rows.repartition(shuffle_partitions(reps.sparkSession), "place").sortWithinPartitions("place", "kind").mapInArrow(compare(grid.dim, threshold), LINKS), "links")
 
 
-def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.999, codes: int | None = None, sample: int = 8192, queries: int = 512, enough: int = 256) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row with a vec_id; a null vec_id keeps its row with no links.
+SMALL = 4096  # up to so many classes of one dimension are compared in one task, all with all
 
-    Vectors of any scale are compared by cosine in double precision. Equal vectors are one class, whose members are
-    linked with each other; the classes are indexed, all of them. Codebooks come from at most `sample` classes. The
-    number of cells to visit is twice the least that finds target_recall of the true neighbours of sampled classes,
-    which are compared with all others, `queries` at first and up to `sample` (see calibrated()); a link found from
-    either side counts for both, so the recall of links is higher. If fewer than `enough` unrelated ones of the sample
-    have neighbours, all pairs are compared instead and no link is missed, at a cost that grows with the square of
-    the classes. Vectors that are null, zero or hold null or non-finite components link with nothing, nor do those of
-    another dimension than the commonest (the larger, if two are). A repeated vec_id with equal vectors is one vector.
-    """
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    shape = base.where("vec_id is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    none = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if shape is None:
-        return none
-    dim = shape.d
-    usable = spill(base.mapInArrow(unit_rows(dim), "vec_id long, h1 long, h2 long, v binary").dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
-    sizes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    reps = spill(usable.withColumnRenamed("vec_id", "rep").join(sizes, ["h1", "h2", "rep"]).select("rep", "weight", "v"), "classes")
-    n = reps.count()
-    if not n:
-        return none
+
+def within(threshold: float):
+    """All pairs of the classes of one dimension, in blocks: of rows (dim, rep, weight, v) sorted by dim."""
+
+    def handle(dim: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(held)
+        x = matrix(block.column("v").combine_chunks(), dim)
+        own = block.column("rep").to_numpy()
+        yield from against_all(dim, threshold, own, x)(iter(block.combine_chunks().to_batches()))
+
+    return by_key("dim", handle)
+
+
+def links_of(reps: DataFrame, dim: int, n: int, codes: int | None, sample: int, queries: int, enough: int, threshold: float, target: float) -> DataFrame:
+    """The links among the n classes of one dimension, by an index of their own."""
     codes = codes or int(np.clip(np.sqrt(n / 48), 2, MOST_CODES))
-    chosen = smallest(reps, [F.xxhash64("rep"), "rep"], sample).collect()
+    chosen = smallest(reps, [F.xxhash64("rep"), "rep"], max(sample, 2 * codes)).collect()
     x = np.frombuffer(b"".join(bytes(r.v) for r in chosen), np.float64).reshape(-1, dim)
     grid = Grid(x, codes)
-    visits = calibrated(reps, grid, np.array([r.rep for r in chosen], np.int64), x, n, threshold, target_recall, queries, enough)
-    met = all_pairs(reps, dim, threshold) if visits is None else cell_pairs(reps, grid, visits, threshold)
+    visits = calibrated(reps, grid, np.array([r.rep for r in chosen], np.int64), x, n, threshold, target, queries, enough)
+    return all_pairs(reps, dim, threshold) if visits is None else cell_pairs(reps, grid, visits, threshold)
+
+
+def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.999, codes: int | None = None, sample: int = 8192, queries: int = 512, enough: int = 256, small: int = SMALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row with a vec_id; a null vec_id keeps its row with no links.
+
+    Vectors of any scale are compared by cosine in double precision, each dimension apart. Equal vectors are one class,
+    whose members are linked with each other. Dimensions of up to `small` classes are compared whole, a task for each;
+    the classes of any other are indexed, all of them. Codebooks come from at most `sample` classes (twice the number of
+    codes, if that is more). The number of cells to visit is twice the least that finds target_recall of the true
+    neighbours of sampled classes, which are compared with all others, `queries` at first and up to `sample` (see
+    calibrated()); a link found from either side counts for both, so the recall of links is higher. If fewer than
+    `enough` unrelated ones of the sample have neighbours, all pairs are compared instead and no link is missed, at a
+    cost that grows with the square of the classes. Vectors that are null, empty, zero or hold null or non-finite
+    components link with nothing. A repeated vec_id with equal vectors is one vector; one with different vectors is
+    linked as each of them.
+    """
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    usable = base.mapInArrow(unit_rows, "vec_id long, dim int, h1 long, h2 long, v binary").dropDuplicates(["vec_id", "dim", "h1", "h2"])
+    usable = spill(usable, "vectors")
+    key = ["dim", "h1", "h2"]
+    sizes = usable.groupBy(key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    reps = spill(usable.withColumnRenamed("vec_id", "rep").join(sizes, [*key, "rep"]).select("dim", "rep", "weight", "v"), "classes")
+    per_dim = reps.groupBy("dim").count()
+    many = {r.dim: r["count"] for r in per_dim.where(F.col("count") > small).collect()}  # one for each `small` rows at most
+    few = reps.where(~F.col("dim").isin(*many)) if many else reps
+    few = few.repartition(shuffle_partitions(few.sparkSession), "dim").sortWithinPartitions("dim")
+    met = spill(few.mapInArrow(within(threshold), LINKS), "links")
+    for dim, n in sorted(many.items()):
+        own = reps.where(F.col("dim") == dim).select("rep", "weight", "v")
+        met = met.union(links_of(own, dim, n, codes, sample, queries, enough, threshold, target_recall))
     degree = met.where("edge = 0").groupBy("id").agg(F.sum("n").alias("n"))
     label = components(met.where("edge = 1").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = usable.select("vec_id", "h1", "h2").join(sizes, ["h1", "h2"]).join(degree.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    named = usable.select("vec_id", *key).join(sizes, key).join(degree.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     linked = named.groupBy(F.col("vec_id").alias("id__")).agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.min(F.coalesce("component", "rep")).alias("c"))
     out = base.select("vec_id").join(linked, F.col("vec_id") == F.col("id__"), "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"))
