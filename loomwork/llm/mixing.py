@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, spill
+from .common import discard, fresh, held_out, spill
 
 BUCKETS = 1 << 12
 
@@ -76,13 +76,20 @@ def posteriors(docs: DataFrame, label: str = "lang", most: int = 4000) -> tuple[
     return domains, raised.select("doc_id", "fp", "n_tokens", *(F.expr(f"e{i} / ({' + '.join(f'e{j}' for j in range(k))})").alias(f"p{i}") for i in range(k)))
 
 
-def fit_rates(table: DataFrame, k: int, target: np.ndarray, rounds: int = 30, tolerance: float = 1e-5) -> tuple[Column, np.ndarray]:
-    """The rate of a row of (n_tokens, p0 ...), and the token shares that the rates are expected to give.
+#: Rounds after which the rates so far are written, so that the expression of a rate stays short.
+WRITTEN = 12
+
+
+def fit_rates(table: DataFrame, k: int, target: np.ndarray, rounds: int = 240, tolerance: float = 1e-5) -> tuple[DataFrame, np.ndarray]:
+    """table (n_tokens, p0 ...) with a column `rate`, and the token shares that the rates are expected to give.
 
     Minimizes |M^(1/2) (sum of rate * tokens * p - target * all tokens)|^2 over rates >= 0 from rates of 1, where M is
     the inverse of the second moments of p by tokens. In the metric that weighs documents by their tokens the gradient
     of a document is p . M residual and the Lipschitz constant 1, so the step is 1. Each round is one aggregation of k
-    sums; the rate is an expression of the rounds so far, so no state is stored or moved.
+    sums; the rate is an expression of the rounds since the rates were last written.
+
+    It ends when the targets are met, or when the objective has come to rest above 0: then rates >= 0 can't meet them,
+    and these come closest. If neither is so after `rounds` rounds, that is an error.
     """
     p = [F.col(f"p{i}") for i in range(k)]
     t = F.col("n_tokens").cast("double")
@@ -90,18 +97,28 @@ def fit_rates(table: DataFrame, k: int, target: np.ndarray, rounds: int = 30, to
     total = row.t or 0.0
     moments = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
     inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
-    rate, share = F.lit(1.0), target
+    base, rate, share, past = table, F.lit(1.0), target, np.inf
+    written = None
     for turn in range(rounds + 1):
-        sums = table.agg(*(F.sum(t * p[i] * rate).alias(f"s{i}") for i in range(k))).first()
+        sums = base.agg(*(F.sum(t * p[i] * rate).alias(f"s{i}") for i in range(k))).first()
         now = np.array([s or 0.0 for s in sums])
         share = now / now.sum() if now.sum() else now
         residual = now - target * total
-        if not total or turn == rounds or np.abs(residual).max() <= tolerance * total:
+        loss = float(residual @ inverse @ residual)
+        if not total or np.abs(residual).max() <= tolerance * total or past - loss <= 1e-7 * loss + 1e-11 * total:
             break
+        if turn == rounds:
+            raise RuntimeError(f"the rates did not come to rest in {rounds} rounds; shares so far: {share.tolist()}")
+        past = loss
         step = inverse @ residual
         move = sum((p[i] * float(step[i]) for i in range(1, k)), p[0] * float(step[0]))
         rate = F.greatest(F.lit(0.0), rate - move)
-    return rate, share
+        if (turn + 1) % WRITTEN == 0:
+            before, written = written, spill(base.withColumn("rate", rate), "rates")
+            if before is not None:
+                discard(before)
+            base, rate = written, F.col("rate")
+    return base.withColumn("rate", rate), share
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str = "lang", most: int = 4000, tolerance: float = 1e-5) -> DataFrame:
@@ -109,7 +126,9 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str =
 
     targets: the share of all tokens that each domain is to have, all alike by default; domains without a target get
     none, and a target above 0 for a domain that no labelled row with a word has is an error. Without targets and any
-    labelled row every rate is 1. Shares that the rates don't bring to their targets are named in a warning.
+    labelled row every rate is 1. Shares that no rates bring to their targets are named in a warning. Null labels teach
+    nothing; null doc_ids are rated like others; rows that repeat an id and text are one document, of a null or blank
+    text none. Long texts are read as a whole.
     """
     domains, table = posteriors(docs, label, most)
     if targets is not None:
@@ -123,25 +142,28 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, label: str =
         return table.select("doc_id", "fp", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"))
     want = np.array([1.0 if targets is None else targets.get(d, 0.0) for d in domains])
     want = want / want.sum()
-    rate, share = fit_rates(table, k, want, tolerance=tolerance)
+    table, share = fit_rates(table, k, want, tolerance=tolerance)
     if missed := [f"{d} {got:.6f} of {w:.6f}" for d, got, w in zip(domains, share, want, strict=True) if abs(got - w) > 2 * tolerance]:
         warnings.warn(f"token shares that miss their targets: {', '.join(missed)}", stacklevel=2)
     best = F.greatest(*(F.col(f"p{i}") for i in range(k))) if k > 1 else F.col("p0")
     name = F.coalesce(*(F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)))
-    return table.select("doc_id", "fp", "n_tokens", name.alias("domain"), best.alias("p_domain"), rate.alias("rate"))
+    return table.select("doc_id", "fp", "n_tokens", name.alias("domain"), best.alias("p_domain"), "rate")
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, label: str = "lang", column: str = "mix_rate") -> DataFrame:
-    """docs with a column of sampling rates (expected copies of each row), in place of one of that name. Rows without words have the rate 1: they
-    have no tokens. No row is dropped. Null labels teach nothing; null doc_ids are rated like others."""
+    """docs with a column of sampling rates (expected copies of each row), in place of one of that name. Rows without
+    words have the rate 1: they have no tokens. No row is dropped. See rates() for nulls and repeated rows."""
     fp, id_, f, rate = fresh(docs, "fp__", "i__", "f__", "rate__")
     found = rates(docs, targets, label).select(F.col("doc_id").alias(id_), F.col("fp").alias(f), F.col("rate").alias(rate))
-    joined = docs.withColumn(fp, F.xxhash64("text")).join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
+    joined = docs.withColumn(fp, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
     return joined.select(*(c for c in docs.columns if c != column), F.coalesce(rate, F.lit(1.0)).alias(column))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, domain, p_domain, rate of every row."""
+    """doc_id, n_tokens, domain, p_domain, rate of every row; a text without words has no domain and the rate 1.
+
+    Repeated rows, null doc_ids and long texts: see rates().
+    """
     found = rates(docs).withColumnsRenamed({"doc_id": "i__", "fp": "f__"})
     base = docs.select("doc_id", F.xxhash64("text").alias("fp__"))
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("i__")) & (F.col("fp__") == F.col("f__")), "left")
