@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cleaned, shared_dir
+from .common import cleaned, discard, shared_dir, shuffle_partitions, spill
 
-CHUNKS = "record_id long, url string, chunk_no int, last boolean, chunk string, digest string, total long, payload string"
+CHUNKS = "uid long, record_id long, url string, chunk_no int, last boolean, chunk string, digest string, total long, payload string"
 BREAK = "\r\nWARC/1.0\r\n"
 
 
@@ -31,13 +32,13 @@ def cut(text: str, most: int) -> Iterator[str]:
 
 
 def chunk_rows(most: int):
-    """Of (record_id, url, html): a row for each chunk, with the SHA-1 and the bytes of the payload up to its end
+    """Of (uid, record_id, url, html): a row for each chunk, with the SHA-1 and the bytes of the payload up to its end
     (digest, total) and of the payload as a whole (payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for rid, url, html in zip(*(batch.column(c) for c in ("record_id", "url", "html")), strict=True):
+            for uid, rid, url, html in zip(*(batch.column(c) for c in ("uid", "record_id", "url", "html")), strict=True):
                 text, whole = html.as_py() or "", hashlib.sha1()
                 for piece in cut(text, most):
                     whole.update(piece.encode())
@@ -48,7 +49,7 @@ def chunk_rows(most: int):
                     total += len(data)
                     held += len(data)
                     done += len(piece)
-                    rows.append((rid.as_py(), url.as_py(), no, done == len(text), piece, sha.hexdigest(), total, whole.hexdigest()))
+                    rows.append((uid.as_py(), rid.as_py(), url.as_py(), no, done == len(text), piece, sha.hexdigest(), total, whole.hexdigest()))
                     if held > 1 << 22:
                         yield table(rows)
                         rows, held = [], 0
@@ -56,16 +57,18 @@ def chunk_rows(most: int):
                 yield table(rows)
 
     def table(rows):
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "url", "chunk_no", "last", "chunk", "digest", "total", "payload"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "record_id", "url", "chunk_no", "last", "chunk", "digest", "total", "payload"])
 
     return run
 
 
 def chunk_table(pages: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
-    """pages as chunk rows. A null html is an empty payload (one empty chunk); rows without a page_id are left out."""
-    some = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return some.mapInArrow(chunk_rows(chunk_chars), CHUNKS)
+    """pages as a written table of chunk rows. A null html is an empty payload (one empty chunk). Each row of pages has a
+    uid of its own, given while the table is written, so that rows that repeat a page_id or have none stay apart."""
+    columns = (F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    some = pages.select(F.monotonically_increasing_id().alias("uid"), *columns)
+    return spill(some.mapInArrow(chunk_rows(chunk_chars), CHUNKS), "chunks")
 
 
 def write_archives(pages: DataFrame, path: str, dedup_bytes: int = 1000, chunk_chars: int = 1 << 20) -> None:
@@ -73,13 +76,14 @@ def write_archives(pages: DataFrame, path: str, dedup_bytes: int = 1000, chunk_c
 
     Among equal payloads of at least dedup_bytes the largest page_id is the response and the others are revisit
     records without a block. Spark's text writer lays the bytes down, so the folder may be in any store it reaches:
-    each row is followed by CRLF, and every part is one gzip member. Pages that repeat a page_id are one record each.
+    each row is followed by CRLF, and every part is one gzip member. Pages that repeat a page_id are one record each,
+    and so are pages without one, which revisit nothing and are not revisited.
     """
     chunks = chunk_table(pages, chunk_chars)
-    ends = chunks.where("last").select("record_id", "payload", "total")
+    ends = chunks.where("last and record_id is not null").select("uid", "record_id", "payload", "total")
     first = ends.where(F.col("total") >= dedup_bytes).groupBy("payload", "total").agg(F.max("record_id").alias("first"), F.min("record_id").alias("low")).where("low < first").drop("low")
-    plan = ends.join(first, ["payload", "total"]).where(F.col("record_id") < F.col("first")).select("record_id", "payload", "first").distinct()
-    rows = chunks.join(plan.hint("shuffle_hash"), ["record_id", "payload"], "left")
+    plan = ends.join(first, ["payload", "total"]).where(F.col("record_id") < F.col("first")).select("uid", "first")
+    rows = chunks.join(plan, "uid", "left")
     revisit = F.col("first").isNotNull()
     kept = rows.where(~revisit | F.col("last"))
     clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
@@ -87,18 +91,20 @@ def write_archives(pages: DataFrame, path: str, dedup_bytes: int = 1000, chunk_c
     number = F.when(revisit, 0).otherwise(F.col("chunk_no"))
     block = F.when(stamp == "revisit", "").otherwise(F.col("chunk"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
-    rid = lambda c, no: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(":"), no.cast("string"), F.lit(">"))
+    name = lambda c, uid, no: F.concat_ws(":", F.lit("<urn:page"), F.coalesce(c.cast("string"), F.lit("none")), uid.cast("string"), F.concat(no.cast("string"), F.lit(">")))
+    rid = lambda no: name(F.col("record_id"), F.col("uid"), no)
     several = ~F.col("last") | (F.col("chunk_no") > 0)
     head = F.concat(
-        F.lit("WARC/1.0\r\n"), field("WARC-Type", stamp), field("WARC-Record-ID", rid(F.col("record_id"), number)), field("WARC-Date", F.lit("1970-01-01T00:00:00Z")), field("WARC-Target-URI", clean),
+        F.lit("WARC/1.0\r\n"), field("WARC-Type", stamp), field("WARC-Record-ID", rid(number)), field("WARC-Date", F.lit("1970-01-01T00:00:00Z")), field("WARC-Target-URI", clean),
         F.when(several & (stamp != "revisit"), field("WARC-Segment-Number", F.col("chunk_no") + 1)).otherwise(""),
-        F.when(stamp == "continuation", field("WARC-Segment-Origin-ID", rid(F.col("record_id"), F.lit(0)))).otherwise(""),
+        F.when(stamp == "continuation", field("WARC-Segment-Origin-ID", rid(F.lit(0)))).otherwise(""),
         F.when(F.col("last"), F.concat(field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), field("WARC-Payload-Length", F.col("total")))).otherwise(""),
-        F.when(stamp == "revisit", F.concat(field("WARC-Refers-To", rid(F.col("first"), F.lit(0))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))).otherwise(""),
+        F.when(stamp == "revisit", F.concat(field("WARC-Refers-To", name(F.col("first"), F.lit(""), F.lit(0))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))).otherwise(""),
         F.lit("Content-Type: text/html\r\n"), field("Content-Length", F.octet_length(block)),
     )
     record = F.concat(head, F.lit("\r\n"), block, F.lit("\r\n"))
     kept.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    discard(chunks)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -110,29 +116,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     num = lambda c: F.expr(f"try_cast({c} as long)")
     fields = parts.select(get("WARC-Type").alias("type"), get("WARC-Record-ID").alias("id"), get("WARC-Target-URI").alias("url"), get("WARC-Refers-To").alias("to"), get("WARC-Payload-Digest").alias("payload"), get("WARC-Payload-Length").alias("length"), get("Content-Length").alias("size"), "rest")
     block = F.col("rest").cast("binary").substr(F.lit(1), F.col("size").cast("int"))
-    return fields.select("type", F.regexp_extract("id", r"<urn:page:(-?\d+):", 1).cast("long").alias("page_id"), F.regexp_extract("id", r":(\d+)>", 1).cast("int").alias("chunk_no"), "url", F.regexp_extract("to", r"<urn:page:(-?\d+):", 1).alias("to_id"), F.regexp_replace("payload", "^sha1:", "").alias("stated"), "length", block.alias("block")).select(
-        "type", "page_id", "chunk_no", "url", num("nullif(to_id, '')").alias("refers_to"), F.expr("nullif(stated, '')").alias("stated"), num("nullif(length, '')").alias("stated_bytes"), "block"
-    )
+    part = lambda c, i: num(f"nullif(regexp_extract({c}, '<urn:page:([^:]*):([^:]*):([0-9]+)>', {i}), '')")
+    own = (part("id", 1).alias("page_id"), part("id", 2).alias("uid"), part("id", 3).cast("int").alias("chunk_no"))
+    stated = F.expr("nullif(regexp_replace(payload, '^sha1:', ''), '')")
+    return fields.select("type", *own, "url", part("to", 1).alias("refers_to"), stated.alias("stated"), num("nullif(length, '')").alias("stated_bytes"), block.alias("block"))
 
 
 def digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted chunks of segmented payloads, one running digest for each record: (page_id, bytes, digest)."""
-    now, sha, total, out = None, None, 0, []
+    now, page, sha, total, out = None, None, None, 0, []
 
     def table():
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["page_id", "payload_bytes", "payload_digest"])
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest"])
 
     for batch in batches:
-        for page, block in zip(batch.column("page_id"), batch.column("block"), strict=True):
-            page, data = page.as_py(), block.as_py()
-            if page != now:
+        for uid, own, block in zip(batch.column("uid"), batch.column("page_id"), batch.column("block"), strict=True):
+            uid, data = uid.as_py(), block.as_py()
+            if uid != now:
                 if now is not None:
-                    out.append((now, total, sha.hexdigest()))
-                now, sha, total = page, hashlib.sha1(), 0
+                    out.append((page, total, sha.hexdigest()))
+                now, page, sha, total = uid, own.as_py(), hashlib.sha1(), 0
             sha.update(data)
             total += len(data)
     if now is not None:
-        out.append((now, total, sha.hexdigest()))
+        out.append((page, total, sha.hexdigest()))
     if out:
         yield table()
 
@@ -142,17 +150,24 @@ def page_records(records: DataFrame) -> DataFrame:
 
     The stated digest stands only for revisit records, which have no block.
     """
-    heads = records.where("chunk_no = 0")
-    whole = heads.where("type = 'revisit' or stated is not null").select("page_id", F.when(F.col("type") == "revisit", F.col("stated_bytes")).otherwise(F.octet_length("block")).cast("long").alias("payload_bytes"), F.when(F.col("type") == "revisit", F.col("stated")).otherwise(F.sha1("block")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    parts = records.where("type = 'continuation' or (type = 'response' and stated is null)").select("page_id", "chunk_no", "block")
-    joined = parts.repartition("page_id").sortWithinPartitions("page_id", "chunk_no").mapInArrow(digest_runs, "page_id long, payload_bytes long, payload_digest string")
+    again = F.col("type") == "revisit"
+    size = F.when(again, F.col("stated_bytes")).otherwise(F.octet_length("block")).cast("long")
+    digest = F.when(again, F.col("stated")).otherwise(F.sha1("block"))
+    heads = records.where("chunk_no = 0 and (type = 'revisit' or stated is not null)")
+    whole = heads.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    parts = records.where("type = 'continuation' or (type = 'response' and stated is null)").select("uid", "page_id", "chunk_no", "block")
+    joined = parts.repartition(shuffle_partitions(records.sparkSession), "uid").sortWithinPartitions("uid", "chunk_no").mapInArrow(digest_runs, "page_id long, payload_bytes long, payload_digest string")
     return whole.unionByName(joined.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
-    """Write the archives into the shared folder and read them back."""
-    import uuid
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of pages, from archives written into
+    the shared folder and read back.
 
+    A null html is an empty payload, a null url an empty one. Rows without a page_id have records of their own, always
+    responses. Rows that repeat a page_id have one each, whether their payloads are equal or not. Payloads longer than
+    a chunk are cut into continuations. Other columns are not read.
+    """
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     with cleaned(spark):
         write_archives(pages, path, **options)
