@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import held_out, in_slices
+from .common import chosen_texts, first_of_each, held_out, in_slices
 
 WIDTH = 1 << 15
 ORDERS = (1, 2, 3)
@@ -84,11 +84,13 @@ class Identifier:
 
 def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 192, ridge: float = 1e-3, most: int = 4000) -> Identifier:
     """Learn from at most per_language rows of each language and `most` in all (4 kB of packed presence bits each, the
-    bound of what the driver gets), those of the smallest hash among rows with a text and a lang that are not held out."""
-    known = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out()).select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("rank", "lang").limit(most).select("doc_id").distinct()
-    got = sorted(docs.where("text is not null and lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(packed(), "doc_id long, lang string, bits binary").collect())
+    bound of what the driver gets), those of the smallest hash among rows with a text and a lang that are not held out.
+    Rows that repeat a doc_id and lang are taken as one, with one of their texts."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    known = named.where("doc_id is not null and text is not null and lang is not null").where(~held_out()).select("doc_id", "lang")
+    first = first_of_each(known, "lang", [F.xxhash64("doc_id"), "doc_id"], per_language)
+    chosen = first.orderBy("rank", "lang").limit(most).select("doc_id", "lang").distinct()
+    got = sorted(chosen_texts(named, chosen, "doc_id", "lang").mapInArrow(packed(), "doc_id long, lang string, bits binary").collect())
     langs = sorted({r.lang for r in got})
     if not got:
         return Identifier([], np.zeros((WIDTH, 0), np.float32))
@@ -107,12 +109,13 @@ def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 192, ridge: f
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row. A text that is null or has no letter is `und` with score 0;
-    so is every text where no labelled row exists. Ties go to the language that sorts first."""
+    so is every text where no labelled row exists. Ties go to the language that sorts first. Rows are scored one by one,
+    so repeated rows have equal scores, and texts of any length as a whole. Null doc_ids are never held out."""
     model = fit(docs, **options)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = model(batch)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    said = docs.select("doc_id", "text").mapInArrow(in_slices(rows, most=1 << 19), "doc_id long, lang_pred string, score double")
+    said = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(in_slices(rows, most=1 << 19), "doc_id long, lang_pred string, score double")
     return said.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from . import trees
-from .common import fresh, held_out, in_slices, smallest, spill
+from .common import chosen_texts, discard, fresh, held_out, in_slices, smallest, spill
 
-# fixed values: pronouns of the second person in the corpus' languages
-SECOND = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "tú", "ti", "usted", "ustedes", "vosotros"]
+#: Pronouns of the second person in the corpus' languages.
+SECOND = """you your yours yourself u ur du dich dir dein deine ihr euch
+tu te toi ton ta tes vous votre tú ti usted ustedes vosotros""".split()
 #: Prefix lengths, in bytes, by which the lexicon knows word families; 0 is the word as a whole.
 FAMILIES = (4, 5, 7, 0)
 NEAR = 5
+FOLDS = 3
+#: Least leaf sizes of the trees that cross-validation chooses from.
+LEAVES = (4, 10, 25)
 
 
 def _letters() -> np.ndarray:
@@ -151,15 +155,20 @@ class Features:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """At most `most` (doc_id, text, toxic, part) of labelled documents that are not held out, by smallest hash.
+    """At most `most` (doc_id, text, toxic, part, fold) of labelled documents that are not held out, by smallest hash.
 
-    A document with several labels counts as toxic if any says so; null labels say nothing.
+    A document with several labels counts as toxic if any says so; null labels say nothing. A doc_id with several texts
+    is one document, with one of them.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)))
+    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
     there = spill(known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
     chosen = smallest(there, [F.xxhash64("doc_id"), "doc_id"], most)
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    out = spill(chosen_texts(docs, chosen, "doc_id"), "taught")
+    discard(there)
+    return out
 
 
 class Scorer:
@@ -193,7 +202,9 @@ def lexicon_of(counts: DataFrame, totals: tuple[int, int], size: int, least: int
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 1024, least: int = 3) -> Scorer:
     """Learn from a sample of at most `most` labelled rows (the bound of everything here that reaches the driver or is
     broadcast). The features that train the trees and the calibration are crossed: each half of the sample meets the
-    lexicon of the other half, so that no text is judged by words it taught. The final lexicon is that of both."""
+    lexicon of the other half, so that no text is judged by words it taught. The final lexicon is that of both. The
+    least leaf size is the one of LEAVES with the smallest loss in cross-validation over the sample, and the calibration
+    rests on the margins of rows by trees of the other folds. Held-out rows play no part in either."""
     chosen = sample(docs, labels, most)
     totals = {(r.part, r.toxic): r.n for r in chosen.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
     grams_ = chosen.select("part", "text", "toxic").mapInArrow(count_grams(), "part long, gram long, context long, bad long, good long")
@@ -205,15 +216,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 10
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = batch.column("part").to_numpy()
         x = np.where((part == 0)[:, None], halves[1](batch), halves[0](batch))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+        cols = [batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), pa.array(list(x), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "fold", "x"])
 
-    got = sorted(chosen.mapInArrow(in_slices(rows), "doc_id long, toxic int, x array<double>").collect())
+    got = sorted(chosen.mapInArrow(in_slices(rows), "doc_id long, toxic int, fold long, x array<double>").collect())
+    discard(chosen)
     x = np.array([r.x for r in got]).reshape(-1, FEATURES)
     y = np.array([r.toxic for r in got], np.float64)
     if not len(y):
         return Scorer(features, {"base": -4.0, "trees": []}, (np.array([-4.0, 4.0]), np.array([0.02, 0.98])))
-    model = trees.fit(x, y, least=max(2, min(20, len(y) // 15)))
-    return Scorer(features, model, trees.isotonic(trees.margin(model, x), y))
+    fold = np.array([r.fold for r in got])
+    best, apart = min((crossed(x, y, fold, least) for least in LEAVES), key=lambda found: found[0])[1:]
+    return Scorer(features, trees.fit(x, y, least=best), trees.isotonic(apart, y))
+
+
+def crossed(x: np.ndarray, y: np.ndarray, fold: np.ndarray, least: int) -> tuple[float, int, np.ndarray]:
+    """Log loss of trees with that least leaf size on folds that didn't grow them, that size, and those margins."""
+    apart = np.zeros(len(y))
+    for f in range(FOLDS):
+        own = fold == f
+        if own.any():
+            apart[own] = trees.margin(trees.fit(x[~own], y[~own], least=least), x[own]) if not own.all() else 0.0
+    return float(np.mean(np.logaddexp(0, np.where(y > 0, -apart, apart)))), least, apart
 
 
 def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
@@ -229,12 +253,16 @@ def score(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs (null doc_ids too, which are never held out)."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels, **options))
+    """doc_id, held_out, score, predicted of every row of docs (null doc_ids too, which are never held out).
+
+    Rows are scored one by one: repeated rows have equal scores, null texts score as empty ones, long texts as a whole.
+    Without labels every score is small.
+    """
+    scored = score(docs.select(F.col("doc_id").cast("long"), "text"), fit(docs, labels, **options))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """docs without the rows that score threshold or more."""
+    """docs without the rows that score threshold or more; the others, repeated ones too, with all their columns."""
     (name,) = fresh(docs, "score")
     return score(docs, fit(docs, labels, **options), name).where(F.col(name) < threshold).drop(name)
