@@ -9,8 +9,8 @@ from .common import fresh, spill
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Up to so many windows are broadcast (about 300 bytes each); beyond, the joins shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Windows are broadcast while their words take no more bytes than this in all; beyond, the joins shuffle.
+BROADCAST_BYTES = 48 << 20
 TOKEN_WORDS = 3
 
 
@@ -22,10 +22,10 @@ def word_array(text: Column) -> Column:
 
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
-    """Distinct windows of the items, as (w, items): `width` consecutive words, all of them if an item has fewer."""
+    """Windows of the items, as distinct (w, item): `width` consecutive words, all of them if an item has fewer."""
     words = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     starts = words.select("item", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws") - width + 1, F.lit(1)))).alias("at"))
-    return starts.select("item", F.slice("ws", F.col("at"), F.lit(width)).alias("w")).groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return starts.select("item", F.slice("ws", F.col("at"), F.lit(width)).alias("w")).distinct()
 
 
 def shingles_of(ws: Column, size: int) -> Column:
@@ -33,8 +33,9 @@ def shingles_of(ws: Column, size: int) -> Column:
     return F.transform(ws, lambda x, i: F.xxhash64(x, *(F.get(ws, i + j) for j in range(1, size))))
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = 10, found: str = "found__") -> DataFrame:
+def hits(docs: DataFrame, owned: DataFrame, found: str = "found__") -> DataFrame:
     """Every row of docs with `found`: the struct (n_words, kept), kept the places and words of the windows in its text.
+    owned: windows as of windows_of(). Which items hold a window plays no part here, however many they are.
 
     The tokens of the join are shingles of TOKEN_WORDS words (of all words, where a window has fewer), ordered by how
     many documents hold them. A window occurs only where its rarest shingle does, so only that one (its necessary
@@ -42,24 +43,26 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10, found: str = "found
     bounds), and the window must then equal the words there. A window whose rarest shingle no document holds is
     dropped at once.
     """
-    windows = spill(windows_of(items, width), "windows")
-    facts = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.least(F.size("w"), F.lit(TOKEN_WORDS)))).alias("sizes")).first()
-    hint = F.broadcast if facts.n <= BROADCAST_WINDOWS else lambda df: df
+    windows = spill(owned.select("w").distinct(), "windows")
+    room = F.octet_length(F.concat_ws(" ", "w")) + 24 * F.size("w") + 64  # of a window in a broadcast table
+    sizes = F.sort_array(F.collect_set(F.least(F.size("w"), F.lit(TOKEN_WORDS))))
+    facts = windows.agg(F.sum(room).alias("room"), sizes.alias("sizes")).first()
+    hint = F.broadcast if (facts.room or 0) <= BROADCAST_BYTES else lambda df: df
     sizes = list(facts.sizes) or [TOKEN_WORDS]
     words = docs.where("text is not null").select(F.col("doc_id").alias("id__"), F.xxhash64("text").alias("fp__"), word_array(F.col("text")).alias("ws"))
     # a one-element array binds the words, so that they are split once for each text
     tokens = F.element_at(F.transform(F.array("ws"), lambda ws: F.array(*(shingles_of(ws, n) for n in sizes))), 1)
     own = F.transform(F.array(*(F.struct(F.lit(n).alias("size"), shingles_of(F.col("w"), n).alias("t")) for n in sizes)), lambda s: s)
     mine = F.element_at(F.filter(own, lambda s: s["size"] == F.least(F.size("w"), F.lit(TOKEN_WORDS))), 1)
-    placed_in = windows.select("w", "items", F.posexplode(F.slice(mine["t"], F.lit(1), F.size("w") - mine["size"] + 1)).alias("offset", "token"))
+    placed_in = windows.select("w", F.posexplode(F.slice(mine["t"], F.lit(1), F.size("w") - mine["size"] + 1)).alias("offset", "token"))
     often = spill(words.select(F.explode(F.array_distinct(F.flatten(tokens))).alias("token")).join(hint(placed_in.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("df")), "rarity")
-    rare = placed_in.join(hint(often), "token", "left").groupBy("w", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")).where("r.df > 0")
-    anchors = spill(rare.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "w", "items"), "anchors")
+    rare = placed_in.join(hint(often), "token", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")).where("r.df > 0")
+    anchors = spill(rare.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "w"), "anchors")
     placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
-    maybe = placed.join(hint(anchors), "token").where((start >= 0) & (start + F.size("w") <= F.col("n"))).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w", "items")).alias("maybe"))
+    maybe = placed.join(hint(anchors), "token").where((start >= 0) & (start + F.size("w") <= F.col("n"))).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w")).alias("maybe"))
     fp, id_, f, some = fresh(docs, "fp__", "i__", "f__", "maybe")
-    right = maybe.hint("shuffle_hash").select(F.col("id__").alias(id_), F.col("fp__").alias(f), F.col("maybe").alias(some))
+    right = maybe.select(F.col("id__").alias(id_), F.col("fp__").alias(f), F.col("maybe").alias(some))
     joined = docs.withColumn(fp, F.xxhash64("text")).join(right, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
 
     def judge(ws: Column) -> Column:
@@ -72,17 +75,28 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10, found: str = "found
 def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row; a null text has no words.
 
-    Rows of docs without a doc_id are judged like others; items without an item_id are left out.
+    Rows of docs without a doc_id are judged like others, repeated rows each by itself, long texts as a whole. Items
+    without an item_id or a word are left out; items that repeat an id are one. Documents with the same windows have the
+    same items, so the items of each set of windows are gathered and hashed once, not for each document.
     """
-    found = hits(docs.select("doc_id", "text"), items, width)
+    owned = spill(windows_of(items, width), "owned")
+    found = spill(hits(docs.select(F.col("doc_id").cast("long"), "text"), owned).select("doc_id", "found__"), "hits")
     kept = F.coalesce(F.col("found__.kept"), F.array())
     covered = F.transform(kept, lambda c: F.sequence(c["at"], c["at"] + F.size(c["w"]) - 1))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform(kept, lambda c: c["items"]))))
-    found = found.select("doc_id", F.col("found__.n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"), names.alias("names"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    ws = F.array_sort(F.array_distinct(F.transform(kept, lambda c: c["w"])))
+    rows = found.select("doc_id", F.col("found__.n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"), ws.alias("ws"))
+    names = rows.where("n_hit > 0").select("ws").distinct().select("ws", F.explode("ws").alias("w")).join(owned, "w").groupBy("ws").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    told = names.select("ws", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
+    none = rows.where("n_hit = 0").select("doc_id", "n_words", "n_hit", F.lit(0).cast("long"), F.sha2(F.lit(b""), 256), F.lit(False))
+    some = rows.where("n_hit > 0").join(told, "ws").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.lit(True).alias("contaminated"))
+    return some.union(none)
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs; columns unchanged."""
+    """docs without the rows in which a window of the benchmark occurs; columns unchanged.
+
+    Null and empty texts stay, as do repeated rows that hold no window; null doc_ids are judged like others. An empty
+    benchmark removes nothing.
+    """
     (found,) = fresh(docs, "found__")
-    return hits(docs, items, width, found).where(F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1).drop(found)
+    return hits(docs, windows_of(items, width), found).where(F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1).drop(found)
