@@ -1,5 +1,6 @@
 """Language, toxicity, mixing, vectors, archives and the pipeline."""
 
+import hashlib
 import random
 import warnings
 import zlib
@@ -77,8 +78,8 @@ def test_mixing_meets_the_targets(spark):
     t = rng.integers(1, 500, 200)
     target = np.array([0.6, 0.3, 0.1])
     table = spark.createDataFrame([(int(i), int(n), *map(float, row)) for i, (n, row) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
-    rate, share = mixing.fit_rates(table, 3, target)
-    got = np.array([r.rate for r in table.select("doc_id", rate.alias("rate")).orderBy("doc_id").collect()])
+    rated, share = mixing.fit_rates(table, 3, target)
+    got = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
     assert (got >= 0).all() and np.abs(share - target).max() < 1e-4
     assert np.abs(got - rates_by_hand(t.astype(float), p, target)).max() < 1e-3
 
@@ -123,7 +124,8 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_vector_dedup(spark):
+@pytest.mark.parametrize("small", [4096, 0])
+def test_vector_dedup(spark, small):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
     x = np.concatenate([centres[rng.integers(0, 12, 400)] + rng.normal(scale=0.25, size=(400, 16)), rng.normal(size=(300, 16)), np.repeat(centres[:2], 40, 0)]).astype(np.float32)
@@ -133,7 +135,7 @@ def test_vector_dedup(spark):
     np.fill_diagonal(link, False)
     top = brute.smallest([int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)])
     odd = [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] * 16, 0), (9004, [1.0, 2.0], 0), (9005, [None] * 16, 0), (9006, [], 0), (None, [1.0] * 16, 0)]
-    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)] + odd)).collect()}
+    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)] + odd), small=small).collect()}
     assert len(got) == len(ids) + len(odd)
     assert {i: got[i].n_links for i in top} == {int(i): int(n) for i, n in zip(ids, link.sum(1), strict=True)}
     assert {i: got[i].component_id for i in top} == top and all(got[i].kept == (top[i] == i) for i in top)
@@ -155,25 +157,49 @@ def test_vector_dedup_finds_rare_links(spark, dense, pairs, enough):
     np.fill_diagonal(link, False)
     ids = rng.permutation(len(x))
     top = brute.smallest([int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)])
-    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), codes=24, sample=1024, enough=enough).collect()}
+    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), codes=24, sample=1024, enough=enough, small=0).collect()}
     wrong = [i for i, n in zip(ids, link.sum(1), strict=True) if got[i].n_links != n or got[i].component_id != top[i]]
     assert len(wrong) <= (0 if enough == 256 else 0.002 * len(x))
 
 
+def test_vector_dedup_of_several_dimensions(spark):
+    """Each dimension is compared within itself, the rarest too; ids are ints, and other columns clash."""
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.1]), (5, [9.0, 0.0, 0.0]), (6, [1.0]), (7, [3.0]), (8, [-3.0]), (9, [1.0, 2.1]), (9, [1.0, 2.1])]
+    docs = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id int, embedding array<double>, rep string, dim int")
+    for small in (4096, 2, 0):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.groups(docs, small=small).collect()}
+        assert got == {1: (2, 1, True), 2: (2, 1, False), 9: (2, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True)}
+
+
 def test_vector_dedup_of_empty_tables(spark):
     assert vector_dedup.groups(vectors(spark, [])).collect() == []
     assert vector_dedup.groups(vectors(spark, [(1, None, 0)])).first().n_links == 0
     assert vector_dedup.groups(vectors(spark, [(1, [1.0, 0.0], 0)])).first().component_id == 1
 
 
+def pages_by_hand(rows):
+    """brute.pages() of any rows: one result each, those without an id always responses."""
+    top = {}
+    for i, h in rows:
+        if i is not None:
+            top[h or ""] = max(i, top.get(h or "", i))
+    for i, h in rows:
+        data = (h or "").encode()
+        again = i is not None and len(data) >= 1000 and top[h or ""] != i
+        yield i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", top[h or ""] if again else None
+
+
 @pytest.mark.parametrize("most", [1 << 20, 700, 7])
 def test_archives_round_trip(spark, most):
     rng = random.Random(2)
     body = lambda n: "".join(rng.choice("ab<>é\r\n ") for _ in range(n))
     big, trap = body(3000), "x" * 900 + warc.BREAK + "y" * 300 + warc.BREAK
     rows = [(i, f"http://x/{i}\r\n?a", t) for i, t in enumerate([None, "", big, big, "small", "small", trap, trap, "WARC/1.0\r\n", "\r\nWARC/1.0", body(1500), big, "\r\n\r\n", "WARC/1.0"])] + [(99, None, big), (None, "u", "dropped")]
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), chunk_chars=most).collect()}
-    assert got == brute.pages([(i, h) for i, _, h in rows if i is not None])
+    rows += [(7, "again", big + "!"), (7, "again", None), (None, "u", "dropped"), (None, None, big), (None, None, big)]
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, uid string, payload int")
+    out = warc.round_trip(spark, frame, chunk_chars=most).collect()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=str)
+    assert got == sorted(pages_by_hand([(i, h) for i, _, h in rows]), key=str)
 
 
 def test_archives_of_no_pages(spark):

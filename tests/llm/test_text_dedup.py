@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import decontaminate, line_dedup, near_dedup, substring_dedup, suffix_dedup
 
@@ -122,3 +123,68 @@ def test_runs_over_partition_edges(spark):
     rows = [(i, f"{line}\nown line number {i} of this one\n{line}") for i in range(300)]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(frame(spark, rows)).collect()}
     assert got == brute.lines(rows)
+
+
+@pytest.mark.parametrize(("min_docs", "batch", "partitions"), [(3, 2, 7), (1, 3, 5), (2, 5, 11), (6, 4, 9), (3, 1000, 40)])
+def test_runs_in_small_batches(spark, min_docs, batch, partitions):
+    """Few keys, repeated within and between documents, in runs that begin and end anywhere in batches and partitions."""
+    rng = random.Random(min_docs * 100 + batch)
+    rows = [(i, "\n".join(f"line {rng.choice('aaaabbc')}{rng.randrange(3) if rng.random() < 0.5 else rng.randrange(60)} of a text" for _ in range(rng.randrange(1, 9)))) for i in rng.sample(range(500), 120)]
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = line_dedup.line_digests(frame(spark, rows), 5, min_docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in out} == brute.lines(rows, 5, min_docs)
+
+
+def test_keep_bitmaps_are_the_decisions(spark):
+    rows = corpus(4)
+    texts = dict(rows)
+    kept = {i: x for i, x in brute.lines(rows).items() if x[1]}
+    got = {r.doc_id: r for r in line_dedup.keep_bitmaps(frame(spark, rows)).collect()}
+    assert set(got) == set(kept)
+    for i, r in got.items():
+        bits = line_dedup.unpack(r.n_lines, r.keep_bitmap)
+        left = "\n".join(x for x, b in zip(texts[i].split("\n"), bits, strict=True) if b)
+        assert (r.n_lines, r.n_dropped, brute.sha(left)) == kept[i]
+
+
+def test_texts_over_a_slice(spark):
+    """Texts beyond the megabyte that a task takes at a time, sharing passages across its border, and ids as ints."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    long = [word() for _ in range(200_000)]
+    shared = " ".join(long[149_000:151_000])
+    rows = [(3, " ".join(long)), (5, f"{word()} {shared} {word()}"), (8, " ".join(word() for _ in range(190_000)) + f" {shared}\n{shared}"), (9, word())]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats(docs).collect()}
+    assert got == brute.suffix(rows)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(docs).collect())
+    assert got == sorted(brute.substrings(rows))
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(docs, min_docs=2).collect()}
+    assert got == brute.lines(rows, min_docs=2)
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(docs).collect()} == {i: i for i, _ in rows}
+
+
+def test_a_crowded_key_with_many_surroundings(spark, monkeypatch):
+    """One passage shorter than a window in every document, so its anchors have as many surroundings as documents."""
+    from loomwork.llm import anchors
+
+    monkeypatch.setattr(anchors, "CROWD", 1)
+    monkeypatch.setattr(anchors, "CROWDED", 2)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    fill = [" ".join(word() for _ in range(30)) for _ in range(12)]
+    rows = [(i, f"{rng.choice(fill)} the same twenty words stand in each of these texts and few of them have the same words around {rng.choice(fill)} {word()}") for i in range(90)]
+    rows_of = anchors.bucketed
+    for module in (suffix_dedup, substring_dedup):
+        monkeypatch.setattr(module, "bucketed", lambda docs: (rows_of(docs)[0].withColumn("bucket", F.pmod("doc_id", F.lit(30))), anchors.Sizes(40, 8)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats(frame(spark, rows)).collect()}
+    assert got == brute.suffix(rows)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect())
+    assert got == sorted(brute.substrings(rows))
