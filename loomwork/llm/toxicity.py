@@ -144,6 +144,7 @@ class Features:
         inside = np.zeros(len(data), bool)  # digits and marks between letters
         if len(data) > 2:
             inside[1:-1] = (mark | digit)[1:-1] & letter[:-2] & letter[2:]
+            inside[off[:-1][off[:-1] < len(data)]] = inside[off[1:][off[1:] > 0] - 1] = False  # not over a text's edge
         top = np.zeros(n)
         np.maximum.at(top, doc, weight)
         count = np.bincount(doc[hits], minlength=n)[:n]
