@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, spill
+from .common import discard, fresh, spill
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,12 +33,12 @@ def shingles_of(ws: Column, size: int) -> Column:
     return F.transform(ws, lambda x, i: F.xxhash64(x, *(F.get(ws, i + j) for j in range(1, size))))
 
 
-def hits(docs: DataFrame, owned: DataFrame, found: str = "found__") -> DataFrame:
-    """Every row of docs with `found`: the struct (n_words, kept), kept the places and words of the windows in its text.
-    owned: windows as of windows_of(). Which items hold a window plays no part here, however many they are.
+def hits(docs: DataFrame, owned: DataFrame, found: str = "found__", all_: bool = True) -> DataFrame:
+    """Every row of docs with `found`: the struct (n_words, kept), kept the places and words of the windows in its text;
+    null, unless all_, for a row that the join finds no candidate in. owned: windows as of windows_of(). Which items hold a window plays no part here, however many they are.
 
     The tokens of the join are shingles of TOKEN_WORDS words (of all words, where a window has fewer), ordered by how
-    many documents hold them. A window occurs only where its rarest shingle does, so only that one (its necessary
+    often documents hold them. A window occurs only where its rarest shingle does, so only that one (its necessary
     prefix) is joined, at its place in the window; the place must leave room for the window (length and position
     bounds), and the window must then equal the words there. A window whose rarest shingle no document holds is
     dropped at once.
@@ -55,12 +55,16 @@ def hits(docs: DataFrame, owned: DataFrame, found: str = "found__") -> DataFrame
     own = F.transform(F.array(*(F.struct(F.lit(n).alias("size"), shingles_of(F.col("w"), n).alias("t")) for n in sizes)), lambda s: s)
     mine = F.element_at(F.filter(own, lambda s: s["size"] == F.least(F.size("w"), F.lit(TOKEN_WORDS))), 1)
     placed_in = windows.select("w", F.posexplode(F.slice(mine["t"], F.lit(1), F.size("w") - mine["size"] + 1)).alias("offset", "token"))
-    often = spill(words.select(F.explode(F.array_distinct(F.flatten(tokens))).alias("token")).join(hint(placed_in.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("df")), "rarity")
+    placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
+    met = spill(placed.join(hint(placed_in.select("token").distinct()), "token"), "met")  # one split of the texts serves both joins
+    often = spill(met.groupBy("token").agg(F.count("*").alias("df")), "rarity")
     rare = placed_in.join(hint(often), "token", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")).where("r.df > 0")
     anchors = spill(rare.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "w"), "anchors")
-    placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
-    maybe = placed.join(hint(anchors), "token").where((start >= 0) & (start + F.size("w") <= F.col("n"))).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w")).alias("maybe"))
+    fits = (start >= 0) & (start + F.size("w") <= F.col("n"))
+    maybe = met.join(hint(anchors), "token").where(fits).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w")).alias("maybe"))
+    maybe = spill(maybe, "maybe")
+    discard(windows, met, often, anchors)
     fp, id_, f, some = fresh(docs, "fp__", "i__", "f__", "maybe")
     right = maybe.select(F.col("id__").alias(id_), F.col("fp__").alias(f), F.col("maybe").alias(some))
     joined = docs.withColumn(fp, F.xxhash64("text")).join(right, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
@@ -69,7 +73,8 @@ def hits(docs: DataFrame, owned: DataFrame, found: str = "found__") -> DataFrame
         kept = F.filter(some, lambda c: F.slice(ws, c["at"] + 1, F.size(c["w"])) == c["w"])
         return F.struct(F.size(ws).cast("long").alias("n_words"), kept.alias("kept"))
 
-    return joined.withColumn(found, F.element_at(F.transform(F.array(word_array(F.col("text"))), judge), 1)).drop(fp, id_, f, some)
+    judged = F.element_at(F.transform(F.array(word_array(F.col("text"))), judge), 1)
+    return joined.withColumn(found, judged if all_ else F.when(F.col(some).isNotNull(), judged)).drop(fp, id_, f, some)
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
@@ -99,4 +104,4 @@ def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     benchmark removes nothing.
     """
     (found,) = fresh(docs, "found__")
-    return hits(docs, windows_of(items, width), found).where(F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1).drop(found)
+    return hits(docs, windows_of(items, width), found, False).where(F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1).drop(found)
