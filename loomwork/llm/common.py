@@ -121,29 +121,51 @@ def members_then_visitors(key: str, handle: Callable):
     return run
 
 
+#: Keys that hold more than one of so many rows count as crowded; so at most so many do.
+MOST_HOT = 10_000
+
+
+def crowd(rows: int) -> int:
+    """From how many rows on a key is crowded, of so many rows in all; a few hundred rows never are."""
+    return max(256, rows // MOST_HOT)
+
+
+def spread_join(df: DataFrame, facts: DataFrame, key: str, rows: int) -> DataFrame:
+    """df (of `rows` rows) joined with one row of facts for each key, whose column n__ is the key's number of rows in df.
+
+    Rows of crowded keys, of which there are MOST_HOT at most, aren't dealt by key: the facts of these go to all tasks.
+    """
+    hot = facts.where(F.col("n__") > crowd(rows)).drop("n__")
+    rest = facts.where(F.col("n__") <= crowd(rows)).drop("n__")
+    ordinary = df.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return ordinary.unionByName(df.join(F.broadcast(hot), key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list as (id, component), component the smallest id.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): the edge list converges to stars whose
-    centres are the minima. Every step is a partial aggregation and a join, written to the shared folder.
-    Nodes without edges are absent.
+    centres are the minima. Every step is a partial aggregation and a join, which spreads the edges of a large star's
+    centre, written to the shared folder. Nodes without edges are absent.
     """
     now = spill(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct(), "edges")
-    known = None
-    for _ in range(rounds):
+    known, n = None, now.count()
+    for _ in range(rounds if n else 0):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
+        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n__")).withColumn("m", F.least("x", "m"))
+        large = spread_join(both.where("y > x"), low, "x", 2 * n).select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
         small_low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u < v").distinct()
+        pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
+        small = large.join(small_low, "v").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.v", "e.u").where("u < v").distinct()
         past, now = now, spill(small, "edges")
         discard(past)
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h"), F.count_distinct("v").alias("d")).first()
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
         if (mark.n, mark.h) == known or mark.n == 0:
             break
-        known = (mark.n, mark.h)
+        known, n = (mark.n, mark.h), mark.n
     else:
-        raise RuntimeError("components did not converge")
+        if n:
+            raise RuntimeError("components did not converge")
     return now.select(F.col("v").alias("id"), F.col("u").alias("component")).union(now.select("u", "u").distinct())
 
 

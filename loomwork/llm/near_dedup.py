@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import components, discard, fresh, in_slices, members_then_visitors, shuffle_partitions, spill
+from .common import components, discard, fresh, in_slices, members_then_visitors, shuffle_partitions, spill, spread_join
 
 REGISTERS, BANDS, ROWS = 160, 32, 5
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -204,9 +204,6 @@ def compare_blocks(percent: int):
 #: Members that a block of a cluster holds. A cluster with m members outside its hub's component sends each of them to
 #: about (all + m / 2) / BLOCK blocks.
 BLOCK = 2048
-#: Hubs that hold more than this share (one of so many) of all members count as crowded; so at most so many do.
-MOST_HOT = 10_000
-
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
@@ -239,11 +236,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = first.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct(*signature, "fp", "registers")).alias("m"))
     reps = spill(first.select("rep", F.col("m.n_shingles").alias("n"), F.col("m.fp").alias("fp"), F.col("m.registers").alias("registers")), "reps")
     rows = reps.select("rep", "registers").mapInArrow(band_rows, "key long, rep long")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = spill(rows.join(shared, "key"), "bands")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n__")).where("n__ > 1").withColumn("size", F.col("n__"))
+    rows = spill(spread_join(rows, shared, "key", BANDS * reps.count()), "bands")
     degree = rows.groupBy("rep").agg(F.sum("size").alias("degree"))
-    hubs = rows.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"))
-    stars = spill(rows.join(hubs, "key").where("rep != hub").select("hub", "rep").distinct(), "stars")
+    best = F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h")
+    hubs = rows.join(degree, "rep").groupBy("key").agg(best, F.count("*").alias("n__")).select("key", "n__", (-F.col("h.r")).alias("hub"))
+    stars = spill(spread_join(rows.select("key", "rep"), hubs, "key", rows.count()).where("rep != hub").select("hub", "rep").distinct(), "stars")
     used = reps.join(rows.select("rep").distinct(), "rep", "left_semi")
     texts = named.where("text is not null").withColumnRenamed("doc_id", "rep").join(used.select("rep", "fp"), ["rep", "fp"], "left_semi")
     sets = texts.select("rep", "text").mapInArrow(shingle_sets(k), "rep long, shingles binary").dropDuplicates(["rep"])
@@ -261,21 +259,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return df.join(label.select(F.col("id").alias(name), F.col("component").alias(f"{to}__")), name, "left").withColumn(to, F.coalesce(f"{to}__", name)).drop(f"{to}__")
 
     members = spill(labelled(stars.union(stars.select("hub", F.col("hub").alias("rep")).distinct()), "rep", "c"), "members")
-    # one hub may have a third of all classes: members of such hubs, MOST_HOT at most, aren't dealt by hub but told its facts
-    crowd = F.greatest(F.lit(2 * BLOCK), F.lit(members.count() // MOST_HOT))
-    hot = spill(members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > crowd).select("hub"), "hot")
-
-    def told_of_hub(some: DataFrame, small) -> DataFrame:
-        centre = labelled(some.select("hub").distinct(), "hub", "hc")
-        some = some.join(small(centre), "hub").withColumn("apart", F.col("c") != F.col("hc"))
-        sums = some.groupBy("hub").agg(F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside")).where("outside > 0")
-        sums = sums.select("hub", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob"))
-        return some.join(small(sums), "hub").select("hub", "rep", "c", "apart", "ib", "ob")
-
-    ordinary = told_of_hub(members.join(F.broadcast(hot), "hub", "left_anti"), lambda df: df)
-    crowded = told_of_hub(members.join(F.broadcast(hot), "hub", "left_semi"), F.broadcast)
-    clusters = spill(ordinary.union(crowded), "clusters")
-    discard(members, hot)
+    # one hub may have a third of all classes: members of such hubs aren't dealt by hub, but told its facts
+    n = members.count()
+    sizes = members.groupBy("hub").agg(F.count("*").alias("n__"))
+    apart = spread_join(members, labelled(sizes, "hub", "hc"), "hub", n).select("hub", "rep", "c", (F.col("c") != F.col("hc")).alias("apart"))
+    apart = spill(apart, "apart")
+    sums = apart.groupBy("hub").agg(F.count("*").alias("n__"), F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside"))
+    sums = sums.where("outside > 0").select("hub", "n__", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob"))
+    clusters = spill(spread_join(apart, sums, "hub", n), "clusters")
+    discard(members, apart)
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     home = F.when(F.col("apart"), F.col("ib") + block("ob")).otherwise(block("ib"))
     dealt = clusters.select("hub", "rep", "c", F.lit(0).alias("kind"), home.alias("block"))
