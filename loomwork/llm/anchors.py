@@ -38,7 +38,7 @@ CROWD, CROWDED = 4, 16
 #: A crowded key is dealt by this many ranges of the window's place around the anchor.
 RANGES = 6
 LEAF = np.dtype([("low", "<i8"), ("high", "<i8"), ("size", "<u4"), ("place", "<u4"), ("many", "<u4")])
-RUN = np.dtype([("id", "<u8"), ("group", "<u8"), ("low", "<i8"), ("first", "<u4"), ("last", "<u4")])
+RUN = np.dtype([("id", "<u8"), ("group", "<u8"), ("low", "<i8"), ("first", "<u4"), ("last", "<u4"), ("many", "<u4")])
 
 
 def roll(units: np.ndarray, n: int) -> np.ndarray:
@@ -441,9 +441,9 @@ class Meeting:
         order, first, n = distinct(self.key[self.model])
         return order[np.repeat(n > 1, n)]
 
-    def answer(self, node: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, all_: bool) -> Iterator[pa.RecordBatch]:
-        """The runs of nodes (first to last window) to the buckets of their members, or only to those that hold a
-        document above the run's smallest."""
+    def answer(self, node, low, first, last, group, many, all_: bool) -> Iterator[pa.RecordBatch]:
+        """The runs of nodes (first to last window, at so many places) to the buckets of their members, or only to those
+        that hold a document above the run's smallest."""
         by = np.argsort(node, kind="stable")
         runs = np.searchsorted(node[by], np.arange(len(self.model) + 1))
         per = np.diff(runs)[self.node]
@@ -452,7 +452,8 @@ class Meeting:
         keep = slice(None) if all_ else low[run] < self.leaf["high"][member]
         member, run = member[keep], run[keep]
         out = np.zeros(len(member), RUN)
-        out["id"], out["group"], out["low"], out["first"], out["last"] = self.name[member], group[run], low[run], first[run], last[run]
+        out["id"], out["group"], out["many"] = self.name[member], group[run], many[run]
+        out["low"], out["first"], out["last"] = low[run], first[run], last[run]
         yield from answers(self.owner[member], out, lambda x: x.tobytes())
 
 

@@ -104,7 +104,7 @@ def extend(L: int):
                 node, first, last = [*node, kin[own[begin]]], [*first, window[begin]], [*last, window[end]]
         node, first, last = (np.concatenate(x) for x in (node, first, last))
         none = np.zeros(len(node), np.int64)
-        yield from m.answer(node, none, first, last, none.astype(np.uint64), True)
+        yield from m.answer(node, none, first, last, none.astype(np.uint64), none, True)
 
     return by_key("part", handle)
 

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .anchors import REPLY, Bucket, Meeting, Sizes, between, bucketed, by_key, covered, distinct, marked, repeated, roll, shared_stretches, with_replies
@@ -91,19 +92,19 @@ def judge(L: int, all_: bool):
         # equal stretches are one leaf of the tree; where several documents or places hold it, it is a repeat as a whole
         size = m.size[m.model]
         whole = np.flatnonzero(many > 1) if all_ else np.flatnonzero(high > low)
-        out = [(whole, low[whole], np.zeros(len(whole), np.int64), size[whole] - L, m.name[m.model[whole]])]
+        out = [(whole, low[whole], np.zeros(len(whole), np.int64), size[whole] - L, m.name[m.model[whole]], many[whole])]
         kin = np.sort(m.kin())
         if len(kin):
-            out.append(repeats_of(m.text, m.start[m.model[kin]], size[kin], low[kin], kin, L))
-        node, least, first, last, group = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield from m.answer(node, least, first, last, group, all_)
+            out.append(repeats_of(m.text, m.start[m.model[kin]], size[kin], low[kin], many[kin], kin, L))
+        node, least, first, last, group, places = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield from m.answer(node, least, first, last, group, places, all_)
 
     return by_key("part", handle)
 
 
-def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.ndarray, node: np.ndarray, L: int):
+def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.ndarray, many: np.ndarray, node: np.ndarray, L: int):
     """Maximal repeats of the given stretches, from the interval tree, for each stretch that holds one: (node, smallest
-    doc_id, first and last window, a name of the repeat)."""
+    doc_id, first and last window, a name of the repeat, its places)."""
     # suffixes whose window follows an equal window of all that share it are implied by the longer ones: leave them out
     count = size - L + 1
     at = tk.ranges(place, count)
@@ -118,12 +119,12 @@ def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.nd
     wanted = np.flatnonzero((diverse & (n > 1))[group])
     if not len(wanted):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64), none
     starts, leaf, opening, window = at[wanted], leaf[wanted], opening[wanted], window[wanted]
     order, lcp = suffix_array(text, starts, place[leaf] + size[leaf] - starts)
     left = np.where(opening, 256 + np.arange(len(starts)), text[np.maximum(starts - 1, 0)])[order]
     starts, leaf, window = starts[order], leaf[order], window[order]
-    which, least, begin, end, name = [], [], [], [], []
+    which, least, begin, end, name, places = [], [], [], [], [], []
     for length, lo, hi in intervals(lcp, left, L):
         members = leaf[lo : hi + 1]
         offset = starts[lo : hi + 1] - place[members]
@@ -133,10 +134,11 @@ def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.nd
         end.append(offset + length - L)
         # all members share the first window and the length, and no other repeat of the part has both
         name.append(np.full(len(members), tk.mix(window[lo : lo + 1] + np.uint64(length))[0]))
+        places.append(np.full(len(members), many[members].sum()))
     if not which:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
-    return np.concatenate(which), np.concatenate(least), np.concatenate(begin), np.concatenate(end), np.concatenate(name)
+        return none, none, none, none, np.zeros(0, np.uint64), none
+    return np.concatenate(which), np.concatenate(least), np.concatenate(begin), np.concatenate(end), np.concatenate(name), np.concatenate(places)
 
 
 def cut_bytes(L: int):
@@ -186,7 +188,123 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     There, the suffixes of the stretches are sorted with their common prefixes, and a stack scan of this enhanced suffix
     array yields the intervals of the common-prefix tree whose left extensions differ: maximal repeats with all their
     occurrences, down to the end of the stretch. Each occurrence above the smallest document of a repeat is cut.
-    Repeats longer than a stretch are the unions of those of its successive anchors.
+    Repeats longer than a stretch are the unions of those of its successive anchors; maximal_repeats() puts them together.
     """
     rows, sizes, found = found_repeats(docs, length, False)
     return with_replies(rows, found, sizes).mapInArrow(cut_bytes(length), CUTS)
+
+
+SEGMENTS = "doc_id long, first long, last long, id long, many long"
+
+
+def segments(L: int):
+    """Of each bucket: runs of windows (first to last start) with the repeat that each stands for, the one that all places
+    of the window share and no longer string does, and the number of these places."""
+
+    def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, anchor, run in marked(Bucket(held, byte_units, SEED_BYTES, L)):
+            begin, size = s.start[anchor] + run["first"], run["last"].astype(np.int64) - run["first"] + 1
+            at = tk.ranges(begin, size)
+            if not len(at):
+                continue
+            row = np.repeat(np.arange(len(anchor)), size)
+            order = np.lexsort((run["group"][row], -run["many"][row].astype(np.int64), at))
+            at, row = at[order], row[order]
+            best = np.append(True, at[1:] != at[:-1])
+            at, row = at[best], row[best]
+            offset = at - begin[row]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (anchor[row[1:]] != anchor[row[:-1]]) | (run["group"][row[1:]] != run["group"][row[:-1]]) | (offset[1:] != offset[:-1] + 1)
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(at)) - 1
+            own = row[lo]
+            doc = s.doc[anchor[own]]
+            id_ = tk.mix(tk.mix(run["group"][own] + offset[lo].astype(np.uint64)) + (hi - lo).astype(np.uint64))
+            cols = [s.id[doc], at[lo] - s.off[doc], at[hi] - s.off[doc], id_.view(np.int64), run["many"][own].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "first", "last", "id", "many"])
+
+    return by_key("bucket", handle)
+
+
+SUFFIXES = "key long, before long, ids array<long>, doc_id long, first long, lasts array<long>"
+
+
+def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of tracks (doc_id, track of (first, last, unit)): every suffix of two units or more, with the unit before it."""
+    for batch in batches:
+        rows = []
+        for doc, track in zip(batch.column("doc_id").to_pylist(), batch.column("track").to_pylist(), strict=True):
+            ids, lasts = [t["unit"] for t in track], [t["last"] for t in track]
+            for i in range(len(track) - 1):
+                key = int(tk.mix(tk.mix(np.array(ids[i : i + 1]).view(np.uint64)) + np.array(ids[i + 1 : i + 2]).view(np.uint64)).view(np.int64)[0])
+                rows.append((key, ids[i - 1] if i else None, ids[i:], doc, track[i]["first"], lasts[i:]))
+        if rows:
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), longs, pa.int64(), pa.int64(), longs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "before", "ids", "doc_id", "first", "lasts"])
+
+
+REPEATS = "repeat_id long, n_places long, doc_id long, from_byte long, to_byte long"
+
+
+def repeats_of_units(L: int):
+    """The enhanced suffix array of the suffixes that begin with the same two units, and of its intervals the maximal
+    repeats of two units or more, with all occurrences."""
+
+    def handle(key: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in held for r in b.to_pylist()), key=lambda r: r["ids"])
+        lcp = np.zeros(len(rows), np.int64)
+        for i in range(1, len(rows)):
+            a, b = rows[i - 1]["ids"], rows[i]["ids"]
+            n = min(len(a), len(b))
+            lcp[i] = next((j for j in range(n) if a[j] != b[j]), n)
+        codes: dict[int, int] = {}
+        left = np.array([-2 - i if r["before"] is None else codes.setdefault(r["before"], len(codes)) for i, r in enumerate(rows)])
+        out = []
+        for length, lo, hi in intervals(lcp, left, 2):
+            name = np.array(rows[lo]["ids"][:length], np.int64).view(np.uint64)
+            id_ = int(np.bitwise_xor.reduce(tk.mix(name + np.arange(length, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
+            out += [(id_, hi - lo + 1, r["doc_id"], r["first"], r["lasts"][length - 1] + L) for r in rows[lo : hi + 1]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["repeat_id", "n_places", "doc_id", "from_byte", "to_byte"])
+
+    return by_key("key", handle)
+
+
+def maximal_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """(repeat_id, n_places, doc_id, from_byte, to_byte): all maximal repeats of `length` bytes or more, each with all its
+    occurrences. A repeat is a string that stands at two or more places, in one document or several; it is maximal if
+    its places differ in the byte before and in the byte behind it (or a text begins or ends there).
+
+    The repeats of stretches (see repeats()) tell of each window the repeat that all its places share. Runs of windows
+    with the same places are joined over the stretches of successive anchors to units, however long: a link between two
+    is firm if it stands at all places of both. A maximal repeat is a run of units. Those of one unit differ in the
+    units beside them; those of more are the left-diverse intervals of the common-prefix tree over the suffixes of the
+    documents' runs of units, sorted where they begin with the same two.
+
+    The result grows with the occurrences of nested repeats, for families of edited copies faster than the texts; the
+    cuts of repeats() need none of it. Documents share a doc_id at most by equal rows, which count once; rows without a
+    doc_id or a text hold no repeats.
+    """
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").distinct()
+    rows, sizes, found = found_repeats(docs, length, True)
+    parts = spill(with_replies(rows, found, sizes).mapInArrow(segments(length), SEGMENTS), "segments")
+    discard(found)
+    by_doc = Window.partitionBy("doc_id").orderBy("first")
+    near = parts.withColumn("next", F.when(F.lead("first").over(by_doc) == F.col("last") + 1, F.struct(F.lead("id").over(by_doc).alias("id"), F.lead("many").over(by_doc).alias("many"))))
+    links = near.where("next is not null and next.many = many").groupBy("id", F.col("next.id").alias("to")).agg(F.count("*").alias("n"), F.first("many").alias("many"))
+    firm = links.where("n = many").select(F.col("id").alias("l__"), F.col("to").alias("t__"))
+    linked = near.join(firm, (F.col("id") == F.col("l__")) & (F.col("next.id") == F.col("t__")), "left").withColumn("firm", F.col("l__").isNotNull())
+    opens = linked.withColumn("opens", ~F.coalesce(F.lag("firm").over(by_doc), F.lit(False)))
+    numbered = opens.withColumn("at", F.sum(F.col("opens").cast("long")).over(by_doc))
+    units = numbered.groupBy("doc_id", "at").agg(F.min_by("id", "first").alias("unit"), F.min("first").alias("first"), F.max("last").alias("last"))
+    units = spill(units, "units")
+    discard(parts)
+    beside = units.withColumn("before", F.when(F.lag("last").over(by_doc) + 1 == F.col("first"), F.lag("unit").over(by_doc))).withColumn("after", F.when(F.lead("first").over(by_doc) == F.col("last") + 1, F.lead("unit").over(by_doc)))
+    diverse = lambda c: (F.count(c) < F.count("*")) | (F.min(c) < F.max(c))
+    single = beside.groupBy("unit").agg(F.count("*").alias("n_places"), diverse("before").alias("l"), diverse("after").alias("r")).where("l and r and n_places > 1").select("unit", "n_places")
+    alone = units.join(single, "unit").select(F.col("unit").alias("repeat_id"), "n_places", "doc_id", F.col("first").alias("from_byte"), (F.col("last") + length).alias("to_byte"))
+    track = F.sum(F.col("before").isNull().cast("long")).over(by_doc)
+    tracks = beside.withColumn("t", track).groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("first", "last", "unit"))).alias("track")).select("doc_id", "track")
+    tails = tracks.where(F.size("track") > 1).mapInArrow(suffixes, SUFFIXES).repartition(sizes.tasks, "key").sortWithinPartitions("key")
+    return alone.union(tails.mapInArrow(repeats_of_units(length), REPEATS))
