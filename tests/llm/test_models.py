@@ -2,18 +2,22 @@
 
 import hashlib
 import random
+import re
 import warnings
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from loomwork.llm import language, mixing, toxicity, vector_dedup, warc
+from loomwork.llm.common import chosen_texts
 
 from . import brute
 
 DATA = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 
 
 def held(i):
@@ -206,16 +210,187 @@ def test_archives_of_no_pages(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def gram_set(text):
+    """Hashed 1- to 3-grams of a text, one by one."""
+    code = bytes(32 if b < 128 and not chr(b).isalpha() else ord(chr(b).lower()) if b < 128 else b for b in text.encode())
+    return {((int.from_bytes(code[i : i + n], "big") * 8 + n) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 49 for n in (1, 2, 3) for i in range(len(code) - n + 1)}
+
+
+def test_language_is_kernel_ridge_regression(spark):
+    """With every taught row a landmark: ridge regression on the kernel of gram sets, row by row; repeats and ties too."""
+    rng = random.Random(8)
+    words = {"en": "the of and to house water".split(), "fr": "les des et une maison eau".split(), "xx": "żó łą ść dom woda".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 12))), lang) for i, lang in ((i, rng.choice(sorted(words))) for i in range(140))]
+    rows += [rows[0], rows[1], (500, "", "en"), (501, "the maison woda", None), (502, "The HOUSE, the house!", None)]
+    docs = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in rows], "doc_id int, text string, lang string, score int")
+    taught = sorted({r for r in rows if not held(r[0]) and r[2] is not None})
+    sets = [gram_set(t) for _, t, _ in taught]
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    langs = sorted(words)
+    y = np.array([[lang == x for x in langs] for _, _, lang in taught], float)
+    alpha = np.linalg.solve(gram + 1e-3 * len(taught) * np.eye(len(taught)), y)
+    got = language.identify(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        f = np.array([kernel(gram_set(text), s) for s in sets]) @ alpha
+        if not text:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        assert r.score == pytest.approx(min(1.0, f.max()), abs=5e-3)
+        assert r.lang_pred == langs[int(f.argmax())] or np.sort(f)[-1] - np.sort(f)[-2] < 5e-3
+
+
+def test_samples_keep_their_bounds(spark):
+    """A doc_id that is repeated many times is one taught row."""
+    rows = [(i, "the words of it" if i % 2 else "les mots de ce", "en" if i % 2 else "fr") for i in range(40)]
+    many = next(i for i in range(40) if not held(i))
+    docs = spark.createDataFrame([*rows, *[(many, f"copy {j}", "en") for j in range(3000)]], "doc_id long, text string, lang string")
+    known = docs.where("doc_id is not null").select("doc_id", "lang").distinct()
+    assert chosen_texts(docs, known, "doc_id", "lang").count() == known.count()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, 1000).count() == sum(not held(i) for i in range(40))
+
+
+def features_by_hand(text, lexicon):
+    data = (text or "").encode()
+    words = [m.span() for m in re.finditer(rb"[A-Za-z\x80-\xff]+", data)]
+    low = np.frombuffer(data.lower(), np.uint8)
+    weight = []
+    for a, b in words:
+        own = [lexicon.get(int(k), 0.0) for _, keys in toxicity.grams(low[a:b], np.array([0]), np.array([b - a])) for k in keys]
+        weight.append(max(own, default=0.0))
+    said = [i for i, (a, b) in enumerate(words) if data[a:b].lower().decode() in toxicity.SECOND]
+    hits = [i for i, w in enumerate(weight) if w > 0]
+    close = [i for i in hits if any(abs(i - j) <= toxicity.NEAR for j in said)]
+    n, some, size = len(words), max(len(words), 1), max(len(data), 1)
+    letter = sum(1 for b in data if chr(b).isalpha() and b < 128 or b >= 128)
+    marks = [chr(b) in "!?@#$%&*+=_~^" for b in data]
+    digits = [48 <= b <= 57 for b in data]
+    is_letter = [b >= 128 or chr(b).isalpha() for b in data]
+    inside = sum((marks[i] or digits[i]) and is_letter[i - 1] and is_letter[i + 1] for i in range(1, len(data) - 1))
+    upper = sum(65 <= b <= 90 for b in data)
+    return [len(hits) / some, sum(weight) / some, max(weight, default=0.0), min(len(hits), 50), len(close) / some, len(said) / some, upper / max(letter, 1), sum(marks) / size, data.count(b"!") / size, inside / some, sum(digits) / size, np.log1p(n), letter / size, data.count(b"\n") / size]
+
+
+def test_toxicity_scores_by_hand(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = {}
+    for i in range(240):
+        text = [rng.choice(words) for _ in range(rng.randrange(5, 60))]
+        if i % 5 == 0:
+            text.insert(rng.randrange(len(text)), rng.choice(["blarghed", "BLARGHING you", "zo0nk!er zonkest"]))
+        texts[i] = " ".join(text) + rng.choice(["", "!!\n", " 7 ä", " You?"])
+    docs = spark.createDataFrame([*texts.items(), (900, None), (901, "")], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in texts], "doc_id int, toxic int")
+    scorer = toxicity.fit(docs, labels)
+    lexicon = {int(k): w for k, w in zip(scorer.features.keys, scorer.features.weights, strict=True)}
+    assert lexicon and scorer.model["trees"]
+    for r in toxicity.score(docs, scorer).collect():
+        x = features_by_hand(r.text, lexicon)
+        m = scorer.model["base"]
+        for tree in scorer.model["trees"]:
+            at = 0
+            while tree[at][0] >= 0:
+                at = int(tree[at][2] if x[int(tree[at][0])] <= tree[at][1] else tree[at][3])
+            m += tree[at][4]
+        want = 0.98 * np.interp(m, *scorer.knots) + 0.02 / (1 + np.exp(-m))
+        assert r.score == pytest.approx(min(max(want, 0), 1), abs=1e-9), r.text
+
+
+def test_mixing_rates_by_hand(spark):
+    rng = random.Random(2)
+    words = {"x": [f"a{i}" for i in range(30)], "y": [f"b{i}" for i in range(30)], "z": [f"c{i}" for i in range(20)]}
+    both = [w for own in words.values() for w in own]
+    rows = []
+    for i in range(150):
+        lang = rng.choice("xxxyz")
+        rows.append((i, " ".join(rng.choice(words[lang] if rng.random() < 0.7 else both) for _ in range(rng.randrange(1, 40))), lang if i % 9 else None))
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    bucket = lambda w: (xxhash.xxh64(w, seed=42).intdigest() - (2**64 if xxhash.xxh64(w, seed=42).intdigest() >= 2**63 else 0)) % mixing.BUCKETS
+    held_in = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {d: np.zeros(mixing.BUCKETS) for d in "xyz"}
+    for i, text, lang in rows:
+        if lang and not held_in(i):
+            for w in set(text.split()):
+                counts[lang][bucket(w)] += 1
+    # a label's held-out rows are taught too while it has fewer than the bound of others
+    for i, text, lang in rows:
+        if lang and held_in(i):
+            for w in set(text.split()):
+                counts[lang][bucket(w)] += 0
+    logs = {d: np.log((c + 0.5) / (c.sum() + 0.5 * mixing.BUCKETS)) for d, c in counts.items()}
+    t, p = [], []
+    for _, text, _ in rows:
+        own = sorted(set(text.split()))
+        like = np.array([sum(logs[d][bucket(w)] for w in own) for d in "xyz"]) / np.sqrt(len(own))
+        p.append(np.exp(like - like.max()) / np.exp(like - like.max()).sum())
+        t.append(len(text.split()))
+    t, p = np.array(t, float), np.array(p)
+    want = rates_by_hand(t, p, np.full(3, 1 / 3), 400)
+    got = {r.doc_id: r for r in mixing.mixed_documents(docs).collect()}
+    assert [got[i].n_tokens for i, _, _ in rows] == t.tolist()
+    assert np.abs(np.array([got[i].p_domain for i, _, _ in rows]) - p.max(1)).max() < 1e-9
+    assert np.abs(np.array([got[i].rate for i, _, _ in rows]) - want).max() < 1e-3
+
+
+def stage_by_hand(name, spark, rows, path):
+    """Of a stage's input (doc_id, text): the doc_ids that stay, and their texts' digests."""
+    texts = {i: brute.sha(t or "") for i, t in rows}
+    if name == "line_dedup":
+        return {i: x[2] for i, x in brute.lines(rows).items()}
+    if name == "near_dedup":
+        return {i: texts[i] for i, x in brute.near(rows, 5).items() if x[2]}
+    if name == "decontamination":
+        items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+        return {i: texts[i] for i, x in brute.leaks(rows, items).items() if not x[4]}
+    return texts
+
+
 def test_pipeline_stages(spark):
+    """Each stage's whole output against brute force on its own input, and the run against its stages."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns, final = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES:
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        out = stage(spark, docs, SMALL)
+        got = {r.doc_id: brute.sha(r.text or "") for r in out.collect()}
+        if name == "toxicity":
+            said = toxicity.score_documents(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
+            assert got == {i: brute.sha(t or "") for (i, t) in rows if not next(r.predicted for r in said if r.doc_id == i)}
+        else:
+            assert got == stage_by_hand(name, spark, rows, SMALL), name
+        if name == "mixing":
+            rate = {r.doc_id: r.rate for r in mixing.mixed_documents(docs).collect()}
+            assert {r.doc_id: r.mix_rate for r in out.collect()} == pytest.approx(rate)
+            final = sorted((r.doc_id, r.text) for r in out.collect())
+        else:
+            assert out.columns == columns, name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.run(spark, SMALL).collect()) == final
+
+
+def test_pipeline_on_whole_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, DATA).columns == docs.columns, name
     out = corpus_pipeline.run(spark, DATA)
     assert set(docs.columns) < set(out.columns)
-    got = out.collect()
-    rows = [(r.doc_id, r.text) for r in got]
-    near = brute.near(rows[:150], 5)
-    assert all(x[2] for x in near.values())
+    rows = [(r.doc_id, r.text) for r in out.collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert not any(x[4] for x in brute.leaks(rows, items).values())
-    assert len(got) > 700
+    assert len(rows) > 700
+
+
+def test_pipeline_stages_of_odd_tables(spark):
+    """Nulls in every column, empty and blank texts, repeated rows, columns with clashing names, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, gone__ string, fp__ long, found__ string, rate__ double, keep__ binary"
+    text = "these few words say the same thing again and again in each of the copies "
+    rows = [(1, text * 3, "en", "a"), (2, text * 3, "en", None), (2, text * 3, "en", None), (3, None, None, None), (4, "", "fr", "b"), (5, " \n\t", None, "c"), (None, "no id but words", "en", "d"), (None, None, None, None), (7, "der Text", "de", "e")]
+    docs = spark.createDataFrame([(*r, None, 0.5, "x", 1, None, None, None) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert set(out.columns) >= set(docs.columns), name
+        ids = [r.doc_id for r in out.collect()]
+        assert {3, 4, 5, 7, None} <= set(ids) and ids.count(None) == 2, name
+        assert stage(spark, docs.limit(0), SMALL).collect() == [], name

@@ -188,3 +188,51 @@ def test_a_crowded_key_with_many_surroundings(spark, monkeypatch):
     assert got == brute.suffix(rows)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect())
     assert got == sorted(brute.substrings(rows))
+
+
+def maximal_by_hand(rows, width):
+    """Every substring of `width` bytes or more at two or more places that differ on both sides."""
+    texts = {i: t.encode() for i, t in rows}
+    places = {}
+    for i, t in texts.items():
+        for a in range(len(t)):
+            for b in range(a + width, len(t) + 1):
+                places.setdefault(t[a:b], []).append((i, a))
+    out = set()
+    for s, at in places.items():
+        left = {texts[i][a - 1] if a else (i, a) for i, a in at}
+        right = {texts[i][a + len(s)] if a + len(s) < len(texts[i]) else (i, a) for i, a in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            out.add((len(at), tuple(sorted((i, a, a + len(s)) for i, a in at))))
+    return out
+
+
+def found_groups(df):
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.repeat_id, []).append(r)
+    assert all(len(g) == g[0].n_places for g in groups.values())
+    return sorted((g[0].n_places, tuple(sorted((r.doc_id, r.from_byte, r.to_byte) for r in g))) for g in groups.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_maximal_repeats_are_all_and_only_those(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(20, 45)))
+    pieces = [word() for _ in range(4)]
+    rows = [(i, "".join(rng.choice(pieces) if rng.random() < 0.75 else word() for _ in range(rng.randrange(1, 6)))) for i in rng.sample(range(90), 9)]
+    got = found_groups(suffix_dedup.maximal_repeats(frame(spark, [*rows, (95, ""), (96, None), (None, rows[0][1])]), 20))
+    assert got == sorted(maximal_by_hand(rows, 20))
+
+
+def test_maximal_repeats_of_several_kilobytes(spark):
+    """A passage of 6 kB in three documents, and 2 kB from its middle in a fourth and twice in a fifth."""
+    rng = random.Random(3)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(6000)
+    inner = passage[2500:4500]
+    own = [prose(700 + 10 * i) for i in range(6)]
+    rows = [(1, own[0] + "X" + passage + "Y" + own[1]), (2, passage + "Z"), (3, "W" + passage), (4, own[2] + "1" + inner + "2" + own[3]), (5, own[4] + "3" + inner + "45" + inner + "6" + own[5]), (6, own[3][:40])]
+    found = found_groups(suffix_dedup.maximal_repeats(frame(spark, rows)))
+    places = lambda s: tuple(sorted((i, a, a + len(s)) for i, t in rows for a in range(len(t)) if t.startswith(s, a)))
+    assert found == [(3, places(passage)), (6, places(inner))]
