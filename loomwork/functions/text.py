@@ -25,8 +25,14 @@ def trim(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Caseless form; sharp s becomes ss."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full case folding: the lower case of the upper case, in which sharp s, ligatures and the like spell out.
+
+    Both sharp s become ss, final sigma is any sigma, and the dotless i, whose upper case has a dot to lose, stays.
+    """
+    dotless = F.translate(F.lower(c), "\u0131", "\ue0f1")  # kept apart by a private character
+    # what stands between upper and lower also keeps the optimizer from taking them for lower alone
+    upper = F.translate(F.upper(dotless), "\ue0f1", "\u0131")
+    return F.translate(F.replace(F.lower(upper), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def is_blank(c: Column) -> Column:
@@ -160,6 +166,54 @@ def between_marks(c: Column, begin: str, end: str) -> Column:
     return F.when(c.rlike(pattern), trim(F.regexp_extract(c, pattern, 1))).otherwise(trim(F.coalesce(c, F.lit(""))))
 
 
+def choose_field(name: str, fields: tuple[str, ...] = ("summary", "description")) -> str:
+    """The name of a text field in any case; an error for others."""
+    found = name.strip().lower()
+    if found not in fields:
+        raise ValueError(f"unknown field {name!r}, one of {', '.join(fields)} is wanted")
+    return found
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path without its suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?/*$", 1)
+
+
+def suffix(path: Column) -> Column:
+    """The suffix of a path's last part, with its dot; empty without one."""
+    return F.regexp_extract(path, r"[^/](\.[^./]*)$", 1)
+
+
+def shard_path(path: Column, number: Column, first_bare: bool = True) -> Column:
+    """Paths of numbered shards: stem_<number> with the suffix, the number 0 without one if first_bare."""
+    numbered = F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit("_"), number.cast("string"), suffix(path))
+    return F.when(number == 0, path).otherwise(numbered) if first_bare else numbered
+
+
+def path_list(c: Column) -> Column:
+    """Paths given as a JSON list or separated by commas, trimmed, blanks left out."""
+    t = trim(F.coalesce(c, F.lit("")))
+    parts = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(F.split(t, ","))
+    return F.transform(non_blank_items(F.coalesce(parts, F.array().cast("array<string>"))), trim)
+
+
+def stays_inside(path: Column) -> Column:
+    """Whether a relative path leads nowhere above where it starts: not absolute, and at no point more steps up than down."""
+    steps = F.transform(F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), lambda p: F.when(p == "..", -1).otherwise(1))
+    low = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, s: F.struct((a["at"] + s).alias("at"), F.least(a["low"], a["at"] + s).alias("low")))
+    return ~path.startswith("/") & (low["low"] >= 0)
+
+
+def document_prompt(intro: Column, document: Column, marks: tuple[str, str]) -> Column:
+    """An instruction, and a document between two marks, each on lines of their own."""
+    return F.concat_ws("\n", intro, F.lit(marks[0]), document, F.lit(marks[1]))
+
+
+def question_prompt(template: str, name: Column, description: Column, questions: Column) -> Column:
+    """A template with the name, the description and the numbered questions of a row."""
+    return render(template, {"name": name, "description": description, "questions": numbered_list(questions)})
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of the lower-cased texts, in code points."""
     return F.levenshtein(F.lower(a), F.lower(b))

@@ -66,7 +66,7 @@ def retriever_rows(inputs: DataFrame, outputs: DataFrame, records: DataFrame, or
     out = outputs.where(dedupe.has_id("custom_id")).withColumn("payload", F.when(good, text)).groupBy("custom_id").agg(F.count("*").alias("n_outputs"), F.min_by("payload", F.when(F.col("payload").isNotNull(), o)).alias("payload"))
     own = dedupe.last_by(records, "custom_id", o).select("custom_id", "metadata")
     joined = left.join(out, "custom_id", "left").join(own, "custom_id", "left")
-    lacking = tx.is_blank(F.try_element_at("metadata", F.lit("name"))) | tx.is_blank(F.try_element_at("metadata", F.lit("description")))
+    lacking = F.coalesce(tx.is_blank(F.try_element_at("metadata", F.lit("name"))) | tx.is_blank(F.try_element_at("metadata", F.lit("description"))), F.lit(True))
     state = F.when(F.col("n_outputs").isNull(), "missing_output").when(F.col("payload").isNull(), "invalid_output")
     state = state.when(lacking, "missing_metadata") if require_metadata else state
     return joined.withColumn("missing_record", F.col("metadata").isNull()).withColumn("state", state.otherwise("ok")).withColumn("markdown_content", tx.between_marks(payload.first_user_text(F.col("body")), *MARKS))
@@ -102,6 +102,30 @@ def merge_retry(old_outputs: DataFrame, old_errors: DataFrame, retried: DataFram
     return outputs, errors
 
 
+def join_by_suffix(rows: DataFrame, others: DataFrame, order: str, key: str = "custom_id") -> DataFrame:
+    """rows with the columns of the others whose id ends in the same number, the last of several; an id without a partner
+    is an error when the row is read."""
+    number = lambda: F.regexp_extract(key, r"(\d+)$", 1)
+    own = dedupe.last_by(others.withColumn("suffix__", number()), "suffix__", F.col(order)).drop(order, key)
+    joined = rows.withColumn("suffix__", number()).join(own.withColumn("there__", F.lit(True)), "suffix__", "left")
+    told = F.raise_error(F.concat(F.lit("no partner for "), F.col(key))).cast("string")
+    return joined.withColumn(key, F.when(F.col("there__").isNull(), told).otherwise(F.col(key))).drop("suffix__", "there__")
+
+
+def required_metadata(rows: DataFrame, metadata: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose metadata has something under all of these keys, and the others with `lacking`, the first that is blank."""
+    lacking = F.coalesce(*(F.when(tx.is_blank(F.try_element_at(metadata, F.lit(k))), k) for k in keys))
+    marked = rows.withColumn("lacking", lacking)
+    return marked.where("lacking is null").drop("lacking"), marked.where("lacking is not null")
+
+
+def source_tally(rows: DataFrame, key: str, first: Column, names: tuple[str, str]) -> DataFrame:
+    """Rows of each key from two sources, and which gave more; the second on a tie."""
+    a, b = names
+    sums = rows.groupBy(key).agg(F.count_if(first).alias(f"from_{a}"), F.count_if(~first).alias(f"from_{b}"))
+    return sums.withColumn("winner", F.when(F.col(f"from_{a}") > F.col(f"from_{b}"), a).otherwise(b))
+
+
 def scenario_rows(summaries: DataFrame, scenarios: DataFrame, order: str, valid: Column) -> DataFrame:
     """Rows of ids that both sides have: of the summaries the first row, of the scenarios the last valid one."""
     left = dedupe.first_by(summaries, "custom_id", F.col(order)).drop(order)

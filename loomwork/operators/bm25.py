@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..session import discard, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Terms of all queries together up to this number are broadcast (well under 100 bytes each); beyond, the joins shuffle.
-BROADCAST_TERMS = 500_000
+#: The terms of all queries are broadcast while they take no more bytes than this; beyond, the joins shuffle.
+BROADCAST_BYTES = 48 << 20
 
 
 def tokens(df: DataFrame, key: str, tokenized: Column) -> DataFrame:
@@ -43,11 +43,10 @@ def score(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_ke
     Only postings of query terms leave the scan: the exploded terms meet the query vocabulary in a broadcast join
     (its size is checked) before any shuffle. A term that a query repeats counts as often.
     """
-    docs = docs.persist()
-    asked = queries.select(query_key, F.explode("toks").alias("tok")).groupBy(query_key, "tok").agg(F.count("*").alias("qn")).persist()
+    asked = queries.select(query_key, F.explode("toks").alias("tok")).groupBy(query_key, "tok").agg(F.count("*").alias("qn"))
     vocabulary = asked.select("tok").distinct()
-    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else lambda x: x
+    room = asked.agg(F.sum(F.octet_length("tok") + 64)).first()[0] or 0
+    hint = F.broadcast if room <= BROADCAST_BYTES else lambda x: x
     weights = idf(docs).join(hint(vocabulary), "tok", "left_semi").select("tok", "idf")
     stats = corpus_stats(docs)
     hit = docs.select(doc_key, F.size("toks").alias("len"), F.explode("toks").alias("tok")).join(hint(vocabulary), "tok", "left_semi").groupBy(doc_key, "len", "tok").agg(F.count("*").alias("tf"))
@@ -64,23 +63,33 @@ def rank(scores: DataFrame, limit: int, doc_key: str = "doc_id", query_key: str
 
 def search(docs: DataFrame, queries: DataFrame, limit: int = 10, doc_key: str = "doc_id", query_key: str = "query_id", fill_zero: bool = True) -> DataFrame:
     """(query, doc, score, rank). With fill_zero each query has min(limit, documents) rows: documents without a shared
-    term have the score 0 and take part by their ids.
+    term have the score 0 and take part by their ids, before documents of a negative score (which the mean idf of tiny
+    collections may give).
 
-    Of those documents only the smallest ids can be in a top list, as long as no score is negative: the smallest
-    limit + (documents that the query hit, limit at most) of all ids hold enough of them. Scores are negative only if
-    the mean idf is, in tiny collections where most terms are in most documents; then all documents take part.
+    Only the smallest ids among the documents of score 0 can be in a top list. A prefix of all ids, 2 * limit at first,
+    holds enough of them for a query with fewer than limit hits. Where a query's hits are many and mostly negative, the
+    prefix grows until it holds what the query lacks.
     """
-    hits = score(docs, queries, doc_key, query_key)
-    if not fill_zero:
-        return rank(hits, limit, doc_key, query_key)
-    hits = hits.persist()
-    lowest = hits.agg(F.min("score")).first()[0]
-    ids = docs.select(doc_key)
-    if lowest is None or lowest >= 0:
-        ids = ids.orderBy(doc_key).limit(2 * limit)
-    top = rank(hits, limit, doc_key, query_key).select(query_key, doc_key, "score") if lowest is None or lowest >= 0 else hits
-    zero = queries.select(query_key).join(F.broadcast(ids)).join(hits.select(query_key, doc_key), [query_key, doc_key], "left_anti").withColumn("score", F.lit(0.0))
-    return rank(top.unionByName(zero), limit, doc_key, query_key)
+    docs = written(docs.select(doc_key, "toks"))  # texts are split into terms once
+    top = written(rank(score(docs, queries, doc_key, query_key), limit, doc_key, query_key))
+    asked = queries.select(query_key).distinct()
+    above = top.where("score > 0").groupBy(query_key).agg(F.count("*").alias("n"))
+    lacks = asked.join(above, query_key, "left").select(query_key, (limit - F.coalesce("n", F.lit(0))).alias("lack")).where("lack > 0")
+    if fill_zero and not (lacks := written(lacks)).isEmpty():
+        hits = rank(score(docs, queries.join(lacks, query_key, "left_semi"), doc_key, query_key), 1 << 60, doc_key, query_key)
+        hits = written(hits.where("score != 0").select(query_key, doc_key))
+        length, total = 2 * limit, docs.count()
+        while True:
+            ids = docs.select(doc_key).orderBy(doc_key).limit(length)
+            zero = lacks.join(ids).join(hits, [query_key, doc_key], "left_anti").select(query_key, doc_key, F.lit(0.0).alias("score"))
+            found = zero.groupBy(query_key).agg(F.count("*").alias("n"))
+            if length >= total or lacks.join(found, query_key, "left").where(F.coalesce("n", F.lit(0)) < F.col("lack")).isEmpty():
+                break
+            length *= 8
+        top, past = written(rank(top.where("score != 0").select(query_key, doc_key, "score").unionByName(zero), limit, doc_key, query_key)), top
+        discard(past, hits, lacks)
+    discard(docs)
+    return top
 
 
 def lookup(ranked: DataFrame, docs: DataFrame, doc_key: str, columns: list[str]) -> DataFrame:

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ordinals import numbered
+
 
 def rank_positions(scores: DataFrame, query: str = "query_id", doc: str = "doc_id", score: str = "score") -> DataFrame:
-    """Places from 0, score descending, then document ascending."""
-    return scores.withColumn("position", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), doc)) - 1)
+    """Places from 0, score descending, then document ascending, of lists of any length: all lists are sorted as one over
+    range partitions, and a list's places count from its first row."""
+    placed = numbered(scores, [query, F.desc(score), doc], "all__")
+    first = placed.groupBy(F.col(query).alias("q__")).agg(F.min("all__").alias("first__"))
+    both = placed.join(first, F.col(query) == F.col("q__"))
+    return both.withColumn("position", F.col("all__") - F.col("first__")).drop("all__", "q__", "first__")
 
 
 def merge(dense: DataFrame, sparse: DataFrame, limit: int | None = None, k: int = 60, weights: tuple[float, float] = (1.0, 1.0), digits: int = 9) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, shared_folder, written
 from .dense import stacked
 
 
@@ -33,37 +33,35 @@ def top(scores: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return scores.orderBy(F.desc(score), key).limit(n)
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/rank-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, folder: str | None = None, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node, rank) of nodes (node) and distinct edges (source, target): uniform start and teleport, the mass of nodes
-    without edges spread evenly, stop when the ranks move less than nodes * tolerance in all (tolerance 0: never).
+    without edges spread evenly, until the ranks move less than nodes * tolerance in all. Ranks that still move after
+    `iterations` rounds are an error; with a tolerance of 0 exactly that many rounds are made.
 
-    folder: a shared folder where the ranks of each round are written, which cuts the lineage and survives lost
-    executors; without one (a fixed few rounds) the plan simply grows.
+    The ranks of each round are written to the shared folder, which cuts the lineage and survives lost executors.
     """
+    folder = shared_folder(nodes.sparkSession, folder)
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("source").agg(F.count("*").alias("n_out"))
-    links = edges.join(out, "source").select("source", "target", "n_out").persist()
+    links = written(edges.join(out, "source").select("source", "target", "n_out"), folder)
     ranks = nodes.join(out, nodes.node == out.source, "left").select("node", F.col("n_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    past = None
     for _ in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
         given = links.join(ranks.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
-        new = ranks.withColumnRenamed("rank", "old").join(given, "node", "left").join(F.broadcast(lost)).select("node", "dangling", "old", ((1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if folder:
-            new = _written(new, folder)
-            moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            ranks = new.drop("old")
-            if moved < n * tolerance:
-                break
-        else:
-            ranks = new.drop("old")
+        rank = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) / n)
+        new = written(ranks.withColumnRenamed("rank", "old").join(given, "node", "left").select("node", "dangling", "old", rank.alias("rank")), folder)
+        if past is not None:
+            discard(past)
+        past, ranks = new, new.drop("old")
+        if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
+            break
+    else:
+        if tolerance:
+            raise RuntimeError(f"ranks still move after {iterations} rounds")
+    discard(links)
     return ranks.select("node", "rank")
 
 
@@ -76,7 +74,7 @@ def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.where(F.col("kind").isin(*kinds))
 
 
-def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str, cores: DataFrame | None = None) -> DataFrame:
+def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str | None = None, cores: DataFrame | None = None) -> DataFrame:
     """(id, cluster as string) of points (id) given their pairs within the radius, (a, b) with a < b: -1 is noise.
 
     A point with min_points points within reach, itself included, is a core; linked cores are one cluster, named by
@@ -85,22 +83,26 @@ def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str, cor
 
     cores: the cores (id), if they are known; then near may lack links of cores that others connect anyway.
     """
+    folder = shared_folder(points.sparkSession, folder)
     both = near.select(F.col("a").alias("x"), F.col("b").alias("y")).union(near.select("b", "a"))
     if cores is None:
         cores = both.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("x").alias("id"))
         if min_points <= 1:
             cores = points.select("id")
-    inner = _written(both.join(cores.withColumnRenamed("id", "x"), "x", "left_semi").join(cores.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y"), folder)
-    label = _written(cores.select("id", F.col("id").alias("c")), folder)
+    inner = written(both.join(cores.withColumnRenamed("id", "x"), "x", "left_semi").join(cores.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y"), folder)
+    label = written(cores.select("id", F.col("id").alias("c")), folder)
+    past = None
     while True:
         low = inner.join(label.select(F.col("id").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
         step = label.join(low, label.id == low.x, "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("d"))
         jump = step.select(F.col("id").alias("d"), F.col("d").alias("dd"))
-        new = _written(step.join(jump, "d", "left").select("id", "c", F.least("d", F.coalesce("dd", "d")).alias("n")), folder)
-        changed = new.where("c != n").isEmpty()
-        label = new.select("id", F.col("n").alias("c"))
-        if changed:
+        new = written(step.join(jump, "d", "left").select("id", "c", F.least("d", F.coalesce("dd", "d")).alias("n")), folder)
+        rests = new.where("c != n").isEmpty()
+        discard(label if past is None else past)
+        past, label = new, new.select("id", F.col("n").alias("c"))
+        if rests:
             break
+    discard(inner)
     edge = both.join(label.select(F.col("id").alias("y"), "c"), "y").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("e"))
     out = points.select("id").join(label, "id", "left").join(edge, "id", "left")
     return out.select("id", F.coalesce(F.col("c").cast("string"), F.col("e").cast("string"), F.lit("-1")).alias("cluster"))
@@ -154,7 +156,7 @@ def _blocks(v: DataFrame, least: float, with_cores: bool, folder: str) -> DataFr
     def block() -> DataFrame:
         ids, x = np.array([r.id for r in held], np.int64), unit(np.array([r.v for r in held], np.float64))
         core = np.array([r.core for r in held], bool) if with_cores else None
-        met = _written(v.mapInArrow(_within(ids, x, core, least), "id long, n long"), folder)
+        met = written(v.mapInArrow(_within(ids, x, core, least), "id long, n long"), folder)
         return met if out is None else out.union(met)
 
     for row in v.toLocalIterator():
@@ -166,22 +168,29 @@ def _blocks(v: DataFrame, least: float, with_cores: bool, folder: str) -> DataFr
     return v.sparkSession.createDataFrame([], "id long, n long") if out is None else out
 
 
-def dbscan_vectors(vectors: DataFrame, least: float, min_points: int, folder: str) -> DataFrame:
+def dbscan_vectors(vectors: DataFrame, least: float, min_points: int, folder: str | None = None) -> DataFrame:
     """dbscan() of (id, v): all pairs of vectors with a cosine (to six digits) of `least` or more are within the radius.
 
     Every vector is compared with every other, twice: for its number of neighbours, and for the links of cores. A task
     leaves out links that only repeat a connection, so a dense group doesn't give rows by its square. Null vectors are
     noise. All ids are distinct, all vectors of one dimension.
     """
+    folder = shared_folder(vectors.sparkSession, folder)
     points = vectors.select(F.col("id").cast("long").alias("id"))
-    v = _written(vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), folder)
+    v = written(vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), folder)
     counts = _blocks(v, least, False, folder).groupBy("id").agg(F.sum("n").alias("n"))
-    cores = _written(v.join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"), folder)
-    marked = _written(v.join(cores.withColumn("core", F.lit(True)), "id", "left").select("id", "v", F.coalesce("core", F.lit(False)).alias("core")), folder)
+    cores = written(v.join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"), folder)
+    marked = written(v.join(cores.withColumn("core", F.lit(True)), "id", "left").select("id", "v", F.coalesce("core", F.lit(False)).alias("core")), folder)
     near = _blocks(marked, least, True, folder).select(F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b")).distinct()
     return dbscan(near, points, min_points, folder, cores)
 
 
+def cluster_frame(clusters: DataFrame, points: DataFrame) -> DataFrame:
+    """points (id, ...) with `cluster` and the size of it, 0 for noise."""
+    sizes = clusters.where("cluster != '-1'").groupBy("cluster").agg(F.count("*").alias("size"))
+    return points.join(clusters, "id").join(sizes, "cluster", "left").select(*points.columns, "cluster", F.coalesce("size", F.lit(0)).alias("size"))
+
+
 def cluster_counts(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
     """One row: clusters without the noise, and noise points."""
     c = F.col(cluster)

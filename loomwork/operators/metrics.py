@@ -46,6 +46,19 @@ def flatten(metrics: DataFrame, field: str, model: str) -> DataFrame:
     return tall.select(F.concat(F.lit(f"eval/{field}/{model}/"), "m").alias("metric"), "value")
 
 
+def nested(tall: DataFrame) -> DataFrame:
+    """One row (json) of metrics of flatten(): objects of fields, of models in them, of metrics in those."""
+    parts = tall.select(F.split("metric", "/").alias("p"), "value").select(F.get("p", 1).alias("field"), F.get("p", 2).alias("model"), F.get("p", 3).alias("m"), "value")
+
+    def packed(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+        by_name = lambda a, b: F.when(a[name] < b[name], -1).otherwise(1)
+        return df.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, F.col(value).alias("of"))), by_name)).alias("v"))
+
+    models = packed(parts, ["field", "model"], "m", "value")
+    fields = packed(models, ["field"], "model", "v")
+    return packed(fields, [], "field", "v").select(F.to_json("v").alias("json"))
+
+
 def from_callback(pairs: DataFrame, retrieve, ks: list[int]) -> DataFrame:
     """(query_id, rank, name) rows from a function retrieve(query, top_k) -> names, called once a query on the executors."""
     import pandas as pd

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import shared_folder, written
+from .fusion import merge
 
 
 def windowed_negatives(ranked: DataFrame, texts: DataFrame, positives: DataFrame, start: int, most: int) -> DataFrame:
@@ -38,6 +40,31 @@ def sliced_negatives(ranked: DataFrame, texts: DataFrame, drop: int, keep: int)
     return named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]).alias("negatives"))
 
 
+def mine(dense: DataFrame, sparse: DataFrame, texts: DataFrame, positives: DataFrame, start: int = 6, most: int = 32) -> DataFrame:
+    """Hard negatives from both searches: (query_id, positive, negatives) of queries with a positive and a negative.
+
+    dense, sparse: (query_id, doc_id, rank) pools of each query; texts: (doc_id, text); positives: (query_id, doc_id,
+    text). The pools are fused by reciprocal rank, and the fused list is walked as windowed_negatives() says.
+    """
+    negatives = windowed_negatives(merge(dense, sparse), texts, positives, start, most)
+    return with_negatives(positives.select("query_id", tx.trim(F.col("text")).alias("positive")).join(negatives, "query_id"))
+
+
+def mine_fields(pools: dict[str, tuple[DataFrame, DataFrame]], texts: DataFrame, drop: int = 5, keep: int = 32) -> DataFrame:
+    """Negatives by field: (query_id, negative_<field>, ...) of each field's own fused pools, a row for each query that any
+    field has; a field without one is an empty list.
+
+    pools: for each field its (dense, sparse) lists; texts: (doc_id, a column for each field). Lists are sliced as
+    sliced_negatives() says.
+    """
+    out = None
+    for field, (dense, sparse) in pools.items():
+        ranked = merge(dense, sparse).select("query_id", "doc_id", "rank")
+        own = sliced_negatives(ranked, texts.select("doc_id", F.col(field).alias("text")), drop, keep).withColumnRenamed("negatives", f"negative_{field}")
+        out = own if out is None else out.join(own, "query_id", "full")
+    return out.select("query_id", *(F.coalesce(f"negative_{f}", F.array().cast("array<string>")).alias(f"negative_{f}") for f in pools))
+
+
 def with_negatives(rows: DataFrame, column: str = "negatives") -> DataFrame:
     """Rows with at least one negative."""
     return rows.where(F.size(column) > 0)
@@ -94,7 +121,7 @@ def diverse_subset(df: DataFrame, key: str, item: str, vector: str, n: int, weig
     return df.where(F.col(vector).isNotNull()).groupBy(key).applyInPandas(choose, f"{key} {df.schema[key].dataType.simpleString()}, {item} {kind}, pick int")
 
 
-def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n: int, folder: str, weight: float = 0.5) -> DataFrame:
+def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n: int, folder: str | None = None, weight: float = 0.5) -> DataFrame:
     """diverse_subset() of groups of any size: no task sees a whole group, and no pairs are made.
 
     The mean similarity of a row is its product with the mean of the unit vectors. Each pick is one aggregation by key
@@ -102,8 +129,8 @@ def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n:
     """
     from ..functions import vectors as vx
     from .dense import mean_pool
-    from .graph import _written
 
+    folder = shared_folder(df.sparkSession, folder)
     kind = df.schema[key].dataType
     base = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(item).alias("i"), vx.normalize(F.col(vector)).alias("u"))
     few = base.groupBy("k").count().where(F.col("count") < n).first()
@@ -112,7 +139,7 @@ def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n:
     means = mean_pool(base, "k", "u").select(F.col("k").alias("mk"), "pooled")
     now = base.join(means, F.col("k").eqNullSafe(F.col("mk"))).select("k", "i", "u", F.round(vx.dot(F.col("u"), F.col("pooled")), 9).alias("relevance"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("int").alias("pick"))
     for turn in range(1, n + 1):
-        now = _written(now, folder)
+        now = written(now, folder)
         value = F.col("relevance") if turn == 1 else F.round(weight * F.col("relevance") - (1 - weight) * F.col("near"), 9)
         best = now.where("pick is null").groupBy("k").agg(F.min_by(F.struct("i", "u"), F.struct((-value).alias("v"), "i")).alias("b")).select(F.col("k").alias("bk"), F.col("b.i").alias("bi"), F.col("b.u").alias("bu"))
         moved = F.greatest("near", F.round(vx.dot(F.col("u"), F.col("bu")), 9))
@@ -180,8 +207,10 @@ def split_questions(rows: DataFrame, key: str, questions: str, train: int = 2, v
 
 
 def pick_one(items: Column, key: Column, seed: int, epoch: int = 0) -> Column:
-    """One item of an array, chosen by a hash of key, seed and epoch; null if there is none."""
-    return F.when(F.size(items) > 0, F.get(items, F.pmod(F.xxhash64(key, F.lit(seed + epoch)), F.size(items).cast("long")).cast("int")))
+    """One item of an array, chosen by a hash of seed, epoch and key, the same in every engine; null if there is none."""
+    digest = F.md5(F.concat(F.lit(f"{seed + epoch}-"), key.cast("string")).cast("binary"))
+    number = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long")
+    return F.when(F.size(items) > 0, F.get(items, F.pmod(number, F.size(items).cast("long")).cast("int")))
 
 
 def question_pairs(rows: DataFrame, name: str, questions: str, drop_unnamed: bool = True) -> DataFrame:
@@ -200,32 +229,38 @@ def retrieval_tables(rows: DataFrame, query: str, document: str, order: Column)
     return docs, rows.join(docs, rows[document] == docs["document"]).select(F.col(query).alias("query"), "document_index")
 
 
-def neighbour_batches(graph: DataFrame, size: int) -> DataFrame:
-    """(batch, place, id): greedy batches of mutually unused neighbours. graph: (id, neighbours as an ordered array).
+def neighbour_batches(graph: DataFrame, size: int, folder: str | None = None) -> DataFrame:
+    """(batch, place, id): batches of up to `size` ids that share none, an anchor with its nearest free neighbours.
+    graph: (id, neighbours as an ordered array).
 
-    In the order of the ids, an anchor that isn't used yet opens a batch with its first unused neighbours, up to size;
-    a batch of one is dropped and its anchor stays free. What is used depends on all earlier batches, so this runs as
-    one task over ids and neighbour ids only.
+    Anchors come in the order of their ids; one that an earlier batch holds is passed over, and one without a free
+    neighbour makes no batch and stays free. An anchor's choice depends only on anchors that reach for the same ids, so
+    in each round all anchors choose that are the smallest to reach for each of their free ids. What is chosen falls away,
+    until no reach is left. The rounds are as many as the longest chain of anchors that wait for each other.
     """
+    spark = graph.sparkSession
+    folder = shared_folder(spark, folder)
+    near = graph.select(F.col("id").cast("long").alias("anchor"), F.posexplode("neighbours").alias("at", "id")).where("id is not null and id != anchor")
+    near = near.groupBy("anchor", F.col("id").cast("long").alias("id")).agg(F.min("at").alias("at"))
+    own = graph.select(F.col("id").cast("long").alias("anchor"), F.col("id").cast("long").alias("id"), F.lit(-1).alias("at")).distinct()
+    reach, chosen = written(own.unionByName(near), folder), None
+    while not reach.isEmpty():
+        first = reach.groupBy("id").agg(F.min("anchor").alias("first"))
+        waits = reach.join(first, "id").groupBy("anchor").agg(F.max(F.col("first") != F.col("anchor")).alias("waits"))
+        ready = written(reach.join(waits.where("not waits").select("anchor"), "anchor", "left_semi"), folder)
+        order = F.row_number().over(Window.partitionBy("anchor").orderBy("at")) - 1
+        batch = ready.withColumn("place", order.cast("long")).where(F.col("place") < size)
+        batch = written(batch.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1").select("anchor", "place", "id"), folder)
+        chosen = batch if chosen is None else chosen.unionByName(batch)
+        gone = batch.select("id")
+        left = reach.join(ready.select("anchor").distinct(), "anchor", "left_anti").join(gone, "id", "left_anti")
+        reach = written(left.join(gone.withColumnRenamed("id", "anchor"), "anchor", "left_anti"), folder)
+    if chosen is None:
+        return spark.createDataFrame([], "batch long, place long, id long")
+    from ..sources.ordinals import numbered
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows, batch = set(), [], 0
-        for anchor, near in sorted(zip(pdf["id"], pdf["neighbours"], strict=True)):
-            if anchor in used:
-                continue
-            members = [anchor]
-            for other in near:
-                if len(members) == size:
-                    break
-                if other not in used and other not in members:
-                    members.append(int(other))
-            if len(members) > 1:
-                used.update(members)
-                rows += [(batch, i, m) for i, m in enumerate(members)]
-                batch += 1
-        return pd.DataFrame(rows, columns=["batch", "place", "id"]).astype("int64")
-
-    return graph.select(F.lit(0).alias("g"), "id", "neighbours").groupBy("g").applyInPandas(walk, "batch long, place long, id long")
+    numbers = numbered(chosen.where("place = 0").select("anchor"), ["anchor"], "batch")
+    return chosen.join(numbers, "anchor").select("batch", "place", "id")
 
 
 def batch_size(total: int | None, per_device: int | None, devices: int = 1, accumulation: int = 1) -> tuple[int, int]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graphs, retrieval, tables, texts
+from . import graphs, retrieval, roundtrips, tables, texts
 
-MODULES = (texts, tables, retrieval, graphs)
+MODULES = (texts, tables, retrieval, graphs, roundtrips)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -11,7 +9,7 @@ from ..sources import python_source
 from .registry import Registry
 
 QUERIES = query = Registry()
-EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem)"
+EDGES = "e AS MATERIALIZED (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem)"
 
 
 def edges(load):
@@ -22,11 +20,6 @@ def nodes(e):
     return e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
 
 
-def shared(load) -> str:
-    spark = load("region").sparkSession
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomwork-")
-
-
 @query(f"WITH {EDGES} SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT source AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) GROUP BY node ORDER BY in_degree DESC, node LIMIT 10")
 def degree_topk(load):
     """E12, H2."""
@@ -35,10 +28,10 @@ def degree_topk(load):
 
 def _rounds(n: int) -> str:
     """PageRank by unrolled rounds."""
-    parts = [EDGES, "v AS (SELECT DISTINCT unnest([source, target]) AS node FROM e)", "o AS (SELECT source, count(*) AS n FROM e GROUP BY source)", "c AS (SELECT count(*)::DOUBLE AS n FROM v)", "r0 AS (SELECT node, 1.0 / c.n AS rank FROM v, c)"]
+    parts = [EDGES, "v AS MATERIALIZED (SELECT DISTINCT unnest([source, target]) AS node FROM e)", "o AS MATERIALIZED (SELECT source, count(*) AS n FROM e GROUP BY source)", "c AS (SELECT count(*)::DOUBLE AS n FROM v)", "r0 AS MATERIALIZED (SELECT node, 1.0 / c.n AS rank FROM v, c)"]
     for i in range(1, n + 1):
         p = f"r{i - 1}"
-        parts.append(f"r{i} AS (SELECT v.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM v CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM {p} WHERE node NOT IN (SELECT source FROM o)) l LEFT JOIN (SELECT e.target, sum({p}.rank / o.n) AS got FROM e JOIN o ON o.source = e.source JOIN {p} ON {p}.node = e.source GROUP BY e.target) g ON g.target = v.node)")
+        parts.append(f"r{i} AS MATERIALIZED (SELECT v.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM v CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM {p} WHERE node NOT IN (SELECT source FROM o)) l LEFT JOIN (SELECT e.target, sum({p}.rank / o.n) AS got FROM e JOIN o ON o.source = e.source JOIN {p} ON {p}.node = e.source GROUP BY e.target) g ON g.target = v.node)")
     return f"WITH {', '.join(parts)}"
 
 
@@ -49,11 +42,17 @@ def pagerank_fixed(load):
     return graph.pagerank(nodes(e), e, iterations=3, tolerance=0).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+def _rested(n: int) -> str:
+    """The ranks of the first of n unrolled rounds that moves them less than a millionth for each node."""
+    every = " UNION ALL ".join(f"SELECT {i} AS i, x.node, x.rank, abs(x.rank - y.rank) AS moved FROM r{i} x JOIN r{i - 1} y USING (node)" for i in range(1, n + 1))
+    return f"{_rounds(n)}, u AS ({every}), t AS (SELECT i FROM u GROUP BY i HAVING sum(moved) < 1e-6 * (SELECT n FROM c) ORDER BY i LIMIT 1) SELECT node, round(rank, 9) AS rank FROM u JOIN t USING (i) ORDER BY 2 DESC, node LIMIT 10"
+
+
+@query(_rested(48))
 def pagerank_converged(load):
     """Until the ranks rest; the top ten."""
     e = edges(load)
-    return graph.top(graph.pagerank(nodes(e), e, shared(load)), "rank", "node", 10)
+    return graph.top(graph.pagerank(nodes(e), e).withColumn("rank", F.round("rank", 9)), "rank", "node", 10)
 
 
 @query("SELECT n_name AS class_name, round(sum(coalesce(CASE WHEN s_acctbal > 0 THEN s_acctbal END, 0)), 2) AS score FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
@@ -87,19 +86,35 @@ def symbol_index(load):
     return graph.symbol_index(refs).select("symbol", F.array_join("refs", ",").alias("refs"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('pkg.a.A.go', 'main', 'pkg.a.main'), ('pkg.a.A.run', 'h', 'pkg.b.helper'), ('pkg.a.A.run', 'os.path.join', NULL), ('pkg.a.A.run', 'self.go', 'pkg.a.A.go'), ('pkg.a.main', 'A', 'pkg.a.A')) t(caller, symbol, callee)")
 def source_facts(load):
-    """Calls of an in-line module, resolved."""
+    """Calls of an in-line module, resolved."""
     source = "import os\nfrom .b import helper as h\n\nclass A:\n    def run(self):\n        self.go()\n        h()\n        os.path.join('a')\n\n    def go(self):\n        main()\n\ndef main():\n    A()\n"
     files = load("region").sparkSession.createDataFrame([("pkg.a", source, False), ("pkg.b", "def helper():\n    pass\n", False)], "module_name string, source string, is_package boolean")
     return python_source.calls_with_targets(python_source.source_facts(files))
 
 
-@query()
+COSINE = "round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6)"
+CLUSTERS = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE {COSINE} >= 0.4),
+k AS MATERIALIZED (SELECT a AS id FROM p GROUP BY a HAVING count(*) >= 4), q AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (FROM k) AND b IN (FROM k)),
+r AS (SELECT id AS a, id AS b FROM k UNION SELECT r.a, q.b FROM r JOIN q ON q.a = r.b), m AS MATERIALIZED (SELECT a AS id, min(b) AS c FROM r GROUP BY a),
+w AS (SELECT v.vec_id AS id, coalesce((SELECT c::VARCHAR FROM m WHERE m.id = v.vec_id), (SELECT min(c)::VARCHAR FROM p JOIN m ON m.id = p.b WHERE p.a = v.vec_id), '-1') AS cluster FROM embeddings v)"""
+
+
+@query(f"{CLUSTERS} SELECT id, cluster FROM w")
 def dbscan(load):
-    """Density clusters of the vectors, by all pairs within a cosine of 0.4."""
+    """Density clusters of the vectors, by all pairs within a cosine of 0.4."""
     v = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return graph.dbscan_vectors(v, 0.4, 4, shared(load))
+    return graph.dbscan_vectors(v, 0.4, 4)
+
+
+@query(f"{CLUSTERS} SELECT w.id, w.cluster, v.label, count(*) FILTER (WHERE w.cluster <> '-1') OVER (PARTITION BY w.cluster)::BIGINT AS size, (SELECT count(DISTINCT cluster) FROM w WHERE cluster <> '-1')::BIGINT AS n_clusters, (SELECT count(*) FROM w WHERE cluster = '-1')::BIGINT AS n_noise FROM w JOIN embeddings v ON v.vec_id = w.id")
+def cluster_frame(load):
+    """Points with their cluster, its size and their own columns, and the counts of clusters and noise."""
+    v = load("embeddings")
+    found = graph.dbscan_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 0.4, 4)
+    frame = graph.cluster_frame(found, v.select(F.col("vec_id").alias("id"), "label"))
+    return frame.join(F.broadcast(graph.cluster_counts(found)))
 
 
 @query()

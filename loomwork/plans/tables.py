@@ -155,9 +155,7 @@ def nearest_candidate(load):
 @query("SELECT conv_id, count(*) FILTER (WHERE role = 'user')::BIGINT AS from_user, count(*) FILTER (WHERE role <> 'user')::BIGINT AS from_others, CASE WHEN count(*) FILTER (WHERE role = 'user') > count(*) FILTER (WHERE role <> 'user') THEN 'user' ELSE 'others' END AS winner FROM conversations GROUP BY conv_id")
 def source_tally(load):
     """E10."""
-    own = F.count_if(F.col("role") == "user")
-    other = F.count_if(F.col("role") != "user")
-    return load("conversations").groupBy("conv_id").agg(own.alias("from_user"), other.alias("from_others")).withColumn("winner", F.when(F.col("from_user") > F.col("from_others"), "user").otherwise("others"))
+    return batches.source_tally(load("conversations"), "conv_id", F.col("role") == "user", ("user", "others"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'custom_id' WHEN event_type = 'click' THEN 'method' ELSE NULL END AS fault FROM events")

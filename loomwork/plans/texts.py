@@ -220,11 +220,11 @@ def counts_by_field(load):
     return readers.counts_by_field(load("documents"), "lang", ["en", "de", "xx"])
 
 
-@query("SELECT doc_id, '---' AS fence, lang AS name, source AS description, text AS body FROM documents WHERE NOT starts_with(text, '|')")
+@query("SELECT doc_id, '---' AS fence, lang AS name, source AS description, text AS body FROM documents")
 def frontmatter(load):  # noqa: F811
     """G1: metadata and body of documents with front matter put before their text."""
     from ..functions import frontmatter as fm
 
     raw = F.concat(F.lit("---\nname: "), "lang", F.lit("\ndescription: "), "source", F.lit("\n---\n"), "text")
-    docs = load("documents").where(~F.col("text").startswith("|")).select("doc_id", fm.parse(raw).alias("p"))
+    docs = load("documents").select("doc_id", fm.parse(raw).alias("p"))
     return docs.select("doc_id", F.lit("---").alias("fence"), F.col("p.metadata")["name"].alias("name"), F.col("p.metadata")["description"].alias("description"), F.col("p.body").alias("body"))

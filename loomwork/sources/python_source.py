@@ -42,7 +42,8 @@ def called(body: ast.AST) -> list[str]:
 
 def facts(module: str, source: str, package: bool = False) -> Iterator[tuple]:
     """Rows of FACTS: `definition` for top-level functions and classes and direct methods, `import`, `call` for the
-    distinct dotted names that each function calls, `test` for test functions and those of Test classes at any depth."""
+    distinct dotted names that each function calls, `test` for test functions and those of Test classes at any depth, once
+    for each name they call, or with a null symbol."""
     try:
         tree = ast.parse(source)
     except SyntaxError:
@@ -70,7 +71,7 @@ def facts(module: str, source: str, package: bool = False) -> Iterator[tuple]:
     def tests(body: list[ast.stmt], prefix: str) -> Iterator[tuple]:
         for node in body:
             if isinstance(node, FUNCTION) and node.name.startswith("test"):
-                for symbol in called(node):
+                for symbol in called(node) or [None]:
                     yield module, "test", f"{module}.{prefix}{node.name}", "test", f"{prefix}{node.name}", None, node.lineno, node.end_lineno, symbol, None
             elif isinstance(node, ast.ClassDef) and node.name.startswith("Test"):
                 yield from tests(node.body, f"{prefix}{node.name}.")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import frontmatter, payload
 from ..functions import text as tx
 
@@ -46,7 +47,7 @@ def jsonl(rows: DataFrame, schema: str, mode: str = "strict") -> DataFrame:
     if mode == "objects":
         return rows.where(payload.is_object(value)).select("file", "line", F.from_json(value, schema).alias("j")).select("file", "line", "j.*")
     told = F.concat(F.lit("not JSON: "), "file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")))
-    checked = F.when(F.try_parse_json(value).isNull(), F.raise_error(told).cast("string")).otherwise(value)
+    checked = F.when(~tx.is_blank(value) & F.try_parse_json(value).isNull(), F.raise_error(told).cast("string")).otherwise(value)
     return rows.select("file", "line", F.from_json(checked, schema).alias("j")).select("file", "line", "j.*")
 
 
@@ -118,20 +119,56 @@ def with_content_id(df: DataFrame, key: str = "relative_path") -> DataFrame:
     return df.withColumn("custom_id", F.concat(F.lit("sm-"), tx.sha_fragment(F.col(key))))
 
 
-def yaml_config(path: str) -> dict:
-    """A YAML mapping, read on the driver; an error for anything else."""
+def whole_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file, read on the driver from any store that Spark reads."""
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def yaml_config(spark: SparkSession, path: str) -> dict:
+    """A YAML mapping; an error for anything else."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f)
+    found = yaml.safe_load(whole_text(spark, path))
     if not isinstance(found, dict):
         raise ValueError(f"not a mapping: {path}")
     return found
 
 
-def template(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+def listing(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(path) of the files in a folder, of all below it if recursive; sort by path where the order matters."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path")
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Records of JSON lines (file, line, value): texts, and metadata of any JSON values as map<string,string>."""
+    found = jsonl(rows, schemas.RECORD.replace("map<string,string>", "string"))
+    return found.withColumn("metadata", payload.metadata_map(F.col("metadata")))
+
+
+def validated_rows(rows: DataFrame) -> DataFrame:
+    """Validated questions of JSON lines, blank questions left out."""
+    return jsonl(rows, schemas.VALIDATED_ROW).withColumn("filtered_questions", tx.non_blank_items(F.coalesce("filtered_questions", F.array().cast("array<string>"))))
+
+
+def validated_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The validated rows written so far; none where nothing is written yet."""
+    return validated_rows(lines(spark, path, missing_ok=True))
+
+
+def scenario_rows(rows: DataFrame) -> DataFrame:
+    """Scenario rows of JSON lines, sorted by custom_id. A line without an id, or whose scenarios aren't pairs of texts, is
+    an error that names file and line."""
+    scenarios = F.to_json(F.struct(F.try_variant_get(F.try_parse_json("value"), "$.scenario_output", "variant").alias("scenario_output")))
+    wrong = tx.is_blank(F.get_json_object("value", "$.custom_id")) | ~payload.is_valid(scenarios, {"scenario_output": "scenarios"})
+    told = F.concat(F.lit("not a scenario row: "), "file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")))
+    checked = rows.withColumn("value", F.when(wrong, F.raise_error(told).cast("string")).otherwise(F.col("value")))
+    return jsonl(checked, schemas.SCENARIO_ROW).orderBy("custom_id")
+
+
+def collection(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """All records of one field of a vector collection of write_collection(); the field's folder alone is read."""
+    return spark.read.parquet(path).where(F.col("field") == field).drop("field")
 
 
 def last_index(names: DataFrame, column: str, prefix: str) -> DataFrame:

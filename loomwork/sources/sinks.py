@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..operators.packing import pack
 from .ordinals import chunked, sharded
+from .readers import exists
 
 
 def to_json(df: DataFrame) -> DataFrame:
@@ -25,6 +31,66 @@ def write_jsonl_chunks(df: DataFrame, path: str, order: list[str | Column], size
     rows.select("chunk", F.to_json(F.struct(*df.columns)).alias("value")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
 
 
+def write_jsonl_budget(df: DataFrame, path: str, order: list[str], cost: str, budget: int, group: list[str] | None = None) -> None:
+    """Folders shard=0, shard=1, ... (in folders of their group, where one is named) of JSON lines whose costs stay
+    within the budget; a row beyond it has a shard to itself."""
+    group = group or []
+    rows = pack(df, group, order, cost, budget)
+    value = F.to_json(F.struct(*(c for c in df.columns if c not in group))).alias("value")
+    rows.select(*group, "shard", value).repartition(*group, "shard").write.mode("overwrite").partitionBy(*group, "shard").text(path)
+
+
+def write_retriever_rows(df: DataFrame, path: str) -> None:
+    """Retriever rows as JSON lines sorted by id, with all fields of the schema that the readers expect."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    write_jsonl(df.select(*(f.name for f in _parse_datatype_string(schemas.SUMMARY_ROW).fields)), path, ["custom_id"])
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in any store that Spark reaches; an empty text removes the file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not text:
+        store.delete(target, False)
+        return
+    out = store.create(target, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def move_to_done(spark: SparkSession, paths: list[str], folder: str) -> list[str]:
+    """Move files into a folder under names that are free there (see archive_names()); their new paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    done = path(folder)
+    store = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(done)
+    taken = [(f.getPath().getName(),) for f in store.listStatus(done)]
+    names = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "name string")
+    target = {r.name: r.target for r in archive_names(names, spark.createDataFrame(taken, "name string")).collect()}
+    out = []
+    for p in paths:
+        out.append(f"{folder}/{target[p.rsplit('/', 1)[-1]]}")
+        if not store.rename(path(p), path(out[-1])):
+            raise OSError(f"cannot move {p}")
+    return out
+
+
+def cached_scores(spark: SparkSession, folder: str, inputs: list[DataFrame], compute: Callable[[], DataFrame]) -> DataFrame:
+    """A table that compute() makes of the inputs, written once for the same content of them: the folder's name is a
+    digest of all their rows, so that other rows of the same number never meet an old table."""
+    marks = []
+    for df in inputs:
+        row = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 31)))).first()
+        marks.append("-".join(str(v or 0) for v in row))
+    path = f"{folder}/scores-{hashlib.sha256('/'.join(marks).encode()).hexdigest()[:32]}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_shards(df: DataFrame, path: str, order: list[str | Column], shards: int) -> None:
     """Parquet in `shards` folders of equal size."""
     sharded(df, order, shards).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)

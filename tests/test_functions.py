@@ -1,6 +1,7 @@
 """Text functions, front matter and payloads on hand-made cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,46 +16,63 @@ def one(spark, expression, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(expression.alias("out")).first().out
 
 
-# raw text, name, description, other keys, part of the body
-FRONT = [
-    ("---\nname: pump-log\ndescription: Reads pump logs\nowner: ida\n---\n", "pump-log", "Reads pump logs", {"owner": "ida"}, ""),
-    ("---\nname: pump-log\ndescription: Reads pump logs\n---\n# How\n\nOpen it.\n", "pump-log", "Reads pump logs", {}, "# How\n\nOpen it.\n"),
-    ("---\r\nname: carriage\r\ndescription: Both line ends\r\n---\r\n", "carriage", "Both line ends", {}, ""),
-    ("---\nname: half-open\ndescription: The fence never closes\n", "half-open", "The fence never closes", {}, ""),
-    ("---\nname: block\ndescription: |-\n  One.\n  Two.\nedition: 3.0\n---\n", "block", "|-\n  One.\n  Two.", {"edition": "3.0"}, ""),
-    ("---\nname: list\ndescription: x\nkeys:\n  - wet\n  - dry\n---\n", "list", "x", {"keys": '["wet", "dry"]'}, ""),
-    ("---\ndescription: Nameless\nowner: ida\n---\n", "", "Nameless", {"owner": "ida"}, ""),
-    ("---\nname: mute\nowner: ida\n---\n", "mute", "", {"owner": "ida"}, ""),
-    ("name: bare\ndescription: No fence at all\n", "bare", "No fence at all", {}, ""),
-    ("name: alone\n", "alone", "", {}, ""),
-    ("description: Told only\n", "", "Told only", {}, ""),
-    ("name: more\ndescription: And keys\nedition: 4.5\nowner: ole\n", "more", "And keys", {"edition": "4.5", "owner": "ole"}, ""),
-    ("", "", "", {}, ""),
-    ("# Pumps\n\nThey move water.\n", "", "", {}, "# Pumps\n\nThey move water.\n"),
-    ("\ufeff---\nname: marked\ndescription: Byte order first\n---\n", "marked", "Byte order first", {}, ""),
-    ('---\nname: torn\ndescription: "no end\n---\n', "torn", '"no end', {}, ""),
-    ("name:   wide   \ndescription:   wide as well   \n", "wide", "wide as well", {}, ""),
-    ("---\nname: t\ndescription: d\nwhen: 2024-05-06\nflag: true\nnone:\n---\n", "t", "d", {"when": "2024-05-06", "flag": "true", "none": ""}, ""),
-]
-
-
-def test_front_matter(spark):
-    rows = spark.createDataFrame([(i, f[0]) for i, f in enumerate(FRONT)], "i int, raw string").select("i", frontmatter.parse(F.col("raw")).alias("p")).collect()
+# YAML source of a value, and the text it must become
+YAML_VALUES = [
+    ("plain words", "plain words"), ("7", "7"), ("007", "7"), ("-2.50", "-2.5"), ("true", "true"), ("no", "false"), ("~", ""), ("", ""), ("1999-12-31", "1999-12-31"),
+    ("'single: quoted'", "single: quoted"), ("[1, b, null]", '[1, "b", null]'), ("{z: 1, a: [x]}", '{"a": ["x"], "z": 1}'), ("\n  - é\n  - 2020-01-02", '["é", "2020-01-02"]'), (">-\n  folded\n  lines", "folded lines"),
+]
+
+
+def front_matter_cases(n, seed=11):
+    """Documents made from a random answer: (raw text, metadata, body)."""
+    rng = random.Random(seed)
+    for _ in range(n):
+        fence = rng.choice(["closed", "open", "none"])
+        eol = rng.choice(["\n", "\r\n"]) if fence == "closed" else "\n"
+        want, lines = {"name": "", "description": ""}, []
+        for key in rng.sample(["name", "description", "k1", "k2", "k3"], rng.randrange(1, 6)):
+            if key in ("name", "description"):
+                value = " ".join(rng.choice(["tide", "Gauge", "no. 4", "älter"]) for _ in range(rng.randrange(1, 4)))
+                lines.append(f"{key}:{' ' * rng.randrange(1, 4)}{value}{' ' * rng.randrange(3)}")
+                want[key] = value
+            else:
+                source, value = rng.choice(YAML_VALUES)
+                lines.append(f"{key}: {source}")
+                want[key] = value
+        block = "\n".join(lines).replace("\n", eol)
+        body = rng.choice(["", "# Title\n", "text\n---\nmore\n", "name: in the body\n"]) if fence == "closed" else ""
+        raw = {"closed": f"---{eol}{block}{eol}---{eol}{body}", "open": f"---{eol}{block}{eol}", "none": block + eol}[fence]
+        if "description" in want and want["description"] == "" and "name: in the body" in body and want["name"] == "":
+            continue  # the pattern reads a name from the body then
+        yield rng.choice(["", "\ufeff"]) + raw, want, body
+
+
+def test_front_matter_of_known_answers(spark):
+    cases = [c for c in front_matter_cases(120) if not (c[2].startswith("name:") and c[1]["name"] == "")]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string").select("i", frontmatter.parse(F.col("raw")).alias("p")).collect()
     for r in rows:
-        _, name, description, rest, body = FRONT[r.i]
-        assert r.p.metadata == {"name": name, "description": description, **rest}, FRONT[r.i]
-        assert r.p.body == body
+        raw, want, body = cases[r.i]
+        assert (r.p.metadata, r.p.body) == (want, body), raw
 
 
-def test_front_matter_helpers(spark):
-    block, body = frontmatter.fenced_block(F.col("t"))
-    assert (one(spark, block, t="---\nk: v\n---\nrest\n"), one(spark, body, t="---\nk: v\n---\nrest\n")) == ("k: v", "rest\n")
-    assert "k: v" in one(spark, block, t="---\nk: v\n") and one(spark, body, t="---\nk: v\n") == ""
-    assert one(spark, block, t="plain\n") == ""
-    assert one(spark, frontmatter.name_of(F.col("t")), t="name: ebb-tide\nk: x\n") == "ebb-tide"
-    assert one(spark, frontmatter.name_of(F.col("t")), t="  name: inner\n") == ""
-    assert one(spark, frontmatter.description_of(F.col("t")), t="name: x\ndescription: In brief\nowner: y\n") == "In brief"
-    assert one(spark, frontmatter.description_of(F.col("t")), t="name: x\n") == ""
+@pytest.mark.parametrize(
+    ("raw", "want", "body"),
+    [
+        (None, {}, ""),
+        ("\ufeff\ufeff", {}, ""),
+        ("Only prose: no, two colons: here", {}, "Only prose: no, two colons: here"),
+        ("- a\n- b\n", {}, "- a\n- b\n"),
+        ("---\n  name: indented\n---\nx", {"name": "indented"}, "x"),
+        ("---\nk: [1, 2\nname: still found\n---\nx", {"name": "still found"}, "x"),
+        ("---\ndescription: >\n  two\n  lines\nname: n\n---", {"name": "n", "description": ">\n  two\n  lines"}, ""),
+        ("---\ndescription: 2021-13-45\nwhen: 2021-13-45\n---\n", {"description": "2021-13-45"}, ""),
+        ("---\n1: one\ntrue: flag\n---\n", {"1": "one", "True": "flag"}, ""),
+        ("---\n---\nnothing between", {}, ""),  # no line between the fences: the first one stands alone
+    ],
+)
+def test_front_matter_edges(spark, raw, want, body):
+    got = one(spark, frontmatter.parse(F.col("t").cast("string")), t=raw)
+    assert (got.metadata, got.body) == ({"name": "", "description": ""} | want, body)
 
 
 @pytest.mark.parametrize(
@@ -79,6 +97,13 @@ def test_tokenizers(spark):
     assert one(spark, tx.words(F.col("t")), t=None) == []
 
 
+def test_fold_is_full_case_folding(spark):
+    """Against Python's, over letters with a case; those of one caseless form need only have one here too."""
+    letters = [chr(i) for i in range(0x24F) if chr(i).isalpha()] + list("ΑΣςσΐᾳẞßﬁﬀŉǅſKµΆЖж") + ["ΌΔΟΣ", "straẞe", "ıI"]
+    got = [r.f for r in spark.createDataFrame([(i, c) for i, c in enumerate(letters)], "i int, c string").orderBy("i").select(tx.fold(F.col("c")).alias("f")).collect()]
+    assert [c for c, g in zip(letters, got, strict=True) if g != c.casefold()] == []
+
+
 def test_small_functions(spark):
     assert [one(spark, tx.url_path(F.col("t")), t=x) for x in ("https://a.b/c/d/?x#y", "http://a.b", "v1/chat/", "", "/")] == ["/c/d", "/", "/v1/chat", "/", "/"]
     assert one(spark, tx.has_other_script(F.col("t")), t="déjà vu") is False and one(spark, tx.has_other_script(F.col("t")), t="x ж") is True

@@ -36,6 +36,43 @@ def test_bm25_by_hand(spark):
     assert [got[8, i][0] for i in (1, 2, 3)] == [1, 2, 3]
 
 
+def test_bm25_of_negative_scores(spark):
+    """Terms in nearly all of a few documents have negative weights: documents without a shared term come before."""
+    texts = ["a b c", "a b", "a b", "a c b", "a b", "z", "a b c", "a", "b a", "y"]
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "doc_id long, toks array<string>")
+    asked = spark.createDataFrame([(1, ["a"]), (2, ["a", "z"]), (3, ["none"])], "query_id long, toks array<string>")
+    n, mean_len = len(texts), sum(len(t.split()) for t in texts) / len(texts)
+    df = {t: sum(t in x.split() for x in texts) for t in "abczy"}
+    raw = {t: np.log(n - d + 0.5) - np.log(d + 0.5) for t, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    weight = {t: 0.25 * mean if r < 0 else r for t, r in raw.items()}
+    part = lambda t, x: weight[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean_len))
+    for limit in (1, 3, 10):
+        got = {}
+        for r in bm25.search(docs, asked, limit).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        for q, terms in ((1, ["a"]), (2, ["a", "z"]), (3, [])):
+            every = [(round(sum(part(t, x.split()) for t in terms if t in x.split()), 6) + 0.0, i) for i, x in enumerate(texts)]
+            want = sorted(every, key=lambda e: (-e[0], e[1]))[:limit]
+            assert [d for d, _ in got[q]] == [i for _, i in want] and [s for _, s in got[q]] == pytest.approx([s for s, _ in want], abs=2e-6)
+
+
+def test_full_depth_and_max_sim(spark):
+    rng = np.random.default_rng(2)
+    x, names = np.round(rng.normal(size=(50, 4)), 1), rng.choice(list("abc"), 50)
+    df = spark.createDataFrame([(i, v.tolist(), str(k)) for i, (v, k) in enumerate(zip(x, names, strict=True))] + [(90, None, "a")], "doc_id long, embedding array<double>, name string").repartition(3)
+    asked = df.where("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id").unionByName(spark.createDataFrame([(91, [1.0, 0.0, 0.0, 0.0], "none")], "query_id long, embedding array<double>, name string"))
+    got = {r.query_id: r.first_rank for r in dense.first_relevant(df, asked, "name", exclude_self=True).collect()}
+    for q in range(0, 50, 7):
+        order = sorted((i for i in range(50) if i != q), key=lambda i: (-round(round(float(x[q] @ x[i]), 9), 6), i))
+        assert got[q] == 1 + next(at for at, i in enumerate(order) if names[i] == names[q])
+    assert got[91] is None and len(got) == 9
+    sims = {(r.query_set, r.doc_set): r.score for r in dense.max_sim(df, df, "name", "doc_id", "embedding").collect()}
+    assert sims == pytest.approx({(a, b): sum(max(float(x[i] @ x[j]) for j in np.flatnonzero(names == b)) for i in np.flatnonzero(names == a)) for a in "abc" for b in "abc"}, abs=1e-5)
+    places = {(r.query_id, r.doc_id): r.position for r in fusion.rank_positions(dense.scores(df, asked)).collect()}
+    assert len(places) == 50 * 9 and sorted(p for (q, _), p in places.items() if q == 7) == list(range(50))
+
+
 def test_dense_ties_and_nulls(spark):
     docs = spark.createDataFrame([(5, [1.0, 0.0]), (3, [1.0, 0.0]), (1, [0.0, 1.0]), (7, None)], "doc_id long, embedding array<float>")
     asked = spark.createDataFrame([(0, [1.0, 0.0]), (5, [1.0, 0.0]), (6, None)], "query_id long, embedding array<float>")
@@ -98,6 +135,34 @@ def test_splits(spark):
         mining.split_questions(questions, "k", "q").collect()
 
 
+def greedy(near, size):
+    """Batches anchor by anchor, on lists."""
+    used, out = set(), []
+    for anchor in sorted(near):
+        free = [x for x in dict.fromkeys(near[anchor]) if x != anchor and x not in used][: size - 1]
+        if anchor not in used and free:
+            out += [(len({b for b, _, _ in out}), i, x) for i, x in enumerate([anchor, *free])]
+            used.update([anchor, *free])
+    return sorted((b, i, x) for b, i, x in out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_neighbour_batches_by_rounds(spark, seed):
+    rng = np.random.default_rng(seed)
+    near = {int(i): [int(x) for x in rng.integers(0, 60, rng.integers(0, 7))] for i in rng.choice(60, 45, replace=False)}
+    df = spark.createDataFrame(list(near.items()), "id long, neighbours array<long>")
+    assert rows(mining.neighbour_batches(df, 4)) == numbered_batches(near, 4)
+    assert mining.neighbour_batches(df.limit(0), 4).collect() == []
+
+
+def numbered_batches(near, size):
+    batch, out = -1, []
+    for _, place, x in sorted(greedy(near, size)):
+        batch += place == 0
+        out.append((batch, place, x))
+    return sorted(out)
+
+
 def test_neighbour_batches(spark):
     near = spark.createDataFrame([(1, [2, 3]), (2, [1]), (3, [1, 4]), (4, [3, 5]), (5, [4])], "id long, neighbours array<long>")
     assert rows(mining.neighbour_batches(near, 2)) == [(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4)]
@@ -142,6 +207,8 @@ def test_pagerank_and_clusters(spark, tmp_path):
     for _ in range(200):
         r = 0.03 + 0.85 * m @ r
     assert [got[x] for x in "abcde"] == pytest.approx(r.tolist(), abs=1e-4) and sum(got.values()) == pytest.approx(1, abs=1e-6)
+    with pytest.raises(RuntimeError, match="still move"):
+        graph.pagerank(n, e, str(tmp_path), iterations=2)
     near = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (7, 8)], "a long, b long")
     points = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 7, 8, 9)], "id long")
     got = {r.id: r.cluster for r in graph.dbscan(near, points, 3, str(tmp_path)).collect()}
@@ -238,4 +305,4 @@ def test_mmr_of_whole_labels(spark):
     want = {(k, g[at].vec_id, pick) for k, g in groups.items() for pick, at in enumerate(mining.mmr_order(np.array([r.embedding for r in g], float), 5, 0.5), 1)}
     assert {tuple(r) for r in catalogue.queries()["mmr_select"](spark, data).collect()} == want
     with pytest.raises(ValueError):
-        mining.diverse_subset_of_large(spark.createDataFrame([(1, 1, [1.0])], "k int, i int, v array<double>"), "k", "i", "v", 2, "")
+        mining.diverse_subset_of_large(spark.createDataFrame([(1, 1, [1.0])], "k int, i int, v array<double>"), "k", "i", "v", 2)
