@@ -201,9 +201,10 @@ def compare_blocks(percent: int):
     return members_then_visitors("place", handle)
 
 
-#: Members that a block of a cluster holds. A cluster with m members outside its hub's component sends each of them to
-#: about (all + m / 2) / BLOCK blocks.
-BLOCK = 2048
+#: Members, and visitors, that meet at one place. Each member of a cluster is sent to (members outside) / BLOCK places,
+#: each of those outside to (all members) / BLOCK.
+BLOCK = 512
+
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
@@ -270,11 +271,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     discard(members, apart)
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     home = F.when(F.col("apart"), F.col("ib") + block("ob")).otherwise(block("ib"))
-    dealt = clusters.select("hub", "rep", "c", F.lit(0).alias("kind"), home.alias("block"))
-    # all blocks of the hub's component, and of the others those from the visitor's own on, so that each pair meets once
-    to = F.filter(F.sequence(F.lit(0).cast("long"), F.col("ib") + F.col("ob") - 1), lambda b: (b < F.col("ib")) | (b >= home))
-    visits = clusters.where("apart").select("hub", "rep", "c", F.lit(1).alias("kind"), F.explode(to).alias("block"))
-    placed = dealt.union(visits).select(F.xxhash64("hub", "block").alias("place"), "kind", "rep", "c").join(own, "rep")
+    homes = clusters.withColumn("home", home)
+    # a place is a block of members and a block of visitors, those of other components: each block of these meets all
+    # blocks of the hub's component, and of the others those from itself on, so that each pair meets once
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("ib") + F.col("ob") - 1)
+    outer = F.filter(blocks, lambda b: b >= F.col("ib"))
+    meets = F.filter(outer, lambda v: (F.col("home") < F.col("ib")) | (v <= F.col("home")))
+    visited = F.filter(blocks, lambda b: (b < F.col("ib")) | (b >= F.col("home")))
+    row = ("hub", "rep", "c")
+    dealt = homes.select(*row, F.lit(0).alias("kind"), F.col("home").alias("block"), F.explode(meets).alias("visitors"))
+    visits = homes.where("apart").select(*row, F.lit(1).alias("kind"), F.explode(visited).alias("block"), F.col("home").alias("visitors"))
+    placed = dealt.union(visits).select(F.xxhash64("hub", "block", "visitors").alias("place"), "kind", "rep", "c").join(own, "rep")
     met = placed.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(compare_blocks(percent), "a long, b long")
     met = spill(met, "met")
     early, label = label, spill(components(links.union(met)), "labels")
@@ -284,7 +291,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     told = final.join(lone, "rep", "left_anti").select(*signature, "component")
     out = base.select("doc_id", *signature).join(told, signature, "left")
     best = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", best.alias("component_id"), F.coalesce(F.col("doc_id") == best, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", best.alias("component_id"), F.coalesce(F.col("doc_id") == best, F.lit(True)).alias("kept"))
+    out = spill(out, "groups")
+    discard(base, classes, label)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
