@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cleaned, discard, shared_dir, shuffle_partitions, spill
+from .common import cleaned, discard, discard_path, shared_dir, shuffle_partitions, spill
 
 CHUNKS = "uid long, record_id long, url string, chunk_no int, last boolean, chunk string, digest string, total long, payload string"
 BREAK = "\r\nWARC/1.0\r\n"
@@ -122,6 +122,87 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return fields.select("type", *own, "url", part("to", 1).alias("refers_to"), stated.alias("stated"), num("nullif(length, '')").alias("stated_bytes"), block.alias("block"))
 
 
+RECORDS = "file string, record_id string, type string, uri string, headers map<string,string>, chunk_no int, last boolean, chunk binary, digest string, total long"
+
+
+def parsed(most: int):
+    """Of the lines of archives in order (file, start, line): the chunk rows of their records, found by Content-Length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, now = [], 0, None
+        head, left = None, None  # header fields that are open, bytes of the payload that are to come
+        sha, total, number, buffer = hashlib.sha1(), 0, 0, bytearray()
+
+        def emit(last: bool) -> None:
+            nonlocal number, total, held
+            sha.update(buffer)
+            total += len(buffer)
+            held += len(buffer)
+            rows.append((now, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), list(head.items()) if not number else None, number, last, bytes(buffer), sha.hexdigest(), total))
+            number += 1
+            buffer.clear()
+
+        def table() -> pa.RecordBatch:
+            text = pa.string()
+            kinds = (text, text, text, text, pa.map_(text, text), pa.int32(), pa.bool_(), pa.binary(), text, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in RECORDS.replace("map<string,string>", "map").split(", ")])
+
+        for batch in batches:
+            for file, start, line in zip(*(batch.column(c) for c in ("file", "start", "line")), strict=True):
+                if start.as_py():
+                    raise ValueError(f"{file.as_py()} is split within: compress it, or raise spark.sql.files.maxPartitionBytes")
+                if file.as_py() != now:
+                    if left is not None or head is not None:
+                        raise ValueError(f"{now} ends within a record")
+                    now = file.as_py()
+                data = line.as_py()
+                if left is not None:
+                    data += b"\n"
+                    take = data[:left]
+                    left -= len(take)
+                    for at in range(0, len(take), most):
+                        piece = take[at : at + most]
+                        if len(buffer) + len(piece) > most:
+                            emit(False)
+                        buffer += piece
+                elif head is None:
+                    if data.startswith(b"WARC/"):
+                        head = {}
+                    elif data.strip():
+                        raise ValueError(f"{now} has no record where one should begin")
+                elif data.strip():
+                    name, _, value = data.decode("utf-8", "replace").partition(":")
+                    head[name.strip().lower()] = value.strip()
+                else:
+                    left = int(head["content-length"])
+                    sha, total, number = hashlib.sha1(), 0, 0
+                if left == 0:
+                    emit(True)
+                    head = left = None
+                if held > 1 << 22:
+                    yield table()
+                    rows, held = [], 0
+        if left is not None or head is not None:
+            raise ValueError(f"{now} ends within a record")
+        if rows:
+            yield table()
+
+    return run
+
+
+def read_warc(spark: SparkSession, path: str, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """Any WARC archives below path (gzip or plain) as chunk rows: file, record_id, type, uri, headers (names in lower
+    case, on the first chunk), chunk_no, last, chunk, and the SHA-1 and number of the record's bytes up to there.
+
+    Lines stream through a parser that finds blocks by their Content-Length, whatever bytes they hold, so a task holds
+    a chunk and a line. A file is read by one task: gzip files are, a plain one must fit one split, else it is an error,
+    as is one that ends within a record.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(parsed(chunk_bytes), RECORDS)
+
+
 def digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted chunks of segmented payloads, one running digest for each record: (page_id, bytes, digest)."""
     now, page, sha, total, out = None, None, None, 0, []
@@ -171,4 +252,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     with cleaned(spark):
         write_archives(pages, path, **options)
-    return page_records(read_archives(spark, path))
+    out = spill(page_records(read_archives(spark, path)), "pages")
+    discard_path(spark, path)
+    return out
