@@ -46,8 +46,13 @@ def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of spill() that nothing reads any more: what was derived from them is itself a written table."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.spilled_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        discard_path(t.sparkSession, t.spilled_at)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

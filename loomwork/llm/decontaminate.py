@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, spill
+from .common import discard, fresh, spill, spread_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -90,11 +90,15 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     covered = F.transform(kept, lambda c: F.sequence(c["at"], c["at"] + F.size(c["w"]) - 1))
     ws = F.array_sort(F.array_distinct(F.transform(kept, lambda c: c["w"])))
     rows = found.select("doc_id", F.col("found__.n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"), ws.alias("ws"))
-    names = rows.where("n_hit > 0").select("ws").distinct().select("ws", F.explode("ws").alias("w")).join(owned, "w").groupBy("ws").agg(F.array_sort(F.collect_set("item")).alias("names"))
-    told = names.select("ws", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
+    hit = rows.where("n_hit > 0")
+    sets = hit.groupBy("ws").agg(F.count("*").alias("n__")).select("ws", "n__", F.explode("ws").alias("w"))
+    names = sets.join(owned, "w").groupBy("ws", "n__").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    told = names.select("ws", "n__", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
     none = rows.where("n_hit = 0").select("doc_id", "n_words", "n_hit", F.lit(0).cast("long"), F.sha2(F.lit(b""), 256), F.lit(False))
-    some = rows.where("n_hit > 0").join(told, "ws").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.lit(True).alias("contaminated"))
-    return some.union(none)
+    some = spread_join(hit, told, "ws", hit.count()).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.lit(True).alias("contaminated"))
+    out = spill(some.union(none), "report")
+    discard(owned, found)
+    return out
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
