@@ -253,7 +253,8 @@ def line_digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
     Null and empty texts are one empty line. See keep_bitmaps() for the rule, rows without a doc_id and repeated rows.
     """
-    both, new = with_bitmaps(docs.select(F.col("doc_id").cast("long"), "text"), keep_bitmaps(docs, min_chars, min_docs))
+    keep = keep_bitmaps(docs, min_chars, min_docs)
+    both, new = with_bitmaps(docs.select(F.col("doc_id").cast("long"), "text"), keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +267,9 @@ def line_digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
                 names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_bitmap"]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, batch.column(new[2])], names)
 
-    return both.mapInArrow(run, DIGESTS)
+    out = spill(both.mapInArrow(run, DIGESTS), "digests")
+    discard(keep)
+    return out
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -155,4 +155,6 @@ def repeats(docs: DataFrame, words: int = 35) -> DataFrame:
     stretches, seeds = shared_stretches(rows, sizes, word_units, SEED_WORDS, words, repeated, content)
     found = spill(stretches.mapInArrow(extend(words), REPLY), "extents")
     discard(seeds)
-    return with_replies(rows, found, sizes).mapInArrow(cut_repeats(words), CUTS)
+    out = spill(with_replies(rows, found, sizes).mapInArrow(cut_repeats(words), CUTS), "cuts")
+    discard(found)
+    return out

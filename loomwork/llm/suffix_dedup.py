@@ -191,7 +191,9 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     Repeats longer than a stretch are the unions of those of its successive anchors; maximal_repeats() puts them together.
     """
     rows, sizes, found = found_repeats(docs, length, False)
-    return with_replies(rows, found, sizes).mapInArrow(cut_bytes(length), CUTS)
+    out = spill(with_replies(rows, found, sizes).mapInArrow(cut_bytes(length), CUTS), "cuts")
+    discard(found)
+    return out
 
 
 SEGMENTS = "doc_id long, first long, last long, id long, many long"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .anchors import by_key
-from .common import components, members_then_visitors, shuffle_partitions, smallest, spill
+from .common import components, discard, members_then_visitors, shuffle_partitions, smallest, spill
 
 MOST_CODES = 4096  # codes of a half; cells are at most its square
 BLOCK_BYTES = 1 << 24  # vectors of a cell that a task holds at a time
@@ -371,7 +371,7 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
     many = {r.dim: r["count"] for r in per_dim.where(F.col("count") > small).collect()}  # one for each `small` rows at most
     few = reps.where(~F.col("dim").isin(*many)) if many else reps
     few = few.repartition(shuffle_partitions(few.sparkSession), "dim").sortWithinPartitions("dim")
-    met = spill(few.mapInArrow(within(threshold), LINKS), "links")
+    met = small_links = spill(few.mapInArrow(within(threshold), LINKS), "links")
     for dim, n in sorted(many.items()):
         own = reps.where(F.col("dim") == dim).select("rep", "weight", "v")
         met = met.union(links_of(own, dim, n, codes, sample, queries, enough, threshold, target_recall))
@@ -380,4 +380,7 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
     named = usable.select("vec_id", *key).join(sizes, key).join(degree.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     linked = named.groupBy(F.col("vec_id").alias("id__")).agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.min(F.coalesce("component", "rep")).alias("c"))
     out = base.select("vec_id").join(linked, F.col("vec_id") == F.col("id__"), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"))
+    out = spill(out, "groups")
+    discard(usable, reps, small_links)
+    return out
