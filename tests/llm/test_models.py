@@ -1,5 +1,6 @@
 """Language, toxicity, mixing, vectors, archives and the pipeline."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwork.llm import language, mixing, toxicity, vector_dedup, warc
@@ -206,6 +208,29 @@ def test_archives_round_trip(spark, most):
     assert got == sorted(pages_by_hand([(i, h) for i, _, h in rows]), key=str)
 
 
+def test_any_archive_is_read_by_content_length(spark, tmp_path):
+    """Members of their own, blocks with bytes of any kind, marks of records and line ends within, and empty ones."""
+    rng = random.Random(4)
+    blocks = [b"", b"\n", b"\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n", rng.randbytes(5000), b"no end of line", b"\n" * 700, "é".encode() * 600]
+    member = lambda i, b: gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r:%d>\r\nWARC-Target-URI: http://x:80/%d\r\ncontent-length: %d\r\n\r\n" % (i, i, len(b)) + b + b"\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(member(i, b) for i, b in enumerate(blocks)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(member(100 + i, b) for i, b in enumerate(blocks[::-1])))
+    got = {}
+    for r in warc.read_warc(spark, str(tmp_path), 512).orderBy("record_id", "chunk_no").collect():
+        block = got.get(r.record_id, b"") + bytes(r.chunk)
+        got[r.record_id] = block
+        assert len(r.chunk) <= 512 and (r.total, r.digest) == (len(block), hashlib.sha1(block).hexdigest()) and r.type == "resource"
+        assert (r.headers is not None) == (r.chunk_no == 0) and r.uri == f"http://x:80/{r.record_id[3:-1]}"
+    assert got == {f"<r:{i}>": b for i, b in enumerate(blocks)} | {f"<r:{100 + i}>": b for i, b in enumerate(blocks[::-1])}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_warc(spark, str(tmp_path)).collect()
+    pages = spark.createDataFrame([(1, "u", "x" * 3000), (2, "u", "x" * 3000), (3, "v", "ä\r\n\r\n")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "own"), chunk_chars=700)
+    own = warc.read_warc(spark, str(tmp_path / "own")).groupBy("type").agg(F.count_if("last").alias("n"), F.sum(F.octet_length("chunk")).alias("b")).collect()
+    assert {r.type: (r.n, r.b) for r in own} == {"response": (2, 700 + 6), "continuation": (4, 2300), "revisit": (1, 0)}
+
+
 def test_archives_of_no_pages(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 

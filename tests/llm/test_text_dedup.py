@@ -236,3 +236,80 @@ def test_maximal_repeats_of_several_kilobytes(spark):
     found = found_groups(suffix_dedup.maximal_repeats(frame(spark, rows)))
     places = lambda s: tuple(sorted((i, a, a + len(s)) for i, t in rows for a in range(len(t)) if t.startswith(s, a)))
     assert found == [(3, places(passage)), (6, places(inner))]
+
+
+def test_anchors_of_texts_over_a_step(monkeypatch):
+    """The anchors of a text that is cut into steps are those of the whole, for units of any kind."""
+    import numpy as np
+
+    from loomwork.llm import anchors
+
+    rng = np.random.default_rng(5)
+    units = rng.integers(0, 50, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    off = np.array([0, 3, 3, 7000, 7010, 19_990, 20_000])
+    whole = anchors.anchors(units, off, 8, 35)
+    monkeypatch.setattr(anchors, "STEP", 1000)
+    cut = anchors.anchors(units, off, 8, 35)
+    windows = lambda found: [(int(w), int(p), int(k)) for s, n, p, k in zip(*found, strict=True) for w in range(s, s + n)]
+    assert windows(cut) == windows(whole) and len(windows(whole)) == sum(max(0, b - a - 34) for a, b in zip(off[:-1], off[1:], strict=True))
+
+
+def one_bucket(batches):
+    """band_rows() if all sets agreed in one band."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([7] * batch.num_rows, pa.int64()), batch.column("rep")], ["key", "rep"])
+
+
+def test_a_bucket_of_dissimilar_documents(spark, monkeypatch):
+    """All documents in one bucket, whose hub is like hardly any of them: every pair of the others is still tested."""
+    monkeypatch.setattr(near_dedup, "band_rows", one_bucket)
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = [[word() for _ in range(rng.randrange(30, 60))] for _ in range(900)]
+    family = {}
+    for i in range(0, 300, 3):  # chains of copies with a changed word, of documents at both ends of the ids
+        copy = list(texts[i])
+        copy[rng.randrange(len(copy)) if len(copy) < 45 else -1] = word()
+        texts[899 - i] = copy
+        family[899 - i] = i
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: {tuple(t[j : j + 5]) for j in range(len(t) - 4)} for i, t in enumerate(texts)}
+    linked = {b: a for b, a in family.items() if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(frame(spark, rows)).collect()}
+    assert len(linked) > 30 and got == {i: linked.get(i, i) for i in range(900)}
+
+
+def test_visitors_pass_by():
+    """Members of a key are held, visitors are handed on batch by batch; keys without both are passed over."""
+    import pyarrow as pa
+
+    from loomwork.llm.common import members_then_visitors
+
+    rows = [(1, 0, 10), (1, 0, 11), (1, 1, 12), (1, 1, 13), (1, 1, 14), (2, 0, 20), (3, 1, 30), (4, 0, 40), (4, 1, 41)]
+    seen, pulled = [], []
+
+    def handle(block):
+        own = block.column("x").to_pylist()
+
+        def visit(batch):
+            seen.append((own, None if batch is None else batch.column("x").to_pylist()))
+            yield from [] if batch is None else [batch]
+
+        return visit
+
+    def batches(size):
+        for at in range(0, len(rows), size):
+            pulled.append(at)
+            yield pa.RecordBatch.from_pylist([dict(zip(("key", "kind", "x"), r, strict=True)) for r in rows[at : at + size]])
+
+    for size in (1, 2, 4, 20):
+        seen.clear(), pulled.clear()
+        out = members_then_visitors("key", handle)(batches(size))
+        first = next(out).column("x").to_pylist()
+        assert first[0] == 12 and (size > 3 or pulled[-1] <= 3)
+        assert first + [x for b in out for x in b.column("x").to_pylist()] == [12, 13, 14, 41]
+        assert [s for s in seen if s[1] is None] == [([10, 11], None), ([40], None)]
