@@ -213,12 +213,18 @@ def symbol_index(refs: DataFrame, symbols: str = "symbols", ref: str = "ref") ->
 
 
 def reduce_dimensions(df: DataFrame, vector: str, k: int) -> DataFrame:
-    """df with `reduced`: k principal components, the JVM's own stand-in for neighbour embeddings of a plot."""
+    """df with `reduced`: the coordinates along the k principal components, a stand-in for the neighbour embedding of a
+    plot. The largest loading of each component is positive, so that the result doesn't depend on the solver."""
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
-    v = df.withColumn("v__", array_to_vector(F.col(vector).cast("array<double>")))
-    return PCA(k=k, inputCol="v__", outputCol="r__").fit(v).transform(v).withColumn("reduced", vector_to_array("r__")).drop("v__", "r__")
+    from ..functions import vectors as vx
+
+    v = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    loadings = PCA(k=k, inputCol="v", outputCol="r").fit(v).pc.toArray().T
+    loadings = [row * np.sign(row[np.abs(row).argmax()]) for row in loadings]
+    axes = [F.array(*(F.lit(float(x)) for x in row)) for row in loadings]
+    return df.withColumn("reduced", F.array(*(vx.dot(F.col(vector), axis) for axis in axes)))
 
 
 def external_url(repo: str, ref: str, path: Column, line: Column) -> Column:

@@ -117,7 +117,24 @@ def cluster_frame(load):
     return frame.join(F.broadcast(graph.cluster_counts(found)))
 
 
-@query()
+def _axes(rounds: int = 3000) -> str:
+    """The first two principal axes, by power iterations on the covariance, the second kept at right angles to the first."""
+    unit = "list_transform(w, lambda z: z / sqrt(list_sum(list_transform(w, lambda y: y * y))))"
+    times = "list_transform(a, lambda r: list_sum(list_transform(range(1, len(r) + 1), lambda i: r[i] * v[i])))"
+    start = "list_transform(range(1, len(a) + 1), lambda i: 1.0 + 0.01 * i)"
+    square = "list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * f[i]))"
+    signed = "list_transform(v, lambda z: z * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))]))"
+    return f"""WITH RECURSIVE x AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS MATERIALIZED (SELECT i, avg(x) AS m FROM x GROUP BY i), y AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM x JOIN m USING (i)),
+c AS MATERIALIZED (SELECT i, list(c ORDER BY j) AS row FROM (SELECT p.i, q.i AS j, sum(p.x * q.x) AS c FROM y p JOIN y q USING (vec_id) GROUP BY p.i, q.i) GROUP BY i),
+mat AS MATERIALIZED (SELECT list(row ORDER BY i) AS a FROM c),
+u AS (SELECT 0 AS k, {start} AS v FROM mat UNION ALL SELECT k + 1, {unit} FROM (SELECT k, {times} AS w FROM u, mat) WHERE k < {rounds}),
+e AS MATERIALIZED (SELECT v AS f FROM u WHERE k = {rounds}),
+t AS (SELECT 0 AS k, {start} AS v FROM mat UNION ALL SELECT k + 1, {unit} FROM (SELECT k, {times.replace("v[i]", "(v[i] - o * f[i])")} AS w FROM (SELECT k, v, f, {square} AS o FROM t, e), mat) WHERE k < {rounds}),
+g AS MATERIALIZED (SELECT {signed} AS one FROM (SELECT f AS v FROM e)), h AS MATERIALIZED (SELECT {signed} AS two FROM t WHERE k = {rounds})"""
+
+
+@query(f"{_axes()} SELECT vec_id, round(list_sum(list_transform(range(1, len(one) + 1), lambda i: one[i] * embedding[i]::DOUBLE)), 4) AS x, round(list_sum(list_transform(range(1, len(two) + 1), lambda i: two[i] * embedding[i]::DOUBLE)), 4) AS y FROM embeddings, g, h")
 def reduce_dimensions(load):
     """Principal components in place of neighbour embeddings."""
     return graph.reduce_dimensions(load("embeddings"), "embedding", 2).select("vec_id", F.round(F.get("reduced", 0), 4).alias("x"), F.round(F.get("reduced", 1), 4).alias("y"))

@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import bm25, dense, fusion, metrics, mining
 from ..session import shared_folder
-from ..sources import sinks
+from ..sources import readers, sinks
 from .registry import Registry
 
 QUERIES = query = Registry()
@@ -348,11 +348,24 @@ def neighbour_batches(load):
     return mining.neighbour_batches(near.withColumnRenamed("query_id", "id"), 4)
 
 
-@query(f"WITH {WEIGHTS} SELECT (SELECT count(*) FROM tf)::BIGINT AS n_postings, (SELECT count(*) FROM documents)::BIGINT AS n_docs")
+def index_sql(field: str) -> str:
+    source = f"(SELECT doc_id, {field} AS text FROM documents)"
+    return f"(WITH {fill(WEIGHTS.replace('documents', source))} SELECT '{field}' AS field, (SELECT count(*) FROM tf)::BIGINT AS n_postings, (SELECT count(*) FROM len)::BIGINT AS n_docs, (SELECT sum(len) FROM len)::BIGINT AS n_terms, (SELECT count(*) FROM embeddings)::BIGINT AS n_vectors)"
+
+
+@query(f"SELECT * FROM {index_sql('text')} UNION ALL SELECT * FROM {index_sql('source')}")
 def field_indexes(load):
-    """A text index, written and read back; sizes of its tables."""
-    root = f"{shared_folder(load('labels').sparkSession)}/index-{uuid.uuid4().hex}"
-    docs = doc_tokens(load("documents"), "doc_id")
-    sinks.write_index(bm25.postings(docs), docs.select("doc_id", F.size("toks").alias("len")), root)
-    read = docs.sparkSession.read.parquet
-    return read(f"{root}/postings").agg(F.count("*").alias("n_postings")).join(read(f"{root}/docs").agg(F.count("*").alias("n_docs")))
+    """For each field a text index and a vector collection, written and read back; their sizes."""
+    spark = load("labels").sparkSession
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    v = load("embeddings")
+    sinks.write_collection(v.withColumn("field", F.explode(F.array(F.lit("text"), F.lit("source")))), f"{root}/vectors")
+    out = None
+    for field in ("text", "source"):
+        docs = bm25.tokens(load("documents"), "doc_id", tx.words(F.col(field)))
+        sinks.write_index(bm25.postings(docs), docs.select("doc_id", F.size("toks").alias("len")), f"{root}/{field}")
+        postings, own = readers.text_index(spark, f"{root}/{field}")
+        sizes = postings.agg(F.count("*").alias("n_postings")).join(own.agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_terms")))
+        row = sizes.join(readers.collection(spark, f"{root}/vectors", field).agg(F.count("*").alias("n_vectors"))).select(F.lit(field).alias("field"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import payload
 from ..functions import text as tx
 from ..operators import batches, dense, fusion, graph, metrics, mining
-from ..session import running_session, shared_folder
+from ..session import shared_folder
 from ..sources import python_source, readers, sinks
 from .registry import Registry
 
@@ -19,9 +19,13 @@ QUERIES = query = Registry()
 SPACE = "' ' || chr(9) || chr(10) || chr(13)"
 
 
+def session(load) -> SparkSession:
+    return load("region").sparkSession
+
+
 def place(load) -> tuple[SparkSession, str]:
     """The session, and a new folder in the one that driver and executors share."""
-    spark = running_session()
+    spark = session(load)
     return spark, f"{shared_folder(spark)}/trip-{uuid.uuid4().hex}"
 
 
@@ -355,7 +359,7 @@ def scrubbed(load):
 def flags(load):
     """G16."""
     words = ["Yes", "off", "", "maybe", "1"]
-    return running_session().createDataFrame([(w, tx.parse_bool(w, strict=False)) for w in words], "word string, flag boolean")
+    return session(load).createDataFrame([(w, tx.parse_bool(w, strict=False)) for w in words], "word string, flag boolean")
 
 
 @query("SELECT doc_id, 'sm-' || doc_id AS custom_id, 'POST' AS method, lang AS model, source AS asked, 50::BIGINT AS max_tokens, n_words::BIGINT AS n_tokens FROM (SELECT *, len(regexp_extract_all(lower(source || ' ' || lang), '[\\p{L}\\p{N}_]+')) AS n_words FROM documents)")
@@ -422,7 +426,7 @@ def pick_one(load):
 def batch_sizes(load):
     """K15."""
     rows = [(total, *mining.batch_size(total, per, 2)) for total, per in ((64, 8), (64, 5), (4, 8), (100, 50))]
-    return running_session().createDataFrame(rows, "total int, per int, accumulation int")
+    return session(load).createDataFrame(rows, "total int, per int, accumulation int")
 
 
 @query("SELECT item_id AS query_id, r::INTEGER AS rank, item_id || '-' || r AS name FROM benchmark, (VALUES (1), (2), (3)) t(r)")

@@ -1,18 +1,9 @@
 """Schemas of the tables that pass between the stages, as DDL. Readers are always given one; nothing is inferred."""
 
 RECORD = "relative_path string, content string, metadata map<string,string>, record_index bigint, custom_id string"
-MESSAGE = "struct<role: string, content: string>"
-REQUEST = f"custom_id string, method string, url string, body struct<model: string, messages: array<{MESSAGE}>, max_tokens: int, response_format: string>"
-RESPONSE = "custom_id string, error string, response string"
-ONLINE_ERROR = "custom_id string, error string"
 SUMMARY_ROW = "custom_id string, markdown_content string, seed_questions array<string>, summary string, name string, description string, metadata map<string,string>"
 SCENARIO_ROW = SUMMARY_ROW + ", scenario_output array<struct<scenario: string, question: string>>"
 VALIDATED_ROW = "custom_id string, name string, markdown_content string, description string, reasoning string, filtered_questions array<string>, num_from_seed_questions string, num_from_scenario_questions string"
-DATA_POINT = "name string, markdown_content string, summary string, description string, question string"
-MINED_ROW = "question string, name string, summary string, description string, negative_documents array<string>"
-MINED_FIELDS_ROW = "anchor_id string, name string, markdown_content string, summary string, description string, question string, negative_summaries array<string>, negative_descriptions array<string>"
-NODE = "full_name string, kind string, module_name string, qualname string, class_name string, lineno int, end_lineno int"
-EDGE = "caller string, callee string, edge_type string"
 
 #: Strict payloads: key to type, `strings` an array of strings, with the exact length where one is declared.
 EXTRACTION = {"reasoning": "string", "what": "string", "why": "string", "seed_questions": "strings"}

@@ -20,14 +20,6 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def running_session() -> SparkSession:
-    """The session that is running; an error without one."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        raise RuntimeError("no session is running")
-    return spark
-
-
 def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
     """The folder that driver and executors share: the given one, or that of spark.checkpoint.dir.
 

@@ -166,6 +166,16 @@ def scenario_rows(rows: DataFrame) -> DataFrame:
     return jsonl(checked, schemas.SCENARIO_ROW).orderBy("custom_id")
 
 
+def text_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (doc_id, tok, tf) and documents (doc_id, len) of an index of write_index(); documents written without a
+    length have that of their postings."""
+    postings, docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
+    if "len" not in docs.columns:
+        sizes = postings.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+        docs = docs.join(sizes, "doc_id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
+    return postings, docs
+
+
 def collection(spark: SparkSession, path: str, field: str) -> DataFrame:
     """All records of one field of a vector collection of write_collection(); the field's folder alone is read."""
     return spark.read.parquet(path).where(F.col("field") == field).drop("field")

@@ -139,6 +139,11 @@ def test_payload_lengths(spark):
     for value, ok in (([pair] * 5, True), ([pair] * 4, False), ([pair] * 4 + [{"scenario": "s"}], False)):
         assert one(spark, payload.is_valid(F.col("t"), schemas.SCENARIOS), t=json.dumps({"scenario_output": value})) is ok
     assert one(spark, payload.is_valid(F.col("t"), schemas.SUMMARY), t="not json") is False
+    for n, ok in ((5, True), (4, False), (6, False)):
+        assert one(spark, payload.is_valid(F.col("t"), schemas.FILTERED), t=json.dumps({"reasoning": "r", "filtered_questions": ["q"] * n})) is ok
+    said = {"reasoning": "r", "what": "w", "why": "y", "seed_questions": ["q"]}
+    assert one(spark, payload.is_valid(F.col("t"), schemas.EXTRACTION), t=json.dumps(said)) is True
+    assert one(spark, payload.is_valid(F.col("t"), schemas.EXTRACTION), t=json.dumps(said | {"why": None})) is False
 
 
 def test_response_content(spark):

@@ -274,6 +274,25 @@ def test_latest_by_key_stream(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("k", "o")) == [("a", 2), ("b", 1)]
 
 
+def drained(stream, name, mode="append"):
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return rows(stream.sparkSession.table(name))
+
+
+def test_other_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"custom_id": "x", "error": null, "response": {"status_code": 200}}\nbroken\n{"custom_id": "y", "error": {"code": 1}}\n')
+    got = drained(ingest.response_stream(spark, str(tmp_path / "in")), "responses")
+    assert got == [("x", None, '{"status_code":200}'), ("y", '{"code":1}', None)]
+    schema = "k string, ts timestamp, v double"
+    data = [("a", "2024-01-01 01:00:00", 1.0), ("a", "2024-01-01 02:00:00", 2.0), ("b", "2024-01-02 01:00:00", 4.0), ("a", "2024-01-02 03:00:00", 8.0)]
+    spark.createDataFrame(data, "k string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp")).select("k", "ts", "v").coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+    counts = drained(ingest.windowed_counts(stream(), "ts", "k", "v").withColumn("window_start", F.col("window_start").cast("string")), "counts", "complete")
+    assert counts == [("2024-01-01 00:00:00", "a", 2, 3.0), ("2024-01-02 00:00:00", "a", 1, 8.0), ("2024-01-02 00:00:00", "b", 1, 4.0)]
+    assert [(k, v) for k, _, v in drained(ingest.first_seen(stream(), "k", "ts", "3 days"), "firsts")] == [("a", 1.0), ("b", 4.0)]
+
+
 @pytest.mark.parametrize("dense_rows", [0, 1300])
 def test_dbscan_of_all_vectors(spark, tmp_path, monkeypatch, dense_rows):
     """Groups without a vector divisible by 100, and one of more than 1,000, against brute force."""
