@@ -69,7 +69,9 @@ def least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(units: np.ndarray, off: np.ndarray, k: int, L: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(
+    units: np.ndarray, off: np.ndarray, k: int, L: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First owned window, number of owned windows, place and key of each anchor, in order."""
     parts = []
     for lo in range(0, max(1, len(units)), STEP):
@@ -220,7 +222,9 @@ class Slice:
         return names(values, self.start[chosen], self.count[chosen], self.place[chosen], self.key[chosen], self.L)
 
 
-def names(units: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, key: np.ndarray, L: int) -> np.ndarray:
+def names(
+    units: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, key: np.ndarray, L: int
+) -> np.ndarray:
     """A 64-bit name for each stretch of count + L - 1 units from start, of its units and the anchor's place."""
     if not len(start):
         return np.zeros(0, np.uint64)
@@ -316,7 +320,9 @@ def offer_keys(units: Callable, k: int, L: int, parts: int):
         every = [key48(s.key) for s in Bucket(held, units, k, L).slices]
         keys, many = np.unique(np.concatenate(every or [np.zeros(0, np.uint64)]), return_counts=True)
         if len(keys):
-            yield packets(bucket, keys % np.uint64(parts), keys << np.uint64(1) | (many >= CROWD).astype(np.uint64), pack48)
+            yield packets(
+                bucket, keys % np.uint64(parts), keys << np.uint64(1) | (many >= CROWD).astype(np.uint64), pack48
+            )
 
     return by_key("bucket", handle)
 
@@ -366,7 +372,10 @@ def offer_stretches(units: Callable, k: int, L: int, parts: int, shared: Callabl
         b = Bucket(held, units, k, L)
         told = np.concatenate([np.zeros(0, np.uint64), *(unpack48(r) for r in b.replies)])
         hot = np.sort(told[(told & np.uint64(1)) == 1] >> np.uint64(1))
-        local = shared(np.concatenate([np.zeros(0, np.uint64), *(key48(s.key) for s in b.slices)]), np.concatenate([np.zeros(0, np.int64), *(s.id[s.doc] for s in b.slices)]))
+        local = shared(
+            np.concatenate([np.zeros(0, np.uint64), *(key48(s.key) for s in b.slices)]),
+            np.concatenate([np.zeros(0, np.int64), *(s.id[s.doc] for s in b.slices)]),
+        )
         keys = np.unique(np.concatenate([local, told >> np.uint64(1)]))
         ids, docs, chosen = [], [], []
         for s in b.slices:
@@ -391,7 +400,17 @@ def offer_stretches(units: Callable, k: int, L: int, parts: int, shared: Callabl
             text, size = content(s, s.start[at], s.start[at] + n)
             leaf = np.zeros(len(mine), LEAF)
             leaf["low"], leaf["high"], leaf["many"], leaf["size"], leaf["place"] = low[mine], high[mine], many[mine], size, s.place[at] - s.start[at]
-            which, part = deal(s.key[at], contained(key48(s.key[at]), hot), s.start[at], n, s.place[at], s.units()[0] if len(hot) else None, k, L, parts)
+            which, part = deal(
+                s.key[at],
+                contained(key48(s.key[at]), hot),
+                s.start[at],
+                n,
+                s.place[at],
+                s.units()[0] if len(hot) else None,
+                k,
+                L,
+                parts,
+            )
             leaves.append(leaf[which])
             texts.append(text[tk.ranges((np.cumsum(size) - size)[which], size[which])])
             to.append(part)
@@ -402,7 +421,13 @@ def offer_stretches(units: Callable, k: int, L: int, parts: int, shared: Callabl
         edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
         rows = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            rows.append((int(part[lo]), bucket, packed(leaf[lo:hi], text[tk.ranges(place[lo:hi], leaf["size"][lo:hi].astype(np.int64))])))
+            rows.append(
+                (
+                    int(part[lo]),
+                    bucket,
+                    packed(leaf[lo:hi], text[tk.ranges(place[lo:hi], leaf["size"][lo:hi].astype(np.int64))]),
+                ),
+            )
         cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "bucket", "blob"])
 
@@ -413,7 +438,10 @@ class Meeting:
     """The stretches that meet in a part, from all buckets: leaves, their owners and units; equal ones are one node."""
 
     def __init__(self, held: list[pa.RecordBatch], units: Callable, k: int, L: int):
-        got = [(owner, *unpacked(blob.as_py())) for b in held for owner, blob in zip(b.column("bucket").to_numpy(), b.column("blob"), strict=True)]
+        got = [
+            (owner, *unpacked(blob.as_py())) for b in held for owner,
+            blob in zip(b.column("bucket").to_numpy(), b.column("blob"), strict=True)
+        ]
         self.leaf = np.concatenate([leaf for _, leaf, _ in got])
         self.text = np.concatenate([text for _, _, text in got])
         self.owner = np.repeat([owner for owner, _, _ in got], [len(leaf) for _, leaf, _ in got])
@@ -490,9 +518,13 @@ def covered(s: Slice, anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def shared_stretches(rows: DataFrame, sizes: Sizes, units: Callable, k: int, L: int, shared: Callable, content: Callable) -> tuple[DataFrame, DataFrame]:
+def shared_stretches(
+    rows: DataFrame, sizes: Sizes, units: Callable, k: int, L: int, shared: Callable, content: Callable
+) -> tuple[DataFrame, DataFrame]:
     """Packets of the stretches around shared anchors, parted; and the table behind them, to discard when done."""
     keys = with_replies(rows, None, sizes).mapInArrow(offer_keys(units, k, L, sizes.parts), PACKET)
     seeds = spill(parted(keys, sizes).mapInArrow(by_key("part", shared_keys), REPLY), "seeds", "none")
-    offers = with_replies(rows, seeds, sizes).mapInArrow(offer_stretches(units, k, L, sizes.parts, shared, content), PACKET)
+    offers = with_replies(rows, seeds, sizes).mapInArrow(
+        offer_stretches(units, k, L, sizes.parts, shared, content), PACKET
+    )
     return parted(offers, sizes), seeds

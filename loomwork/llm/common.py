@@ -158,10 +158,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds if n else 0):
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
         low = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n__")).withColumn("m", F.least("x", "m"))
-        large = spread_join(both.where("y > x"), low, "x", 2 * n).select(F.col("y").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
+        large = spread_join(both.where("y > x"), low, "x", 2 * n).select(
+            F.col("y").alias("v"), F.col("m").alias("u")
+        ).where("u < v").distinct()
         small_low = large.groupBy("v").agg(F.min("u").alias("m"))
         pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
-        small = large.join(small_low, "v").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.v", "e.u").where("u < v").distinct()
+        small = large.join(small_low, "v").select(
+            F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")
+        ).select("e.v", "e.u").where("u < v").distinct()
         past, now = now, spill(small, "edges")
         discard(past)
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
@@ -212,7 +216,9 @@ def first_of_each(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     place = F.pmod(order[0], F.lit(1 << 40))
     most = df.groupBy(group).agg(F.count("*").alias("n__")).withColumnRenamed(group, "g__")
     most = most.select("g__", F.least(F.lit(1.0), (F.lit(1.5 * n + 100)) / F.col("n__")).alias("share__"))
-    few = df.join(most, F.col(group).eqNullSafe(F.col("g__"))).where(place < F.col("share__") * (1 << 40)).drop("g__", "share__")
+    few = df.join(
+        most, F.col(group).eqNullSafe(F.col("g__"))
+    ).where(place < F.col("share__") * (1 << 40)).drop("g__", "share__")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(place, *order[1:]))
     return few.withColumn("rank", rank).where(F.col("rank") <= n)
 

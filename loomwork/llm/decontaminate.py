@@ -18,13 +18,19 @@ def word_array(text: Column) -> Column:
     """Runs of digits, a-z and characters beyond ASCII, after lower-casing A-Z; null text has none."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     plain = F.octet_length(text) == F.char_length(text)  # then lower() touches A-Z alone, and is faster
-    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SEPARATORS), "")
+    return F.array_remove(
+        F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), SEPARATORS), ""
+    )
 
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
     """Windows of the items, as distinct (w, item): `width` consecutive words, all of them if an item has fewer."""
-    words = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    starts = words.select("item", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws") - width + 1, F.lit(1)))).alias("at"))
+    words = items.where("item_id is not null").select(
+        F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("ws")
+    ).where(F.size("ws") > 0)
+    starts = words.select(
+        "item", "ws", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ws") - width + 1, F.lit(1)))).alias("at")
+    )
     return starts.select("item", F.slice("ws", F.col("at"), F.lit(width)).alias("w")).distinct()
 
 
@@ -49,25 +55,41 @@ def hits(docs: DataFrame, owned: DataFrame, found: str = "found__", all_: bool =
     facts = windows.agg(F.sum(room).alias("room"), sizes.alias("sizes")).first()
     hint = F.broadcast if (facts.room or 0) <= BROADCAST_BYTES else lambda df: df
     sizes = list(facts.sizes) or [TOKEN_WORDS]
-    words = docs.where("text is not null").select(F.col("doc_id").alias("id__"), F.xxhash64("text").alias("fp__"), word_array(F.col("text")).alias("ws"))
+    words = docs.where("text is not null").select(
+        F.col("doc_id").alias("id__"), F.xxhash64("text").alias("fp__"), word_array(F.col("text")).alias("ws")
+    )
     # a one-element array binds the words, so that they are split once for each text
     tokens = F.element_at(F.transform(F.array("ws"), lambda ws: F.array(*(shingles_of(ws, n) for n in sizes))), 1)
-    own = F.transform(F.array(*(F.struct(F.lit(n).alias("size"), shingles_of(F.col("w"), n).alias("t")) for n in sizes)), lambda s: s)
+    own = F.transform(
+        F.array(*(F.struct(F.lit(n).alias("size"), shingles_of(F.col("w"), n).alias("t")) for n in sizes)), lambda s: s
+    )
     mine = F.element_at(F.filter(own, lambda s: s["size"] == F.least(F.size("w"), F.lit(TOKEN_WORDS))), 1)
-    placed_in = windows.select("w", F.posexplode(F.slice(mine["t"], F.lit(1), F.size("w") - mine["size"] + 1)).alias("offset", "token"))
-    placed = words.select("id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
-    met = spill(placed.join(hint(placed_in.select("token").distinct()), "token"), "met")  # one split of the texts serves both joins
+    placed_in = windows.select(
+        "w", F.posexplode(F.slice(mine["t"], F.lit(1), F.size("w") - mine["size"] + 1)).alias("offset", "token")
+    )
+    placed = words.select(
+        "id__", "fp__", F.size("ws").alias("n"), F.explode(tokens).alias("ts")
+    ).select("id__", "fp__", "n", F.posexplode("ts").alias("pos", "token"))
+    met = spill(  # one split of the texts serves both joins
+        placed.join(hint(placed_in.select("token").distinct()), "token"), "met"
+    )
     often = spill(met.groupBy("token").agg(F.count("*").alias("df")), "rarity")
-    rare = placed_in.join(hint(often), "token", "left").groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")).where("r.df > 0")
+    rare = placed_in.join(hint(often), "token", "left").groupBy("w").agg(
+        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")
+    ).where("r.df > 0")
     anchors = spill(rare.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "w"), "anchors")
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.size("w") <= F.col("n"))
-    maybe = met.join(hint(anchors), "token").where(fits).groupBy("id__", "fp__").agg(F.collect_set(F.struct(start.alias("at"), "w")).alias("maybe"))
+    maybe = met.join(hint(anchors), "token").where(fits).groupBy("id__", "fp__").agg(
+        F.collect_set(F.struct(start.alias("at"), "w")).alias("maybe")
+    )
     maybe = spill(maybe, "maybe")
     discard(windows, met, often, anchors)
     fp, id_, f, some = fresh(docs, "fp__", "i__", "f__", "maybe")
     right = maybe.select(F.col("id__").alias(id_), F.col("fp__").alias(f), F.col("maybe").alias(some))
-    joined = docs.withColumn(fp, F.xxhash64("text")).join(right, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left")
+    joined = docs.withColumn(fp, F.xxhash64("text")).join(
+        right, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f)), "left"
+    )
 
     def judge(ws: Column) -> Column:
         kept = F.filter(some, lambda c: F.slice(ws, c["at"] + 1, F.size(c["w"])) == c["w"])
@@ -89,13 +111,27 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     kept = F.coalesce(F.col("found__.kept"), F.array())
     covered = F.transform(kept, lambda c: F.sequence(c["at"], c["at"] + F.size(c["w"]) - 1))
     ws = F.array_sort(F.array_distinct(F.transform(kept, lambda c: c["w"])))
-    rows = found.select("doc_id", F.col("found__.n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"), ws.alias("ws"))
+    rows = found.select(
+        "doc_id",
+        F.col("found__.n_words").alias("n_words"),
+        F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"),
+        ws.alias("ws"),
+    )
     hit = rows.where("n_hit > 0")
     sets = hit.groupBy("ws").agg(F.count("*").alias("n__")).select("ws", "n__", F.explode("ws").alias("w"))
     names = sets.join(owned, "w").groupBy("ws", "n__").agg(F.array_sort(F.collect_set("item")).alias("names"))
-    told = names.select("ws", "n__", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"))
-    none = rows.where("n_hit = 0").select("doc_id", "n_words", "n_hit", F.lit(0).cast("long"), F.sha2(F.lit(b""), 256), F.lit(False))
-    some = spread_join(hit, told, "ws", hit.count()).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.lit(True).alias("contaminated"))
+    told = names.select(
+        "ws",
+        "n__",
+        F.size("names").cast("long").alias("n_items"),
+        F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"),
+    )
+    none = rows.where("n_hit = 0").select(
+        "doc_id", "n_words", "n_hit", F.lit(0).cast("long"), F.sha2(F.lit(b""), 256), F.lit(False)
+    )
+    some = spread_join(hit, told, "ws", hit.count()).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.lit(True).alias("contaminated")
+    )
     out = spill(some.union(none), "report")
     discard(owned, found)
     return out
@@ -108,4 +144,6 @@ def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     benchmark removes nothing.
     """
     (found,) = fresh(docs, "found__")
-    return hits(docs, windows_of(items, width), found, False).where(F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1).drop(found)
+    return hits(docs, windows_of(items, width), found, False).where(
+        F.coalesce(F.size(f"{found}.kept"), F.lit(0)) < 1
+    ).drop(found)

@@ -49,7 +49,10 @@ def lettered(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> np.nda
 def packed():
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.packbits(presence(*tk.buffer(batch.column("text"))), axis=1)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["doc_id", "lang", "bits"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())],
+            ["doc_id", "lang", "bits"],
+        )
 
     return in_slices(of)
 
@@ -82,19 +85,31 @@ class Identifier:
         return [self.langs[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, score, 0.0)
 
 
-def fit(docs: DataFrame, per_language: int = 250, landmarks: int = 192, ridge: float = 1e-3, most: int = 4000) -> Identifier:
+def fit(
+    docs: DataFrame, per_language: int = 250, landmarks: int = 192, ridge: float = 1e-3, most: int = 4000
+) -> Identifier:
     """Learn from at most per_language rows of each language and `most` in all (4 kB of packed presence bits each, the
     bound of what the driver gets), those of the smallest hash among rows with a text and a lang that are not held out.
     Rows that repeat a doc_id and lang are taken as one, with one of their texts."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    known = named.where("doc_id is not null and text is not null and lang is not null").where(~held_out()).select("doc_id", "lang")
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")
+    )
+    known = named.where(
+        "doc_id is not null and text is not null and lang is not null"
+    ).where(~held_out()).select("doc_id", "lang")
     first = first_of_each(known, "lang", [F.xxhash64("doc_id"), "doc_id"], per_language)
     chosen = first.orderBy("rank", "lang").limit(most).select("doc_id", "lang").distinct()
-    got = sorted(chosen_texts(named, chosen, "doc_id", "lang").mapInArrow(packed(), "doc_id long, lang string, bits binary").collect())
+    got = sorted(
+        chosen_texts(named, chosen, "doc_id", "lang").mapInArrow(
+            packed(), "doc_id long, lang string, bits binary"
+        ).collect(),
+    )
     langs = sorted({r.lang for r in got})
     if not got:
         return Identifier([], np.zeros((WIDTH, 0), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
+    x = np.unpackbits(
+        np.frombuffer(b"".join(bytes(r.bits) for r in got), np.uint8).reshape(len(got), -1), axis=1
+    ).astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     y = np.array([[r.lang == lang for lang in langs] for r in got], np.float64)
     rng = np.random.default_rng(7)
@@ -115,7 +130,11 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = model(batch)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
+        )
 
-    said = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(in_slices(rows, most=1 << 19), "doc_id long, lang_pred string, score double")
+    said = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        in_slices(rows, most=1 << 19), "doc_id long, lang_pred string, score double"
+    )
     return said.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -60,7 +60,9 @@ def found_rows(kind, h1, h2, doc, fp, pos, n_lines, n_docs, top) -> pa.RecordBat
     wide = lambda x, t: pa.array(np.ascontiguousarray(np.broadcast_to(x, k)), t)
     ints = [wide(kind, pa.int32()), *(wide(x, pa.int64()) for x in (h1, h2, doc, fp))]
     rest = [wide(pos, pa.int32()), wide(n_lines, pa.int32()), wide(n_docs, pa.int64()), wide(top, pa.int64())]
-    return pa.RecordBatch.from_arrays(ints + rest, ["kind", "h1", "h2", "doc_id", "fp", "pos", "n_lines", "n_docs", "top"])
+    return pa.RecordBatch.from_arrays(
+        ints + rest, ["kind", "h1", "h2", "doc_id", "fp", "pos", "n_lines", "n_docs", "top"]
+    )
 
 
 def stream_runs(min_docs: int):
@@ -124,7 +126,9 @@ def stream_runs(min_docs: int):
                 # runs that begin and end in this batch
                 inner = slice(first[0], first[-1])
                 total = np.repeat(np.maximum.reduceat(rank, first), np.diff(edges))
-                cut = early[inner] & (rank[inner] > 1) & (total[inner.start - first[0] : inner.stop - first[0]] >= min_docs)
+                cut = early[inner] & (rank[inner] > 1) & (
+                    total[inner.start - first[0] : inner.stop - first[0]] >= min_docs
+                )
                 if cut.any():
                     part = [c[inner][cut] for c in cols]
                     yield found_rows(DROP, part[0], part[1], ~part[2], *part[3:], 0, 0)
@@ -140,7 +144,9 @@ def stream_runs(min_docs: int):
                         if len(part[0]):
                             yield found_rows(FEW, part[0], part[1], ~part[2], *part[3:], 0, 0)
                     one = np.zeros(1, np.int64)
-                    yield found_rows(SUMMARY, one + h1[first[0]], one + h2[first[0]], one, one, 0, 0, int(total[0]), ~back[first[0]])
+                    yield found_rows(
+                        SUMMARY, one + h1[first[0]], one + h2[first[0]], one, one, 0, 0, int(total[0]), ~back[first[0]]
+                    )
                     opening = False
                 held = [pick(first[-1], n)]
                 docs, top = int(rank[-1]), back[first[-1]]
@@ -210,7 +216,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     splits a very common line over as many partitions as its rows need.
     """
     spark = docs.sparkSession
-    some = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fp"), "text")
+    some = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("fp"), "text"
+    )
     lines = spill(some.mapInArrow(hash_lines(min_chars), LINES), "hashed")
     order = ["h1", "h2", "back"]
     runs = lines.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos")
@@ -219,7 +227,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     # at most two summaries for each partition, so this side has a fixed bound
     sums = (F.sum("n_docs").alias("total"), F.max("top").alias("largest"))
     edges = found.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(*sums).where(F.col("total") >= min_docs)
-    late = found.where(F.col("kind").isin(FEW, FIRST)).join(F.broadcast(edges), ["h1", "h2"]).where(f"kind = {FEW} or doc_id < largest")
+    late = found.where(F.col("kind").isin(FEW, FIRST)).join(F.broadcast(edges), ["h1", "h2"]).where(
+        f"kind = {FEW} or doc_id < largest"
+    )
     columns = ["doc_id", "fp", "n_lines", "pos"]
     gone = found.where(F.col("kind") == DROP).select(columns).union(late.select(columns))
     placed = gone.repartition(shuffle_partitions(spark), "doc_id", "fp").sortWithinPartitions("doc_id", "fp")
@@ -262,7 +272,10 @@ def line_digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
             for text, n, gone, bitmap in zip(*(batch.column(c) for c in ("text", *new)), strict=True):
                 lines, left = kept_text(text.as_py(), n.as_py(), bitmap.as_py())
                 rows.append((lines, gone.as_py() or 0, hashlib.sha256((left or "").encode()).hexdigest()))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+            cols = [
+                pa.array(c, t) for c,
+                t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)
+            ]
             if rows:
                 names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_bitmap"]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, batch.column(new[2])], names)
@@ -287,5 +300,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
             left = pa.array([kept_text(t.as_py(), n.as_py(), b.as_py())[1] for t, n, b in told], pa.string())
             yield pa.RecordBatch.from_arrays([left if c == "text" else batch.column(c) for c in names], names)
 
-    schema = StructType([StructField(f.name, StringType(), True) if f.name == "text" else f for f in docs.schema.fields])
+    schema = StructType(
+        [StructField(f.name, StringType(), True) if f.name == "text" else f for f in docs.schema.fields]
+    )
     return both.mapInArrow(run, schema)

@@ -64,10 +64,18 @@ def sketches():
         values, at = tk.shingles(word, bounds, of.k)
         size = np.diff(at)
         pad = np.append(values, np.uint64(0))
-        total = lambda x: np.where(size > 0, np.add.reduceat(x, np.minimum(at[:-1], len(values))), np.uint64(0))
+        total = lambda x: np.where(
+            size > 0, np.add.reduceat(x, np.minimum(at[:-1], len(values))), np.uint64(0)
+        )
         registers = sketch(values, at)
         signature = (tk.long_array(total(tk.mix(pad * np.uint64(m) + np.uint64(m // 2)))) for m in (1, 3))
-        cols = [batch.column("doc_id"), batch.column("fp"), pa.array(size.astype(np.int64)), *signature, pa.array([r.tobytes() for r in registers], pa.binary())]
+        cols = [
+            batch.column("doc_id"),
+            batch.column("fp"),
+            pa.array(size.astype(np.int64)),
+            *signature,
+            pa.array([r.tobytes() for r in registers], pa.binary()),
+        ]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_shingles", "s1", "s2", "registers"])
 
     return of
@@ -78,7 +86,9 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = np.frombuffer(b"".join(x.as_py() for x in batch.column("registers")), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        regs = np.frombuffer(
+            b"".join(x.as_py() for x in batch.column("registers")), np.uint16
+        ).reshape(-1, BANDS, ROWS).astype(np.uint64)
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], regs.shape[:2]).copy()
         for j in range(ROWS):
             key = tk.mix(key * np.uint64(0x9FB21C651E98DF25) + regs[:, :, j])
@@ -86,7 +96,9 @@ def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([tk.long_array(key.reshape(-1)), pa.array(rep)], ["key", "rep"])
 
 
-def joint_likelihood(more: np.ndarray, less: np.ndarray, same: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+def joint_likelihood(
+    more: np.ndarray, less: np.ndarray, same: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float
+) -> np.ndarray:
     """Best log-likelihood of any similarity minus that of the best one of at least `threshold`, for register counts
     (greater, smaller, equal) of sets of known sizes. Infinite where the sizes alone rule the threshold out."""
     u, v = na / (na + nb), nb / (na + nb)
@@ -97,7 +109,11 @@ def joint_likelihood(more: np.ndarray, less: np.ndarray, same: np.ndarray, na: n
     def best(low: np.ndarray) -> np.ndarray:
         s = low[:, None] + (most - low)[:, None] * at
         up, down = p(u[:, None] - v[:, None] * s), p(v[:, None] - u[:, None] * s)
-        return (more[:, None] * np.log(up) + less[:, None] * np.log(down) + same[:, None] * np.log(np.maximum(1 - up - down, 1e-12))).max(axis=1)
+        return (
+            more[:, None] * np.log(up) + less[:, None] * np.log(down) + same[:, None] * np.log(
+                np.maximum(1 - up - down, 1e-12)
+            )
+        ).max(axis=1)
 
     return np.where(most >= threshold, best(np.zeros_like(most)) - best(np.minimum(threshold, most)), np.inf)
 
@@ -109,11 +125,17 @@ def likely(threshold: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                ra, rb = (np.frombuffer(b"".join(x.as_py() for x in part.column(c)), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                ra, rb = (
+                    np.frombuffer(
+                        b"".join(x.as_py() for x in part.column(c)), np.uint16
+                    ).reshape(-1, REGISTERS) for c in ("ra", "rb")
+                )
                 na, nb = (part.column(c).to_numpy().astype(float) for c in ("na", "nb"))
                 gap = joint_likelihood(*counts_of(ra, rb), na, nb, threshold)
                 keep = gap <= SURE
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"]
+                )
 
     return run
 
@@ -125,7 +147,13 @@ def shingle_sets(k: int):
         data, off = tk.buffer(batch.column("text"))
         _, _, word, bounds = tk.words(data, off, lower=True)
         values, at = tk.shingles(word, bounds, k)
-        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["rep", "shingles"])
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("rep"),
+                pa.array([values[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+            ],
+            ["rep", "shingles"],
+        )
 
     return in_slices(of)
 
@@ -142,7 +170,9 @@ def verify(percent: int):
                 both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"]
+            )
 
     return run
 
@@ -181,7 +211,12 @@ def compare_blocks(percent: int):
                 if not len(maybe):
                     continue
                 own = np.frombuffer(batch.column("registers")[v].as_py(), np.uint16)[None, :]
-                gap = joint_likelihood(*counts_of(mine[maybe], own), ns[maybe].astype(float), np.full(len(maybe), float(n[v])), percent / 100)
+                gap = joint_likelihood(
+                    *counts_of(mine[maybe], own),
+                    ns[maybe].astype(float),
+                    np.full(len(maybe), float(n[v])),
+                    percent / 100,
+                )
                 maybe = maybe[gap <= SURE]
                 if not len(maybe):
                     continue
@@ -229,44 +264,75 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of = sketches()
     of.k = k
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    base = spill(named.mapInArrow(in_slices(of), "doc_id long, fp long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
+    base = spill(
+        named.mapInArrow(in_slices(of), "doc_id long, fp long, n_shingles long, s1 long, s2 long, registers binary"),
+        "sketches",
+    )
     signature = ["s1", "s2", "n_shingles"]
     some = base.where("doc_id is not null and n_shingles > 0")
     classes = spill(some.groupBy(signature).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     first = some.join(classes.select(*signature, F.col("rep").alias("doc_id")), [*signature, "doc_id"])
     first = first.groupBy(F.col("doc_id").alias("rep")).agg(F.min(F.struct(*signature, "fp", "registers")).alias("m"))
-    reps = spill(first.select("rep", F.col("m.n_shingles").alias("n"), F.col("m.fp").alias("fp"), F.col("m.registers").alias("registers")), "reps")
+    reps = spill(
+        first.select(
+            "rep", F.col("m.n_shingles").alias("n"), F.col("m.fp").alias("fp"), F.col("m.registers").alias("registers")
+        ),
+        "reps",
+    )
     rows = reps.select("rep", "registers").mapInArrow(band_rows, "key long, rep long")
     shared = rows.groupBy("key").agg(F.count("*").alias("n__")).where("n__ > 1").withColumn("size", F.col("n__"))
     rows = spill(spread_join(rows, shared, "key", BANDS * reps.count()), "bands")
     degree = rows.groupBy("rep").agg(F.sum("size").alias("degree"))
     best = F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h")
-    hubs = rows.join(degree, "rep").groupBy("key").agg(best, F.count("*").alias("n__")).select("key", "n__", (-F.col("h.r")).alias("hub"))
-    stars = spill(spread_join(rows.select("key", "rep"), hubs, "key", rows.count()).where("rep != hub").select("hub", "rep").distinct(), "stars")
+    hubs = rows.join(degree, "rep").groupBy("key").agg(best, F.count("*").alias("n__")).select(
+        "key", "n__", (-F.col("h.r")).alias("hub")
+    )
+    stars = spill(
+        spread_join(
+            rows.select("key", "rep"), hubs, "key", rows.count()
+        ).where("rep != hub").select("hub", "rep").distinct(),
+        "stars",
+    )
     used = reps.join(rows.select("rep").distinct(), "rep", "left_semi")
-    texts = named.where("text is not null").withColumnRenamed("doc_id", "rep").join(used.select("rep", "fp"), ["rep", "fp"], "left_semi")
+    texts = named.where("text is not null").withColumnRenamed("doc_id", "rep").join(
+        used.select("rep", "fp"), ["rep", "fp"], "left_semi"
+    )
     sets = texts.select("rep", "text").mapInArrow(shingle_sets(k), "rep long, shingles binary").dropDuplicates(["rep"])
     own = spill(sets.join(used.drop("fp"), "rep"), "sets")
 
     left = own.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     right = own.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
     fair = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    likely_pairs = stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")).join(left, "a").join(right, "b").where(fair).mapInArrow(likely(percent / 100), "a long, b long")
-    sized = likely_pairs.join(own.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(own.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    likely_pairs = stars.select(
+        F.col("hub").alias("a"), F.col("rep").alias("b")
+    ).join(left, "a").join(right, "b").where(fair).mapInArrow(likely(percent / 100), "a long, b long")
+    sized = likely_pairs.join(
+        own.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b"
+    ).join(own.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     links = spill(sized.mapInArrow(verify(percent), "a long, b long"), "links")
     label = spill(components(links), "labels")
 
     def labelled(df: DataFrame, name: str, to: str) -> DataFrame:
-        return df.join(label.select(F.col("id").alias(name), F.col("component").alias(f"{to}__")), name, "left").withColumn(to, F.coalesce(f"{to}__", name)).drop(f"{to}__")
+        return df.join(
+            label.select(F.col("id").alias(name), F.col("component").alias(f"{to}__")), name, "left"
+        ).withColumn(to, F.coalesce(f"{to}__", name)).drop(f"{to}__")
 
-    members = spill(labelled(stars.union(stars.select("hub", F.col("hub").alias("rep")).distinct()), "rep", "c"), "members")
+    members = spill(
+        labelled(stars.union(stars.select("hub", F.col("hub").alias("rep")).distinct()), "rep", "c"), "members"
+    )
     # one hub may have a third of all classes: members of such hubs aren't dealt by hub, but told its facts
     n = members.count()
     sizes = members.groupBy("hub").agg(F.count("*").alias("n__"))
-    apart = spread_join(members, labelled(sizes, "hub", "hc"), "hub", n).select("hub", "rep", "c", (F.col("c") != F.col("hc")).alias("apart"))
+    apart = spread_join(members, labelled(sizes, "hub", "hc"), "hub", n).select(
+        "hub", "rep", "c", (F.col("c") != F.col("hc")).alias("apart")
+    )
     apart = spill(apart, "apart")
-    sums = apart.groupBy("hub").agg(F.count("*").alias("n__"), F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside"))
-    sums = sums.where("outside > 0").select("hub", "n__", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob"))
+    sums = apart.groupBy("hub").agg(
+        F.count("*").alias("n__"), F.count_if(~F.col("apart")).alias("inside"), F.count_if("apart").alias("outside")
+    )
+    sums = sums.where("outside > 0").select(
+        "hub", "n__", F.ceil(F.col("inside") / BLOCK).alias("ib"), F.ceil(F.col("outside") / BLOCK).alias("ob")
+    )
     clusters = spill(spread_join(apart, sums, "hub", n), "clusters")
     discard(members, apart)
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
@@ -280,9 +346,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     visited = F.filter(blocks, lambda b: (b < F.col("ib")) | (b >= F.col("home")))
     row = ("hub", "rep", "c")
     dealt = homes.select(*row, F.lit(0).alias("kind"), F.col("home").alias("block"), F.explode(meets).alias("visitors"))
-    visits = homes.where("apart").select(*row, F.lit(1).alias("kind"), F.explode(visited).alias("block"), F.col("home").alias("visitors"))
-    placed = dealt.union(visits).select(F.xxhash64("hub", "block", "visitors").alias("place"), "kind", "rep", "c").join(own, "rep")
-    met = placed.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(compare_blocks(percent), "a long, b long")
+    visits = homes.where("apart").select(
+        *row, F.lit(1).alias("kind"), F.explode(visited).alias("block"), F.col("home").alias("visitors")
+    )
+    placed = dealt.union(visits).select(
+        F.xxhash64("hub", "block", "visitors").alias("place"), "kind", "rep", "c"
+    ).join(own, "rep")
+    met = placed.repartition(shuffle_partitions(spark), "place").sortWithinPartitions("place", "kind").mapInArrow(
+        compare_blocks(percent), "a long, b long"
+    )
     met = spill(met, "met")
     early, label = label, spill(components(links.union(met)), "labels")
     discard(early, rows, stars, own, links, met, clusters, reps)
@@ -291,7 +363,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     told = final.join(lone, "rep", "left_anti").select(*signature, "component")
     out = base.select("doc_id", *signature).join(told, signature, "left")
     best = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", best.alias("component_id"), F.coalesce(F.col("doc_id") == best, F.lit(True)).alias("kept"))
+    out = out.select(
+        "doc_id",
+        "n_shingles",
+        best.alias("component_id"),
+        F.coalesce(F.col("doc_id") == best, F.lit(True)).alias("kept"),
+    )
     out = spill(out, "groups")
     discard(base, classes, label)
     return out

@@ -66,4 +66,12 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top <
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": NEAR_DEDUP, "op4_suffix_dedup": SUFFIX_DEDUP, "op6_vector_dedup": VECTOR_DEDUP, "op7_decontamination": DECONTAMINATION, "op8_line_dedup": LINE_DEDUP, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_warc": WARC}
+    return {
+        "op2_near_dedup": NEAR_DEDUP,
+        "op4_suffix_dedup": SUFFIX_DEDUP,
+        "op6_vector_dedup": VECTOR_DEDUP,
+        "op7_decontamination": DECONTAMINATION,
+        "op8_line_dedup": LINE_DEDUP,
+        "op9_substring_dedup": SUBSTRING_DEDUP,
+        "op10_warc": WARC,
+    }

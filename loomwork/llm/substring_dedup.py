@@ -41,7 +41,9 @@ def refined(label: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.unique(label << 32 | word, return_inverse=True)[1]
 
 
-def extensions(word: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, many: np.ndarray, L: int) -> np.ndarray:
+def extensions(
+    word: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, many: np.ndarray, L: int
+) -> np.ndarray:
     """Which windows of each stretch occur twice: (stretch, window) of the given stretches around seeds, whose words are
     given by number.
 
@@ -74,7 +76,9 @@ def numbered_words(text: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A number for each word of the stretches, equal for equal words: exact, by a dictionary of their bytes."""
     starts, ends = tk.spans(~tk.SPACE[text], off)
     edges = np.append(starts, ends[-1] + 1) if len(starts) else np.zeros(1, np.int64)
-    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(text)])
+    column = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(text)]
+    )
     return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -130,7 +134,9 @@ def cut_repeats(L: int):
                 rows.append((hi - lo, hi - lo - len(keep), hashlib.sha256(left).hexdigest(), *spans))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([s.ids, *cols], ["doc_id", "n_words", "n_removed", "kept_sha256", "from_word", "to_word"])
+            yield pa.RecordBatch.from_arrays(
+                [s.ids, *cols], ["doc_id", "n_words", "n_removed", "kept_sha256", "from_word", "to_word"]
+            )
 
     return by_key("bucket", handle)
 

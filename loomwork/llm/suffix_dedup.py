@@ -92,7 +92,9 @@ def judge(L: int, all_: bool):
         # equal stretches are one leaf of the tree; where several documents or places hold it, it is a repeat as a whole
         size = m.size[m.model]
         whole = np.flatnonzero(many > 1) if all_ else np.flatnonzero(high > low)
-        out = [(whole, low[whole], np.zeros(len(whole), np.int64), size[whole] - L, m.name[m.model[whole]], many[whole])]
+        out = [
+            (whole, low[whole], np.zeros(len(whole), np.int64), size[whole] - L, m.name[m.model[whole]], many[whole])
+        ]
         kin = np.sort(m.kin())
         if len(kin):
             out.append(repeats_of(m.text, m.start[m.model[kin]], size[kin], low[kin], many[kin], kin, L))
@@ -102,7 +104,9 @@ def judge(L: int, all_: bool):
     return by_key("part", handle)
 
 
-def repeats_of(text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.ndarray, many: np.ndarray, node: np.ndarray, L: int):
+def repeats_of(
+    text: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.ndarray, many: np.ndarray, node: np.ndarray, L: int
+):
     """Maximal repeats of the given stretches, from the interval tree, for each stretch that holds one: (node, smallest
     doc_id, first and last window, a name of the repeat, its places)."""
     # suffixes whose window follows an equal window of all that share it are implied by the longer ones: leave them out
@@ -156,10 +160,21 @@ def cut_bytes(L: int):
                 edges = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
                 begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
                 left = data[lo:hi][~mask] if len(begin) else data[lo:hi]
-                rows.append((hi - lo, int(mask.sum()), len(begin), hashlib.sha256(left.tobytes()).hexdigest(), begin.tolist(), end.tolist()))
+                rows.append(
+                    (
+                        hi - lo,
+                        int(mask.sum()),
+                        len(begin),
+                        hashlib.sha256(left.tobytes()).hexdigest(),
+                        begin.tolist(),
+                        end.tolist(),
+                    ),
+                )
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([s.ids, *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "from_byte", "to_byte"])
+            yield pa.RecordBatch.from_arrays(
+                [s.ids, *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "from_byte", "to_byte"]
+            )
 
     return by_key("bucket", handle)
 
@@ -170,7 +185,9 @@ CUTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 def found_repeats(docs: DataFrame, length: int, all_: bool) -> tuple[DataFrame, Sizes, DataFrame]:
     """The bucketed texts, and the maximal repeats of stretches as packed answers to the buckets, as a written table."""
     rows, sizes = bucketed(docs)
-    stretches, seeds = shared_stretches(rows, sizes, byte_units, SEED_BYTES, length, between if not all_ else repeated, content)
+    stretches, seeds = shared_stretches(
+        rows, sizes, byte_units, SEED_BYTES, length, between if not all_ else repeated, content
+    )
     found = spill(stretches.mapInArrow(judge(length, all_), REPLY), "runs")
     discard(seeds)
     return rows, sizes, found
@@ -216,13 +233,21 @@ def segments(L: int):
             at, row = at[best], row[best]
             offset = at - begin[row]
             new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (anchor[row[1:]] != anchor[row[:-1]]) | (run["group"][row[1:]] != run["group"][row[:-1]]) | (offset[1:] != offset[:-1] + 1)
+            new[1:] = (at[1:] != at[:-1] + 1) | (anchor[row[1:]] != anchor[row[:-1]]) | (
+                run["group"][row[1:]] != run["group"][row[:-1]]
+            ) | (offset[1:] != offset[:-1] + 1)
             lo = np.flatnonzero(new)
             hi = np.append(lo[1:], len(at)) - 1
             own = row[lo]
             doc = s.doc[anchor[own]]
             id_ = tk.mix(tk.mix(run["group"][own] + offset[lo].astype(np.uint64)) + (hi - lo).astype(np.uint64))
-            cols = [s.id[doc], at[lo] - s.off[doc], at[hi] - s.off[doc], id_.view(np.int64), run["many"][own].astype(np.int64)]
+            cols = [
+                s.id[doc],
+                at[lo] - s.off[doc],
+                at[hi] - s.off[doc],
+                id_.view(np.int64),
+                run["many"][own].astype(np.int64),
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "first", "last", "id", "many"])
 
     return by_key("bucket", handle)
@@ -238,12 +263,19 @@ def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, track in zip(batch.column("doc_id").to_pylist(), batch.column("track").to_pylist(), strict=True):
             ids, lasts = [t["unit"] for t in track], [t["last"] for t in track]
             for i in range(len(track) - 1):
-                key = int(tk.mix(tk.mix(np.array(ids[i : i + 1]).view(np.uint64)) + np.array(ids[i + 1 : i + 2]).view(np.uint64)).view(np.int64)[0])
+                key = int(
+                    tk.mix(
+                        tk.mix(np.array(ids[i : i + 1]).view(np.uint64)) + np.array(ids[i + 1 : i + 2]).view(np.uint64)
+                    ).view(np.int64)[0],
+                )
                 rows.append((key, ids[i - 1] if i else None, ids[i:], doc, track[i]["first"], lasts[i:]))
         if rows:
             longs = pa.list_(pa.int64())
             kinds = (pa.int64(), pa.int64(), longs, pa.int64(), pa.int64(), longs)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "before", "ids", "doc_id", "first", "lasts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                ["key", "before", "ids", "doc_id", "first", "lasts"],
+            )
 
 
 REPEATS = "repeat_id long, n_places long, doc_id long, from_byte long, to_byte long"
@@ -261,14 +293,23 @@ def repeats_of_units(L: int):
             n = min(len(a), len(b))
             lcp[i] = next((j for j in range(n) if a[j] != b[j]), n)
         codes: dict[int, int] = {}
-        left = np.array([-2 - i if r["before"] is None else codes.setdefault(r["before"], len(codes)) for i, r in enumerate(rows)])
+        left = np.array(
+            [-2 - i if r["before"] is None else codes.setdefault(r["before"], len(codes)) for i, r in enumerate(rows)]
+        )
         out = []
         for length, lo, hi in intervals(lcp, left, 2):
             name = np.array(rows[lo]["ids"][:length], np.int64).view(np.uint64)
-            id_ = int(np.bitwise_xor.reduce(tk.mix(name + np.arange(length, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
+            id_ = int(
+                np.bitwise_xor.reduce(
+                    tk.mix(name + np.arange(length, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                ).view(np.int64),
+            )
             out += [(id_, hi - lo + 1, r["doc_id"], r["first"], r["lasts"][length - 1] + L) for r in rows[lo : hi + 1]]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["repeat_id", "n_places", "doc_id", "from_byte", "to_byte"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
+                ["repeat_id", "n_places", "doc_id", "from_byte", "to_byte"],
+            )
 
     return by_key("key", handle)
 
@@ -293,20 +334,44 @@ def maximal_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     parts = spill(with_replies(rows, found, sizes).mapInArrow(segments(length), SEGMENTS), "segments")
     discard(found)
     by_doc = Window.partitionBy("doc_id").orderBy("first")
-    near = parts.withColumn("next", F.when(F.lead("first").over(by_doc) == F.col("last") + 1, F.struct(F.lead("id").over(by_doc).alias("id"), F.lead("many").over(by_doc).alias("many"))))
-    links = near.where("next is not null and next.many = many").groupBy("id", F.col("next.id").alias("to")).agg(F.count("*").alias("n"), F.first("many").alias("many"))
+    near = parts.withColumn(
+        "next",
+        F.when(
+            F.lead("first").over(by_doc) == F.col("last") + 1,
+            F.struct(F.lead("id").over(by_doc).alias("id"), F.lead("many").over(by_doc).alias("many")),
+        ),
+    )
+    links = near.where("next is not null and next.many = many").groupBy("id", F.col("next.id").alias("to")).agg(
+        F.count("*").alias("n"), F.first("many").alias("many")
+    )
     firm = links.where("n = many").select(F.col("id").alias("l__"), F.col("to").alias("t__"))
-    linked = near.join(firm, (F.col("id") == F.col("l__")) & (F.col("next.id") == F.col("t__")), "left").withColumn("firm", F.col("l__").isNotNull())
+    linked = near.join(
+        firm, (F.col("id") == F.col("l__")) & (F.col("next.id") == F.col("t__")), "left"
+    ).withColumn("firm", F.col("l__").isNotNull())
     opens = linked.withColumn("opens", ~F.coalesce(F.lag("firm").over(by_doc), F.lit(False)))
     numbered = opens.withColumn("at", F.sum(F.col("opens").cast("long")).over(by_doc))
-    units = numbered.groupBy("doc_id", "at").agg(F.min_by("id", "first").alias("unit"), F.min("first").alias("first"), F.max("last").alias("last"))
+    units = numbered.groupBy("doc_id", "at").agg(
+        F.min_by("id", "first").alias("unit"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
     units = spill(units, "units")
     discard(parts)
-    beside = units.withColumn("before", F.when(F.lag("last").over(by_doc) + 1 == F.col("first"), F.lag("unit").over(by_doc))).withColumn("after", F.when(F.lead("first").over(by_doc) == F.col("last") + 1, F.lead("unit").over(by_doc)))
+    beside = units.withColumn(
+        "before", F.when(F.lag("last").over(by_doc) + 1 == F.col("first"), F.lag("unit").over(by_doc))
+    ).withColumn("after", F.when(F.lead("first").over(by_doc) == F.col("last") + 1, F.lead("unit").over(by_doc)))
     diverse = lambda c: (F.count(c) < F.count("*")) | (F.min(c) < F.max(c))
-    single = beside.groupBy("unit").agg(F.count("*").alias("n_places"), diverse("before").alias("l"), diverse("after").alias("r")).where("l and r and n_places > 1").select("unit", "n_places")
-    alone = units.join(single, "unit").select(F.col("unit").alias("repeat_id"), "n_places", "doc_id", F.col("first").alias("from_byte"), (F.col("last") + length).alias("to_byte"))
+    single = beside.groupBy("unit").agg(
+        F.count("*").alias("n_places"), diverse("before").alias("l"), diverse("after").alias("r")
+    ).where("l and r and n_places > 1").select("unit", "n_places")
+    alone = units.join(single, "unit").select(
+        F.col("unit").alias("repeat_id"),
+        "n_places",
+        "doc_id",
+        F.col("first").alias("from_byte"),
+        (F.col("last") + length).alias("to_byte"),
+    )
     track = F.sum(F.col("before").isNull().cast("long")).over(by_doc)
-    tracks = beside.withColumn("t", track).groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("first", "last", "unit"))).alias("track")).select("doc_id", "track")
+    tracks = beside.withColumn("t", track).groupBy("doc_id", "t").agg(
+        F.array_sort(F.collect_list(F.struct("first", "last", "unit"))).alias("track")
+    ).select("doc_id", "track")
     tails = tracks.where(F.size("track") > 1).mapInArrow(suffixes, SUFFIXES).repartition(sizes.tasks, "key").sortWithinPartitions("key")
     return alone.union(tails.mapInArrow(repeats_of_units(length), REPEATS))

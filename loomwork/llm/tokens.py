@@ -26,7 +26,9 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     kind = np.int64 if wide else np.int32
     if column.null_count:
-        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+        column = column.fill_null(
+            "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b""
+        )
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = column.buffers()
@@ -71,7 +73,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix(np.add.reduceat(codes, first) ^ (lens.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, off: np.ndarray, lower: bool, seed: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Whitespace-separated words of every text: starts, ends, hashes, number of words before each text (n + 1)."""
     starts, ends = spans(~SPACE[data], off)
     return starts, ends, hash_spans(LOWER[data] if lower else data, starts, ends, seed), np.searchsorted(starts, off)
@@ -90,7 +94,11 @@ def shingles(word: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     value = np.zeros(len(at), np.uint64)
     padded = np.concatenate([word, np.zeros(k, np.uint64)])
     for j in range(k):
-        value = mix(value * np.uint64(0x9FB21C651E98DF25) + np.where(j < have, padded[at + j] + np.uint64(2 * j + 1), np.uint64(0)))
+        value = mix(
+            value * np.uint64(0x9FB21C651E98DF25) + np.where(
+                j < have, padded[at + j] + np.uint64(2 * j + 1), np.uint64(0)
+            ),
+        )
     order = np.lexsort((value, doc))
     value, doc = value[order], doc[order]
     if len(value):
@@ -101,4 +109,6 @@ def shingles(word: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def long_array(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64, copy=False), pa.int64())
+    return pa.array(
+        values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64, copy=False), pa.int64()
+    )

@@ -91,8 +91,16 @@ def count_grams():
         one = toxic[docs[once]].astype(np.int64)
         own = np.flatnonzero(toxic[docs])
         none = np.zeros(len(own), np.int64)
-        cols = [np.concatenate(x) for x in zip(counted(keys[once], docs[once], np.zeros(len(once), np.uint64), one, 1 - one), counted(keys[own], docs[own], before[words[own]], none, none), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["part", "gram", "context", "bad", "good"])
+        cols = [
+            np.concatenate(x) for x in zip(
+                counted(keys[once], docs[once], np.zeros(len(once), np.uint64), one, 1 - one),
+                counted(keys[own], docs[own], before[words[own]], none, none),
+                strict=True,
+            )
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c.astype(np.int64)) for c in cols], ["part", "gram", "context", "bad", "good"]
+        )
 
     return in_slices(of)
 
@@ -121,7 +129,9 @@ class Features:
         whole = None
         for w, k in grams(low, starts, ends):
             whole = (w, k)
-            near = np.flatnonzero(self.maybe[(k & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(self.keys) else np.zeros(0, np.int64)
+            near = np.flatnonzero(
+                self.maybe[(k & np.uint64((1 << 20) - 1)).astype(np.int64)]
+            ) if len(self.keys) else np.zeros(0, np.int64)
             at = np.minimum(np.searchsorted(self.keys, k[near]), max(0, len(self.keys) - 1))
             hit = self.keys[at] == k[near] if len(near) else np.zeros(0, bool)
             np.maximum.at(weight, w[near[hit]], self.weights[at[hit]])
@@ -151,7 +161,22 @@ class Features:
         some = np.maximum(words, 1)
         total = np.bincount(doc, weight, minlength=n)[:n]
         near = np.bincount(doc[hits[close]], minlength=n)[:n]
-        out = [count / some, total / some, top, np.minimum(count, 50), near / some, np.bincount(doc[said], minlength=n)[:n] / some, of(upper) / np.maximum(of(letter), 1), of(mark) / size, of(data == 33) / size, of(inside) / some, of(digit) / size, np.log1p(words), of(letter) / size, of(data == 10) / size]
+        out = [
+            count / some,
+            total / some,
+            top,
+            np.minimum(count, 50),
+            near / some,
+            np.bincount(doc[said], minlength=n)[:n] / some,
+            of(upper) / np.maximum(of(letter), 1),
+            of(mark) / size,
+            of(data == 33) / size,
+            of(inside) / some,
+            of(digit) / size,
+            np.log1p(words),
+            of(letter) / size,
+            of(data == 10) / size,
+        ]
         return np.stack(out, 1).astype(np.float64) if n else np.zeros((0, FEATURES))
 
 
@@ -163,9 +188,15 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)))
-    there = spill(known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(
+        F.max(F.col("toxic").cast("int")).alias("toxic")
+    )
+    known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2))).withColumn(
+        "fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
+    )
+    there = spill(
+        known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi"), "labelled"
+    )
     chosen = smallest(there, [F.xxhash64("doc_id"), "doc_id"], most)
     out = spill(chosen_texts(docs, chosen, "doc_id"), "taught")
     discard(there)
@@ -193,11 +224,17 @@ def lexicon_of(counts: DataFrame, totals: tuple[int, int], size: int, least: int
     """
     good, bad = totals
     by_context = counts.groupBy("gram", "context").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    by_gram = by_context.groupBy("gram").agg(F.sum("bad").alias("texts"), F.sum("good").alias("good"), F.count_if(F.col("context") != 0).alias("contexts")).withColumn("bad", F.least("texts", "contexts"))
+    by_gram = by_context.groupBy("gram").agg(
+        F.sum("bad").alias("texts"), F.sum("good").alias("good"), F.count_if(F.col("context") != 0).alias("contexts")
+    ).withColumn("bad", F.least("texts", "contexts"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    top = by_gram.where(F.col("bad") >= max(least, -(-bad // 100))).select("gram", (odds - 1.5 * error).alias("weight")).where((odds > 2) & (odds >= 3 * error)).orderBy(F.desc("weight"), "gram").limit(size).collect()
-    return Features(np.array([r.gram for r in top], np.int64).view(np.uint64), np.array([r.weight for r in top], np.float64))
+    top = by_gram.where(F.col("bad") >= max(least, -(-bad // 100))).select(
+        "gram", (odds - 1.5 * error).alias("weight")
+    ).where((odds > 2) & (odds >= 3 * error)).orderBy(F.desc("weight"), "gram").limit(size).collect()
+    return Features(
+        np.array([r.gram for r in top], np.int64).view(np.uint64), np.array([r.weight for r in top], np.float64)
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 1024, least: int = 3) -> Scorer:
@@ -208,8 +245,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 10
     rests on the margins of rows by trees of the other folds. Held-out rows play no part in either."""
     chosen = sample(docs, labels, most)
     totals = {(r.part, r.toxic): r.n for r in chosen.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
-    grams_ = chosen.select("part", "text", "toxic").mapInArrow(count_grams(), "part long, gram long, context long, bad long, good long")
-    counts = spill(grams_.groupBy("part", "gram", "context").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "grams")
+    grams_ = chosen.select("part", "text", "toxic").mapInArrow(
+        count_grams(), "part long, gram long, context long, bad long, good long"
+    )
+    counts = spill(
+        grams_.groupBy("part", "gram", "context").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "grams"
+    )
     size = lambda *of: tuple(sum(totals.get((p, toxic), 0) for p in of) for toxic in (0, 1))
     halves = [lexicon_of(counts.where(F.col("part") == p), size(p), lexicon, least) for p in (0, 1)]
     features = lexicon_of(counts, size(0, 1), lexicon, least)
@@ -217,7 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12000, lexicon: int = 10
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = batch.column("part").to_numpy()
         x = np.where((part == 0)[:, None], halves[1](batch), halves[0](batch))
-        cols = [batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), pa.array(list(x), pa.list_(pa.float64()))]
+        cols = [
+            batch.column("doc_id"),
+            batch.column("toxic"),
+            batch.column("fold"),
+            pa.array(list(x), pa.list_(pa.float64())),
+        ]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "fold", "x"])
 
     got = sorted(chosen.mapInArrow(in_slices(rows), "doc_id long, toxic int, fold long, x array<double>").collect())
@@ -260,7 +306,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     Without labels every score is small.
     """
     scored = score(docs.select(F.col("doc_id").cast("long"), "text"), fit(docs, labels, **options))
-    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:

@@ -5,7 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 20, l2: float = 1.0) -> dict:
+def fit(
+    x: np.ndarray,
+    y: np.ndarray,
+    rounds: int = 60,
+    depth: int = 3,
+    rate: float = 0.15,
+    bins: int = 32,
+    least: int = 20,
+    l2: float = 1.0,
+) -> dict:
     """Boosted trees on the logistic loss. Each tree is an array of (feature, threshold, left, right, value)."""
     n, d = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
@@ -29,7 +38,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
                     continue
                 k, b = len(edges[j]) + 1, binned[rows, j]
                 gl, hl, cl = (np.cumsum(np.bincount(b, w, k))[:-1] for w in (g[rows], h[rows], None))
-                gain = np.where((cl >= least) & (len(rows) - cl >= least), gl**2 / (hl + l2) + (G - gl) ** 2 / (H - hl + l2) - G**2 / (H + l2), 0)
+                gain = np.where(
+                    (cl >= least) & (len(rows) - cl >= least),
+                    gl**2 / (hl + l2) + (G - gl) ** 2 / (H - hl + l2) - G**2 / (H + l2),
+                    0,
+                )
                 if gain.max() > best[0]:
                     best = (gain.max(), j, int(gain.argmax()))
             if best[1] >= 0:
@@ -67,7 +80,9 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks: list[list[float]] = []  # sum, count, lowest and highest score
     for s, v in zip(score[order], y[order], strict=True):
         blocks.append([float(v), 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]):
+        while len(blocks) > 1 and (
+            blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1] or blocks[-2][3] == blocks[-1][2]
+        ):
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
     at = np.array([x for b in blocks for x in b[2:]])

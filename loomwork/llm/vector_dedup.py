@@ -45,7 +45,12 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = (tk.long_array(tk.hash_spans(flat, at, at + 8 * dim, j)) for j in (0, 1))
             y = x / scale[fine][:, None]
             y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
-            cols = [pa.array(ids), pa.array(np.full(len(x), dim, np.int32)), *hashes, pa.array([r.tobytes() for r in y], pa.binary())]
+            cols = [
+                pa.array(ids),
+                pa.array(np.full(len(x), dim, np.int32)),
+                *hashes,
+                pa.array([r.tobytes() for r in y], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "h1", "h2", "v"])
 
 
@@ -119,7 +124,9 @@ def neighbour_ranks(grid: Grid, ids: np.ndarray, queries: np.ndarray, threshold:
                     steps = np.ceil(np.log(grid.ranks(queries[at + q], cell)) / np.log(1.2)).astype(np.int64)
                     step, place = np.unique(steps, return_inverse=True)
                     n = np.bincount(place, weights=many).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), ids[at + q])), pa.array(step), pa.array(n)], ["query", "step", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(step), ids[at + q])), pa.array(step), pa.array(n)], ["query", "step", "n"]
+                    )
 
     return run
 
@@ -139,7 +146,17 @@ def least_step(found: dict[int, dict[int, int]], which: list[int], target: float
     return step
 
 
-def calibrated(reps: DataFrame, grid: Grid, ids: np.ndarray, x: np.ndarray, n: int, threshold: float, target: float, queries: int, enough: int) -> int | None:
+def calibrated(
+    reps: DataFrame,
+    grid: Grid,
+    ids: np.ndarray,
+    x: np.ndarray,
+    n: int,
+    threshold: float,
+    target: float,
+    queries: int,
+    enough: int,
+) -> int | None:
     """Cells to visit, or None if the drawn classes (ids, x) have too few neighbours to tell.
 
     Queries are drawn, twice as many each time, until `enough` of them have neighbours and are no neighbours of each
@@ -151,7 +168,9 @@ def calibrated(reps: DataFrame, grid: Grid, ids: np.ndarray, x: np.ndarray, n: i
     at = 0
     while at < len(ids):
         to = max(queries, 2 * at)
-        part = reps.select("rep", "v").mapInArrow(neighbour_ranks(grid, ids[at:to], x[at:to], threshold), "query long, step long, n long")
+        part = reps.select("rep", "v").mapInArrow(
+            neighbour_ranks(grid, ids[at:to], x[at:to], threshold), "query long, step long, n long"
+        )
         for r in part.groupBy("query", "step").agg(F.sum("n").alias("n")).collect():
             found.setdefault(r["query"], {})[r.step] = r.n
         for i in range(at, min(to, len(ids))):
@@ -164,7 +183,9 @@ def calibrated(reps: DataFrame, grid: Grid, ids: np.ndarray, x: np.ndarray, n: i
         if len(ids) < n:
             return None
         target = 1.0
-    step = max((least_step(found, which, target) for which in (list(found), [int(ids[i]) for i in alone]) if which), default=0)
+    step = max(
+        (least_step(found, which, target) for which in (list(found), [int(ids[i]) for i in alone]) if which), default=0
+    )
     return min(2 * int(np.ceil(1.2**step)) + 1, grid.width * len(grid.books[0]))
 
 
@@ -201,7 +222,18 @@ def dealt(grid: Grid, n: int, blocks: Blocks):
                 kind = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(row), np.int32)])
                 place = np.concatenate([cell, to]) * BLOCK_KEYS + np.concatenate([own, part])
                 take = pa.array(order)
-                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(kind), batch.column("rep").take(take), batch.column("weight").take(take), batch.column("v").take(take), pa.array(cell[order]), pa.array(lists, pa.binary()).take(take)], ["place", "kind", "rep", "weight", "v", "cell", "visits"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(place),
+                        pa.array(kind),
+                        batch.column("rep").take(take),
+                        batch.column("weight").take(take),
+                        batch.column("v").take(take),
+                        pa.array(cell[order]),
+                        pa.array(lists, pa.binary()).take(take),
+                    ],
+                    ["place", "kind", "rep", "weight", "v", "cell", "visits"],
+                )
 
     return run
 
@@ -210,7 +242,10 @@ BLOCK_KEYS = 1 << 32
 
 
 def rows(a: np.ndarray, n: np.ndarray, b: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a.astype(np.int64), n.astype(np.int64), b.astype(np.int64), kind)], ["id", "n", "other", "edge"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (a.astype(np.int64), n.astype(np.int64), b.astype(np.int64), kind)],
+        ["id", "n", "other", "edge"],
+    )
 
 
 def connecting(group: np.ndarray, own: np.ndarray, ids: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
@@ -254,7 +289,9 @@ def all_pairs(reps: DataFrame, dim: int, threshold: float) -> DataFrame:
     out, held = None, []
 
     def block() -> DataFrame:
-        own, x = np.array([r.rep for r in held], np.int64), np.frombuffer(b"".join(bytes(r.v) for r in held), np.float64).reshape(-1, dim)
+        own, x = np.array([r.rep for r in held], np.int64), np.frombuffer(
+            b"".join(bytes(r.v) for r in held), np.float64
+        ).reshape(-1, dim)
         met = spill(reps.mapInArrow(against_all(dim, threshold, own, x), LINKS), "links")
         return met if out is None else out.union(met)
 
@@ -312,14 +349,25 @@ def cell_pairs(reps: DataFrame, grid: Grid, visits: int, threshold: float) -> Da
     def cell_rows(batches):
         for batch in batches:
             cell, many = np.unique(grid.cells(matrix(batch.column("v"), grid.dim)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(many.astype(np.int64))], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.astype(np.int64)), pa.array(many.astype(np.int64))], ["cell", "n"]
+            )
 
     size = max(256, BLOCK_BYTES // (8 * grid.dim))
     sizes = reps.select("v").mapInArrow(cell_rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     crowded = sizes.where(F.col("n") > size).collect()  # a bounded share of the rows: one for each `size` of them at most
-    blocks = Blocks(np.array([r.cell for r in crowded], np.int64), np.array([-(-r.n // size) for r in crowded], np.int64))
-    rows = reps.mapInArrow(dealt(grid, visits, blocks), "place long, kind int, rep long, weight long, v binary, cell long, visits binary")
-    return spill(rows.repartition(shuffle_partitions(reps.sparkSession), "place").sortWithinPartitions("place", "kind").mapInArrow(compare(grid.dim, threshold), LINKS), "links")
+    blocks = Blocks(
+        np.array([r.cell for r in crowded], np.int64), np.array([-(-r.n // size) for r in crowded], np.int64)
+    )
+    rows = reps.mapInArrow(
+        dealt(grid, visits, blocks), "place long, kind int, rep long, weight long, v binary, cell long, visits binary"
+    )
+    return spill(
+        rows.repartition(
+            shuffle_partitions(reps.sparkSession), "place"
+        ).sortWithinPartitions("place", "kind").mapInArrow(compare(grid.dim, threshold), LINKS),
+        "links",
+    )
 
 
 SMALL = 4096  # up to so many classes of one dimension are compared in one task, all with all
@@ -337,17 +385,38 @@ def within(threshold: float):
     return by_key("dim", handle)
 
 
-def links_of(reps: DataFrame, dim: int, n: int, codes: int | None, sample: int, queries: int, enough: int, threshold: float, target: float) -> DataFrame:
+def links_of(
+    reps: DataFrame,
+    dim: int,
+    n: int,
+    codes: int | None,
+    sample: int,
+    queries: int,
+    enough: int,
+    threshold: float,
+    target: float,
+) -> DataFrame:
     """The links among the n classes of one dimension, by an index of their own."""
     codes = codes or int(np.clip(np.sqrt(n / 48), 2, MOST_CODES))
     chosen = smallest(reps, [F.xxhash64("rep"), "rep"], max(sample, 2 * codes)).collect()
     x = np.frombuffer(b"".join(bytes(r.v) for r in chosen), np.float64).reshape(-1, dim)
     grid = Grid(x, codes)
-    visits = calibrated(reps, grid, np.array([r.rep for r in chosen], np.int64), x, n, threshold, target, queries, enough)
+    visits = calibrated(
+        reps, grid, np.array([r.rep for r in chosen], np.int64), x, n, threshold, target, queries, enough
+    )
     return all_pairs(reps, dim, threshold) if visits is None else cell_pairs(reps, grid, visits, threshold)
 
 
-def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.999, codes: int | None = None, sample: int = 8192, queries: int = 512, enough: int = 256, small: int = SMALL) -> DataFrame:
+def groups(
+    vectors: DataFrame,
+    threshold: float = 0.9,
+    target_recall: float = 0.999,
+    codes: int | None = None,
+    sample: int = 8192,
+    queries: int = 512,
+    enough: int = 256,
+    small: int = SMALL,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row with a vec_id; a null vec_id keeps its row with no links.
 
     Vectors of any scale are compared by cosine in double precision, each dimension apart. Equal vectors are one class,
@@ -362,13 +431,20 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
     linked as each of them.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    usable = base.mapInArrow(unit_rows, "vec_id long, dim int, h1 long, h2 long, v binary").dropDuplicates(["vec_id", "dim", "h1", "h2"])
+    usable = base.mapInArrow(
+        unit_rows, "vec_id long, dim int, h1 long, h2 long, v binary"
+    ).dropDuplicates(["vec_id", "dim", "h1", "h2"])
     usable = spill(usable, "vectors")
     key = ["dim", "h1", "h2"]
     sizes = usable.groupBy(key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    reps = spill(usable.withColumnRenamed("vec_id", "rep").join(sizes, [*key, "rep"]).select("dim", "rep", "weight", "v"), "classes")
+    reps = spill(
+        usable.withColumnRenamed("vec_id", "rep").join(sizes, [*key, "rep"]).select("dim", "rep", "weight", "v"),
+        "classes",
+    )
     per_dim = reps.groupBy("dim").count()
-    many = {r.dim: r["count"] for r in per_dim.where(F.col("count") > small).collect()}  # one for each `small` rows at most
+    many = {  # one for each `small` rows at most
+        r.dim: r["count"] for r in per_dim.where(F.col("count") > small).collect()
+    }
     few = reps.where(~F.col("dim").isin(*many)) if many else reps
     few = few.repartition(shuffle_partitions(few.sparkSession), "dim").sortWithinPartitions("dim")
     met = small_links = spill(few.mapInArrow(within(threshold), LINKS), "links")
@@ -377,10 +453,20 @@ def groups(vectors: DataFrame, threshold: float = 0.9, target_recall: float = 0.
         met = met.union(links_of(own, dim, n, codes, sample, queries, enough, threshold, target_recall))
     degree = met.where("edge = 0").groupBy("id").agg(F.sum("n").alias("n"))
     label = components(met.where("edge = 1").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = usable.select("vec_id", *key).join(sizes, key).join(degree.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    linked = named.groupBy(F.col("vec_id").alias("id__")).agg(F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.min(F.coalesce("component", "rep")).alias("c"))
+    named = usable.select("vec_id", *key).join(sizes, key).join(
+        degree.withColumnRenamed("id", "rep"), "rep", "left"
+    ).join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = named.groupBy(F.col("vec_id").alias("id__")).agg(
+        F.max(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"),
+        F.min(F.coalesce("component", "rep")).alias("c"),
+    )
     out = base.select("vec_id").join(linked, F.col("vec_id") == F.col("id__"), "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"))
+    out = out.select(
+        "vec_id",
+        F.coalesce("n", F.lit(0)).alias("n_links"),
+        F.coalesce("c", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("c", "vec_id"), F.lit(True)).alias("kept"),
+    )
     out = spill(out, "groups")
     discard(usable, reps, small_links)
     return out

@@ -38,7 +38,9 @@ def chunk_rows(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for uid, rid, url, html in zip(*(batch.column(c) for c in ("uid", "record_id", "url", "html")), strict=True):
+            for uid, rid, url, html in zip(
+                *(batch.column(c) for c in ("uid", "record_id", "url", "html")), strict=True
+            ):
                 text, whole = html.as_py() or "", hashlib.sha1()
                 for piece in cut(text, most):
                     whole.update(piece.encode())
@@ -49,7 +51,19 @@ def chunk_rows(most: int):
                     total += len(data)
                     held += len(data)
                     done += len(piece)
-                    rows.append((uid.as_py(), rid.as_py(), url.as_py(), no, done == len(text), piece, sha.hexdigest(), total, whole.hexdigest()))
+                    rows.append(
+                        (
+                            uid.as_py(),
+                            rid.as_py(),
+                            url.as_py(),
+                            no,
+                            done == len(text),
+                            piece,
+                            sha.hexdigest(),
+                            total,
+                            whole.hexdigest(),
+                        ),
+                    )
                     if held > 1 << 22:
                         yield table(rows)
                         rows, held = [], 0
@@ -57,8 +71,21 @@ def chunk_rows(most: int):
                 yield table(rows)
 
     def table(rows):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["uid", "record_id", "url", "chunk_no", "last", "chunk", "digest", "total", "payload"])
+        kinds = [
+            pa.int64(),
+            pa.int64(),
+            pa.string(),
+            pa.int32(),
+            pa.bool_(),
+            pa.string(),
+            pa.string(),
+            pa.int64(),
+            pa.string(),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+            ["uid", "record_id", "url", "chunk_no", "last", "chunk", "digest", "total", "payload"],
+        )
 
     return run
 
@@ -66,7 +93,11 @@ def chunk_rows(most: int):
 def chunk_table(pages: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
     """pages as a written table of chunk rows. A null html is an empty payload (one empty chunk). Each row of pages has a
     uid of its own, given while the table is written, so that rows that repeat a page_id or have none stay apart."""
-    columns = (F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    columns = (
+        F.col("page_id").cast("long").alias("record_id"),
+        F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"),
+    )
     some = pages.select(F.monotonically_increasing_id().alias("uid"), *columns)
     return spill(some.mapInArrow(chunk_rows(chunk_chars), CHUNKS), "chunks")
 
@@ -81,7 +112,9 @@ def write_archives(pages: DataFrame, path: str, dedup_bytes: int = 1000, chunk_c
     """
     chunks = chunk_table(pages, chunk_chars)
     ends = chunks.where("last and record_id is not null").select("uid", "record_id", "payload", "total")
-    first = ends.where(F.col("total") >= dedup_bytes).groupBy("payload", "total").agg(F.max("record_id").alias("first"), F.min("record_id").alias("low")).where("low < first").drop("low")
+    first = ends.where(F.col("total") >= dedup_bytes).groupBy("payload", "total").agg(
+        F.max("record_id").alias("first"), F.min("record_id").alias("low")
+    ).where("low < first").drop("low")
     plan = ends.join(first, ["payload", "total"]).where(F.col("record_id") < F.col("first")).select("uid", "first")
     rows = chunks.join(plan, "uid", "left")
     revisit = F.col("first").isNotNull()
@@ -91,15 +124,35 @@ def write_archives(pages: DataFrame, path: str, dedup_bytes: int = 1000, chunk_c
     number = F.when(revisit, 0).otherwise(F.col("chunk_no"))
     block = F.when(stamp == "revisit", "").otherwise(F.col("chunk"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
-    name = lambda c, uid, no: F.concat_ws(":", F.lit("<urn:page"), F.coalesce(c.cast("string"), F.lit("none")), uid.cast("string"), F.concat(no.cast("string"), F.lit(">")))
+    name = lambda c, uid, no: F.concat_ws(
+        ":",
+        F.lit("<urn:page"),
+        F.coalesce(c.cast("string"), F.lit("none")),
+        uid.cast("string"),
+        F.concat(no.cast("string"), F.lit(">")),
+    )
     rid = lambda no: name(F.col("record_id"), F.col("uid"), no)
     several = ~F.col("last") | (F.col("chunk_no") > 0)
     head = F.concat(
-        F.lit("WARC/1.0\r\n"), field("WARC-Type", stamp), field("WARC-Record-ID", rid(number)), field("WARC-Date", F.lit("1970-01-01T00:00:00Z")), field("WARC-Target-URI", clean),
+        F.lit("WARC/1.0\r\n"), field("WARC-Type", stamp), field("WARC-Record-ID", rid(number)), field(
+            "WARC-Date", F.lit("1970-01-01T00:00:00Z")
+        ), field("WARC-Target-URI", clean),
         F.when(several & (stamp != "revisit"), field("WARC-Segment-Number", F.col("chunk_no") + 1)).otherwise(""),
         F.when(stamp == "continuation", field("WARC-Segment-Origin-ID", rid(F.lit(0)))).otherwise(""),
-        F.when(F.col("last"), F.concat(field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), field("WARC-Payload-Length", F.col("total")))).otherwise(""),
-        F.when(stamp == "revisit", F.concat(field("WARC-Refers-To", name(F.col("first"), F.lit(""), F.lit(0))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))).otherwise(""),
+        F.when(
+            F.col("last"),
+            F.concat(
+                field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+                field("WARC-Payload-Length", F.col("total")),
+            ),
+        ).otherwise(""),
+        F.when(
+            stamp == "revisit",
+            F.concat(
+                field("WARC-Refers-To", name(F.col("first"), F.lit(""), F.lit(0))),
+                F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"),
+            ),
+        ).otherwise(""),
         F.lit("Content-Type: text/html\r\n"), field("Content-Length", F.octet_length(block)),
     )
     record = F.concat(head, F.lit("\r\n"), block, F.lit("\r\n"))
@@ -112,14 +165,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", BREAK).text(path).where("length(value) > 0")
     text = F.when(F.col("value").startswith("WARC/1.0\r\n"), F.expr("substr(value, 11)")).otherwise(F.col("value"))
     get = lambda name: F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r]*)", 1)
-    parts = raw.select(text.alias("text")).select(F.expr("left(text, locate('\r\n\r\n', text) - 1)").alias("head"), F.expr("substr(text, locate('\r\n\r\n', text) + 4)").alias("rest"))
+    parts = raw.select(text.alias("text")).select(
+        F.expr("left(text, locate('\r\n\r\n', text) - 1)").alias("head"),
+        F.expr("substr(text, locate('\r\n\r\n', text) + 4)").alias("rest"),
+    )
     num = lambda c: F.expr(f"try_cast({c} as long)")
-    fields = parts.select(get("WARC-Type").alias("type"), get("WARC-Record-ID").alias("id"), get("WARC-Target-URI").alias("url"), get("WARC-Refers-To").alias("to"), get("WARC-Payload-Digest").alias("payload"), get("WARC-Payload-Length").alias("length"), get("Content-Length").alias("size"), "rest")
+    fields = parts.select(
+        get("WARC-Type").alias("type"),
+        get("WARC-Record-ID").alias("id"),
+        get("WARC-Target-URI").alias("url"),
+        get("WARC-Refers-To").alias("to"),
+        get("WARC-Payload-Digest").alias("payload"),
+        get("WARC-Payload-Length").alias("length"),
+        get("Content-Length").alias("size"),
+        "rest",
+    )
     block = F.col("rest").cast("binary").substr(F.lit(1), F.col("size").cast("int"))
-    part = lambda c, i: num(f"nullif(regexp_extract({c}, '<urn:page:([^:]*):([^:]*):([0-9]+)>', {i}), '')")
+    part = lambda c, i: num(
+        f"nullif(regexp_extract({c}, '<urn:page:([^:]*):([^:]*):([0-9]+)>', {i}), '')"
+    )
     own = (part("id", 1).alias("page_id"), part("id", 2).alias("uid"), part("id", 3).cast("int").alias("chunk_no"))
     stated = F.expr("nullif(regexp_replace(payload, '^sha1:', ''), '')")
-    return fields.select("type", *own, "url", part("to", 1).alias("refers_to"), stated.alias("stated"), num("nullif(length, '')").alias("stated_bytes"), block.alias("block"))
+    return fields.select(
+        "type",
+        *own,
+        "url",
+        part("to", 1).alias("refers_to"),
+        stated.alias("stated"),
+        num("nullif(length, '')").alias("stated_bytes"),
+        block.alias("block"),
+    )
 
 
 RECORDS = "file string, record_id string, type string, uri string, headers map<string,string>, chunk_no int, last boolean, chunk binary, digest string, total long"
@@ -138,19 +213,37 @@ def parsed(most: int):
             sha.update(buffer)
             total += len(buffer)
             held += len(buffer)
-            rows.append((now, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), list(head.items()) if not number else None, number, last, bytes(buffer), sha.hexdigest(), total))
+            rows.append(
+                (
+                    now,
+                    head.get("warc-record-id"),
+                    head.get("warc-type"),
+                    head.get("warc-target-uri"),
+                    list(head.items()) if not number else None,
+                    number,
+                    last,
+                    bytes(buffer),
+                    sha.hexdigest(),
+                    total,
+                ),
+            )
             number += 1
             buffer.clear()
 
         def table() -> pa.RecordBatch:
             text = pa.string()
             kinds = (text, text, text, text, pa.map_(text, text), pa.int32(), pa.bool_(), pa.binary(), text, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in RECORDS.replace("map<string,string>", "map").split(", ")])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                [c.split()[0] for c in RECORDS.replace("map<string,string>", "map").split(", ")],
+            )
 
         for batch in batches:
             for file, start, line in zip(*(batch.column(c) for c in ("file", "start", "line")), strict=True):
                 if start.as_py():
-                    raise ValueError(f"{file.as_py()} is split within: compress it, or raise spark.sql.files.maxPartitionBytes")
+                    raise ValueError(
+                        f"{file.as_py()} is split within: compress it, or raise spark.sql.files.maxPartitionBytes"
+                    )
                 if file.as_py() != now:
                     if left is not None or head is not None:
                         raise ValueError(f"{now} ends within a record")
@@ -199,7 +292,11 @@ def read_warc(spark: SparkSession, path: str, chunk_bytes: int = 1 << 20) -> Dat
     as is one that ends within a record.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("value").cast("binary").alias("line"),
+    )
     return lines.mapInArrow(parsed(chunk_bytes), RECORDS)
 
 
@@ -209,7 +306,10 @@ def digest_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def table():
         kinds = (pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+            ["page_id", "payload_bytes", "payload_digest"],
+        )
 
     for batch in batches:
         for uid, own, block in zip(batch.column("uid"), batch.column("page_id"), batch.column("block"), strict=True):
@@ -235,10 +335,22 @@ def page_records(records: DataFrame) -> DataFrame:
     size = F.when(again, F.col("stated_bytes")).otherwise(F.octet_length("block")).cast("long")
     digest = F.when(again, F.col("stated")).otherwise(F.sha1("block"))
     heads = records.where("chunk_no = 0 and (type = 'revisit' or stated is not null)")
-    whole = heads.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
-    parts = records.where("type = 'continuation' or (type = 'response' and stated is null)").select("uid", "page_id", "chunk_no", "block")
-    joined = parts.repartition(shuffle_partitions(records.sparkSession), "uid").sortWithinPartitions("uid", "chunk_no").mapInArrow(digest_runs, "page_id long, payload_bytes long, payload_digest string")
-    return whole.unionByName(joined.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")))
+    whole = heads.select(
+        "page_id",
+        size.alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+    parts = records.where(
+        "type = 'continuation' or (type = 'response' and stated is null)"
+    ).select("uid", "page_id", "chunk_no", "block")
+    joined = parts.repartition(
+        shuffle_partitions(records.sparkSession), "uid"
+    ).sortWithinPartitions("uid", "chunk_no").mapInArrow(digest_runs, "page_id long, payload_bytes long, payload_digest string")
+    return whole.unionByName(
+        joined.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    )
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:

@@ -38,7 +38,9 @@ def near(rows, k=4):
         w = (t or "").encode().lower().split()
         sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
     ids = list(sets)
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    links = [
+        (a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
     top = smallest(ids, links)
     return {i: (len(sets[i]), top[i], top[i] == i) for i in ids}
 
@@ -115,5 +117,10 @@ def pages(rows):
     for i, h in rows:
         data = (h or "").encode()
         again = len(data) >= 1000 and max(top[data]) != i
-        out[i] = (len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", max(top[data]) if again else None)
+        out[i] = (
+            len(data),
+            hashlib.sha1(data).hexdigest(),
+            "revisit" if again else "response",
+            max(top[data]) if again else None,
+        )
     return out

@@ -38,7 +38,17 @@ def test_language_accuracy(spark):
 
 def test_language_of_odd_texts(spark):
     schema = "doc_id long, text string, lang string, score string"
-    rows = [(1, None, "en", ""), (2, "", "en", ""), (3, "12 -- 34", None, ""), (4, "the words of it", "en", ""), (5, "les mots de ce", "fr", ""), (None, "the", None, ""), (8, "the words", "en", ""), (9, "les mots", "fr", ""), (10, "ж" * 100000, None, "")]
+    rows = [
+        (1, None, "en", ""),
+        (2, "", "en", ""),
+        (3, "12 -- 34", None, ""),
+        (4, "the words of it", "en", ""),
+        (5, "les mots de ce", "fr", ""),
+        (None, "the", None, ""),
+        (8, "the words", "en", ""),
+        (9, "les mots", "fr", ""),
+        (10, "ж" * 100000, None, ""),
+    ]
     got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, schema)).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[4] == "en" and got[5] == "fr" and got[10] in ("en", "fr")
     assert language.identify(spark.createDataFrame([], schema)).collect() == []
@@ -57,7 +67,9 @@ def test_toxicity_on_planted_words(spark):
             text.insert(rng.randrange(len(text)), rng.choice(["blarghed", "blarghing", "Zonkest", "you zonker"]))
         rows.append((i, " ".join(text), 0.5))
         labels.append((i, int(bad)))
-    docs = spark.createDataFrame([*rows, (5000, None, 0.0), (5001, "", 0.0), (None, "plain", 0.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame(
+        [*rows, (5000, None, 0.0), (5001, "", 0.0), (None, "plain", 0.0)], "doc_id long, text string, score double"
+    )
     marks = spark.createDataFrame([*labels, (5002, None), (None, 1), labels[0]], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score_documents(docs, marks).collect()}
     own = [i for i, _ in labels if held(i)]
@@ -83,7 +95,10 @@ def test_mixing_meets_the_targets(spark):
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
     t = rng.integers(1, 500, 200)
     target = np.array([0.6, 0.3, 0.1])
-    table = spark.createDataFrame([(int(i), int(n), *map(float, row)) for i, (n, row) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    table = spark.createDataFrame(
+        [(int(i), int(n), *map(float, row)) for i, (n, row) in enumerate(zip(t, p, strict=True))],
+        "doc_id long, n_tokens long, p0 double, p1 double, p2 double",
+    )
     rated, share = mixing.fit_rates(table, 3, target)
     got = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
     assert (got >= 0).all() and np.abs(share - target).max() < 1e-4
@@ -92,23 +107,43 @@ def test_mixing_meets_the_targets(spark):
 
 def test_mixing_of_odd_tables(spark):
     schema = "doc_id long, text string, lang string, rate string, mix_rate int"
-    rows = [(1, "aa bb cc dd", "x", "r", 1), (3, "aa bb cc ee", "x", "r", 1), (4, "zz yy ww vv uu tt", "y", "r", 1), (4, "zz yy ww vv uu tt", "y", "r", 1), (6, None, None, "r", 1), (None, "aa bb", None, "r", 1), (7, "", "x", "r", 1)]
+    rows = [
+        (1, "aa bb cc dd", "x", "r", 1),
+        (3, "aa bb cc ee", "x", "r", 1),
+        (4, "zz yy ww vv uu tt", "y", "r", 1),
+        (4, "zz yy ww vv uu tt", "y", "r", 1),
+        (6, None, None, "r", 1),
+        (None, "aa bb", None, "r", 1),
+        (7, "", "x", "r", 1),
+    ]
     docs = spark.createDataFrame(rows, schema)
     out = mixing.mix(docs).collect()
-    assert len(out) == len(rows) and all(r.mix_rate >= 0 for r in out) and {r.mix_rate for r in out if not r.text} == {1.0}
+    assert len(out) == len(rows) and all(r.mix_rate >= 0 for r in out) and {
+        r.mix_rate for r in out if not r.text
+    } == {1.0}
     assert sorted(mixing.mix(docs).columns) == sorted(docs.columns) and all(r.rate == "r" for r in out)
     assert mixing.mix(docs.limit(0)).collect() == []
-    assert {r.mix_rate for r in mixing.mix(docs.withColumn("lang", docs.lang.substr(9, 1).cast("string")).where("lang = 'never'")).collect()} == set()
+    assert {
+        r.mix_rate for r in mixing.mix(
+            docs.withColumn("lang", docs.lang.substr(9, 1).cast("string")).where("lang = 'never'")
+        ).collect()
+    } == set()
     assert len(mixing.mixed_documents(docs).collect()) == len(rows)
 
 
 def test_mixing_keeps_a_rare_domain(spark):
     rare = [i for i in range(50_000, 50_100) if not held(i)][:2]
-    rows = [(i, f"aa bb c{i % 7}" if i % 2 else f"zz yy x{i % 5}", "x" if i % 2 else "y") for i in range(20_000)] + [(i, "rr qq pp", "rare") for i in rare]
+    rows = [
+        (i, f"aa bb c{i % 7}" if i % 2 else f"zz yy x{i % 5}", "x" if i % 2 else "y") for i in range(20_000)
+    ] + [(i, "rr qq pp", "rare") for i in rare]
     only = next(i for i in range(60_000, 60_100) if held(i))  # the only row of its label is held out
-    docs = spark.createDataFrame([*rows, (only, "ss tt uu", "held")], "doc_id long, text string, lang string").repartition(4)
+    docs = spark.createDataFrame(
+        [*rows, (only, "ss tt uu", "held")], "doc_id long, text string, lang string"
+    ).repartition(4)
     got = mixing.rates(docs, {"x": 0.25, "y": 0.25, "rare": 0.5}).collect()
-    assert {r.domain for r in got if r.doc_id in rare} == {"rare"} and {r.domain for r in got if r.doc_id == only} == {"held"}
+    assert {
+        r.domain for r in got if r.doc_id in rare
+    } == {"rare"} and {r.domain for r in got if r.doc_id == only} == {"held"}
     assert min(r.rate for r in got if r.doc_id in rare) > 100 * max(r.rate for r in got if r.doc_id not in rare)
     for targets in ({"x": 0.5, "none": 0.5}, {"none": 1.0}, {"x": 0.0}, {}):
         with pytest.raises(ValueError):
@@ -134,14 +169,34 @@ def vectors(spark, rows):
 def test_vector_dedup(spark, small):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
-    x = np.concatenate([centres[rng.integers(0, 12, 400)] + rng.normal(scale=0.25, size=(400, 16)), rng.normal(size=(300, 16)), np.repeat(centres[:2], 40, 0)]).astype(np.float32)
+    x = np.concatenate(
+        [
+            centres[rng.integers(0, 12, 400)] + rng.normal(scale=0.25, size=(400, 16)),
+            rng.normal(size=(300, 16)),
+            np.repeat(centres[:2], 40, 0),
+        ],
+    ).astype(np.float32)
     ids = rng.permutation(5000)[: len(x)]
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = unit @ unit.T >= 0.9
     np.fill_diagonal(link, False)
-    top = brute.smallest([int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)])
-    odd = [(9001, None, 0), (9002, [0.0] * 16, 0), (9003, [float("nan")] * 16, 0), (9004, [1.0, 2.0], 0), (9005, [None] * 16, 0), (9006, [], 0), (None, [1.0] * 16, 0)]
-    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)] + odd), small=small).collect()}
+    top = brute.smallest(
+        [int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)]
+    )
+    odd = [
+        (9001, None, 0),
+        (9002, [0.0] * 16, 0),
+        (9003, [float("nan")] * 16, 0),
+        (9004, [1.0, 2.0], 0),
+        (9005, [None] * 16, 0),
+        (9006, [], 0),
+        (None, [1.0] * 16, 0),
+    ]
+    got = {
+        r.vec_id: r for r in vector_dedup.groups(
+            vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)] + odd), small=small
+        ).collect()
+    }
     assert len(got) == len(ids) + len(odd)
     assert {i: got[i].n_links for i in top} == {int(i): int(n) for i, n in zip(ids, link.sum(1), strict=True)}
     assert {i: got[i].component_id for i in top} == top and all(got[i].kept == (top[i] == i) for i in top)
@@ -157,24 +212,59 @@ def test_vector_dedup_finds_rare_links(spark, dense, pairs, enough):
     side = rng.normal(size=(pairs, 16))
     side -= (side * one).sum(1, keepdims=True) * one
     two = 0.91 * one + np.sqrt(1 - 0.91**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    x = np.concatenate([one, two, rng.normal(size=16) + rng.normal(scale=0.02, size=(dense, 16)), rng.normal(size=(1500, 16))]).astype(np.float32)
+    x = np.concatenate(
+        [one, two, rng.normal(size=16) + rng.normal(scale=0.02, size=(dense, 16)), rng.normal(size=(1500, 16))]
+    ).astype(np.float32)
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = unit @ unit.T >= 0.9
     np.fill_diagonal(link, False)
     ids = rng.permutation(len(x))
-    top = brute.smallest([int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)])
-    got = {r.vec_id: r for r in vector_dedup.groups(vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]), codes=24, sample=1024, enough=enough, small=0).collect()}
+    top = brute.smallest(
+        [int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(link), strict=True)]
+    )
+    got = {
+        r.vec_id: r for r in vector_dedup.groups(
+            vectors(spark, [(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)]),
+            codes=24,
+            sample=1024,
+            enough=enough,
+            small=0,
+        ).collect()
+    }
     wrong = [i for i, n in zip(ids, link.sum(1), strict=True) if got[i].n_links != n or got[i].component_id != top[i]]
     assert len(wrong) <= (0 if enough == 256 else 0.002 * len(x))
 
 
 def test_vector_dedup_of_several_dimensions(spark):
     """Each dimension is compared within itself, the rarest too; ids are ints, and other columns clash."""
-    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.1]), (5, [9.0, 0.0, 0.0]), (6, [1.0]), (7, [3.0]), (8, [-3.0]), (9, [1.0, 2.1]), (9, [1.0, 2.1])]
-    docs = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id int, embedding array<double>, rep string, dim int")
+    rows = [
+        (1, [1.0, 2.0]),
+        (2, [2.0, 4.0]),
+        (3, [1.0, 2.0, 0.0]),
+        (4, [1.0, 2.0, 0.1]),
+        (5, [9.0, 0.0, 0.0]),
+        (6, [1.0]),
+        (7, [3.0]),
+        (8, [-3.0]),
+        (9, [1.0, 2.1]),
+        (9, [1.0, 2.1]),
+    ]
+    docs = spark.createDataFrame(
+        [(i, v, "x", 1) for i, v in rows], "vec_id int, embedding array<double>, rep string, dim int"
+    )
     for small in (4096, 2, 0):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.groups(docs, small=small).collect()}
-        assert got == {1: (2, 1, True), 2: (2, 1, False), 9: (2, 1, False), 3: (1, 3, True), 4: (1, 3, False), 5: (0, 5, True), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True)}
+        assert got == {
+            1: (2, 1, True),
+            2: (2, 1, False),
+            9: (2, 1, False),
+            3: (1, 3, True),
+            4: (1, 3, False),
+            5: (0, 5, True),
+            6: (1, 6, True),
+            7: (1, 6, False),
+            8: (0, 8, True),
+        }
 
 
 def test_vector_dedup_of_empty_tables(spark):
@@ -200,9 +290,31 @@ def test_archives_round_trip(spark, most):
     rng = random.Random(2)
     body = lambda n: "".join(rng.choice("ab<>é\r\n ") for _ in range(n))
     big, trap = body(3000), "x" * 900 + warc.BREAK + "y" * 300 + warc.BREAK
-    rows = [(i, f"http://x/{i}\r\n?a", t) for i, t in enumerate([None, "", big, big, "small", "small", trap, trap, "WARC/1.0\r\n", "\r\nWARC/1.0", body(1500), big, "\r\n\r\n", "WARC/1.0"])] + [(99, None, big), (None, "u", "dropped")]
+    rows = [
+        (i, f"http://x/{i}\r\n?a", t) for i,
+        t in enumerate(
+            [
+                None,
+                "",
+                big,
+                big,
+                "small",
+                "small",
+                trap,
+                trap,
+                "WARC/1.0\r\n",
+                "\r\nWARC/1.0",
+                body(1500),
+                big,
+                "\r\n\r\n",
+                "WARC/1.0",
+            ],
+        )
+    ] + [(99, None, big), (None, "u", "dropped")]
     rows += [(7, "again", big + "!"), (7, "again", None), (None, "u", "dropped"), (None, None, big), (None, None, big)]
-    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, uid string, payload int")
+    frame = spark.createDataFrame(
+        [(*r, "clash", 1) for r in rows], "page_id long, url string, html string, uid string, payload int"
+    )
     out = warc.round_trip(spark, frame, chunk_chars=most).collect()
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=str)
     assert got == sorted(pages_by_hand([(i, h) for i, _, h in rows]), key=str)
@@ -211,23 +323,41 @@ def test_archives_round_trip(spark, most):
 def test_any_archive_is_read_by_content_length(spark, tmp_path):
     """Members of their own, blocks with bytes of any kind, marks of records and line ends within, and empty ones."""
     rng = random.Random(4)
-    blocks = [b"", b"\n", b"\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n", rng.randbytes(5000), b"no end of line", b"\n" * 700, "é".encode() * 600]
-    member = lambda i, b: gzip.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r:%d>\r\nWARC-Target-URI: http://x:80/%d\r\ncontent-length: %d\r\n\r\n" % (i, i, len(b)) + b + b"\r\n\r\n")
+    blocks = [
+        b"",
+        b"\n",
+        b"\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n",
+        rng.randbytes(5000),
+        b"no end of line",
+        b"\n" * 700,
+        "é".encode() * 600,
+    ]
+    member = lambda i, b: gzip.compress(
+        b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r:%d>\r\nWARC-Target-URI: http://x:80/%d\r\ncontent-length: %d\r\n\r\n" % (i, i, len(b)) + b + b"\r\n\r\n",
+    )
     (tmp_path / "a.warc.gz").write_bytes(b"".join(member(i, b) for i, b in enumerate(blocks)))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(member(100 + i, b) for i, b in enumerate(blocks[::-1])))
     got = {}
     for r in warc.read_warc(spark, str(tmp_path), 512).orderBy("record_id", "chunk_no").collect():
         block = got.get(r.record_id, b"") + bytes(r.chunk)
         got[r.record_id] = block
-        assert len(r.chunk) <= 512 and (r.total, r.digest) == (len(block), hashlib.sha1(block).hexdigest()) and r.type == "resource"
+        assert len(r.chunk) <= 512 and (r.total, r.digest) == (
+            len(block), hashlib.sha1(block).hexdigest()
+        ) and r.type == "resource"
         assert (r.headers is not None) == (r.chunk_no == 0) and r.uri == f"http://x:80/{r.record_id[3:-1]}"
-    assert got == {f"<r:{i}>": b for i, b in enumerate(blocks)} | {f"<r:{100 + i}>": b for i, b in enumerate(blocks[::-1])}
+    assert got == {f"<r:{i}>": b for i, b in enumerate(blocks)} | {
+        f"<r:{100 + i}>": b for i, b in enumerate(blocks[::-1])
+    }
     (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
     with pytest.raises(Exception, match="ends within a record"):
         warc.read_warc(spark, str(tmp_path)).collect()
-    pages = spark.createDataFrame([(1, "u", "x" * 3000), (2, "u", "x" * 3000), (3, "v", "ä\r\n\r\n")], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [(1, "u", "x" * 3000), (2, "u", "x" * 3000), (3, "v", "ä\r\n\r\n")], "page_id long, url string, html string"
+    )
     warc.write_archives(pages, str(tmp_path / "own"), chunk_chars=700)
-    own = warc.read_warc(spark, str(tmp_path / "own")).groupBy("type").agg(F.count_if("last").alias("n"), F.sum(F.octet_length("chunk")).alias("b")).collect()
+    own = warc.read_warc(spark, str(tmp_path / "own")).groupBy("type").agg(
+        F.count_if("last").alias("n"), F.sum(F.octet_length("chunk")).alias("b")
+    ).collect()
     assert {r.type: (r.n, r.b) for r in own} == {"response": (2, 700 + 6), "continuation": (4, 2300), "revisit": (1, 0)}
 
 
@@ -237,17 +367,32 @@ def test_archives_of_no_pages(spark):
 
 def gram_set(text):
     """Hashed 1- to 3-grams of a text, one by one."""
-    code = bytes(32 if b < 128 and not chr(b).isalpha() else ord(chr(b).lower()) if b < 128 else b for b in text.encode())
-    return {((int.from_bytes(code[i : i + n], "big") * 8 + n) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 49 for n in (1, 2, 3) for i in range(len(code) - n + 1)}
+    code = bytes(
+        32 if b < 128 and not chr(b).isalpha() else ord(chr(b).lower()) if b < 128 else b for b in text.encode()
+    )
+    return {
+        (
+            (int.from_bytes(code[i : i + n], "big") * 8 + n) * 0x9E3779B97F4A7C15 & (2**64 - 1)
+        ) >> 49 for n in (1, 2, 3) for i in range(len(code) - n + 1)
+    }
 
 
 def test_language_is_kernel_ridge_regression(spark):
     """With every taught row a landmark: ridge regression on the kernel of gram sets, row by row; repeats and ties too."""
     rng = random.Random(8)
-    words = {"en": "the of and to house water".split(), "fr": "les des et une maison eau".split(), "xx": "żó łą ść dom woda".split()}
-    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 12))), lang) for i, lang in ((i, rng.choice(sorted(words))) for i in range(140))]
+    words = {
+        "en": "the of and to house water".split(),
+        "fr": "les des et une maison eau".split(),
+        "xx": "żó łą ść dom woda".split(),
+    }
+    rows = [
+        (i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 12))), lang) for i,
+        lang in ((i, rng.choice(sorted(words))) for i in range(140))
+    ]
     rows += [rows[0], rows[1], (500, "", "en"), (501, "the maison woda", None), (502, "The HOUSE, the house!", None)]
-    docs = spark.createDataFrame([(i, t, lang, 1) for i, t, lang in rows], "doc_id int, text string, lang string, score int")
+    docs = spark.createDataFrame(
+        [(i, t, lang, 1) for i, t, lang in rows], "doc_id int, text string, lang string, score int"
+    )
     taught = sorted({r for r in rows if not held(r[0]) and r[2] is not None})
     sets = [gram_set(t) for _, t, _ in taught]
     kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
@@ -271,7 +416,9 @@ def test_samples_keep_their_bounds(spark):
     """A doc_id that is repeated many times is one taught row."""
     rows = [(i, "the words of it" if i % 2 else "les mots de ce", "en" if i % 2 else "fr") for i in range(40)]
     many = next(i for i in range(40) if not held(i))
-    docs = spark.createDataFrame([*rows, *[(many, f"copy {j}", "en") for j in range(3000)]], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(
+        [*rows, *[(many, f"copy {j}", "en") for j in range(3000)]], "doc_id long, text string, lang string"
+    )
     known = docs.where("doc_id is not null").select("doc_id", "lang").distinct()
     assert chosen_texts(docs, known, "doc_id", "lang").count() == known.count()
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
@@ -284,7 +431,10 @@ def features_by_hand(text, lexicon):
     low = np.frombuffer(data.lower(), np.uint8)
     weight = []
     for a, b in words:
-        own = [lexicon.get(int(k), 0.0) for _, keys in toxicity.grams(low[a:b], np.array([0]), np.array([b - a])) for k in keys]
+        own = [
+            lexicon.get(int(k), 0.0) for _,
+            keys in toxicity.grams(low[a:b], np.array([0]), np.array([b - a])) for k in keys
+        ]
         weight.append(max(own, default=0.0))
     said = [i for i, (a, b) in enumerate(words) if data[a:b].lower().decode() in toxicity.SECOND]
     hits = [i for i, w in enumerate(weight) if w > 0]
@@ -296,7 +446,22 @@ def features_by_hand(text, lexicon):
     is_letter = [b >= 128 or chr(b).isalpha() for b in data]
     inside = sum((marks[i] or digits[i]) and is_letter[i - 1] and is_letter[i + 1] for i in range(1, len(data) - 1))
     upper = sum(65 <= b <= 90 for b in data)
-    return [len(hits) / some, sum(weight) / some, max(weight, default=0.0), min(len(hits), 50), len(close) / some, len(said) / some, upper / max(letter, 1), sum(marks) / size, data.count(b"!") / size, inside / some, sum(digits) / size, np.log1p(n), letter / size, data.count(b"\n") / size]
+    return [
+        len(hits) / some,
+        sum(weight) / some,
+        max(weight, default=0.0),
+        min(len(hits), 50),
+        len(close) / some,
+        len(said) / some,
+        upper / max(letter, 1),
+        sum(marks) / size,
+        data.count(b"!") / size,
+        inside / some,
+        sum(digits) / size,
+        np.log1p(n),
+        letter / size,
+        data.count(b"\n") / size,
+    ]
 
 
 def test_toxicity_scores_by_hand(spark):
@@ -332,9 +497,17 @@ def test_mixing_rates_by_hand(spark):
     rows = []
     for i in range(150):
         lang = rng.choice("xxxyz")
-        rows.append((i, " ".join(rng.choice(words[lang] if rng.random() < 0.7 else both) for _ in range(rng.randrange(1, 40))), lang if i % 9 else None))
+        rows.append(
+            (
+                i,
+                " ".join(rng.choice(words[lang] if rng.random() < 0.7 else both) for _ in range(rng.randrange(1, 40))),
+                lang if i % 9 else None,
+            ),
+        )
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
-    bucket = lambda w: (xxhash.xxh64(w, seed=42).intdigest() - (2**64 if xxhash.xxh64(w, seed=42).intdigest() >= 2**63 else 0)) % mixing.BUCKETS
+    bucket = lambda w: (
+        xxhash.xxh64(w, seed=42).intdigest() - (2**64 if xxhash.xxh64(w, seed=42).intdigest() >= 2**63 else 0)
+    ) % mixing.BUCKETS
     held_in = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     counts = {d: np.zeros(mixing.BUCKETS) for d in "xyz"}
     for i, text, lang in rows:
@@ -384,7 +557,9 @@ def test_pipeline_stages(spark):
         got = {r.doc_id: brute.sha(r.text or "") for r in out.collect()}
         if name == "toxicity":
             said = toxicity.score_documents(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
-            assert got == {i: brute.sha(t or "") for (i, t) in rows if not next(r.predicted for r in said if r.doc_id == i)}
+            assert got == {
+                i: brute.sha(t or "") for (i, t) in rows if not next(r.predicted for r in said if r.doc_id == i)
+            }
         else:
             assert got == stage_by_hand(name, spark, rows, SMALL), name
         if name == "mixing":
@@ -411,7 +586,17 @@ def test_pipeline_stages_of_odd_tables(spark):
     """Nulls in every column, empty and blank texts, repeated rows, columns with clashing names, and no rows at all."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, gone__ string, fp__ long, found__ string, rate__ double, keep__ binary"
     text = "these few words say the same thing again and again in each of the copies "
-    rows = [(1, text * 3, "en", "a"), (2, text * 3, "en", None), (2, text * 3, "en", None), (3, None, None, None), (4, "", "fr", "b"), (5, " \n\t", None, "c"), (None, "no id but words", "en", "d"), (None, None, None, None), (7, "der Text", "de", "e")]
+    rows = [
+        (1, text * 3, "en", "a"),
+        (2, text * 3, "en", None),
+        (2, text * 3, "en", None),
+        (3, None, None, None),
+        (4, "", "fr", "b"),
+        (5, " \n\t", None, "c"),
+        (None, "no id but words", "en", "d"),
+        (None, None, None, None),
+        (7, "der Text", "de", "e"),
+    ]
     docs = spark.createDataFrame([(*r, None, 0.5, "x", 1, None, None, None) for r in rows], schema)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SMALL)

@@ -45,7 +45,9 @@ def frame(spark, rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup(spark, seed):
     rows = corpus(seed)
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(frame(spark, rows)).collect()}
+    got = {
+        r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(frame(spark, rows)).collect()
+    }
     assert got == brute.lines(rows)
     left = {r.doc_id: r.text for r in line_dedup.drop_lines(frame(spark, rows)).collect()}
     assert {i: brute.sha(t or "") for i, t in left.items()} == {i: x[2] for i, x in got.items()}
@@ -64,7 +66,11 @@ def test_near_dedup(spark, seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup(spark, seed):
     rows = corpus(seed)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats(frame(spark, rows)).collect()}
+    got = {
+        r.doc_id: (
+            r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256
+        ) for r in suffix_dedup.repeats(frame(spark, rows)).collect()
+    }
     assert got == brute.suffix(rows)
 
 
@@ -72,16 +78,24 @@ def test_suffix_dedup(spark, seed):
 def test_substring_dedup(spark, seed):
     rows = corpus(seed)
     rows += rows[:3]  # repeated rows are texts of their own
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect())
+    got = sorted(
+        (r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect()
+    )
     assert got == sorted(brute.substrings(rows))
 
 
 def test_decontamination(spark):
     rows = corpus(3)
     words = [t.split() for _, t in rows if t and len(t.split()) > 40]
-    items = [(i, " ".join(w[5 : 5 + n])) for i, (w, n) in enumerate(zip(words, [12, 25, 10, 9, 3, 1, 30, 11], strict=False))] + [(50, None), (51, "--"), (52, "never seen here")]
+    items = [
+        (i, " ".join(w[5 : 5 + n])) for i, (w, n) in enumerate(zip(words, [12, 25, 10, 9, 3, 1, 30, 11], strict=False))
+    ] + [(50, None), (51, "--"), (52, "never seen here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(frame(spark, rows), bench).collect()}
+    got = {
+        r.doc_id: (
+            r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated
+        ) for r in decontaminate.report(frame(spark, rows), bench).collect()
+    }
     want = brute.leaks(rows, items)
     assert got == want and any(x[4] for x in want.values())
     kept = {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()}
@@ -121,16 +135,31 @@ def test_runs_over_partition_edges(spark):
     """One line in every document, over more partitions than documents of any task."""
     line = "this line stands in all of the documents"
     rows = [(i, f"{line}\nown line number {i} of this one\n{line}") for i in range(300)]
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(frame(spark, rows)).collect()}
+    got = {
+        r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(frame(spark, rows)).collect()
+    }
     assert got == brute.lines(rows)
 
 
-@pytest.mark.parametrize(("min_docs", "batch", "partitions"), [(3, 2, 7), (1, 3, 5), (2, 5, 11), (6, 4, 9), (3, 1000, 40)])
+@pytest.mark.parametrize(
+    ("min_docs", "batch", "partitions"), [(3, 2, 7), (1, 3, 5), (2, 5, 11), (6, 4, 9), (3, 1000, 40)]
+)
 def test_runs_in_small_batches(spark, min_docs, batch, partitions):
     """Few keys, repeated within and between documents, in runs that begin and end anywhere in batches and partitions."""
     rng = random.Random(min_docs * 100 + batch)
-    rows = [(i, "\n".join(f"line {rng.choice('aaaabbc')}{rng.randrange(3) if rng.random() < 0.5 else rng.randrange(60)} of a text" for _ in range(rng.randrange(1, 9)))) for i in rng.sample(range(500), 120)]
-    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = [
+        (
+            i,
+            "\n".join(
+                f"line {rng.choice('aaaabbc')}{rng.randrange(3) if rng.random() < 0.5 else rng.randrange(60)} of a text" for _ in range(rng.randrange(1, 9))
+            ),
+        ) for i in rng.sample(range(500), 120)
+    ]
+    settings = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
@@ -160,13 +189,20 @@ def test_texts_over_a_slice(spark):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     long = [word() for _ in range(200_000)]
     shared = " ".join(long[149_000:151_000])
-    rows = [(3, " ".join(long)), (5, f"{word()} {shared} {word()}"), (8, " ".join(word() for _ in range(190_000)) + f" {shared}\n{shared}"), (9, word())]
+    rows = [
+        (3, " ".join(long)),
+        (5, f"{word()} {shared} {word()}"),
+        (8, " ".join(word() for _ in range(190_000)) + f" {shared}\n{shared}"),
+        (9, word()),
+    ]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats(docs).collect()}
     assert got == brute.suffix(rows)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(docs).collect())
     assert got == sorted(brute.substrings(rows))
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(docs, min_docs=2).collect()}
+    got = {
+        r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_digests(docs, min_docs=2).collect()
+    }
     assert got == brute.lines(rows, min_docs=2)
     assert {r.doc_id: r.component_id for r in near_dedup.groups(docs).collect()} == {i: i for i, _ in rows}
 
@@ -180,13 +216,28 @@ def test_a_crowded_key_with_many_surroundings(spark, monkeypatch):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
     fill = [" ".join(word() for _ in range(30)) for _ in range(12)]
-    rows = [(i, f"{rng.choice(fill)} the same twenty words stand in each of these texts and few of them have the same words around {rng.choice(fill)} {word()}") for i in range(90)]
+    rows = [
+        (
+            i,
+            f"{rng.choice(fill)} the same twenty words stand in each of these texts and few of them have the same words around {rng.choice(fill)} {word()}",
+        ) for i in range(90)
+    ]
     rows_of = anchors.bucketed
     for module in (suffix_dedup, substring_dedup):
-        monkeypatch.setattr(module, "bucketed", lambda docs: (rows_of(docs)[0].withColumn("bucket", F.pmod("doc_id", F.lit(30))), anchors.Sizes(40, 8)))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeats(frame(spark, rows)).collect()}
+        monkeypatch.setattr(
+            module,
+            "bucketed",
+            lambda docs: (rows_of(docs)[0].withColumn("bucket", F.pmod("doc_id", F.lit(30))), anchors.Sizes(40, 8)),
+        )
+    got = {
+        r.doc_id: (
+            r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256
+        ) for r in suffix_dedup.repeats(frame(spark, rows)).collect()
+    }
     assert got == brute.suffix(rows)
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect())
+    got = sorted(
+        (r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect()
+    )
     assert got == sorted(brute.substrings(rows))
 
 
@@ -212,7 +263,9 @@ def found_groups(df):
     for r in df.collect():
         groups.setdefault(r.repeat_id, []).append(r)
     assert all(len(g) == g[0].n_places for g in groups.values())
-    return sorted((g[0].n_places, tuple(sorted((r.doc_id, r.from_byte, r.to_byte) for r in g))) for g in groups.values())
+    return sorted(
+        (g[0].n_places, tuple(sorted((r.doc_id, r.from_byte, r.to_byte) for r in g))) for g in groups.values()
+    )
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -220,8 +273,14 @@ def test_maximal_repeats_are_all_and_only_those(spark, seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(20, 45)))
     pieces = [word() for _ in range(4)]
-    rows = [(i, "".join(rng.choice(pieces) if rng.random() < 0.75 else word() for _ in range(rng.randrange(1, 6)))) for i in rng.sample(range(90), 9)]
-    got = found_groups(suffix_dedup.maximal_repeats(frame(spark, [*rows, (95, ""), (96, None), (None, rows[0][1])]), 20))
+    rows = [
+        (
+            i, "".join(rng.choice(pieces) if rng.random() < 0.75 else word() for _ in range(rng.randrange(1, 6)))
+        ) for i in rng.sample(range(90), 9)
+    ]
+    got = found_groups(
+        suffix_dedup.maximal_repeats(frame(spark, [*rows, (95, ""), (96, None), (None, rows[0][1])]), 20)
+    )
     assert got == sorted(maximal_by_hand(rows, 20))
 
 
@@ -232,9 +291,18 @@ def test_maximal_repeats_of_several_kilobytes(spark):
     passage = prose(6000)
     inner = passage[2500:4500]
     own = [prose(700 + 10 * i) for i in range(6)]
-    rows = [(1, own[0] + "X" + passage + "Y" + own[1]), (2, passage + "Z"), (3, "W" + passage), (4, own[2] + "1" + inner + "2" + own[3]), (5, own[4] + "3" + inner + "45" + inner + "6" + own[5]), (6, own[3][:40])]
+    rows = [
+        (1, own[0] + "X" + passage + "Y" + own[1]),
+        (2, passage + "Z"),
+        (3, "W" + passage),
+        (4, own[2] + "1" + inner + "2" + own[3]),
+        (5, own[4] + "3" + inner + "45" + inner + "6" + own[5]),
+        (6, own[3][:40]),
+    ]
     found = found_groups(suffix_dedup.maximal_repeats(frame(spark, rows)))
-    places = lambda s: tuple(sorted((i, a, a + len(s)) for i, t in rows for a in range(len(t)) if t.startswith(s, a)))
+    places = lambda s: tuple(
+        sorted((i, a, a + len(s)) for i, t in rows for a in range(len(t)) if t.startswith(s, a))
+    )
     assert found == [(3, places(passage)), (6, places(inner))]
 
 
@@ -250,8 +318,12 @@ def test_anchors_of_texts_over_a_step(monkeypatch):
     whole = anchors.anchors(units, off, 8, 35)
     monkeypatch.setattr(anchors, "STEP", 1000)
     cut = anchors.anchors(units, off, 8, 35)
-    windows = lambda found: [(int(w), int(p), int(k)) for s, n, p, k in zip(*found, strict=True) for w in range(s, s + n)]
-    assert windows(cut) == windows(whole) and len(windows(whole)) == sum(max(0, b - a - 34) for a, b in zip(off[:-1], off[1:], strict=True))
+    windows = lambda found: [
+        (int(w), int(p), int(k)) for s, n, p, k in zip(*found, strict=True) for w in range(s, s + n)
+    ]
+    assert windows(cut) == windows(whole) and len(windows(whole)) == sum(
+        max(0, b - a - 34) for a, b in zip(off[:-1], off[1:], strict=True)
+    )
 
 
 def one_bucket(batches):
@@ -260,7 +332,9 @@ def one_bucket(batches):
 
     for batch in batches:
         if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([7] * batch.num_rows, pa.int64()), batch.column("rep")], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([7] * batch.num_rows, pa.int64()), batch.column("rep")], ["key", "rep"]
+            )
 
 
 def test_a_bucket_of_dissimilar_documents(spark, monkeypatch):
@@ -304,7 +378,9 @@ def test_visitors_pass_by():
     def batches(size):
         for at in range(0, len(rows), size):
             pulled.append(at)
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "kind", "x"), r, strict=True)) for r in rows[at : at + size]])
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(("key", "kind", "x"), r, strict=True)) for r in rows[at : at + size]]
+            )
 
     for size in (1, 2, 4, 20):
         seen.clear(), pulled.clear()
