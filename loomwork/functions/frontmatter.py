@@ -18,7 +18,15 @@ DESCRIPTION = r"(?dmsU)^description:\s*(.*?)(?=\n\w[\w -]*:|\n---|\z)"
 OWN = {"name": NAME, "description": DESCRIPTION}
 
 #: How values of a YAML type read as text; the others, flags and containers among them, read as JSON.
-PLAIN = {"null": lambda v: "", "str": str, "int": str, "float": str, "binary": str, "set": str, "timestamp": lambda v: v.isoformat()}
+PLAIN = {
+    "null": lambda v: "",
+    "str": str,
+    "int": str,
+    "float": str,
+    "binary": str,
+    "set": str,
+    "timestamp": lambda v: v.isoformat(),
+}
 
 
 def texts_of(blocks: pd.Series) -> pd.Series:
@@ -58,7 +66,9 @@ def parse(raw: Column) -> Column:
     """
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), "^\uFEFF+", "")
     closed, opened = text.rlike(FENCED), text.rlike(OPENED)
-    block = F.when(closed, F.regexp_extract(text, FENCED, 1)).when(opened, F.regexp_extract(text, OPENED, 1)).otherwise("")
+    block = F.when(
+        closed, F.regexp_extract(text, FENCED, 1)
+    ).when(opened, F.regexp_extract(text, OPENED, 1)).otherwise("")
     behind = F.when(closed, F.substr(text, F.char_length(F.regexp_extract(text, FENCED, 0)) + 1)).otherwise("")
     yaml_block = F.pandas_udf(texts_of, "map<string,string>")(F.when(block != "", block).otherwise(text))
 

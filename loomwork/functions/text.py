@@ -6,7 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the stop words of the word tokenizer
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with"]
+STOPWORDS = [
+    "a",
+    "an",
+    "and",
+    "are",
+    "as",
+    "at",
+    "be",
+    "by",
+    "for",
+    "from",
+    "in",
+    "is",
+    "it",
+    "of",
+    "on",
+    "or",
+    "that",
+    "the",
+    "this",
+    "to",
+    "was",
+    "were",
+    "will",
+    "with",
+]
 
 # fixed values: code point ranges of the scripts that mark a text as not written in the Latin script
 SCRIPTS = [
@@ -72,9 +97,13 @@ def normalize_field(c: Column) -> Column:
     t = trim(F.coalesce(c, F.lit("")))
     quoted = (F.char_length(t) >= 2) & t.startswith('"') & t.endswith('"')
     parsed = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")
-    inner = F.when(F.size(parsed) == 1, trim(F.get(parsed, 0))).otherwise(trim(F.substr(t, F.lit(2), F.char_length(t) - 2)))
+    inner = F.when(F.size(parsed) == 1, trim(F.get(parsed, 0))).otherwise(
+        trim(F.substr(t, F.lit(2), F.char_length(t) - 2))
+    )
     bare = F.when(quoted, F.coalesce(inner, trim(F.substr(t, F.lit(2), F.char_length(t) - 2)))).otherwise(t)
-    return F.when(bare.startswith("|"), F.regexp_replace(F.regexp_replace(F.substr(bare, F.lit(2)), r"^\n+", ""), r"^[ \t]+", "")).otherwise(bare)
+    return F.when(
+        bare.startswith("|"), F.regexp_replace(F.regexp_replace(F.substr(bare, F.lit(2)), r"^\n+", ""), r"^[ \t]+", "")
+    ).otherwise(bare)
 
 
 def string_list(c: Column) -> Column:
@@ -83,7 +112,9 @@ def string_list(c: Column) -> Column:
     items = F.filter(F.from_json(t, "array<string>"), lambda x: x.isNotNull())
     single = F.coalesce(F.get(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 0), t)
     whole = F.when(F.size(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")) == 1, single).otherwise(t)
-    return F.when(t == "", F.array().cast("array<string>")).when(t.startswith("["), F.coalesce(items, F.array(t))).otherwise(F.array(whole))
+    return F.when(t == "", F.array().cast("array<string>")).when(
+        t.startswith("["), F.coalesce(items, F.array(t))
+    ).otherwise(F.array(whole))
 
 
 def non_blank_items(c: Column) -> Column:
@@ -139,13 +170,19 @@ def render(template: str | Column, variables: dict[str, Column]) -> Column:
     out = F.lit(template) if isinstance(template, str) else template
     for name, value in variables.items():
         mark = F.lit("\x00" + name + "\x00")
-        out = F.replace(F.regexp_replace(out, r"\{\{\s*" + name + r"\s*\}\}", "\x00" + name + "\x00"), mark, F.coalesce(value, F.lit("")))
+        out = F.replace(
+            F.regexp_replace(out, r"\{\{\s*" + name + r"\s*\}\}", "\x00" + name + "\x00"),
+            mark,
+            F.coalesce(value, F.lit("")),
+        )
     return F.regexp_replace(out, r"\{\{\s*[a-zA-Z_][a-zA-Z0-9_]*\s*\}\}", "")
 
 
 def numbered_list(items: Column) -> Column:
     """`  1. first` and so on, one per line."""
-    return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)), "\n")
+    return F.array_join(
+        F.transform(items, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)), "\n"
+    )
 
 
 def shorten(c: Column, most: int = 200) -> Column:
@@ -186,7 +223,9 @@ def suffix(path: Column) -> Column:
 
 def shard_path(path: Column, number: Column, first_bare: bool = True) -> Column:
     """Paths of numbered shards: stem_<number> with the suffix, the number 0 without one if first_bare."""
-    numbered = F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit("_"), number.cast("string"), suffix(path))
+    numbered = F.concat(
+        F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit("_"), number.cast("string"), suffix(path)
+    )
     return F.when(number == 0, path).otherwise(numbered) if first_bare else numbered
 
 
@@ -199,8 +238,14 @@ def path_list(c: Column) -> Column:
 
 def stays_inside(path: Column) -> Column:
     """Whether a relative path leads nowhere above where it starts: not absolute, and at no point more steps up than down."""
-    steps = F.transform(F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), lambda p: F.when(p == "..", -1).otherwise(1))
-    low = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, s: F.struct((a["at"] + s).alias("at"), F.least(a["low"], a["at"] + s).alias("low")))
+    steps = F.transform(
+        F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), lambda p: F.when(p == "..", -1).otherwise(1)
+    )
+    low = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")),
+        lambda a, s: F.struct((a["at"] + s).alias("at"), F.least(a["low"], a["at"] + s).alias("low")),
+    )
     return ~path.startswith("/") & (low["low"] >= 0)
 
 
@@ -231,8 +276,14 @@ def is_missing(c: Column) -> Column:
 
 def base_metadata(metadata: Column, **extra: Column) -> Column:
     """source_<key> entries of a metadata map, and the map itself as JSON."""
-    named = F.transform_keys(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit("source_"), k))
-    own = F.create_map(F.lit("source_metadata_json"), F.to_json(metadata), *(x for k, v in extra.items() for x in (F.lit(k), v.cast("string"))))
+    named = F.transform_keys(
+        F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, _: F.concat(F.lit("source_"), k)
+    )
+    own = F.create_map(
+        F.lit("source_metadata_json"),
+        F.to_json(metadata),
+        *(x for k, v in extra.items() for x in (F.lit(k), v.cast("string"))),
+    )
     return F.map_concat(named, own)
 
 

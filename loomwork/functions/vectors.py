@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+    )
 
 
 def norm(a: Column) -> Column:
@@ -22,4 +24,6 @@ def normalize(a: Column) -> Column:
 
 def max_sim(query: Column, doc: Column) -> Column:
     """Late interaction: over the query's token vectors, the sum of the largest dot product with a document token."""
-    return F.aggregate(F.transform(query, lambda q: F.array_max(F.transform(doc, lambda d: dot(q, d)))), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(
+        F.transform(query, lambda q: F.array_max(F.transform(doc, lambda d: dot(q, d)))), F.lit(0.0), lambda s, x: s + x
+    )

@@ -34,7 +34,10 @@ def top_of(ids: np.ndarray, queries: np.ndarray, limit: int, metric: str, exclud
                 best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)
         some = np.isfinite(best_s)
         if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, some.sum(1))), pa.array(best_d[some]), pa.array(best_s[some])], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, some.sum(1))), pa.array(best_d[some]), pa.array(best_s[some])],
+                ["query_id", "doc_id", "score"],
+            )
 
     return run
 
@@ -73,7 +76,15 @@ def best_of_name(ids: np.ndarray, queries: np.ndarray, names: list[str], metric:
     return run
 
 
-def ahead_of(ids: np.ndarray, queries: np.ndarray, best: np.ndarray, best_doc: np.ndarray, metric: str, exclude_self: bool, digits: int):
+def ahead_of(
+    ids: np.ndarray,
+    queries: np.ndarray,
+    best: np.ndarray,
+    best_doc: np.ndarray,
+    metric: str,
+    exclude_self: bool,
+    digits: int,
+):
     """How many documents come before the given best one of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +99,9 @@ def ahead_of(ids: np.ndarray, queries: np.ndarray, best: np.ndarray, best_doc: n
     return run
 
 
-def similarities(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray, metric: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+def similarities(
+    batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray, metric: str, exclude_self: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """Documents of a batch and the scores (query, document); -inf for the query itself, if that is left out."""
     x, docs = stacked(batch.column("v"), queries.shape[1]), batch.column("doc").to_numpy()
     s = queries @ x.T
@@ -98,7 +111,9 @@ def similarities(batch: pa.RecordBatch, ids: np.ndarray, queries: np.ndarray, me
 
 
 def vectors_of(df: DataFrame, vector: str, key: str, name: str, *more: Column) -> DataFrame:
-    return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"), *more)
+    return df.where(F.col(vector).isNotNull()).select(
+        F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"), *more
+    )
 
 
 def blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -123,7 +138,17 @@ def union(frames: list[DataFrame], spark, schema: str) -> DataFrame:
     return out
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "embedding", doc_key: str = "doc_id", query_key: str = "query_id", metric: str = "dot", exclude_self: bool = False, digits: int = 6) -> DataFrame:
+def search(
+    docs: DataFrame,
+    queries: DataFrame,
+    limit: int = 10,
+    vector: str = "embedding",
+    doc_key: str = "doc_id",
+    query_key: str = "query_id",
+    metric: str = "dot",
+    exclude_self: bool = False,
+    digits: int = 6,
+) -> DataFrame:
     """(query_id, doc_id, score, rank) of the top `limit` documents of each query: score descending, then the smaller id.
 
     metric: `dot`, or `l2` for 1 - squared distance. Null vectors take no part. All documents are scanned once for
@@ -137,14 +162,33 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "
     return out.withColumn("score", F.round("score", digits)).withColumn("rank", at).where(F.col("rank") <= limit)
 
 
-def scores(docs: DataFrame, queries: DataFrame, vector: str = "embedding", doc_key: str = "doc_id", query_key: str = "query_id", metric: str = "dot", exclude_self: bool = False, digits: int = 6) -> DataFrame:
+def scores(
+    docs: DataFrame,
+    queries: DataFrame,
+    vector: str = "embedding",
+    doc_key: str = "doc_id",
+    query_key: str = "query_id",
+    metric: str = "dot",
+    exclude_self: bool = False,
+    digits: int = 6,
+) -> DataFrame:
     """(query_id, doc_id, score) of every query and document; nothing is held or shuffled. Null vectors take no part."""
     base, asked = vectors_of(docs, vector, doc_key, "doc"), vectors_of(queries, vector, query_key, "q")
     met = [base.mapInArrow(scored(ids, x, metric, exclude_self), PAIRS) for ids, x, _ in blocks(asked)]
     return union(met, docs.sparkSession, PAIRS).withColumn("score", F.round("score", digits))
 
 
-def first_relevant(docs: DataFrame, queries: DataFrame, name: str, vector: str = "embedding", doc_key: str = "doc_id", query_key: str = "query_id", metric: str = "dot", exclude_self: bool = False, digits: int = 6) -> DataFrame:
+def first_relevant(
+    docs: DataFrame,
+    queries: DataFrame,
+    name: str,
+    vector: str = "embedding",
+    doc_key: str = "doc_id",
+    query_key: str = "query_id",
+    metric: str = "dot",
+    exclude_self: bool = False,
+    digits: int = 6,
+) -> DataFrame:
     """(query_id, first_rank): at which place of the full ranking the first document stands whose `name` is that of the
     query; null if none has it.
 
@@ -156,14 +200,23 @@ def first_relevant(docs: DataFrame, queries: DataFrame, name: str, vector: str =
     spark, met = docs.sparkSession, []
     for ids, x, rows in blocks(asked):
         found = base.mapInArrow(best_of_name(ids, x, [r.name for r in rows], metric, exclude_self, digits), PAIRS)
-        best = {r.query_id: r.b for r in found.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b")).collect()}
+        best = {
+            r.query_id: r.b for r in found.groupBy("query_id").agg(
+                F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b")
+            ).collect()
+        }
         some = np.array([i in best for i in ids.tolist()], bool)
         if some.any():
             own = ids[some]
             top, doc = (np.array([best[i][j] for i in own.tolist()]) for j in (0, 1))
-            n = base.mapInArrow(ahead_of(own, x[some], -top.astype(float), doc.astype(np.int64), metric, exclude_self, digits), "query_id long, n long")
+            n = base.mapInArrow(
+                ahead_of(own, x[some], -top.astype(float), doc.astype(np.int64), metric, exclude_self, digits),
+                "query_id long, n long",
+            )
             met.append(n.groupBy("query_id").agg((F.sum("n") + 1).alias("first_rank")))
-    return asked.select(F.col("q").alias("query_id")).join(union(met, spark, "query_id long, first_rank long"), "query_id", "left")
+    return asked.select(F.col("q").alias("query_id")).join(
+        union(met, spark, "query_id long, first_rank long"), "query_id", "left"
+    )
 
 
 def max_sim(queries: DataFrame, docs: DataFrame, set_key: str, item: str, vector: str, digits: int = 6) -> DataFrame:
@@ -184,15 +237,27 @@ def max_sim(queries: DataFrame, docs: DataFrame, set_key: str, item: str, vector
         return run
 
     kind = docs.schema[set_key].dataType.simpleString()
-    base, asked = vectors_of(docs, vector, item, "doc", F.col(set_key).alias("s")), vectors_of(queries, vector, item, "q", F.col(set_key).alias("qs"))
-    met = union([base.mapInArrow(best(ids, x), f"q long, s {kind}, m double") for ids, x, _ in blocks(asked)], docs.sparkSession, f"q long, s {kind}, m double")
+    base, asked = vectors_of(docs, vector, item, "doc", F.col(set_key).alias("s")), vectors_of(
+        queries, vector, item, "q", F.col(set_key).alias("qs")
+    )
+    met = union(
+        [base.mapInArrow(best(ids, x), f"q long, s {kind}, m double") for ids, x, _ in blocks(asked)],
+        docs.sparkSession,
+        f"q long, s {kind}, m double",
+    )
     tops = met.groupBy("q", "s").agg(F.max("m").alias("m")).join(asked.select("q", "qs"), "q")
-    return tops.groupBy(F.col("qs").alias("query_set"), F.col("s").alias("doc_set")).agg(F.round(F.sum("m"), digits).alias("score"))
+    return tops.groupBy(
+        F.col("qs").alias("query_set"), F.col("s").alias("doc_set")
+    ).agg(F.round(F.sum("m"), digits).alias("score"))
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str | None = None) -> DataFrame:
     """The mean of a key's token vectors, of those whose mask isn't 0; all zero if none counts."""
     w = F.lit(1.0) if mask is None else F.col(mask).cast("double")
     flat = tokens.select(key, w.alias("w"), F.posexplode(vector).alias("i", "x"))
-    sums = flat.groupBy(key, "i").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("x"))
-    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("pooled"))
+    sums = flat.groupBy(key, "i").agg(
+        (F.sum(F.col("x").cast("double") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("x")
+    )
+    return sums.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("pooled")
+    )

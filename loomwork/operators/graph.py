@@ -19,13 +19,22 @@ def call_graph(definitions: DataFrame, calls: DataFrame, order: str) -> tuple[Da
     A callee that isn't defined becomes an external node; of several edges between a pair the last type stands.
     """
     edges = calls.groupBy("caller", "callee").agg(F.max_by("edge_type", order).alias("edge_type"))
-    unknown = calls.select(F.col("callee").alias("full_name")).distinct().join(definitions, "full_name", "left_anti").select("full_name", F.lit("external").alias("kind"), F.lit(None).cast("string").alias("class_name"))
+    unknown = calls.select(F.col("callee").alias("full_name")).distinct().join(
+        definitions, "full_name", "left_anti"
+    ).select("full_name", F.lit("external").alias("kind"), F.lit(None).cast("string").alias("class_name"))
     return definitions.select("full_name", "kind", "class_name").unionByName(unknown), edges
 
 
 def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, in_degree, out_degree) in one aggregation."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col(source).alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col(target).alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col(source).alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+                F.struct(F.col(target).alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")),
+            ),
+        ).alias("e"),
+    )
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
@@ -33,7 +42,14 @@ def top(scores: DataFrame, score: str, key: str, n: int) -> DataFrame:
     return scores.orderBy(F.desc(score), key).limit(n)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, folder: str | None = None, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(
+    nodes: DataFrame,
+    edges: DataFrame,
+    folder: str | None = None,
+    alpha: float = 0.85,
+    iterations: int = 100,
+    tolerance: float = 1e-6,
+) -> DataFrame:
     """(node, rank) of nodes (node) and distinct edges (source, target): uniform start and teleport, the mass of nodes
     without edges spread evenly, until the ranks move less than nodes * tolerance in all. Ranks that still move after
     `iterations` rounds are an error; with a tolerance of 0 exactly that many rounds are made.
@@ -46,13 +62,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, folder: str | None = None, alph
         return nodes.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("source").agg(F.count("*").alias("n_out"))
     links = written(edges.join(out, "source").select("source", "target", "n_out"), folder)
-    ranks = nodes.join(out, nodes.node == out.source, "left").select("node", F.col("n_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
+    ranks = nodes.join(out, nodes.node == out.source, "left").select(
+        "node", F.col("n_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")
+    )
     past = None
     for _ in range(iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()[0]
-        given = links.join(ranks.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
+        given = links.join(
+            ranks.select(F.col("node").alias("source"), "rank"), "source"
+        ).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         rank = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) / n)
-        new = written(ranks.withColumnRenamed("rank", "old").join(given, "node", "left").select("node", "dangling", "old", rank.alias("rank")), folder)
+        new = written(
+            ranks.withColumnRenamed("rank", "old").join(given, "node", "left").select(
+                "node", "dangling", "old", rank.alias("rank")
+            ),
+            folder,
+        )
         if past is not None:
             discard(past)
         past, ranks = new, new.drop("old")
@@ -67,14 +92,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, folder: str | None = None, alph
 
 def class_scores(methods: DataFrame, scores: DataFrame) -> DataFrame:
     """(class_name, score): the sum over a class's methods, 0 for a method without a score; methods of no class go."""
-    return methods.where("class_name is not null").join(scores.select(F.col("node").alias("full_name"), "rank"), "full_name", "left").groupBy("class_name").agg(F.sum(F.coalesce("rank", F.lit(0.0))).alias("score"))
+    return methods.where("class_name is not null").join(
+        scores.select(F.col("node").alias("full_name"), "rank"), "full_name", "left"
+    ).groupBy("class_name").agg(F.sum(F.coalesce("rank", F.lit(0.0))).alias("score"))
 
 
 def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.where(F.col("kind").isin(*kinds))
 
 
-def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str | None = None, cores: DataFrame | None = None) -> DataFrame:
+def dbscan(
+    near: DataFrame, points: DataFrame, min_points: int, folder: str | None = None, cores: DataFrame | None = None
+) -> DataFrame:
     """(id, cluster as string) of points (id) given their pairs within the radius, (a, b) with a < b: -1 is noise.
 
     A point with min_points points within reach, itself included, is a core; linked cores are one cluster, named by
@@ -89,23 +118,38 @@ def dbscan(near: DataFrame, points: DataFrame, min_points: int, folder: str | No
         cores = both.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_points).select(F.col("x").alias("id"))
         if min_points <= 1:
             cores = points.select("id")
-    inner = written(both.join(cores.withColumnRenamed("id", "x"), "x", "left_semi").join(cores.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y"), folder)
+    inner = written(
+        both.join(
+            cores.withColumnRenamed("id", "x"), "x", "left_semi"
+        ).join(cores.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y"),
+        folder,
+    )
     label = written(cores.select("id", F.col("id").alias("c")), folder)
     past = None
     while True:
-        low = inner.join(label.select(F.col("id").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
-        step = label.join(low, label.id == low.x, "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("d"))
+        low = inner.join(
+            label.select(F.col("id").alias("y"), F.col("c").alias("cy")), "y"
+        ).groupBy("x").agg(F.min("cy").alias("m"))
+        step = label.join(low, label.id == low.x, "left").select(
+            "id", "c", F.least("c", F.coalesce("m", "c")).alias("d")
+        )
         jump = step.select(F.col("id").alias("d"), F.col("d").alias("dd"))
-        new = written(step.join(jump, "d", "left").select("id", "c", F.least("d", F.coalesce("dd", "d")).alias("n")), folder)
+        new = written(
+            step.join(jump, "d", "left").select("id", "c", F.least("d", F.coalesce("dd", "d")).alias("n")), folder
+        )
         rests = new.where("c != n").isEmpty()
         discard(label if past is None else past)
         past, label = new, new.select("id", F.col("n").alias("c"))
         if rests:
             break
     discard(inner)
-    edge = both.join(label.select(F.col("id").alias("y"), "c"), "y").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("e"))
+    edge = both.join(
+        label.select(F.col("id").alias("y"), "c"), "y"
+    ).groupBy(F.col("x").alias("id")).agg(F.min("c").alias("e"))
     out = points.select("id").join(label, "id", "left").join(edge, "id", "left")
-    return out.select("id", F.coalesce(F.col("c").cast("string"), F.col("e").cast("string"), F.lit("-1")).alias("cluster"))
+    return out.select(
+        "id", F.coalesce(F.col("c").cast("string"), F.col("e").cast("string"), F.lit("-1")).alias("cluster")
+    )
 
 
 #: Vectors that go to all tasks at a time, and how many of them a task compares with a batch at once.
@@ -127,7 +171,9 @@ def _within(ids: np.ndarray, x: np.ndarray, core: np.ndarray | None, least: floa
                 hit = (np.round(x[at : at + STRIP] @ y.T, 6) >= least) & (own[:, None] != docs[None, :])
                 if core is None:
                     n = hit.sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["id", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[n > 0]), pa.array(n[n > 0].astype(np.int64))], ["id", "n"]
+                    )
                     continue
                 inner = batch.column("core").to_numpy(zero_copy_only=False)
                 pairs = []
@@ -177,24 +223,42 @@ def dbscan_vectors(vectors: DataFrame, least: float, min_points: int, folder: st
     """
     folder = shared_folder(vectors.sparkSession, folder)
     points = vectors.select(F.col("id").cast("long").alias("id"))
-    v = written(vectors.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), folder)
+    v = written(
+        vectors.where("v is not null").select(
+            F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")
+        ),
+        folder,
+    )
     counts = _blocks(v, least, False, folder).groupBy("id").agg(F.sum("n").alias("n"))
-    cores = written(v.join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"), folder)
-    marked = written(v.join(cores.withColumn("core", F.lit(True)), "id", "left").select("id", "v", F.coalesce("core", F.lit(False)).alias("core")), folder)
-    near = _blocks(marked, least, True, folder).select(F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b")).distinct()
+    cores = written(
+        v.join(counts, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"), folder
+    )
+    marked = written(
+        v.join(cores.withColumn("core", F.lit(True)), "id", "left").select(
+            "id", "v", F.coalesce("core", F.lit(False)).alias("core")
+        ),
+        folder,
+    )
+    near = _blocks(marked, least, True, folder).select(
+        F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b")
+    ).distinct()
     return dbscan(near, points, min_points, folder, cores)
 
 
 def cluster_frame(clusters: DataFrame, points: DataFrame) -> DataFrame:
     """points (id, ...) with `cluster` and the size of it, 0 for noise."""
     sizes = clusters.where("cluster != '-1'").groupBy("cluster").agg(F.count("*").alias("size"))
-    return points.join(clusters, "id").join(sizes, "cluster", "left").select(*points.columns, "cluster", F.coalesce("size", F.lit(0)).alias("size"))
+    return points.join(clusters, "id").join(sizes, "cluster", "left").select(
+        *points.columns, "cluster", F.coalesce("size", F.lit(0)).alias("size")
+    )
 
 
 def cluster_counts(clusters: DataFrame, cluster: str = "cluster") -> DataFrame:
     """One row: clusters without the noise, and noise points."""
     c = F.col(cluster)
-    return clusters.agg(F.count_distinct(F.when(c != "-1", c)).alias("n_clusters"), F.count_if(c == "-1").alias("n_noise"))
+    return clusters.agg(
+        F.count_distinct(F.when(c != "-1", c)).alias("n_clusters"), F.count_if(c == "-1").alias("n_noise")
+    )
 
 
 def resolve_calls(calls: DataFrame, lookups: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -209,7 +273,9 @@ def resolve_calls(calls: DataFrame, lookups: list[tuple[str, DataFrame]]) -> Dat
 
 def symbol_index(refs: DataFrame, symbols: str = "symbols", ref: str = "ref") -> DataFrame:
     """(symbol, refs): for each symbol the sorted distinct places that call it."""
-    return refs.select(F.explode(symbols).alias("symbol"), ref).groupBy("symbol").agg(F.array_sort(F.collect_set(ref)).alias("refs"))
+    return refs.select(F.explode(symbols).alias("symbol"), ref).groupBy("symbol").agg(
+        F.array_sort(F.collect_set(ref)).alias("refs")
+    )
 
 
 def reduce_dimensions(df: DataFrame, vector: str, k: int) -> DataFrame:
@@ -228,4 +294,6 @@ def reduce_dimensions(df: DataFrame, vector: str, k: int) -> DataFrame:
 
 
 def external_url(repo: str, ref: str, path: Column, line: Column) -> Column:
-    return F.concat(F.lit(f"{repo}/blob/{ref}/"), path, F.coalesce(F.concat(F.lit("#L"), line.cast("string")), F.lit("")))
+    return F.concat(
+        F.lit(f"{repo}/blob/{ref}/"), path, F.coalesce(F.concat(F.lit("#L"), line.cast("string")), F.lit(""))
+    )

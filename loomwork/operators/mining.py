@@ -21,36 +21,56 @@ def windowed_negatives(ranked: DataFrame, texts: DataFrame, positives: DataFrame
     """
     own = positives.select("query_id", F.col("doc_id").alias("own"), tx.trim(F.col("text")).alias("positive"))
     rest = ranked.join(own, "query_id").where(F.col("doc_id") != F.col("own"))
-    placed = rest.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("at") >= start)
-    named = placed.join(texts.select("doc_id", tx.trim(F.col("text")).alias("text")), "doc_id").where((F.col("text") != "") & (F.col("text") != F.col("positive")))
+    placed = rest.withColumn(
+        "at", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    ).where(F.col("at") >= start)
+    named = placed.join(
+        texts.select("doc_id", tx.trim(F.col("text")).alias("text")), "doc_id"
+    ).where((F.col("text") != "") & (F.col("text") != F.col("positive")))
     return first_texts(named, most)
 
 
 def first_texts(named: DataFrame, most: int) -> DataFrame:
     """(query_id, negatives) of (query_id, text, at): each text at its first place, the first `most`, in order."""
     once = named.groupBy("query_id", "text").agg(F.min("at").alias("at"))
-    kept = once.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).where(F.col("n") <= most)
-    return kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("negatives"))
+    kept = once.withColumn(
+        "n", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
+    ).where(F.col("n") <= most)
+    return kept.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]).alias("negatives")
+    )
 
 
 def sliced_negatives(ranked: DataFrame, texts: DataFrame, drop: int, keep: int) -> DataFrame:
     """(query_id, negatives): places drop + 1 to drop + keep of each list without the anchor, blanks removed, repeats kept."""
-    rest = ranked.where("query_id != doc_id").withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    named = rest.where(F.col("at").between(drop + 1, drop + keep)).join(texts, "doc_id").where(~tx.is_blank(F.col("text")))
-    return named.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]).alias("negatives"))
-
-
-def mine(dense: DataFrame, sparse: DataFrame, texts: DataFrame, positives: DataFrame, start: int = 6, most: int = 32) -> DataFrame:
+    rest = ranked.where("query_id != doc_id").withColumn(
+        "at", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    )
+    named = rest.where(
+        F.col("at").between(drop + 1, drop + keep)
+    ).join(texts, "doc_id").where(~tx.is_blank(F.col("text")))
+    return named.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda s: s["text"]).alias("negatives")
+    )
+
+
+def mine(
+    dense: DataFrame, sparse: DataFrame, texts: DataFrame, positives: DataFrame, start: int = 6, most: int = 32
+) -> DataFrame:
     """Hard negatives from both searches: (query_id, positive, negatives) of queries with a positive and a negative.
 
     dense, sparse: (query_id, doc_id, rank) pools of each query; texts: (doc_id, text); positives: (query_id, doc_id,
     text). The pools are fused by reciprocal rank, and the fused list is walked as windowed_negatives() says.
     """
     negatives = windowed_negatives(merge(dense, sparse), texts, positives, start, most)
-    return with_negatives(positives.select("query_id", tx.trim(F.col("text")).alias("positive")).join(negatives, "query_id"))
+    return with_negatives(
+        positives.select("query_id", tx.trim(F.col("text")).alias("positive")).join(negatives, "query_id")
+    )
 
 
-def mine_fields(pools: dict[str, tuple[DataFrame, DataFrame]], texts: DataFrame, drop: int = 5, keep: int = 32) -> DataFrame:
+def mine_fields(
+    pools: dict[str, tuple[DataFrame, DataFrame]], texts: DataFrame, drop: int = 5, keep: int = 32
+) -> DataFrame:
     """Negatives by field: (query_id, negative_<field>, ...) of each field's own fused pools, a row for each query that any
     field has; a field without one is an empty list.
 
@@ -60,9 +80,14 @@ def mine_fields(pools: dict[str, tuple[DataFrame, DataFrame]], texts: DataFrame,
     out = None
     for field, (dense, sparse) in pools.items():
         ranked = merge(dense, sparse).select("query_id", "doc_id", "rank")
-        own = sliced_negatives(ranked, texts.select("doc_id", F.col(field).alias("text")), drop, keep).withColumnRenamed("negatives", f"negative_{field}")
+        own = sliced_negatives(
+            ranked, texts.select("doc_id", F.col(field).alias("text")), drop, keep
+        ).withColumnRenamed("negatives", f"negative_{field}")
         out = own if out is None else out.join(own, "query_id", "full")
-    return out.select("query_id", *(F.coalesce(f"negative_{f}", F.array().cast("array<string>")).alias(f"negative_{f}") for f in pools))
+    return out.select(
+        "query_id",
+        *(F.coalesce(f"negative_{f}", F.array().cast("array<string>")).alias(f"negative_{f}") for f in pools),
+    )
 
 
 def with_negatives(rows: DataFrame, column: str = "negatives") -> DataFrame:
@@ -78,7 +103,9 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 def triples(rows: DataFrame) -> DataFrame:
     """anchor, positive and the first negative."""
-    return with_negatives(rows).select(F.col("question").alias("anchor"), F.col("positive"), F.get("negatives", 0).alias("negative"))
+    return with_negatives(rows).select(
+        F.col("question").alias("anchor"), F.col("positive"), F.get("negatives", 0).alias("negative")
+    )
 
 
 def similarity(groups: DataFrame, key: str, item: str, vector: str) -> DataFrame:
@@ -86,7 +113,9 @@ def similarity(groups: DataFrame, key: str, item: str, vector: str) -> DataFrame
     from ..functions import vectors as vx
 
     unit = groups.select(key, F.col(item).alias("a"), vx.normalize(F.col(vector)).alias("va"))
-    return unit.join(unit.select(key, F.col("a").alias("b"), F.col("va").alias("vb")), key).where("a <= b").select(key, "a", "b", vx.dot(F.col("va"), F.col("vb")).alias("similarity"))
+    return unit.join(
+        unit.select(key, F.col("a").alias("b"), F.col("va").alias("vb")), key
+    ).where("a <= b").select(key, "a", "b", vx.dot(F.col("va"), F.col("vb")).alias("similarity"))
 
 
 def mmr_order(x: np.ndarray, n: int, weight: float) -> list[int]:
@@ -116,12 +145,18 @@ def diverse_subset(df: DataFrame, key: str, item: str, vector: str, n: int, weig
         if len(pdf) < n:
             raise ValueError(f"{len(pdf)} candidates for {n} picks")
         picks = mmr_order(np.array(pdf[vector].tolist(), np.float64), n, weight)
-        return pd.DataFrame({key: pdf[key].iloc[0], item: pdf[item].iloc[picks].to_numpy(), "pick": np.arange(1, n + 1)})
+        return pd.DataFrame(
+            {key: pdf[key].iloc[0], item: pdf[item].iloc[picks].to_numpy(), "pick": np.arange(1, n + 1)}
+        )
 
-    return df.where(F.col(vector).isNotNull()).groupBy(key).applyInPandas(choose, f"{key} {df.schema[key].dataType.simpleString()}, {item} {kind}, pick int")
+    return df.where(F.col(vector).isNotNull()).groupBy(key).applyInPandas(
+        choose, f"{key} {df.schema[key].dataType.simpleString()}, {item} {kind}, pick int"
+    )
 
 
-def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n: int, folder: str | None = None, weight: float = 0.5) -> DataFrame:
+def diverse_subset_of_large(
+    df: DataFrame, key: str, item: str, vector: str, n: int, folder: str | None = None, weight: float = 0.5
+) -> DataFrame:
     """diverse_subset() of groups of any size: no task sees a whole group, and no pairs are made.
 
     The mean similarity of a row is its product with the mean of the unit vectors. Each pick is one aggregation by key
@@ -132,18 +167,38 @@ def diverse_subset_of_large(df: DataFrame, key: str, item: str, vector: str, n:
 
     folder = shared_folder(df.sparkSession, folder)
     kind = df.schema[key].dataType
-    base = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(item).alias("i"), vx.normalize(F.col(vector)).alias("u"))
+    base = df.where(F.col(vector).isNotNull()).select(
+        F.col(key).alias("k"), F.col(item).alias("i"), vx.normalize(F.col(vector)).alias("u")
+    )
     few = base.groupBy("k").count().where(F.col("count") < n).first()
     if few:
         raise ValueError(f"{few['count']} candidates for {n} picks")
     means = mean_pool(base, "k", "u").select(F.col("k").alias("mk"), "pooled")
-    now = base.join(means, F.col("k").eqNullSafe(F.col("mk"))).select("k", "i", "u", F.round(vx.dot(F.col("u"), F.col("pooled")), 9).alias("relevance"), F.lit(None).cast("double").alias("near"), F.lit(None).cast("int").alias("pick"))
+    now = base.join(means, F.col("k").eqNullSafe(F.col("mk"))).select(
+        "k",
+        "i",
+        "u",
+        F.round(vx.dot(F.col("u"), F.col("pooled")), 9).alias("relevance"),
+        F.lit(None).cast("double").alias("near"),
+        F.lit(None).cast("int").alias("pick"),
+    )
     for turn in range(1, n + 1):
         now = written(now, folder)
-        value = F.col("relevance") if turn == 1 else F.round(weight * F.col("relevance") - (1 - weight) * F.col("near"), 9)
-        best = now.where("pick is null").groupBy("k").agg(F.min_by(F.struct("i", "u"), F.struct((-value).alias("v"), "i")).alias("b")).select(F.col("k").alias("bk"), F.col("b.i").alias("bi"), F.col("b.u").alias("bu"))
+        value = F.col("relevance") if turn == 1 else F.round(
+            weight * F.col("relevance") - (1 - weight) * F.col("near"), 9
+        )
+        best = now.where("pick is null").groupBy("k").agg(
+            F.min_by(F.struct("i", "u"), F.struct((-value).alias("v"), "i")).alias("b")
+        ).select(F.col("k").alias("bk"), F.col("b.i").alias("bi"), F.col("b.u").alias("bu"))
         moved = F.greatest("near", F.round(vx.dot(F.col("u"), F.col("bu")), 9))
-        now = now.join(best, F.col("k").eqNullSafe(F.col("bk"))).select("k", "i", "u", "relevance", moved.alias("near"), F.when(F.col("i") == F.col("bi"), F.lit(turn)).otherwise(F.col("pick")).alias("pick"))
+        now = now.join(best, F.col("k").eqNullSafe(F.col("bk"))).select(
+            "k",
+            "i",
+            "u",
+            "relevance",
+            moved.alias("near"),
+            F.when(F.col("i") == F.col("bi"), F.lit(turn)).otherwise(F.col("pick")).alias("pick"),
+        )
     return now.where("pick is not null").select(F.col("k").cast(kind).alias(key), F.col("i").alias(item), "pick")
 
 
@@ -168,7 +223,9 @@ def kth_smallest(df: DataFrame, h: str, key: str, k: int, small: int = 50_000) -
                 break
             k -= n
         if n <= small or len(prefix) >= 30:
-            row = df.where(F.col(h).startswith(prefix)).select(h, key).orderBy(h, key).limit(k).agg(F.max(F.struct(h, key)).alias("e")).first().e
+            row = df.where(F.col(h).startswith(prefix)).select(h, key).orderBy(h, key).limit(k).agg(
+                F.max(F.struct(h, key)).alias("e")
+            ).first().e
             return row[h], row[key]
 
 
@@ -185,7 +242,9 @@ def split(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     if take < 1:
         return marked.withColumn("is_validation", F.lit(False)).drop("h__")
     h, k = kth_smallest(marked, "h__", key, take)
-    return marked.withColumn("is_validation", (F.col("h__") < h) | ((F.col("h__") == h) & (F.col(key) <= k))).drop("h__")
+    return marked.withColumn(
+        "is_validation", (F.col("h__") < h) | ((F.col("h__") == h) & (F.col(key) <= k))
+    ).drop("h__")
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -193,15 +252,40 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(key, seed), key).limit(n)
 
 
-def split_questions(rows: DataFrame, key: str, questions: str, train: int = 2, validation: int = 1, seed: int | None = None, exact: bool = True) -> DataFrame:
+def split_questions(
+    rows: DataFrame,
+    key: str,
+    questions: str,
+    train: int = 2,
+    validation: int = 1,
+    seed: int | None = None,
+    exact: bool = True,
+) -> DataFrame:
     """(key, question, part): the first questions of a row (after a hashed shuffle if a seed is given) go to train, the
     next to validation. Rows with another number are an error, or left out if not exact and they have too few."""
     items = F.col(questions)
     if seed is not None:
-        pairs = F.array_sort(F.transform(items, lambda q, i: F.struct(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"), F.lit("-"), i.cast("string")).cast("binary")).alias("h"), q.alias("q"))))
+        pairs = F.array_sort(
+            F.transform(
+                items,
+                lambda q, i: F.struct(
+                    F.md5(
+                        F.concat(
+                            F.lit(f"{seed}-"), F.col(key).cast("string"), F.lit("-"), i.cast("string")
+                        ).cast("binary"),
+                    ).alias("h"),
+                    q.alias("q"),
+                ),
+            ),
+        )
         items = F.transform(pairs, lambda p: p["q"])
     want = train + validation
-    base = rows.where(F.size(questions) >= want) if not exact else rows.select("*", F.when(F.size(questions) != want, F.raise_error(F.lit(f"a row has not {want} questions")).cast("int")).alias("check__")).where(F.col("check__").isNull()).drop("check__")
+    base = rows.where(F.size(questions) >= want) if not exact else rows.select(
+        "*",
+        F.when(
+            F.size(questions) != want, F.raise_error(F.lit(f"a row has not {want} questions")).cast("int")
+        ).alias("check__"),
+    ).where(F.col("check__").isNull()).drop("check__")
     out = base.select(key, F.posexplode(items).alias("at", "question")).where(F.col("at") < want)
     return out.select(key, "question", F.when(F.col("at") < train, "train").otherwise("validation").alias("part"))
 
@@ -215,7 +299,9 @@ def pick_one(items: Column, key: Column, seed: int, epoch: int = 0) -> Column:
 
 def question_pairs(rows: DataFrame, name: str, questions: str, drop_unnamed: bool = True) -> DataFrame:
     """(question, expected) pairs, blanks left out."""
-    pairs = rows.select(F.explode(questions).alias("question"), tx.trim(F.coalesce(F.col(name), F.lit(""))).alias("expected")).where(~tx.is_blank(F.col("question")))
+    pairs = rows.select(
+        F.explode(questions).alias("question"), tx.trim(F.coalesce(F.col(name), F.lit(""))).alias("expected")
+    ).where(~tx.is_blank(F.col("question")))
     return pairs.where("expected != ''") if drop_unnamed else pairs
 
 
@@ -226,7 +312,9 @@ def retrieval_tables(rows: DataFrame, query: str, document: str, order: Column)
     from ..sources.ordinals import numbered
 
     docs = numbered(first, ["o__"], "document_index").select("document_index", F.col(document).alias("document"))
-    return docs, rows.join(docs, rows[document] == docs["document"]).select(F.col(query).alias("query"), "document_index")
+    return docs, rows.join(docs, rows[document] == docs["document"]).select(
+        F.col(query).alias("query"), "document_index"
+    )
 
 
 def neighbour_batches(graph: DataFrame, size: int, folder: str | None = None) -> DataFrame:
@@ -240,9 +328,13 @@ def neighbour_batches(graph: DataFrame, size: int, folder: str | None = None) ->
     """
     spark = graph.sparkSession
     folder = shared_folder(spark, folder)
-    near = graph.select(F.col("id").cast("long").alias("anchor"), F.posexplode("neighbours").alias("at", "id")).where("id is not null and id != anchor")
+    near = graph.select(
+        F.col("id").cast("long").alias("anchor"), F.posexplode("neighbours").alias("at", "id")
+    ).where("id is not null and id != anchor")
     near = near.groupBy("anchor", F.col("id").cast("long").alias("id")).agg(F.min("at").alias("at"))
-    own = graph.select(F.col("id").cast("long").alias("anchor"), F.col("id").cast("long").alias("id"), F.lit(-1).alias("at")).distinct()
+    own = graph.select(
+        F.col("id").cast("long").alias("anchor"), F.col("id").cast("long").alias("id"), F.lit(-1).alias("at")
+    ).distinct()
     reach, chosen = written(own.unionByName(near), folder), None
     while not reach.isEmpty():
         first = reach.groupBy("id").agg(F.min("anchor").alias("first"))
@@ -250,7 +342,12 @@ def neighbour_batches(graph: DataFrame, size: int, folder: str | None = None) ->
         ready = written(reach.join(waits.where("not waits").select("anchor"), "anchor", "left_semi"), folder)
         order = F.row_number().over(Window.partitionBy("anchor").orderBy("at")) - 1
         batch = ready.withColumn("place", order.cast("long")).where(F.col("place") < size)
-        batch = written(batch.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1").select("anchor", "place", "id"), folder)
+        batch = written(
+            batch.withColumn(
+                "n", F.count("*").over(Window.partitionBy("anchor"))
+            ).where("n > 1").select("anchor", "place", "id"),
+            folder,
+        )
         chosen = batch if chosen is None else chosen.unionByName(batch)
         gone = batch.select("id")
         left = reach.join(ready.select("anchor").distinct(), "anchor", "left_anti").join(gone, "id", "left_anti")

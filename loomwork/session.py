@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **settings: str) -> SparkSession:
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **settings: str
+) -> SparkSession:
     """A local session: UTC, adaptive execution, few shuffle partitions. On a cluster the launcher's settings hold."""
     conf = {
         "spark.master": f"local[{cpus}]", "spark.driver.memory": memory, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",

@@ -20,7 +20,9 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "ordinal") ->
     place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     dealt = written(ranged.withColumn("part__", F.spark_partition_id()).withColumn("at__", place))
     sizes = dealt.groupBy("part__").agg(F.count("*").alias("n__"))
-    before = F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
     both = dealt.join(F.broadcast(sizes.select("part__", before.alias("before__"))), "part__")
     return both.withColumn(name, F.col("before__") + F.col("at__")).drop("part__", "at__", "before__")
 

@@ -66,7 +66,9 @@ def facts(module: str, source: str, package: bool = False) -> Iterator[tuple]:
             yield from define(node, "class", None)
             for item in node.body:
                 if isinstance(item, FUNCTION):
-                    yield from define(item, "async_method" if isinstance(item, ast.AsyncFunctionDef) else "method", node.name)
+                    yield from define(
+                        item, "async_method" if isinstance(item, ast.AsyncFunctionDef) else "method", node.name
+                    )
 
     def tests(body: list[ast.stmt], prefix: str) -> Iterator[tuple]:
         for node in body:
@@ -85,7 +87,11 @@ def source_facts(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FACTS.split(", ")]
         for pdf in batches:
-            rows = [r for m, s, p in zip(pdf.module_name, pdf.source, pdf.is_package, strict=True) for r in facts(m, s or "", bool(p))]
+            rows = [
+                r for m,
+                s,
+                p in zip(pdf.module_name, pdf.source, pdf.is_package, strict=True) for r in facts(m, s or "", bool(p))
+            ]
             out = pd.DataFrame(rows, columns=names)
             for c in ("lineno", "end_lineno"):
                 out[c] = out[c].astype("Int32")
@@ -100,7 +106,9 @@ def python_files(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/").removeprefix("file:").rsplit("/", 1)[0]
     path = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "^(?:[a-z]+:/*)?(/.*)$", 1), f"^{base}/", "")
     name = F.replace(F.regexp_replace(path, r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))
-    return raw.select(name.alias("module_name"), F.col("value").alias("source"), path.endswith("__init__.py").alias("is_package"))
+    return raw.select(
+        name.alias("module_name"), F.col("value").alias("source"), path.endswith("__init__.py").alias("is_package")
+    )
 
 
 def calls_with_targets(rows: DataFrame) -> DataFrame:
@@ -110,16 +118,47 @@ def calls_with_targets(rows: DataFrame) -> DataFrame:
     from ..operators.graph import resolve_calls
 
     defs = rows.where("fact = 'definition'")
-    local = defs.where("class_name is null").select(F.concat_ws("|", "module_name", "qualname").alias("key"), "full_name")
-    alias = rows.where("fact = 'import'").select(F.concat_ws("|", "module_name", "symbol").alias("key"), F.col("target").alias("full_name"))
-    own = defs.where("class_name is not null").select(F.concat_ws("|", "module_name", "qualname").alias("key"), "full_name")
+    local = defs.where("class_name is null").select(
+        F.concat_ws("|", "module_name", "qualname").alias("key"), "full_name"
+    )
+    alias = rows.where("fact = 'import'").select(
+        F.concat_ws("|", "module_name", "symbol").alias("key"), F.col("target").alias("full_name")
+    )
+    own = defs.where("class_name is not null").select(
+        F.concat_ws("|", "module_name", "qualname").alias("key"), "full_name"
+    )
     full = defs.select(F.col("full_name").alias("key"), "full_name")
-    methods = defs.where("class_name is not null").groupBy(F.substring_index("qualname", ".", -1).alias("key")).agg(F.min("full_name").alias("full_name"), F.count("*").alias("n")).where("n = 1").drop("n")
+    methods = defs.where("class_name is not null").groupBy(F.substring_index("qualname", ".", -1).alias("key")).agg(
+        F.min("full_name").alias("full_name"), F.count("*").alias("n")
+    ).where("n = 1").drop("n")
     head, tail = F.substring_index("symbol", ".", 1), F.regexp_extract("symbol", r"^[^.]*\.(.*)$", 1)
-    calls = rows.where("fact = 'call'").select(F.col("full_name").alias("caller"), "symbol", "module_name", "class_name", head.alias("head"), tail.alias("tail"))
-    by_head = calls.join(alias.select(F.col("key").alias("hk"), F.col("full_name").alias("base")), F.concat_ws("|", "module_name", "head") == F.col("hk"), "left")
+    calls = rows.where("fact = 'call'").select(
+        F.col("full_name").alias("caller"),
+        "symbol",
+        "module_name",
+        "class_name",
+        head.alias("head"),
+        tail.alias("tail"),
+    )
+    by_head = calls.join(
+        alias.select(F.col("key").alias("hk"), F.col("full_name").alias("base")),
+        F.concat_ws("|", "module_name", "head") == F.col("hk"),
+        "left",
+    )
     keyed = by_head.select(
-        "caller", "symbol", F.concat_ws("|", "module_name", "symbol").alias("k_local"), F.when(F.col("head").isin("self", "cls"), F.concat_ws("|", "module_name", F.concat_ws(".", "class_name", "tail"))).alias("k_own"), F.when(F.col("tail") != "", F.concat_ws(".", "base", "tail")).alias("k_suffix"), F.when(F.col("tail") != "", F.substring_index("symbol", ".", -1)).alias("k_method")
+        "caller", "symbol", F.concat_ws("|", "module_name", "symbol").alias("k_local"), F.when(
+            F.col("head").isin("self", "cls"), F.concat_ws("|", "module_name", F.concat_ws(".", "class_name", "tail"))
+        ).alias("k_own"), F.when(F.col("tail") != "", F.concat_ws(".", "base", "tail")).alias("k_suffix"), F.when(F.col("tail") != "", F.substring_index("symbol", ".", -1)).alias("k_method")
+    )
+    found = resolve_calls(
+        keyed.withColumn("k_alias", F.col("k_local")).withColumn("k_full", F.col("symbol")),
+        [
+            ("k_local", local),
+            ("k_alias", alias),
+            ("k_own", own),
+            ("k_full", full),
+            ("k_suffix", full),
+            ("k_method", methods),
+        ],
     )
-    found = resolve_calls(keyed.withColumn("k_alias", F.col("k_local")).withColumn("k_full", F.col("symbol")), [("k_local", local), ("k_alias", alias), ("k_own", own), ("k_full", full), ("k_suffix", full), ("k_method", methods)])
     return found.select("caller", "symbol", "callee").distinct()

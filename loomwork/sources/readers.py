@@ -19,7 +19,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def lines(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = False, missing_ok: bool = False, whole: bool = True) -> DataFrame:
+def lines(
+    spark: SparkSession,
+    paths: str | list[str],
+    glob: str | None = None,
+    recursive: bool = False,
+    missing_ok: bool = False,
+    whole: bool = True,
+) -> DataFrame:
     """Non-blank lines as (file, line, value), lines counted from 1 in each file.
 
     Files are read whole, one task or more each, which numbers their lines without a shuffle. With whole=False the
@@ -35,9 +42,15 @@ def lines(spark: SparkSession, paths: str | list[str], glob: str | None = None,
         reader = reader.option("pathGlobFilter", glob)
     file = F.col("_metadata.file_path")
     if not whole:
-        return reader.text(paths).select(file.alias("file"), F.lit(None).cast("bigint").alias("line"), "value").where(~tx.is_blank(F.col("value")))
-    text = reader.text(paths, wholetext=True).select(file.alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value"))
-    return text.select("file", (F.col("at") + 1).cast("bigint").alias("line"), "value").where(~tx.is_blank(F.col("value")))
+        return reader.text(paths).select(
+            file.alias("file"), F.lit(None).cast("bigint").alias("line"), "value"
+        ).where(~tx.is_blank(F.col("value")))
+    text = reader.text(paths, wholetext=True).select(
+        file.alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "value")
+    )
+    return text.select(
+        "file", (F.col("at") + 1).cast("bigint").alias("line"), "value"
+    ).where(~tx.is_blank(F.col("value")))
 
 
 def jsonl(rows: DataFrame, schema: str, mode: str = "strict") -> DataFrame:
@@ -45,9 +58,13 @@ def jsonl(rows: DataFrame, schema: str, mode: str = "strict") -> DataFrame:
     than JSON objects are dropped."""
     value = F.col("value")
     if mode == "objects":
-        return rows.where(payload.is_object(value)).select("file", "line", F.from_json(value, schema).alias("j")).select("file", "line", "j.*")
+        return rows.where(payload.is_object(value)).select(
+            "file", "line", F.from_json(value, schema).alias("j")
+        ).select("file", "line", "j.*")
     told = F.concat(F.lit("not JSON: "), "file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")))
-    checked = F.when(~tx.is_blank(value) & F.try_parse_json(value).isNull(), F.raise_error(told).cast("string")).otherwise(value)
+    checked = F.when(
+        ~tx.is_blank(value) & F.try_parse_json(value).isNull(), F.raise_error(told).cast("string")
+    ).otherwise(value)
     return rows.select("file", "line", F.from_json(checked, schema).alias("j")).select("file", "line", "j.*")
 
 
@@ -61,7 +78,9 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def no_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
     """df, failing at run time on a null cell of those columns."""
-    check = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    check = lambda c: F.when(
+        F.col(c).isNull(), F.raise_error(F.lit(f"null in {c}")).cast(df.schema[c].dataType)
+    ).otherwise(F.col(c)).alias(c)
     return df.select(*(check(c) if c in columns else c for c in df.columns))
 
 
@@ -93,7 +112,9 @@ def default_names(df: DataFrame, name: str, order: list[str | Column]) -> DataFr
     """Blank names become row-0, row-1, ... by the place in the given order."""
     from .ordinals import numbered
 
-    return numbered(df, order, "default__").withColumn(name, F.coalesce(tx.not_blank(F.col(name)), F.concat(F.lit("row-"), F.col("default__").cast("string")))).drop("default__")
+    return numbered(df, order, "default__").withColumn(
+        name, F.coalesce(tx.not_blank(F.col(name)), F.concat(F.lit("row-"), F.col("default__").cast("string")))
+    ).drop("default__")
 
 
 def summary_rows(parquet: DataFrame | None, json: DataFrame | None) -> DataFrame:
@@ -109,9 +130,18 @@ def markdown_tree(spark: SparkSession, root: str, file_name: str = "SKILL.md", m
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_name).load(root)
     base = root.rstrip("/").removeprefix("file:")
     content = F.make_valid_utf8(F.col("content").cast("string"))
-    rows = raw.select(F.regexp_replace(F.regexp_extract("path", "^(?:[a-z]+:/*)?(/.*)$", 1), f"^{base}/", "").alias("relative_path"), content.alias("content"))
-    rows = rows.where(~tx.has_other_script(F.col("content")) & tx.token_count_ok(F.size(tx.words(F.col("content"), False)), most_tokens))
-    return rows.withColumn("parsed", frontmatter.parse(F.col("content"))).select("relative_path", "content", "parsed.metadata", "parsed.body")
+    rows = raw.select(
+        F.regexp_replace(F.regexp_extract("path", "^(?:[a-z]+:/*)?(/.*)$", 1), f"^{base}/", "").alias("relative_path"),
+        content.alias("content"),
+    )
+    rows = rows.where(
+        ~tx.has_other_script(F.col("content")) & tx.token_count_ok(
+            F.size(tx.words(F.col("content"), False)), most_tokens
+        ),
+    )
+    return rows.withColumn("parsed", frontmatter.parse(F.col("content"))).select(
+        "relative_path", "content", "parsed.metadata", "parsed.body"
+    )
 
 
 def with_content_id(df: DataFrame, key: str = "relative_path") -> DataFrame:
@@ -148,7 +178,9 @@ def records(rows: DataFrame) -> DataFrame:
 
 def validated_rows(rows: DataFrame) -> DataFrame:
     """Validated questions of JSON lines, blank questions left out."""
-    return jsonl(rows, schemas.VALIDATED_ROW).withColumn("filtered_questions", tx.non_blank_items(F.coalesce("filtered_questions", F.array().cast("array<string>"))))
+    return jsonl(rows, schemas.VALIDATED_ROW).withColumn(
+        "filtered_questions", tx.non_blank_items(F.coalesce("filtered_questions", F.array().cast("array<string>")))
+    )
 
 
 def validated_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -159,9 +191,15 @@ def validated_cache(spark: SparkSession, path: str) -> DataFrame:
 def scenario_rows(rows: DataFrame) -> DataFrame:
     """Scenario rows of JSON lines, sorted by custom_id. A line without an id, or whose scenarios aren't pairs of texts, is
     an error that names file and line."""
-    scenarios = F.to_json(F.struct(F.try_variant_get(F.try_parse_json("value"), "$.scenario_output", "variant").alias("scenario_output")))
-    wrong = tx.is_blank(F.get_json_object("value", "$.custom_id")) | ~payload.is_valid(scenarios, {"scenario_output": "scenarios"})
-    told = F.concat(F.lit("not a scenario row: "), "file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?")))
+    scenarios = F.to_json(
+        F.struct(F.try_variant_get(F.try_parse_json("value"), "$.scenario_output", "variant").alias("scenario_output"))
+    )
+    wrong = tx.is_blank(F.get_json_object("value", "$.custom_id")) | ~payload.is_valid(
+        scenarios, {"scenario_output": "scenarios"}
+    )
+    told = F.concat(
+        F.lit("not a scenario row: "), "file", F.lit(":"), F.coalesce(F.col("line").cast("string"), F.lit("?"))
+    )
     checked = rows.withColumn("value", F.when(wrong, F.raise_error(told).cast("string")).otherwise(F.col("value")))
     return jsonl(checked, schemas.SCENARIO_ROW).orderBy("custom_id")
 
@@ -190,4 +228,6 @@ def last_index(names: DataFrame, column: str, prefix: str) -> DataFrame:
 def counts_by_field(rows: DataFrame, field: str, fields: list[str]) -> DataFrame:
     """Rows of each of the given fields, 0 where there are none."""
     every = rows.sparkSession.createDataFrame([(f,) for f in fields], f"{field} string")
-    return every.join(rows.groupBy(field).agg(F.count("*").alias("n")), field, "left").select(field, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return every.join(
+        rows.groupBy(field).agg(F.count("*").alias("n")), field, "left"
+    ).select(field, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

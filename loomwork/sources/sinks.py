@@ -28,10 +28,14 @@ def write_jsonl(df: DataFrame, path: str, order: list[str | Column] | None = Non
 def write_jsonl_chunks(df: DataFrame, path: str, order: list[str | Column], size: int, start: int = 0) -> None:
     """Folders chunk=<start>, chunk=<start + 1>, ... of `size` rows each."""
     rows = chunked(df, order, size, "chunk", start)
-    rows.select("chunk", F.to_json(F.struct(*df.columns)).alias("value")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
+    rows.select(
+        "chunk", F.to_json(F.struct(*df.columns)).alias("value")
+    ).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
 
 
-def write_jsonl_budget(df: DataFrame, path: str, order: list[str], cost: str, budget: int, group: list[str] | None = None) -> None:
+def write_jsonl_budget(
+    df: DataFrame, path: str, order: list[str], cost: str, budget: int, group: list[str] | None = None
+) -> None:
     """Folders shard=0, shard=1, ... (in folders of their group, where one is named) of JSON lines whose costs stay
     within the budget; a row beyond it has a shard to itself."""
     group = group or []
@@ -78,12 +82,18 @@ def move_to_done(spark: SparkSession, paths: list[str], folder: str) -> list[str
     return out
 
 
-def cached_scores(spark: SparkSession, folder: str, inputs: list[DataFrame], compute: Callable[[], DataFrame]) -> DataFrame:
+def cached_scores(
+    spark: SparkSession, folder: str, inputs: list[DataFrame], compute: Callable[[], DataFrame]
+) -> DataFrame:
     """A table that compute() makes of the inputs, written once for the same content of them: the folder's name is a
     digest of all their rows, so that other rows of the same number never meet an old table."""
     marks = []
     for df in inputs:
-        row = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 31)))).first()
+        row = df.agg(
+            F.count("*"),
+            F.bit_xor(F.xxhash64(*df.columns)),
+            F.sum(F.pmod(F.xxhash64(F.lit(1), *df.columns), F.lit(1 << 31))),
+        ).first()
         marks.append("-".join(str(v or 0) for v in row))
     path = f"{folder}/scores-{hashlib.sha256('/'.join(marks).encode()).hexdigest()[:32]}"
     if not exists(spark, f"{path}/_SUCCESS"):
@@ -122,7 +132,11 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def run_summary(source: Column, rows: DataFrame, succeeded: Column, model: str) -> DataFrame:
     """source_file, total_requests, succeeded, failed, model of a run, one row for each source."""
-    return rows.groupBy(source.alias("source_file")).agg(F.count("*").alias("total_requests"), F.count_if(succeeded).alias("succeeded"), F.count_if(~succeeded).alias("failed")).withColumn("model", F.lit(model))
+    return rows.groupBy(source.alias("source_file")).agg(
+        F.count("*").alias("total_requests"),
+        F.count_if(succeeded).alias("succeeded"),
+        F.count_if(~succeeded).alias("failed"),
+    ).withColumn("model", F.lit(model))
 
 
 def archive_names(names: DataFrame, taken: DataFrame, column: str = "name") -> DataFrame:
@@ -130,8 +144,19 @@ def archive_names(names: DataFrame, taken: DataFrame, column: str = "name") -> D
     the names `taken` exist."""
     stem, suffix = F.regexp_extract(column, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(column, r"^(.*?)(\.[^.]*)?$", 2)
     own = names.select(column, stem.alias("stem"), suffix.alias("suffix"))
-    used = taken.select(F.regexp_extract(column, r"^(.*?)(_\d+)?(\.[^.]*)?$", 1).alias("stem"), F.regexp_extract(column, r"(\.[^.]*)?$", 1).alias("suffix"), F.col(column).alias("full"))
+    used = taken.select(
+        F.regexp_extract(column, r"^(.*?)(_\d+)?(\.[^.]*)?$", 1).alias("stem"),
+        F.regexp_extract(column, r"(\.[^.]*)?$", 1).alias("suffix"),
+        F.col(column).alias("full"),
+    )
     lists = used.groupBy("stem", "suffix").agg(F.collect_set("full").alias("full"))
-    tries = lambda s: F.transform(F.sequence(F.lit(0), F.size("full")), lambda i: F.when(i == 0, F.concat("stem", "suffix")).otherwise(F.concat("stem", F.lit("_"), i.cast("string"), "suffix")))  # noqa: E731, ARG005
+    tries = lambda s: F.transform(  # noqa: E731, ARG005
+        F.sequence(F.lit(0), F.size("full")),
+        lambda i: F.when(i == 0, F.concat("stem", "suffix")).otherwise(
+            F.concat("stem", F.lit("_"), i.cast("string"), "suffix")
+        ),
+    )
     found = F.get(F.filter(tries(None), lambda t: ~F.array_contains("full", t)), 0)
-    return own.join(lists, ["stem", "suffix"], "left").select(column, F.when(F.col("full").isNull(), F.col(column)).otherwise(found).alias("target"))
+    return own.join(lists, ["stem", "suffix"], "left").select(
+        column, F.when(F.col("full").isNull(), F.col(column)).otherwise(found).alias("target")
+    )

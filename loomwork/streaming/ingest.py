@@ -16,7 +16,11 @@ def response_stream(spark: SparkSession, path: str, archive: str | None = None)
     value = F.col("value")
     rows = reader.load(path).where(payload.is_object(value))
     field = lambda k: F.get_json_object(value, f"$.{k}")
-    return rows.select(field("custom_id").alias("custom_id"), F.when(field("error") != "null", field("error")).alias("error"), field("response").alias("response"))
+    return rows.select(
+        field("custom_id").alias("custom_id"),
+        F.when(field("error") != "null", field("error")).alias("error"),
+        field("response").alias("response"),
+    )
 
 
 def first_seen(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
@@ -37,9 +41,15 @@ def latest_by_key(stream: DataFrame, key: str, order: str, target: str, checkpoi
             rows = spark.read.schema(batch.schema).parquet(old).unionByName(batch)
         last_by(rows, key, F.col(order)).write.mode("overwrite").parquet(new)
 
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(upsert).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
-def windowed_counts(stream: DataFrame, event_time: str, kind: str, value: str, width: str = "1 day", delay: str = "2 days") -> DataFrame:
+def windowed_counts(
+    stream: DataFrame, event_time: str, kind: str, value: str, width: str = "1 day", delay: str = "2 days"
+) -> DataFrame:
     """Rows and sums by time window and kind, late rows within the delay included."""
-    return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("w"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), kind, "n", "total")
+    return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("w"), kind).agg(
+        F.count("*").alias("n"), F.sum(value).alias("total")
+    ).select(F.col("w.start").alias("window_start"), kind, "n", "total")
