@@ -109,6 +109,7 @@ def repeats_of(
 ):
     """Maximal repeats of the given stretches, from the interval tree, for each stretch that holds one: (node, smallest
     doc_id, first and last window, a name of the repeat, its places)."""
+    text, place = text[tk.ranges(place, size)], np.cumsum(size) - size  # the rest of the part's text plays no role here
     # suffixes whose window follows an equal window of all that share it are implied by the longer ones: leave them out
     count = size - L + 1
     at = tk.ranges(place, count)
