@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,17 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}  # of each session: writes under way, and the setting before the first
 
 
 @contextlib.contextmanager
 def cleaned(spark: SparkSession):
-    """Within it, the shuffle files behind each write go as soon as the written table is complete."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Within it, the shuffle files behind each write go as soon as the written table is complete. The session's setting
+    comes back when the last of several writes that run side by side is done."""
+    name = f"{spark.sparkContext.applicationId}-{id(spark._jsparkSession)}"
+    with _lock:
+        n, before = _writers.get(name, (0, spark.conf.get(CLEANUP, "false")))
+        _writers[name] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            n, before = _writers.pop(name)
+            if n > 1:
+                _writers[name] = n - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 def spill(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
