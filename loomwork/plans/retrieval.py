@@ -216,7 +216,7 @@ def rrf_full(load):
 def rrf_weighted_exclude(load):
     """weights; the pair of equal ids contributes nothing but holds its places."""
     d, s = both_sides(load, 50)
-    own = d.select("query_id").distinct().withColumn("doc_id", F.col("query_id"))
+    own = d.select("query_id").union(s.select("query_id")).distinct().withColumn("doc_id", F.col("query_id"))
     return fusion.weighted_neighbours(d, s, own, 10, (0.7, 0.3)).select("query_id", "doc_id", "rrf_score", "rank")
 
 
