@@ -57,7 +57,8 @@ def fold(c: Column) -> Column:
     dotless = F.translate(F.lower(c), "\u0131", "\ue0f1")  # kept apart by a private character
     # what stands between upper and lower also keeps the optimizer from taking them for lower alone
     upper = F.translate(F.upper(dotless), "\ue0f1", "\u0131")
-    return F.translate(F.replace(F.lower(upper), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    full = F.translate(F.replace(F.lower(upper), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(full)  # ASCII has only lower case
 
 
 def is_blank(c: Column) -> Column:
