@@ -75,6 +75,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of a small table that one task writes.
+TASK_BYTES = 8 << 20
+
+
+def few(df: DataFrame, size: int | None) -> DataFrame:
+    """df, whose rows take `size` bytes at most, in tasks of about TASK_BYTES where that makes fewer than the session's.
+
+    Adaptive execution does so where it may join partitions; elsewhere a table of some kilobytes would become a file for
+    each shuffle partition, and in a local folder Hadoop starts processes (chmod) for each file.
+    """
+    n = -(-int(size or 1) // TASK_BYTES)
+    return df.coalesce(n) if n < shuffle_partitions(df.sparkSession) else df
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the decimal doc_id, modulo 4, is 2."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, spill, spread_join
+from .common import discard, few, fresh, spill, spread_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,6 +34,11 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
     return starts.select("item", F.slice("ws", F.col("at"), F.lit(width)).alias("w")).distinct()
 
 
+def room(w: Column) -> Column:
+    """Bytes of a window in a table, about."""
+    return F.octet_length(F.concat_ws(" ", w)) + 24 * F.size(w) + 64
+
+
 def shingles_of(ws: Column, size: int) -> Column:
     """Hashes of all `size` consecutive words, by the place of the first; the last size - 1 places hash fewer words."""
     return F.transform(ws, lambda x, i: F.xxhash64(x, *(F.get(ws, i + j) for j in range(1, size))))
@@ -49,10 +54,10 @@ def hits(docs: DataFrame, owned: DataFrame, found: str = "found__", all_: bool =
     bounds), and the window must then equal the words there. A window whose rarest shingle no document holds is
     dropped at once.
     """
-    windows = spill(owned.select("w").distinct(), "windows")
-    room = F.octet_length(F.concat_ws(" ", "w")) + 24 * F.size("w") + 64  # of a window in a broadcast table
+    most = owned.agg(F.sum(room(F.col("w"))).alias("room")).first().room
+    windows = spill(few(owned.select("w").distinct(), most), "windows")
     sizes = F.sort_array(F.collect_set(F.least(F.size("w"), F.lit(TOKEN_WORDS))))
-    facts = windows.agg(F.sum(room).alias("room"), sizes.alias("sizes")).first()
+    facts = windows.agg(F.sum(room(F.col("w"))).alias("room"), sizes.alias("sizes")).first()
     hint = F.broadcast if (facts.room or 0) <= BROADCAST_BYTES else lambda df: df
     sizes = list(facts.sizes) or [TOKEN_WORDS]
     words = docs.where("text is not null").select(
@@ -73,18 +78,19 @@ def hits(docs: DataFrame, owned: DataFrame, found: str = "found__", all_: bool =
     met = spill(  # one split of the texts serves both joins
         placed.join(hint(placed_in.select("token").distinct()), "token"), "met"
     )
-    often = spill(met.groupBy("token").agg(F.count("*").alias("df")), "rarity")
+    often = met.groupBy("token").agg(F.count("*").alias("df"))
     rare = placed_in.join(hint(often), "token", "left").groupBy("w").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("r")
     ).where("r.df > 0")
-    anchors = spill(rare.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "w"), "anchors")
+    anchors = spill(few(rare.select("r.df", "r.token", "r.offset", "w"), facts.room), "anchors")
+    most = anchors.agg(F.sum(F.col("df") * room(F.col("w"))).alias("room")).first().room  # of candidates
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.size("w") <= F.col("n"))
     maybe = met.join(hint(anchors), "token").where(fits).groupBy("id__", "fp__").agg(
         F.collect_set(F.struct(start.alias("at"), "w")).alias("maybe")
     )
-    maybe = spill(maybe, "maybe")
-    discard(windows, met, often, anchors)
+    maybe = spill(few(maybe, most), "maybe")
+    discard(windows, met, anchors)
     fp, id_, f, some = fresh(docs, "fp__", "i__", "f__", "maybe")
     right = maybe.select(F.col("id__").alias(id_), F.col("fp__").alias(f), F.col("maybe").alias(some))
     joined = docs.withColumn(fp, F.xxhash64("text")).join(
@@ -106,7 +112,7 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     without an item_id or a word are left out; items that repeat an id are one. Documents with the same windows have the
     same items, so the items of each set of windows are gathered and hashed once, not for each document.
     """
-    owned = spill(windows_of(items, width), "owned")
+    owned = windows_of(items, width)
     found = spill(hits(docs.select(F.col("doc_id").cast("long"), "text"), owned).select("doc_id", "found__"), "hits")
     kept = F.coalesce(F.col("found__.kept"), F.array())
     covered = F.transform(kept, lambda c: F.sequence(c["at"], c["at"] + F.size(c["w"]) - 1))
@@ -118,6 +124,8 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
         ws.alias("ws"),
     )
     hit = rows.where("n_hit > 0")
+    held = F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + room(w))
+    facts = hit.agg(F.count("*").alias("n"), F.sum(held).alias("room")).first()
     sets = hit.groupBy("ws").agg(F.count("*").alias("n__")).select("ws", "n__", F.explode("ws").alias("w"))
     names = sets.join(owned, "w").groupBy("ws", "n__").agg(F.array_sort(F.collect_set("item")).alias("names"))
     told = names.select(
@@ -129,11 +137,11 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     none = rows.where("n_hit = 0").select(
         "doc_id", "n_words", "n_hit", F.lit(0).cast("long"), F.sha2(F.lit(b""), 256), F.lit(False)
     )
-    some = spread_join(hit, told, "ws", hit.count()).select(
+    some = spread_join(hit, told, "ws", facts.n).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.lit(True).alias("contaminated")
     )
-    out = spill(some.union(none), "report")
-    discard(owned, found)
+    out = spill(few(some, facts.room).union(none), "report")
+    discard(found)
     return out
 
 

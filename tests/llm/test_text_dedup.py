@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import decontaminate, line_dedup, near_dedup, substring_dedup, suffix_dedup
+from loomwork.llm import common, decontaminate, line_dedup, near_dedup, substring_dedup, suffix_dedup
 
 from . import brute
 
@@ -103,6 +103,39 @@ def test_decontamination(spark):
     assert decontaminate.clean(frame(spark, rows), bench).columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("task_bytes", [8 << 20, 2_000])
+def test_decontamination_writes_small_tables_in_few_files(spark, monkeypatch, task_bytes):
+    """Where partitions aren't joined for it, a table of few bytes isn't written in a file for each of them."""
+    rows = corpus(3)
+    words = [t.split() for _, t in rows if t and len(t.split()) > 40]
+    items = [(i, " ".join(w[:30])) for i, w in enumerate(words[:20])]
+    files = {}
+
+    def spill(df, tag, *more):
+        out = common.spill(df, tag, *more)
+        files[tag] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontaminate, "spill", spill)
+    monkeypatch.setattr(common, "TASK_BYTES", task_bytes, raising=False)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {
+            r.doc_id: (
+                r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated
+            ) for r in decontaminate.report(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+        }
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.leaks(rows, items)
+    small = {files.get(tag, 0) for tag in ("owned", "windows", "rarity", "anchors", "maybe")}
+    assert max(small) == 1 if task_bytes > 2_000 else max(small) > 8
+
+
 def operators(bench):
     return {
         "line": (line_dedup.line_digests, line_dedup.drop_lines),
