@@ -15,6 +15,7 @@ collision is an error, never a result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,25 +26,28 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 from .common import shuffle_partitions, slices, spill
 
-STEP = 1 << 24
-PLACE = np.uint64((1 << 26) - 1)
+#: Units that are hashed at a time, so that what is computed of them stays in a core's cache.
+STEP = 1 << 15
 SLICE = 1 << 20
 ROW = "bucket long, kind int, doc_id long, text string, blob binary"
 PACKET = "part long, bucket long, blob binary"
 REPLY = "bucket long, blob binary"
 P1 = np.uint64(0xC2B2AE3D27D4EB4F)
 KEY = np.uint64(0x6A09E667F3BCC909)
+CHOICE = np.uint64(0x9E3779B97F4A7C15)
 #: A key counts as crowded in a bucket from so many places on, and is dealt by deeper context if so many buckets say so.
 CROWD, CROWDED = 4, 16
 #: A crowded key is dealt by this many ranges of the window's place around the anchor.
 RANGES = 6
+#: Leading bits of a name by which most names that no answer has are told.
+FILTER = 18
 LEAF = np.dtype([("low", "<i8"), ("high", "<i8"), ("size", "<u4"), ("place", "<u4"), ("many", "<u4")])
 RUN = np.dtype([("id", "<u8"), ("group", "<u8"), ("low", "<i8"), ("first", "<u4"), ("last", "<u4"), ("many", "<u4")])
 
 
 def roll(units: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash (modulo 2^64) of every n consecutive units, composed from powers of two."""
-    power, level, width, out, done = P1, units, 1, None, 0
+    """Polynomial hash (modulo 2^64, or 2^32 for such units) of every n consecutive units, composed from powers of two."""
+    power, level, width, out, done = P1.astype(units.dtype), units, 1, None, 0
     while True:
         if n & width:
             if out is None:
@@ -69,40 +73,75 @@ def least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+@cache
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of P1 and of its inverse, modulo 2^64."""
+    inverse = np.uint64(pow(int(P1), -1, 1 << 64))
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full((1 << bits) - 1, x))) for x in (P1, inverse))
+
+
+def spans(units: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """roll(units, size[i])[start[i]] of each i, from sums of the units times falling powers; starts must ascend."""
+    out = np.empty(len(start), np.uint64)
+    if not len(start):
+        return out
+    end = start + size
+    edges = np.searchsorted(start, np.arange(0, len(units) + STEP, STEP))
+    for lo, a, b in zip(range(0, len(units), STEP), edges[:-1], edges[1:], strict=True):
+        if a == b:
+            continue
+        first, last = start[a:b] - lo, end[a:b] - lo
+        reach = int(last.max())
+        power, inverse = powers(max(16, reach.bit_length()))
+        total = np.zeros(reach + 1, np.uint64)
+        np.cumsum(units[lo : lo + reach] * inverse[:reach], out=total[1:])
+        out[a:b] = (total[last] - total[first]) * power[last - 1]
+    return out
+
+
 def anchors(
     units: np.ndarray, off: np.ndarray, k: int, L: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First owned window, number of owned windows, place and key of each anchor, in order."""
     parts = []
-    for lo in range(0, max(1, len(units)), STEP):
-        piece = units[lo : lo + STEP + L - 1]
+    step = max(STEP, L)
+    kind, bits = (np.uint32, 16) if step + L <= 1 << 16 else (np.uint64, 32)
+    where = kind((1 << bits) - 1)  # of a place in a step; the other bits of a number are the gram's hash
+    for lo in range(0, max(1, len(units)), step):
+        piece = units[lo : lo + step + L - 1]
         if len(piece) < L:
             continue
-        h = roll(piece, k)
+        h = roll(piece.astype(kind), k) * CHOICE.astype(kind)
         m = len(piece) - L + 1
-        owner = least((tk.mix(h) & ~PLACE) | np.arange(len(h), dtype=np.uint64), L - k + 1) & PLACE
+        owner = least((h & ~where) | np.arange(len(h), dtype=kind), L - k + 1) & where
         valid = np.ones(m, bool)
-        ends = off[1:-1] - lo
+        ends = off[np.searchsorted(off, lo, "right") : np.searchsorted(off, lo + len(piece))] - lo
         first = np.maximum(ends - L + 1, 0)
         last = np.minimum(ends, m)
         valid[tk.ranges(first, np.maximum(last - first, 0))] = False
-        at = np.flatnonzero(valid)
-        if not len(at):
-            continue
-        own = owner[at].astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+        new = np.ones(m, bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])
         begin = np.flatnonzero(new)
-        parts.append((at[begin] + lo, np.diff(np.append(begin, len(at))), own[begin] + lo, tk.mix(h[own[begin]] ^ KEY)))
+        count = np.diff(np.append(begin, m))
+        taken = valid[begin]
+        begin, count = begin[taken], count[taken]
+        parts.append((begin + lo, count, owner[begin].astype(np.int64) + lo))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    start, count, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(start):
+        return start, count, place, np.zeros(0, np.uint64)
+    new = np.ones(len(start), bool)  # an anchor whose windows lie in two steps is one
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    first = np.flatnonzero(new)
+    start, count, place = start[first], np.add.reduceat(count, first), place[first]
+    return start, count, place, tk.mix(spans(units, place, k) ^ KEY)
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sorting order, and the starts and lengths of the runs of equal keys in it."""
-    order = np.argsort(keys, kind="stable")
+    """A sorting order (of equal keys: any), and the starts and lengths of the runs of equal keys in it."""
+    order = np.argsort(keys)
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -110,6 +149,11 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, first, np.diff(np.append(first, len(keys)))
 
 
+def dealt(to: np.ndarray) -> np.ndarray:
+    """A stable sorting order of numbers of buckets or parts."""
+    return np.argsort(to.astype(np.uint16) if len(to) and to.max() < 1 << 16 else to, kind="stable")
+
+
 def contained(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are in the sorted array known."""
     if not len(known) or not len(values):
@@ -151,7 +195,7 @@ def by_key(key: str, handle: Callable[[int, list[pa.RecordBatch]], Iterator[pa.R
 
 def packets(bucket: int, parts: np.ndarray, values: np.ndarray, pack) -> pa.RecordBatch:
     """One row for each part: the packed values, in the order of parts."""
-    order = np.argsort(parts, kind="stable")
+    order = dealt(parts)
     parts, values = parts[order], values[order]
     first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.zeros(0, np.int64)
     ends = np.append(first[1:], len(parts)).astype(np.int64)
@@ -162,7 +206,7 @@ def packets(bucket: int, parts: np.ndarray, values: np.ndarray, pack) -> pa.Reco
 
 def answers(owners: np.ndarray, values: np.ndarray, pack) -> Iterator[pa.RecordBatch]:
     """One row for each bucket: the packed values for it."""
-    order = np.argsort(owners, kind="stable")
+    order = dealt(owners)
     owners, values = owners[order], values[order]
     if not len(values):
         return
@@ -225,19 +269,11 @@ class Slice:
 def names(
     units: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, key: np.ndarray, L: int
 ) -> np.ndarray:
-    """A 64-bit name for each stretch of count + L - 1 units from start, of its units and the anchor's place."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    """A 64-bit name for each stretch of count + L - 1 units from start, of its units and the anchor's place; starts must
+    ascend."""
     n = count + L - 1
     inner = (place - start).astype(np.uint64)
-    # hash of the whole stretch from those of its first and last windows and every L-th between: all units are covered
-    h = roll(units, L)
-    steps = np.maximum(-(-n // L), 1)
-    first = np.cumsum(steps) - steps
-    turn = np.arange(steps.sum()) - np.repeat(first, steps)
-    at = np.repeat(start, steps) + np.minimum(turn * L, np.repeat(n - L, steps))
-    whole = np.add.reduceat(tk.mix(h[at] + (turn + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
-    return tk.mix(whole ^ tk.mix(key + inner * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64)))
+    return tk.mix(spans(units, start, n) ^ tk.mix(key + inner * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64)))
 
 
 def unequal(data: np.ndarray, start: np.ndarray, size: np.ndarray, model: np.ndarray) -> bool:
@@ -269,17 +305,22 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, Sizes]:
     bucket = F.pmod(F.xxhash64(F.coalesce(id_, F.xxhash64("text"))), F.lit(buckets))
     none = F.lit(None).cast("binary")
     rows = docs.select(bucket.alias("bucket"), F.lit(1).alias("kind"), id_.alias("doc_id"), "text", none.alias("blob"))
-    return rows, Sizes(parts, max(shuffle_partitions(docs.sparkSession), total // TASK_BYTES))
+    return rows, Sizes(
+        parts, max(shuffle_partitions(docs.sparkSession), total // TASK_BYTES), max(FILES, total // FILE_BYTES)
+    )
 
 
 TASK_BYTES = 1 << 23  # bytes of text for each task of an exchange
+#: Bytes of text for each file of a table that is written behind one, and so many files at least (see common.few()).
+FILE_BYTES, FILES = 1 << 24, 16
 
 
 class Sizes(NamedTuple):
-    """Parts of the key space, and tasks over which buckets and parts are dealt."""
+    """Parts of the key space, tasks over which buckets and parts are dealt, and files of a table that is written."""
 
     parts: int
     tasks: int
+    files: int = FILES
 
 
 def with_replies(rows: DataFrame, replies: DataFrame | None, sizes: Sizes) -> DataFrame:
@@ -290,27 +331,22 @@ def with_replies(rows: DataFrame, replies: DataFrame | None, sizes: Sizes) -> Da
     return rows.repartition(sizes.tasks, "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def parted(packed: DataFrame, sizes: Sizes) -> DataFrame:
-    return packed.repartition(sizes.tasks, "part").sortWithinPartitions("part")
+def parted(packed: DataFrame, tasks: int) -> DataFrame:
+    return packed.repartition(tasks, "part").sortWithinPartitions("part")
 
 
 def key48(key: np.ndarray) -> np.ndarray:
     return key >> np.uint64(17)
 
 
-def repeated(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Sorted keys that occur twice or more."""
-    order, first, size = distinct(key)
-    return key[order[first[size > 1]]]
+def repeated(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which runs (of equal keys, from first; with the doc_id of each place) have two places or more."""
+    return np.diff(np.append(first, len(doc))) > 1
 
 
-def between(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Sorted keys that more than one document holds."""
-    if not len(key):
-        return key
-    order, first, _ = distinct(key)
-    doc = doc[order]
-    return key[order][first[np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)]]
+def between(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which runs more than one document holds."""
+    return np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
 
 
 def offer_keys(units: Callable, k: int, L: int, parts: int):
@@ -327,10 +363,10 @@ def offer_keys(units: Callable, k: int, L: int, parts: int):
     return by_key("bucket", handle)
 
 
-def packed(leaf: np.ndarray, text: np.ndarray) -> bytes:
+def packed(leaves: tuple[np.ndarray, ...], texts: tuple[np.ndarray, ...]) -> bytes:
     """Leaves and their stretches, compressed, behind their number and size."""
-    raw = leaf.tobytes() + text.tobytes()
-    return np.array([len(leaf), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    raw = b"".join([x.tobytes() for x in (*leaves, *texts)])
+    return np.array([sum(map(len, leaves)), len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -351,12 +387,13 @@ def deal(key: np.ndarray, hot: np.ndarray, start, size, place, values: np.ndarra
     hot = np.flatnonzero(hot)
     step = -(-(L - k + 1) // RANGES)
     width = L - step + 1
-    h = roll(values, width) if len(hot) else None
+    hot = hot[np.argsort(place[hot])]
     for j in range(RANGES if len(hot) else 0):
         at = place[hot] - step * j
         fits = (at >= start[hot]) & (at + width <= start[hot] + size[hot])
         which.append(hot[fits])
-        to.append(tk.mix(tk.mix(h[at[fits]] + np.uint64(j)) ^ key[hot[fits]]) % np.uint64(parts))
+        h = spans(values, at[fits], width)
+        to.append(tk.mix(tk.mix(h + np.uint64(j)) ^ key[hot[fits]]) % np.uint64(parts))
     return np.concatenate(which), np.concatenate(to)
 
 
@@ -364,72 +401,72 @@ def offer_stretches(units: Callable, k: int, L: int, parts: int, shared: Callabl
     """Of each bucket: its distinct stretches around shared keys, with the smallest and the largest doc_id that holds
     each and the number of places.
 
-    shared(keys, docs) tells which keys the bucket alone shares; content(slice, begin, end) gives the bytes of the
-    units begin .. end, as one array with the size of each span.
+    shared(docs, first) tells which runs of equal keys the bucket alone shares; content(slice, begin, end) gives the bytes
+    of the units begin .. end, as one array with the size of each span.
     """
 
     def handle(bucket: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = Bucket(held, units, k, L)
-        told = np.concatenate([np.zeros(0, np.uint64), *(unpack48(r) for r in b.replies)])
-        hot = np.sort(told[(told & np.uint64(1)) == 1] >> np.uint64(1))
-        local = shared(
-            np.concatenate([np.zeros(0, np.uint64), *(key48(s.key) for s in b.slices)]),
-            np.concatenate([np.zeros(0, np.int64), *(s.id[s.doc] for s in b.slices)]),
-        )
-        keys = np.unique(np.concatenate([local, told >> np.uint64(1)]))
+        every = np.concatenate([np.zeros(0, np.uint64), *(key48(s.key) for s in b.slices)])
+        if not len(every):
+            return
+        told = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack48(r) for r in b.replies)]))
+        order, first, n = distinct(every)
+        known = every[order[first]]
+        wanted = shared(np.concatenate([s.id[s.doc] for s in b.slices])[order], first)
+        wanted |= contained(known, told >> np.uint64(1))
+        crowded = contained(known, told[(told & np.uint64(1)) == 1] >> np.uint64(1))
+        flags = np.empty((2, len(every)), bool)
+        flags[:, order] = np.repeat([wanted, crowded], n, axis=1)
+        bounds = np.cumsum([0, *(len(s.key) for s in b.slices)])
         ids, docs, chosen = [], [], []
-        for s in b.slices:
-            mine = np.flatnonzero(contained(key48(s.key), keys))
+        for s, lo, hi in zip(b.slices, bounds[:-1], bounds[1:], strict=True):
+            mine = np.flatnonzero(flags[0, lo:hi])
             chosen.append(mine)
             ids.append(s.names(mine, s.units()[0]))
             docs.append(s.id[s.doc[mine]])
         where = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
-        ids, docs, chosen = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, docs, chosen))
+        ids, docs, chosen = (np.concatenate(x) for x in (ids, docs, chosen))
         if not len(ids):
             return
         order, first, many = distinct(ids)
         low, high = np.minimum.reduceat(docs[order], first), np.maximum.reduceat(docs[order], first)
         pick = order[first]
-        leaves, texts, to = [], [], []
+        held_by = np.argsort(pick)  # stretches in the order of slices and places
+        pick, low, high, many = pick[held_by], low[held_by], high[held_by], many[held_by]
+        cuts = np.searchsorted(where[pick], np.arange(len(b.slices) + 1))
+        pieces: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for i, s in enumerate(b.slices):
-            mine = np.flatnonzero(where[pick] == i)
-            if not len(mine):
-                continue
+            mine = slice(cuts[i], cuts[i + 1])
             at = chosen[pick[mine]]
-            n = s.count[at] + L - 1
-            text, size = content(s, s.start[at], s.start[at] + n)
-            leaf = np.zeros(len(mine), LEAF)
-            leaf["low"], leaf["high"], leaf["many"], leaf["size"], leaf["place"] = low[mine], high[mine], many[mine], size, s.place[at] - s.start[at]
+            if not len(at):
+                continue
+            hot = flags[1, bounds[i] + at]
             which, part = deal(
                 s.key[at],
-                contained(key48(s.key[at]), hot),
+                hot,
                 s.start[at],
-                n,
+                s.count[at] + L - 1,
                 s.place[at],
-                s.units()[0] if len(hot) else None,
+                s.units()[0] if hot.any() else None,
                 k,
                 L,
                 parts,
             )
-            leaves.append(leaf[which])
-            texts.append(text[tk.ranges((np.cumsum(size) - size)[which], size[which])])
-            to.append(part)
-        leaf, text, part = np.concatenate(leaves), np.concatenate(texts), np.concatenate(to)
-        place = np.cumsum(leaf["size"].astype(np.int64)) - leaf["size"]
-        order = np.argsort(part, kind="stable")
-        part, leaf, place = part[order], leaf[order], place[order]
-        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-        rows = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            rows.append(
-                (
-                    int(part[lo]),
-                    bucket,
-                    packed(leaf[lo:hi], text[tk.ranges(place[lo:hi], leaf["size"][lo:hi].astype(np.int64))]),
-                ),
-            )
-        cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["part", "bucket", "blob"])
+            order = dealt(part)
+            which, part = which[order], part[order]
+            leaf = np.zeros(len(at), LEAF)
+            leaf["low"], leaf["high"], leaf["many"], leaf["place"] = low[mine], high[mine], many[mine], s.place[at] - s.start[at]
+            leaf, at = leaf[which], at[which]
+            text, leaf["size"] = content(s, s.start[at], s.start[at] + s.count[at] + L - 1)
+            edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            off = np.concatenate([[0], np.cumsum(leaf["size"], dtype=np.int64)])[edges].tolist()
+            edges = edges.tolist()
+            for j, to in enumerate(part[edges[:-1]].tolist()):
+                pieces.setdefault(to, []).append((leaf[edges[j] : edges[j + 1]], text[off[j] : off[j + 1]]))
+        blobs = [packed(*zip(*of, strict=True)) for of in pieces.values()]
+        cols = [pa.array(list(pieces), pa.int64()), pa.array([bucket] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["part", "bucket", "blob"])
 
     return by_key("bucket", handle)
 
@@ -450,7 +487,7 @@ class Meeting:
         self.units, self.bounds = units(self.text, self.off)
         self.start, self.size = self.bounds[:-1], np.diff(self.bounds)
         self.place = self.start + self.leaf["place"]
-        self.key = tk.mix(roll(self.units, k)[self.place] ^ KEY)
+        self.key = tk.mix(spans(self.units, self.place, k) ^ KEY)
         self.name = names(self.units, self.start, self.size - L + 1, self.place, self.key, L)
         order, self.first, n = distinct(self.name)
         self.order = order
@@ -487,27 +524,33 @@ class Meeting:
 
 def marked(b: Bucket) -> Iterator[tuple[Slice, np.ndarray, np.ndarray]]:
     """Of each slice: anchors, and for each a run that was told about its stretch."""
-    runs = np.concatenate([np.zeros(0, RUN), *(np.frombuffer(r, RUN) for r in b.replies)])
-    runs = runs[np.argsort(runs["id"], kind="stable")]
-    ids = runs["id"].copy()
+    runs = np.frombuffer(b"".join(b.replies), RUN)
+    order, first, n = distinct(runs["id"].copy())
+    runs = runs[order]
+    ids = runs["id"][first]
+    maybe = np.zeros(1 << FILTER, bool)  # by leading bits, so that most names are searched for only if they are there
+    maybe[ids >> np.uint64(64 - FILTER)] = True
     seen = np.zeros((2, 0), np.uint64)  # names met in slices before, and an independent second name of each
     for s in b.slices:
         values, _ = s.units()
         every = s.names(np.arange(len(s.key)), values)
-        lo, hi = np.searchsorted(ids, every, "left"), np.searchsorted(ids, every, "right")
-        hit = np.flatnonzero(hi > lo)
-        order, first, n = distinct(every[hit])
+        hit = np.flatnonzero(maybe[every >> np.uint64(64 - FILTER)])
+        own = np.searchsorted(ids, every[hit])
+        same = ids[np.minimum(own, len(ids) - 1)] == every[hit] if len(ids) else np.zeros(0, bool)
+        hit, own = hit[same], own[same]
+        lo, size = first[own], n[own]
+        order, heads, alike = distinct(own)
         model = np.empty(len(hit), np.int64)
-        model[order] = np.repeat(order[first], n)
+        model[order] = np.repeat(order[heads], alike)
         if unequal(values, s.start[hit], s.count[hit] + s.L - 1, model):
             raise RuntimeError(COLLISION)
         if len(b.slices) > 1:
-            at = hit[order[first]]
+            at = np.sort(hit[order[heads]])
             seen = np.concatenate([seen, [every[at], s.names(at, tk.mix(values ^ P1))]], axis=1)
             seen = np.unique(seen, axis=1) if len(seen[0]) else seen
             if (seen[0][1:] == seen[0][:-1]).any():
                 raise RuntimeError(COLLISION)
-        yield s, np.repeat(hit, (hi - lo)[hit]), runs[tk.ranges(lo[hit], (hi - lo)[hit])]
+        yield s, np.repeat(hit, size), runs[tk.ranges(lo, size)]
 
 
 def covered(s: Slice, anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -523,8 +566,9 @@ def shared_stretches(
 ) -> tuple[DataFrame, DataFrame]:
     """Packets of the stretches around shared anchors, parted; and the table behind them, to discard when done."""
     keys = with_replies(rows, None, sizes).mapInArrow(offer_keys(units, k, L, sizes.parts), PACKET)
-    seeds = spill(parted(keys, sizes).mapInArrow(by_key("part", shared_keys), REPLY), "seeds", "none")
+    few = min(sizes.files, sizes.tasks)  # keys are a fraction of the texts
+    seeds = spill(parted(keys, few).mapInArrow(by_key("part", shared_keys), REPLY), "seeds", "none")
     offers = with_replies(rows, seeds, sizes).mapInArrow(
         offer_stretches(units, k, L, sizes.parts, shared, content), PACKET
     )
-    return parted(offers, sizes), seeds
+    return parted(offers, sizes.tasks), seeds

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .anchors import REPLY, Bucket, Meeting, Sizes, between, bucketed, by_key, covered, distinct, marked, repeated, roll, shared_stretches, with_replies
+from .anchors import REPLY, Bucket, Meeting, Sizes, between, bucketed, by_key, covered, distinct, marked, repeated, shared_stretches, spans, with_replies
 from .common import discard, spill
 
 SEED_BYTES = 16
@@ -115,7 +115,7 @@ def repeats_of(
     at = tk.ranges(place, count)
     leaf = np.repeat(np.arange(len(place)), count)
     opening = at == place[leaf]
-    window = tk.mix(roll(tk.CODES[1][text], L)[at])
+    window = tk.mix(spans(tk.CODES[1][text], at, L))
     order, first, n = distinct(window)
     group = np.empty(len(at), np.int64)
     group[order] = np.repeat(np.arange(len(first)), n)
@@ -129,21 +129,22 @@ def repeats_of(
     order, lcp = suffix_array(text, starts, place[leaf] + size[leaf] - starts)
     left = np.where(opening, 256 + np.arange(len(starts)), text[np.maximum(starts - 1, 0)])[order]
     starts, leaf, window = starts[order], leaf[order], window[order]
-    which, least, begin, end, name, places = [], [], [], [], [], []
-    for length, lo, hi in intervals(lcp, left, L):
-        members = leaf[lo : hi + 1]
-        offset = starts[lo : hi + 1] - place[members]
-        which.append(node[members])
-        least.append(np.full(len(members), low[members].min()))
-        begin.append(offset)
-        end.append(offset + length - L)
-        # all members share the first window and the length, and no other repeat of the part has both
-        name.append(np.full(len(members), tk.mix(window[lo : lo + 1] + np.uint64(length))[0]))
-        places.append(np.full(len(members), many[members].sum()))
-    if not which:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64), none
-    return np.concatenate(which), np.concatenate(least), np.concatenate(begin), np.concatenate(end), np.concatenate(name), np.concatenate(places)
+    found = np.array(list(intervals(lcp, left, L)), np.int64).reshape(-1, 3)
+    length, lo, span = found[:, 0], found[:, 1], found[:, 2] - found[:, 1] + 1
+    at, first = tk.ranges(lo, span), np.cumsum(span) - span
+    member = leaf[at]
+    offset = starts[at] - place[member]
+    # all members share the first window and the length, and no other repeat of the part has both
+    name = tk.mix(window[lo] + length.astype(np.uint64))
+    least, places = (f.reduceat(x[member], first) if len(first) else first for f, x in ((np.minimum, low), (np.add, many)))
+    return (
+        node[member],
+        np.repeat(least, span),
+        offset,
+        offset + np.repeat(length - L, span),
+        np.repeat(name, span),
+        np.repeat(places, span),
+    )
 
 
 def cut_bytes(L: int):
@@ -154,25 +155,20 @@ def cut_bytes(L: int):
             keep = run["low"] < s.id[s.doc[anchor]]
             gone = covered(s, anchor[keep], run[keep])
             data, _ = tk.buffer(s.texts)
-            rows = []
-            for i in range(len(s.id)):
-                lo, hi = s.off[i], s.off[i + 1]
-                mask = gone[lo:hi]
-                edges = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-                begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-                left = data[lo:hi][~mask] if len(begin) else data[lo:hi]
-                rows.append(
-                    (
-                        hi - lo,
-                        int(mask.sum()),
-                        len(begin),
-                        hashlib.sha256(left.tobytes()).hexdigest(),
-                        begin.tolist(),
-                        end.tolist(),
-                    ),
-                )
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            begin, end = tk.spans(gone, s.off)
+            runs = np.searchsorted(begin, s.off)
+            removed = np.concatenate([[0], np.cumsum(end - begin)])[runs]
+            left, kept = memoryview(data[~gone]), (s.off - removed).tolist()
+            own = np.repeat(s.off[:-1], np.diff(runs))
+            at = pa.array(runs.astype(np.int32))
+            cols = [
+                pa.array(np.diff(s.off)),
+                pa.array(np.diff(removed)),
+                pa.array(np.diff(runs)),
+                pa.array([hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(kept[:-1], kept[1:], strict=True)]),
+                pa.ListArray.from_arrays(at, pa.array(begin - own)),
+                pa.ListArray.from_arrays(at, pa.array(end - own)),
+            ]
             yield pa.RecordBatch.from_arrays(
                 [s.ids, *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "from_byte", "to_byte"]
             )
@@ -189,7 +185,7 @@ def found_repeats(docs: DataFrame, length: int, all_: bool) -> tuple[DataFrame,
     stretches, seeds = shared_stretches(
         rows, sizes, byte_units, SEED_BYTES, length, between if not all_ else repeated, content
     )
-    found = spill(stretches.mapInArrow(judge(length, all_), REPLY), "runs")
+    found = spill(stretches.mapInArrow(judge(length, all_), REPLY).coalesce(sizes.files), "runs")
     discard(seeds)
     return rows, sizes, found
 
@@ -199,7 +195,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. Null
     texts are empty. Rows that share a doc_id are one document as to that rule. Rows without a doc_id lose nothing and
-    are held against nothing. Very long texts are cut into overlapping steps of 16 MB for their anchors only.
+    are held against nothing. Anchors are found in overlapping steps, which split none.
 
     All equal strings of `length` bytes own the same winnowed anchor, so the stretches around anchors that several
     documents have meet by the anchor's key, each distinct stretch once a bucket, crowded keys dealt by deeper context.
@@ -209,7 +205,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     Repeats longer than a stretch are the unions of those of its successive anchors; maximal_repeats() puts them together.
     """
     rows, sizes, found = found_repeats(docs, length, False)
-    out = spill(with_replies(rows, found, sizes).mapInArrow(cut_bytes(length), CUTS), "cuts")
+    out = spill(with_replies(rows, found, sizes).mapInArrow(cut_bytes(length), CUTS).coalesce(sizes.files), "cuts")
     discard(found)
     return out
 

@@ -1,5 +1,6 @@
 """Line, near, suffix and substring dedup, and decontamination, against brute force."""
 
+import hashlib
 import random
 
 import pytest
@@ -359,6 +360,125 @@ def test_anchors_of_texts_over_a_step(monkeypatch):
     )
 
 
+def test_anchors_are_whole_and_owned_by_content(monkeypatch):
+    """Steps split no anchor; keys are those of the grams; windows longer than a step own anchors, too."""
+    import numpy as np
+
+    from loomwork.llm import anchors
+    from loomwork.llm import tokens as tk
+
+    rng = np.random.default_rng(6)
+    units = rng.integers(0, 50, 90_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    units[40_000:80_000] = units[:40_000]
+    off = np.array([0, 0, 3, 7000, 7010, 89_990, 90_000])
+    whole = anchors.anchors(units, off, 8, 35)
+    monkeypatch.setattr(anchors, "STEP", 1000)
+    for a, b in zip(whole, anchors.anchors(units, off, 8, 35), strict=True):
+        assert a.tolist() == b.tolist()
+    for L in (35, 33_000):
+        start, count, place, key = anchors.anchors(units, off, 8, L)
+        assert count.sum() == sum(max(0, b - a - L + 1) for a, b in zip(off[:-1], off[1:], strict=True))
+        assert (place >= start + count - 1).all() and (place + 8 <= start + L).all()
+        assert (key == tk.mix(anchors.roll(units, 8)[place] ^ anchors.KEY)).all()
+        again = {w + 40_000: int(p) + 40_000 for s, n, p in zip(start, count, place, strict=True) for w in range(s, s + n)}
+        owner = {w: int(p) for s, n, p in zip(start, count, place, strict=True) for w in range(s, s + n)}
+        both = [w for w in again if 47_010 <= w <= 80_000 - L]
+        assert all(again[w] == owner[w] for w in both) and (both or L > 32_990)
+
+
+def test_hashes_of_spans(monkeypatch):
+    """Spans of any length have the rolled hash of their units, also where they cross a step, and so in any text."""
+    import numpy as np
+
+    from loomwork.llm import anchors
+
+    monkeypatch.setattr(anchors, "STEP", 100)
+    units = np.random.default_rng(7).integers(0, 2**63, 1000, dtype=np.uint64)
+    for n in (1, 16, 50, 250):
+        rolled = anchors.roll(units, n)
+        at = np.arange(len(rolled))
+        assert (anchors.spans(units, at, n) == rolled).all()
+        assert (anchors.spans(units, at[::7], np.full(len(at[::7]), n)) == rolled[::7]).all()
+    assert len(anchors.spans(units, np.zeros(0, np.int64), 5)) == 0
+
+
+def test_work_does_not_grow_by_calls_a_repeat(monkeypatch):
+    """All repeats of a part are named and told of at once, not each by calls of its own."""
+    import numpy as np
+
+    from loomwork.llm import tokens as tk
+
+    calls, mix = [], tk.mix
+    monkeypatch.setattr(tk, "mix", lambda x: calls.append(len(x)) or mix(x))
+    counts = []
+    for n in (2, 40):
+        rng = np.random.default_rng(n)
+        shared = rng.integers(97, 123, (n, 60), dtype=np.uint8)
+        tails = np.repeat(np.arange(48, 51, dtype=np.uint8)[:, None], 9, axis=1)
+        rows = np.concatenate([np.concatenate([shared[i], tails[j]]) for i in range(n) for j in range(3)])
+        size = np.full(3 * n, 69)
+        calls.clear()
+        node, low, first, last, name, many = suffix_dedup.repeats_of(
+            rows, np.cumsum(size) - size, size, np.arange(3 * n) + 5, np.full(3 * n, 2), np.arange(3 * n), 50
+        )
+        counts.append(len(calls))
+        assert sorted(node.tolist()) == list(range(3 * n)) and set(first.tolist()) == {0}
+        assert (last == 10).all() and (low == 5 + node // 3 * 3).all() and (many == 6).all() and len(set(name.tolist())) == n
+    assert counts[0] == counts[1]
+
+
+def test_suffix_dedup_writes_its_tables_in_few_files(spark, monkeypatch):
+    """Tables of few bytes aren't written in a file for each shuffle partition, nor larger ones in fewer than their bytes."""
+    from loomwork.llm import anchors
+
+    rows = corpus(4)
+    files = {}
+
+    def spill(df, tag, *more):
+        out = common.spill(df, tag, *more)
+        files[tag] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(anchors, "spill", spill)
+    monkeypatch.setattr(suffix_dedup, "spill", spill)
+    monkeypatch.setattr(anchors, "FILES", 2, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    most = {}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        for size in (1 << 24, 2_000):
+            monkeypatch.setattr(anchors, "FILE_BYTES", size, raising=False)
+            got = {
+                r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+                for r in suffix_dedup.repeats(frame(spark, rows)).collect()
+            }
+            assert got == brute.suffix(rows)
+            most[size] = max(files.get(tag, 0) for tag in ("seeds", "runs"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert most[1 << 24] <= 2 < most[2_000]
+
+
+def test_removed_runs_are_those_of_the_digests(spark):
+    """from_byte and to_byte of each row tell what its digest leaves out, over empty and null texts, and texts side by side."""
+    rows = [*corpus(3), (2001, ""), (2002, None), (2003, ""), (None, "x" * 300)]
+    texts = dict(rows)
+    for i in sorted(x for x in texts if x is not None)[:6]:  # texts that begin and end within a repeat
+        rows += [(3000 + 2 * i, (texts[i] or "") * 2), (3001 + 2 * i, texts[i] or "")]
+    texts = dict(rows)
+    hit = 0
+    for r in suffix_dedup.repeats(frame(spark, rows)).collect():
+        text, left, at = (texts[r.doc_id] or "").encode(), b"", 0
+        for a, b in zip(r.from_byte, r.to_byte, strict=True):
+            assert at <= a < b <= len(text)
+            left, at = left + text[at:a], b
+        left += text[at:]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(text), len(text) - len(left), len(r.from_byte))
+        assert r.kept_sha256 == hashlib.sha256(left).hexdigest()
+        hit += r.n_spans > 0
+    assert hit > 5
+
+
 def one_bucket(batches):
     """band_rows() if all sets agreed in one band."""
     import pyarrow as pa
