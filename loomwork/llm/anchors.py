@@ -380,7 +380,8 @@ def deal(key: np.ndarray, hot: np.ndarray, start, size, place, values: np.ndarra
 
     A stretch goes to the part of its key. Where a key is crowded with different surroundings it goes instead to a part
     for each of RANGES ranges of the place of a window around the anchor, by the units that all windows of the range
-    hold; so two stretches that share a window through the anchor still meet, and the others of the key are spread.
+    hold; so two stretches that share a window through the anchor still meet, and the others of the key are spread. It
+    goes to a part once, whichever of its ranges lead there: parts add up the places of what they get.
     """
     cold = np.flatnonzero(~hot)
     which, to = [cold], [key48(key[cold]) % np.uint64(parts)]
@@ -394,7 +395,14 @@ def deal(key: np.ndarray, hot: np.ndarray, start, size, place, values: np.ndarra
         which.append(hot[fits])
         h = spans(values, at[fits], width)
         to.append(tk.mix(tk.mix(h + np.uint64(j)) ^ key[hot[fits]]) % np.uint64(parts))
-    return np.concatenate(which), np.concatenate(to)
+    which, to = np.concatenate(which), np.concatenate(to)
+    if not len(hot):
+        return which, to
+    order = np.lexsort((to, which))
+    which, to = which[order], to[order]
+    new = np.ones(len(which), bool)
+    new[1:] = (which[1:] != which[:-1]) | (to[1:] != to[:-1])
+    return which[new], to[new]
 
 
 def offer_stretches(units: Callable, k: int, L: int, parts: int, shared: Callable, content: Callable):

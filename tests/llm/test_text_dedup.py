@@ -275,6 +275,34 @@ def test_a_crowded_key_with_many_surroundings(spark, monkeypatch):
     assert got == sorted(brute.substrings(rows))
 
 
+def test_a_crowded_key_with_few_parts(spark, monkeypatch):
+    """A stretch of a crowded key whose ranges lead to the same part stands there once, not at as many places."""
+    from loomwork.llm import anchors
+
+    monkeypatch.setattr(anchors, "CROWD", 1)
+    monkeypatch.setattr(anchors, "CROWDED", 2)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    prose = lambda: " ".join(word() for _ in range(40))
+    rows = [(i, f"{prose()} the same twelve words stand in each of these texts and no more {prose()}") for i in range(60)]
+    rows_of = anchors.bucketed
+    for module in (suffix_dedup, substring_dedup):
+        monkeypatch.setattr(
+            module,
+            "bucketed",
+            lambda docs: (rows_of(docs)[0].withColumn("bucket", F.pmod("doc_id", F.lit(30))), anchors.Sizes(2, 4)),
+        )
+    got = sorted(
+        (r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeats(frame(spark, rows)).collect()
+    )
+    assert got == sorted(brute.substrings(rows)) and not any(r[2] for r in got)
+    got = {
+        r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+        for r in suffix_dedup.repeats(frame(spark, rows)).collect()
+    }
+    assert got == brute.suffix(rows)
+
+
 def maximal_by_hand(rows, width):
     """Every substring of `width` bytes or more at two or more places that differ on both sides."""
     texts = {i: t.encode() for i, t in rows}
